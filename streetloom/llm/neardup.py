@@ -5,12 +5,13 @@ so exact copies cost one row each and are never paired. A class's signature is i
 universal hash functions; ROWS minima together give a band's key. At similarity 0.85 two sets share none of the 32
 bands of 7 with a probability of 4e-6.
 
-Candidates never come from all pairs of a bucket. First every class is paired with its bucket's leader, the class that
-shares most buckets overall (in a family of copies that is the text they were made from). Links that hold are merged
-into components. Only classes of one bucket that are still in different components are compared further: buckets are
-dealt into blocks of about BLOCK classes, and blocks are compared with blocks at distance 0, then 1, then 2 and 3, then
-4 to 7, until each bucket is one component or all its blocks have met. So every pair of a bucket is either compared or
-already connected, and a class meets about BLOCK others at a time.
+Candidates never come from all pairs of a large bucket. First every class is paired with its bucket's leader, the class
+that shares most buckets overall (in a family of copies that is the text they were made from). Links that hold are
+merged into components. Only buckets whose classes are still in different components are looked at further. In those of
+at most BLOCK classes, all pairs across components are compared. The classes of larger ones go to an exact prefix join:
+runs are ordered by how few of these classes have them, and two sets at the threshold must share one of their first
+n - ceil(0.85 n) + 1 runs, at places that leave enough runs to share. So every pair of a bucket is compared, connected
+already, or known to be below the threshold.
 
 A pair is compared by the share of equal minima first (pairs more than five standard deviations below the threshold
 go), then by the whole sets: linked if 100 * intersection >= 85 * union.
@@ -26,7 +27,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import add_columns, discard, materialize, utf8
@@ -100,34 +101,57 @@ def band_keys(least: np.ndarray) -> np.ndarray:
 
 
 def signed(docs: DataFrame, text_col: str) -> DataFrame:
-    """docs with n_shingles, class (a digest of the set), sig (16 bits of each minimum) and bands (keys); null without words."""
+    """docs with n_shingles, class (a digest of the set) and bands (keys); null without words."""
 
     def make(batches):
         for batch in batches:
-            n, digest, sig, bands = [], [], [], []
+            n, digest, bands = [], [], []
             for text in utf8(batch, text_col):
                 s = runs(text)
                 n.append(len(s))
                 if len(s):
-                    least = minima(s)
                     digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                    sig.append(least.astype(np.uint16).tobytes())
-                    bands.append(band_keys(least))
+                    bands.append(band_keys(minima(s)))
                 else:
-                    digest.append(None), sig.append(None), bands.append(None)
-            yield [pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sig, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
+                    digest.append(None), bands.append(None)
+            yield [pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
 
-    return add_columns(docs, "n_shingles long, class binary, sig binary, bands array<long>", make).drop(text_col)
+    return add_columns(docs, "n_shingles long, class binary, bands array<long>", make).drop(text_col)
 
 
 def with_sets(docs: DataFrame) -> DataFrame:
-    """(id, set) of docs (id, text)."""
+    """(id, n, sig, set) of docs (id, text)."""
 
     def make(batches):
         for batch in batches:
-            yield [pa.array([runs(t).tobytes() for t in utf8(batch, "text")], pa.binary())]
+            sets = [runs(t) for t in utf8(batch, "text")]
+            yield [pa.array([len(s) for s in sets], pa.int64()), pa.array([minima(s).astype(np.uint16).tobytes() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())]
 
-    return add_columns(docs, "set binary", make).drop("text")
+    return add_columns(docs, "n long, sig binary, set binary", make).drop("text")
+
+
+def with_tokens(sets: DataFrame) -> DataFrame:
+    """sets with its hashes as a list."""
+
+    def make(batches):
+        for batch in batches:
+            yield [pa.array([np.frombuffer(s, np.int64) for s in batch.column("set").to_pylist()], pa.list_(pa.int64()))]
+
+    return add_columns(sets, "tokens array<long>", make).drop("set")
+
+
+def prefix_pairs(sets: DataFrame) -> DataFrame:
+    """(a, b) of classes (id, n, component, set) of different components that may reach the threshold: none is left out."""
+    tokens = with_tokens(sets).select("id", "n", "component", F.explode("tokens").alias("token"))
+    common = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    place = F.row_number().over(Window.partitionBy("id").orderBy("df", "token"))
+    first = F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1
+    ranked = tokens.join(common, "token").withColumn("at", place).where((F.col("at") <= first) & (F.col("df") > 1)).drop("df")
+    one = ranked.select("token", *[F.col(c).alias(f"{c}_") for c in ("id", "n", "component", "at")])
+    need = PERCENT * (F.col("n") + F.col("n_"))
+    room = F.least(F.col("n") - F.col("at"), F.col("n_") - F.col("at_")) + 1
+    met = ranked.join(one, "token").where((F.col("id") < F.col("id_")) & (F.col("component") != F.col("component_")) & (room * (100 + PERCENT) >= need))
+    return met.select(F.col("id").alias("a"), F.col("id_").alias("b"))
 
 
 def _keep(pairs: DataFrame, test) -> DataFrame:
@@ -160,6 +184,12 @@ def _beside(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
 
 
+def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(u, v) of the pairs (a, b) that pass the signature's test, then the whole sets'."""
+    likely = _keep(_beside(pairs, sets, "sig"), _agree)
+    return materialize(_keep(_beside(likely, sets, "set"), linked).select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
+
+
 def _ordered(a, b):
     return F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
 
@@ -169,7 +199,7 @@ def near_duplicates(docs: DataFrame, *, text_col: str = "text", id_col: str = "d
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     marked = materialize(signed(docs, "text"), "signed")
-    classes = marked.where("class IS NOT NULL AND doc_id IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("id"), F.min_by("sig", "doc_id").alias("sig"), F.min_by("bands", "doc_id").alias("bands"))
+    classes = marked.where("class IS NOT NULL AND doc_id IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("id"), F.min_by("bands", "doc_id").alias("bands"))
     classes = materialize(classes, "classes")
 
     # Buckets of two classes or more.
@@ -180,43 +210,25 @@ def near_duplicates(docs: DataFrame, *, text_col: str = "text", id_col: str = "d
     leaders = buckets.join(shared, "id").groupBy("key").agg(F.max_by("id", F.struct("shared", -F.col("id"))).alias("leader"))
     pairs = buckets.join(leaders, "key").where("id <> leader").select(*_ordered(F.col("id"), F.col("leader"))).distinct()
 
-    sets = None
+    labels = None
     if not buckets.isEmpty():
         ids = buckets.select("id").distinct()
-        sets = materialize(with_sets(docs.withColumnRenamed("doc_id", "id").join(ids, "id", "left_semi")), "sets")
-
-    def confirm(found: DataFrame) -> DataFrame:
-        likely = materialize(_keep(_beside(found, classes, "sig"), _agree), "likely")
-        good = materialize(_keep(_beside(likely, sets, "set"), linked).select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
-        discard(likely)
-        return good
-
-    labels = None
-    if sets is not None:
-        links = confirm(pairs)
+        # Told to shuffle, so that texts move the same way at every size.
+        sets = materialize(with_sets(docs.withColumnRenamed("doc_id", "id").join(ids.hint("merge"), "id", "left_semi")), "sets")
+        links = _confirmed(pairs, sets)
         labels = materialize(components(links), "labels")
-        distance, reach = 0, 1
-        while True:
-            # Buckets whose classes are in several components yet; their blocks meet at distance .. distance + reach - 1.
-            named = buckets.join(labels, F.col("id") == F.col("node"), "left").select("key", "n", "id", F.coalesce("component", "id").alias("component"))
-            apart = named.groupBy("key").agg(F.min("component").alias("l"), F.max("component").alias("h")).where("l <> h").select("key")
-            blocks = F.ceil(F.col("n") / BLOCK).cast("long")
-            left = named.join(apart, "key").withColumn("k", blocks).where(F.col("k") > (2 * distance - 1 if distance else 0))
-            left = materialize(left.withColumn("block", F.pmod(F.xxhash64("id"), F.col("k"))), "open")
-            if left.isEmpty():
-                discard(left)
-                break
-            steps = F.sequence(F.lit(distance), F.lit(distance + reach - 1))
-            sent = left.select("key", "id", "component", "block", "k", F.explode(steps).alias("step")).where("step <= k / 2")
-            here = sent.select("key", "block", "step", F.col("id").alias("p"), F.col("component").alias("pc"))
-            there = sent.select("key", F.pmod(F.col("block") - F.col("step"), F.col("k")).alias("block"), "step", F.col("id").alias("q"), F.col("component").alias("qc"))
-            met = here.join(there, ["key", "block", "step"]).where("pc <> qc AND (step > 0 OR p < q)")
-            more = confirm(met.select(*_ordered(F.col("p"), F.col("q"))).distinct())
-            if not more.isEmpty():
-                links = materialize(labels.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more), "links")
-                labels = materialize(components(links), "labels")
-            discard(left)
-            distance, reach = distance + reach, max(1, distance + reach)
+        # Buckets whose classes are in several components yet.
+        named = buckets.join(labels, F.col("id") == F.col("node"), "left").select("key", "n", "id", F.coalesce("component", "id").alias("component"))
+        apart = named.groupBy("key").agg(F.min("component").alias("l"), F.max("component").alias("h")).where("l <> h").select("key")
+        left = materialize(named.join(apart, "key"), "open")
+        small = left.where(F.col("n") <= BLOCK)
+        other = small.select("key", F.col("id").alias("id_"), F.col("component").alias("component_"))
+        more = small.join(other, "key").where("id < id_ AND component <> component_").select(F.col("id").alias("a"), F.col("id_").alias("b"))
+        large = left.where(F.col("n") > BLOCK).select("id", "component").distinct()
+        more = _confirmed(more.union(prefix_pairs(sets.select("id", "n", "set").join(large, "id"))).distinct(), sets)
+        if not more.isEmpty():
+            labels = materialize(components(labels.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more)), "labels")
+        discard(buckets, sets, left)
     out = marked.select("doc_id", "n_shingles", "class").join(classes.select("class", "id"), "class", "left")
     if labels is not None:
         out = out.join(labels, F.col("id") == F.col("node"), "left").withColumn("component_id", F.coalesce("component", "id", "doc_id"))
