@@ -1,9 +1,9 @@
 """Gated recurrent language model in numpy with a class-factored output, trained by truncated backpropagation.
 
 The corpus's training words are counted (all of them, in a shuffle). The most frequent ones, at most HEAD, are dealt by
-frequency into CLASSES classes of WORDS; a class `middle` holds the next ones, a class `rare` all others and unseen
-words. The network gives P(class | state), and within a head class P(word | class, state); within `middle` and `rare` a
-word's share is its corpus count's (with one added, and one unseen word, in `rare`). These multiply to a distribution
+frequency into CLASSES classes of WORDS; a class `middle` holds the next ones that are seen twice or more, a class
+`rare` all others and unseen words. The network gives P(class | state), and within a head class P(word | class, state);
+within `middle` and `rare` a word's share is its corpus count's with one added (and one unseen word in `rare`). These multiply to a distribution
 over all words. Output biases start at the corpus's unigram, so training starts from the base model.
 
 Scoring packs whole documents into lanes that step together; the state of a lane is carried from window to window until
@@ -60,9 +60,22 @@ class Vocabulary:
     def __init__(self, counts: dict[bytes, int], total: int, distinct: int):
         order = sorted(counts, key=lambda w: (-counts[w], w))
         head = [END, *[w for w in order if w != END]][:HEAD]
-        self.head, self.counts = {w: k for k, w in enumerate(head)}, counts
-        self.total, self.distinct = total, distinct
-        self.middle = sum(c for w, c in counts.items() if w not in self.head)
+        there = set(head)
+        middle = [w for w in order if w not in there]
+        self.middle = sum(counts[w] + 1 for w in middle)
+        # A code is a head word's symbol, then a middle word's place, then an ending of the others.
+        self.codes = {w: k for k, w in enumerate(head)} | {w: HEAD + k for k, w in enumerate(middle)}
+        self.rare_from = HEAD + len(middle)
+        self.symbols = np.concatenate([np.arange(HEAD), np.full(len(middle), HEAD), np.full(ENDINGS, HEAD + 1)])
+        self.inputs = np.concatenate([np.arange(HEAD), np.array([HEAD + ending(w) for w in middle], np.int64), HEAD + np.arange(ENDINGS)])
+        seen = np.zeros(self.rare_from + ENDINGS)
+        seen[: len(head)] = [counts.get(w, 0) for w in head]
+        seen[HEAD : self.rare_from] = [counts[w] for w in middle]
+        self.known, self.logs = seen > 0, np.log10(seen + 1)
+        self.within = np.zeros(len(seen))
+        self.within[HEAD : self.rare_from] = np.log10((seen[HEAD : self.rare_from] + 1) / max(1, self.middle))
+        # A training word of count 2 has been seen once elsewhere: to training it is what a word of count 1 is to scoring.
+        self.taught = np.where((seen == 2) & (self.symbols == HEAD), HEAD + 1, self.symbols)
         self.rare_total = total - sum(counts.values())
         self.rare_distinct = distinct - len(counts)
         n = np.ones(HEAD)
@@ -177,18 +190,27 @@ class Network:
             self.p[k] -= (rate * (m / fix1) / (np.sqrt(s / fix2) + 1e-8)).astype(np.float32)
 
 
-def symbols_of(words: list[bytes], v: Vocabulary, cache: dict) -> tuple[list[int], list[int]]:
-    """Output symbols and input symbols of a document's words and its end."""
-    out, into = [], []
-    for w in (*words, END):
-        got = cache.get(w)
-        if got is None:
-            k = v.head.get(w)
-            got = (k, k) if k is not None else (HEAD + (w not in v.counts), HEAD + ending(w))
-            cache[w] = got
-        out.append(got[0])
-        into.append(got[1])
-    return out, into
+class Codes(dict):
+    """Codes of words, kept up to FLUSH beyond the vocabulary's own."""
+
+    def __init__(self, v: Vocabulary):
+        super().__init__(v.codes)
+        self.v = v
+
+    def __missing__(self, word: bytes) -> int:
+        code = self.v.rare_from + ending(word)
+        if len(word) <= KNOWN_BYTES:
+            self[word] = code
+        return code
+
+    def bound(self) -> None:
+        if len(self) > len(self.v.codes) + FLUSH:
+            self.clear()
+            self.update(self.v.codes)
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        """Codes of a document's words and its end."""
+        return np.fromiter(map(self.__getitem__, (*words, END)), np.int64, len(words) + 1)
 
 
 def packed(docs: list[np.ndarray], lanes: int) -> list[list[int]]:
@@ -253,9 +275,9 @@ def log_likelihoods(net: Network, outs: list[np.ndarray], intos: list[np.ndarray
 
 
 def train(texts: list[bytes], v: Vocabulary, *, epochs: int = EPOCHS, rate: float = RATE) -> Network:
-    net, cache = Network(v), {}
-    pairs = [symbols_of(words_of(t), v, cache) for t in texts]
-    outs, intos = ([np.array(p[k]) for p in pairs] for k in (0, 1))
+    net, codes = Network(v), Codes(v)
+    found = [codes.of(words_of(t)) for t in texts]
+    outs, intos = [v.taught[c] for c in found], [v.inputs[c] for c in found]
     rng = np.random.default_rng(1)
     total, done = epochs * sum(map(len, outs)), 0
     for _ in range(epochs):
@@ -301,8 +323,8 @@ def count_words(docs: DataFrame, text_col: str) -> DataFrame:
 
 
 def frequent(counts: DataFrame, most: int) -> dict[bytes, int]:
-    """The words of count t or more, for the least t (a step of a fine logarithmic scale) that leaves at most `most`."""
-    short = counts.where((F.octet_length("word") <= KNOWN_BYTES) | (F.col("word") == END))
+    """The words of count t or more, for the least t (a step of a fine logarithmic scale) that leaves at most `most`; none of count 1 but END, always."""
+    short = counts.where((F.octet_length("word") <= KNOWN_BYTES) & ((F.col("n") > 1) | (F.col("word") == END)))
     level = F.floor(F.log2("n") * 16).cast("int")
     steps = {r.level: r.n for r in short.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n")).collect()}
     least, held = None, 0
@@ -310,7 +332,8 @@ def frequent(counts: DataFrame, most: int) -> dict[bytes, int]:
         if held + steps[s] > most:
             break
         least, held = s, held + steps[s]
-    return {} if least is None else {bytes(r.word): r.n for r in short.where(level >= least).collect()}
+    kept = F.lit(False) if least is None else level >= least
+    return {bytes(r.word): r.n for r in short.where(kept | (F.col("word") == END)).collect()}
 
 
 _held: dict = {}
@@ -332,7 +355,7 @@ def score_documents(docs: DataFrame, *, text_col: str = "text", id_col: str = "d
     sample = sorted(bytes(r.text) for r in drawn.select(F.col("text").cast("binary")).collect())
     broadcast = spark.sparkContext.broadcast((v, train(sample, v)))
     scored = materialize(_scored(docs, broadcast), "scored")
-    found = scored.where("word IS NOT NULL").select("word", "docs").join(counts.where(F.lit(True)), "word", "left").select(F.explode("docs").alias("uid"), F.coalesce("n", F.lit(0)).alias("c"))
+    found = scored.where("word IS NOT NULL").select("word", "docs").join(counts, "word", "left").select(F.explode("docs").alias("uid"), F.coalesce("n", F.lit(0)).alias("c"))
     sums = found.groupBy("uid").agg(F.sum(F.log10(F.col("c") + 1.0)).alias("logs"), F.sum((F.col("c") > 0).cast("long")).alias("known"))
     rows = scored.where("word IS NULL").join(sums, "uid", "left")
     logs, known = F.coalesce("logs", F.lit(0.0)), F.coalesce("known", F.lit(0))
@@ -354,33 +377,28 @@ def _scored(docs: DataFrame, broadcast) -> DataFrame:
         if key not in _held:
             _held.clear()
             v, net = broadcast.value
-            _held[key] = v, net, {}, {w: math.log10(c + 1) for w, c in v.counts.items()}
-        v, net, cache, logs = _held[key]
+            _held[key] = v, net, Codes(v)
+        v, net, codes = _held[key]
         uid = TaskContext.get().partitionId() << 33
-        middle = math.log10(max(1, v.middle))
         for batch in batches:
-            if len(cache) > FLUSH:
-                cache.clear()
-            outs, intos, base, within, rare, n_rare = [], [], [], [], {}, []
+            codes.bound()
+            outs, intos, base, known, within, rare, n_rare = [], [], [], [], [], {}, []
             for k, text in enumerate(utf8(batch, "text")):
                 words = words_of(text)
-                out, into = symbols_of(words, v, cache)
-                out = np.array(out)
-                outs.append(out)
-                intos.append(np.array(into))
-                known = [logs[w] for w, s in zip((*words, END), out.tolist(), strict=True) if s <= HEAD and w in logs]
-                base.append((sum(known), len(known)))
-                here = np.flatnonzero(out == HEAD)
-                # A middle word's share of its class is its count's.
-                within.append(sum(math.log10(v.counts[words[i]]) - middle for i in here.tolist()))
-                far = np.flatnonzero(out > HEAD).tolist()
+                c = codes.of(words)
+                outs.append(v.symbols[c])
+                intos.append(v.inputs[c])
+                base.append(float(v.logs[c].sum()))
+                known.append(int(v.known[c].sum()))
+                within.append(float(v.within[c].sum()))
+                far = np.flatnonzero(c >= v.rare_from).tolist()
                 n_rare.append(len(far))
                 for i in far:
                     rare.setdefault(words[i], []).append(uid + k)
             ln = log_likelihoods(net, outs, intos)
             n = len(outs)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(range(uid, uid + n), pa.int64()), batch.column("doc_id"), batch.column("held_out"), pa.array([len(o) for o in outs], pa.int64()), pa.array([b[1] for b in base], pa.int64()), pa.array([b[0] for b in base], pa.float64()), pa.array(ln / LN10 + np.array(within)), pa.array(n_rare, pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.list_(pa.int64()))],
+                [pa.array(range(uid, uid + n), pa.int64()), batch.column("doc_id"), batch.column("held_out"), pa.array([len(o) for o in outs], pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(ln / LN10 + np.array(within)), pa.array(n_rare, pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.list_(pa.int64()))],
                 names=[*names, "word", "docs"],
             )
             uid += n
