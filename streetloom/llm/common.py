@@ -100,3 +100,15 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def id_remainder(column: str, modulus: int):
     """crc32(id as text) mod modulus; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus
+
+
+def frequent(counts: DataFrame, column: str, most: int) -> list:
+    """The values of (column, n) of count t or more, for the least t (a step of a fine logarithmic scale) that leaves at most `most`."""
+    level = F.floor(F.log2("n") * 16).cast("int")
+    steps = {r.level: r.n for r in counts.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    least, held = None, 0
+    for s in sorted(steps, reverse=True):
+        if held + steps[s] > most:
+            break
+        least, held = s, held + steps[s]
+    return [] if least is None else [r[0] for r in counts.where(level >= least).select(column).collect()]

@@ -1,14 +1,14 @@
 """Token-ID output in the Arrow stream-file format: fixed-size-list batches of equal-length sequences and masks.
 
 Documents are dealt by ranges of ascending id, so shard k holds the documents after those of shard k-1. A shard is two
-Arrow files: `tokens` has rows of SEQUENCE ids and as many mask bytes (1: a token, 0: padding after the shard's last
-token), in batches of ROWS_PER_BATCH rows, so the row and batch of any position follow by division and a memory map
+Arrow files: `tokens` has rows of SEQUENCE ids (two bytes each where the vocabulary allows, else four) and as many mask
+bits (1: a token, 0: padding after the shard's last token), in batches of ROWS_PER_BATCH rows, so the row and batch of any position follow by division and a memory map
 gives it without copying; `documents` has each document's id, start within the shard and length. A manifest row per
 shard is all that reaches the driver. Files are written under a name of their own and then moved into place, so a
 retried or doubled task leaves one complete file.
 
-Text is encoded by the tokenizers library. Pieces between single spaces are encoded once and kept in a bounded cache:
-byte-level pre-tokenization always starts a new word at a space that stands between two other characters, so the
+Text is encoded by the tokenizers library. Pieces between single spaces are encoded once and kept in a bounded cache,
+which starts with the pieces met most often in a sample of documents (that changes time, not results): byte-level pre-tokenization always starts a new word at a space that stands between two other characters, so the
 pieces' ids joined are those of the whole text. Texts with other white space next to a space are encoded whole.
 
 Defined results: null and empty texts have the end id alone. Equal document ids stand next to each other, ordered by
@@ -18,9 +18,9 @@ text; null ids come first. An empty table gives shards without rows and an empty
 from __future__ import annotations
 
 import os
-import re
 import uuid
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -28,58 +28,107 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound_batches, fresh_path
+from .common import bound_batches, frequent, fresh_path, materialize
 
 VOCABULARY = "byte_bpe_50k.json"
 SEQUENCE = 2048
 ROWS_PER_BATCH = 64
 END = 0
 #: Bytes of text of a shard, about.
-SHARD_BYTES = 64 << 20
+SHARD_BYTES = 32 << 20
 CACHE_PIECES = 100_000
-_MIXED = re.compile(r" \s|[^\S ] |^ | $")
+HOT_SAMPLE, HOT_PIECES = 16, 300_000
+
+
+class Pieces(dict):
+    """Ids of a space and a piece, by piece; b"" marks pieces that may not stand alone. Remembers what it lacked."""
+
+    def __init__(self):
+        super().__init__()
+        self.missed: list[str] = []
+
+    def __missing__(self, piece: str) -> None:
+        self.missed.append(piece)
 
 
 class Encoder:
-    def __init__(self, path: str):
+    """`hot`: ids of pieces known from the start, as learn() makes them; others are kept until CACHE_PIECES."""
+
+    def __init__(self, path: str, hot: dict[str, bytes] | None = None):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[str, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        size = self.tokenizer.get_vocab_size()
+        self.kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
+        #: Tokens that begin with a space: where pieces stand one after another, each begins with one and has no other.
+        self.begins = np.zeros(size, bool)
+        self.begins[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith("\u0120")]] = True
+        self.hot = hot or {}
+        self.cache = Pieces()
+        self.cache.update(self.hot)
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind).tobytes()
+
+    def learn(self, pieces: list[str]) -> dict[str, bytes]:
+        """Encode pieces, each after a space, in one text."""
+        good = [p for p in pieces if p and not p[0].isspace() and not p[-1].isspace()]
+        got = dict.fromkeys(pieces, b"")
+        if good:
+            ids = np.frombuffer(self.whole(" " + " ".join(good)), self.kind)
+            data, cuts = ids.tobytes(), (self.kind.itemsize * np.append(np.flatnonzero(self.begins[ids]), len(ids))).tolist()
+            got.update(zip(good, [data[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)], strict=True))
+        return got
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        if len(self.cache) > CACHE_PIECES:
-            self.cache.clear()
-        cache, cut = self.cache, []
-        for t in texts:
-            if not t:
-                cut.append(())
-            elif _MIXED.search(t):
-                cut.append(None)
-            else:
-                first, *rest = t.split(" ")
-                cut.append([first, *[" " + x for x in rest]])
-        new = list({p for ps in cut if ps for p in ps if p not in cache})
-        cache.update(zip(new, self._ids(new), strict=True))
-        whole = iter(self._ids([t for t, ps in zip(texts, cut, strict=True) if ps is None]))
-        return [next(whole) if ps is None else b"".join([cache[p] for p in ps]) for ps in cut]
+        """The ids of each text, in self.kind."""
+        cache = self.cache
+        if len(cache) > len(self.hot) + CACHE_PIECES:
+            cache.clear()
+            cache.update(self.hot)
+        get, cut = cache.__getitem__, [t.split(" ") if t else () for t in texts]
+        found = [list(map(get, c)) for c in cut]
+        if cache.missed:
+            cache.update(self.learn(list(set(cache.missed))))
+            cache.missed.clear()
+            found = [list(map(get, ps)) if None in fs else fs for ps, fs in zip(cut, found, strict=True)]
+        return [b"" if not fs else self.whole(text) if b"" in fs else self.whole(ps[0]) + b"".join(fs[1:]) for text, ps, fs in zip(texts, cut, found, strict=True)]
+
+
+def hot_pieces(docs: DataFrame, path: str) -> dict[str, bytes]:
+    """Ids of the pieces seen most often in one of HOT_SAMPLE documents, HOT_PIECES at most: they save time alone."""
+
+    def run(batches):
+        counts: Counter = Counter()
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                counts.update(text.split(" ") if text else ())
+            if len(counts) > CACHE_PIECES:
+                yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["piece", "n"])
+                counts.clear()
+        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["piece", "n"])
+
+    drawn = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(HOT_SAMPLE)) == 0).select("text")
+    counts = drawn.mapInArrow(run, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n")).where((F.col("n") > 1) & (F.octet_length("piece") <= 64))
+    counts = materialize(counts, "pieces")
+    return Encoder(path).learn(sorted(frequent(counts, "piece", HOT_PIECES)))
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict = {}
 
 
-def encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+def encoder(path: str, hot) -> Encoder:
+    """The worker's encoder for a broadcast of hot pieces."""
+    key = path, hot._jbroadcast.id() if hot._jbroadcast is not None else hot._path
+    if key not in _encoders:
+        _encoders.clear()
+        _encoders[key] = Encoder(path, hot.value)
+    return _encoders[key]
 
 
-def token_schema(sequence: int) -> pa.Schema:
-    return pa.schema([("ids", pa.list_(pa.field("item", pa.uint32(), False), sequence)), ("mask", pa.list_(pa.field("item", pa.uint8(), False), sequence))])
+def token_schema(sequence: int, kind: np.dtype) -> pa.Schema:
+    return pa.schema([("ids", pa.list_(pa.field("item", pa.from_numpy_dtype(kind), False), sequence)), ("mask", pa.list_(pa.field("item", pa.bool_(), False), sequence))])
 
 
 DOCUMENT_SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
@@ -89,21 +138,21 @@ MANIFEST = "shard int, tokens_path string, documents_path string, n_docs long, n
 class ShardWriter:
     """Writes one shard; holds one batch of sequences."""
 
-    def __init__(self, base: str, shard: int, sequence: int):
+    def __init__(self, base: str, shard: int, sequence: int, kind: np.dtype):
         self.fs, self.base = pafs.FileSystem.from_uri(base)
         self.fs.create_dir(self.base, recursive=True)
-        self.sequence, self.shard, self.docs, self.at = sequence, shard, 0, 0
+        self.sequence, self.shard, self.kind, self.docs, self.at = sequence, shard, kind, 0, 0
         own = uuid.uuid4().hex
         self.paths = {n: (f"{self.base}/.{n}-{shard:05d}-{own}", f"{self.base}/{n}-{shard:05d}.arrow") for n in ("tokens", "documents")}
         self.out = {n: self.fs.open_output_stream(a) for n, (a, _) in self.paths.items()}
-        self.schema = token_schema(sequence)
+        self.schema = token_schema(sequence, kind)
         self.tokens = pa.ipc.new_file(self.out["tokens"], self.schema)
         self.index = pa.ipc.new_file(self.out["documents"], DOCUMENT_SCHEMA)
         self.held: list[bytes] = []
         self.held_ids = 0
 
     def add(self, ids: list[int], encoded: list[bytes]) -> None:
-        sizes = np.array([len(x) // 4 for x in encoded], np.int64)
+        sizes = np.array([len(x) // self.kind.itemsize for x in encoded], np.int64)
         starts = self.at + np.cumsum(sizes) - sizes
         self.index.write_batch(pa.record_batch([pa.array(ids, pa.int64()), pa.array(starts), pa.array(sizes)], schema=DOCUMENT_SCHEMA))
         self.at += int(sizes.sum())
@@ -114,15 +163,14 @@ class ShardWriter:
             self._flush(False)
 
     def _flush(self, last: bool) -> None:
-        ids = np.frombuffer(b"".join(self.held), "<u4")
+        ids = np.frombuffer(b"".join(self.held), self.kind)
         step = ROWS_PER_BATCH * self.sequence
         full = len(ids) - len(ids) % step
         for at in range(0, len(ids) if last else full, step):
             part = ids[at : at + step]
             rows = -(-len(part) // self.sequence)
-            mask = np.zeros(rows * self.sequence, np.uint8)
-            mask[: len(part)] = 1
-            padded = np.zeros(rows * self.sequence, np.uint32)
+            mask = np.arange(rows * self.sequence) < len(part)
+            padded = np.zeros(rows * self.sequence, self.kind)
             padded[: len(part)] = part
             self.tokens.write_batch(pa.record_batch([pa.FixedSizeListArray.from_arrays(pa.array(x), type=f.type) for x, f in zip((padded, mask), self.schema, strict=True)], schema=self.schema))
         self.held, self.held_ids = [ids[full:].tobytes()], len(ids) - full
@@ -146,7 +194,7 @@ class ShardReader:
         fs, path = pafs.FileSystem.from_uri(documents)
         self.documents = pa.ipc.open_file(pa.memory_map(path) if local else fs.open_input_file(path))
         self.sequence = self.tokens.schema.field("ids").type.list_size
-        self._at, self._ids = -1, np.zeros(0, np.uint32)
+        self._at, self._ids = -1, np.zeros(0, np.uint16)
 
     def batch(self, k: int) -> np.ndarray:
         """The ids of a batch, flat: a view of the file."""
@@ -154,10 +202,11 @@ class ShardReader:
             self._at, self._ids = k, self.tokens.get_batch(k).column("ids").flatten().to_numpy(zero_copy_only=True)
         return self._ids
 
-    def sequence_at(self, row: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and mask of one equal-length sequence."""
+    def sequence_at(self, row: int) -> tuple[np.ndarray, pa.Array]:
+        """Ids and mask, both views of the file, of one equal-length sequence."""
         batch, k = self.tokens.get_batch(row // ROWS_PER_BATCH), row % ROWS_PER_BATCH
-        return tuple(batch.column(c).flatten().to_numpy(zero_copy_only=True)[k * self.sequence : (k + 1) * self.sequence] for c in ("ids", "mask"))
+        ids, mask = (batch.column(c).slice(k, 1).flatten() for c in ("ids", "mask"))
+        return ids.to_numpy(zero_copy_only=True), mask
 
     def read(self, start: int, n: int):
         """Views that hold ids start to start + n, one for each batch they touch."""
@@ -179,6 +228,7 @@ def write_shards(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_
         path = public_tokenizers.path(VOCABULARY)
     base = out or fresh_path(spark, "tokens")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    hot = spark.sparkContext.broadcast(hot_pieces(docs, path))
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     shards = max(spark.sparkContext.defaultParallelism, -(-total // shard_bytes))
     ordered = docs.repartitionByRange(shards, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
@@ -188,9 +238,10 @@ def write_shards(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_
 
         shard, writer = TaskContext.get().partitionId(), None
         for batch in batches:
-            writer = writer or ShardWriter(base, shard, sequence)
-            tail = int(end).to_bytes(4, "little")
-            writer.add(batch.column("doc_id").to_pylist(), [x + tail for x in encoder(path).encode(batch.column("text").to_pylist())])
+            coder = encoder(path, hot)
+            writer = writer or ShardWriter(base, shard, sequence, coder.kind)
+            tail = np.array([end], coder.kind).tobytes()
+            writer.add(batch.column("doc_id").to_pylist(), [x + tail for x in coder.encode(batch.column("text").to_pylist())])
         if writer:
             writer.close()
             paths = [f"{base}/{n}-{shard:05d}.arrow" for n in ("tokens", "documents")]
@@ -217,7 +268,7 @@ def read_documents(manifest: DataFrame) -> DataFrame:
                     for start, n in zip(part.column("start").to_pylist(), part.column("n_tokens").to_pylist(), strict=True):
                         c = 0
                         for view in shard.read(start, n):
-                            c = zlib.crc32(view, c)
+                            c = zlib.crc32(view.astype("<u4"), c)
                         crc.append(c)
                     starts = pa.array(part.column("start").to_numpy() + r["start"])
                     yield pa.RecordBatch.from_arrays([part.column("doc_id"), starts, part.column("n_tokens"), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
