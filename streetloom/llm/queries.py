@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, fingerprint, html, language_model, neardup, quality, sharding, token_files
+from . import bpe, decontaminate, fingerprint, html, language_model, neardup, quality, sharding, token_files, url_filter
 from .oracles import ORACLES
 
 
@@ -17,6 +17,7 @@ QUERIES = {
     "op2_token_files": token_files.query,
     "op3_bounded_ring": sharding.query,
     "op4_quality": quality.query,
+    "op5_url_filter": url_filter.query,
     "op6_neardup": neardup.query,
     "op7_language_model": language_model.query,
     "op8_fingerprint": fingerprint.query,
