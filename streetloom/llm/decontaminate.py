@@ -113,17 +113,20 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "tex
     final = len(blocks) - 1
     out = docs
     for k, broadcast in enumerate(blocks):
-        out = _pass(out, broadcast, text_col, width, k > 0, k == final)
+        out = _pass(out, broadcast, text_col, width, k, k == final)
     return out
 
 
-def _pass(docs: DataFrame, broadcast, text_col: str, width: int, carries: bool, final: bool) -> DataFrame:
+def _pass(docs: DataFrame, broadcast, text_col: str, width: int, k: int, final: bool) -> DataFrame:
+    """Pass k takes what pass k - 1 has found in columns of its own, and adds to it."""
+    carries, was, now = k > 0, (f"dc_hit_{k - 1}", f"dc_items_{k - 1}"), (f"dc_hit_{k}", f"dc_items_{k}")
+
     def make(batches):
         automaton = _automaton(broadcast, width)
         for batch in batches:
             rows = []
-            before = batch.column("dc_hit").to_pylist() if carries else None
-            earlier = batch.column("dc_items").to_pylist() if carries else None
+            before = batch.column(was[0]).to_pylist() if carries else None
+            earlier = batch.column(was[1]).to_pylist() if carries else None
             for k, text in enumerate(utf8(batch, text_col)):
                 words = words_of(text)
                 hit = np.frombuffer(before[k], bool).copy() if carries and before[k] else np.zeros(len(words), bool)
@@ -145,8 +148,8 @@ def _pass(docs: DataFrame, broadcast, text_col: str, width: int, carries: bool,
             ]
 
     if not final:
-        return add_columns(docs, "dc_hit binary, dc_items array<string>", make)
-    return add_columns(docs, FIELDS, make).drop(*(["dc_hit", "dc_items"] if carries else []))
+        return add_columns(docs, f"{now[0]} binary, {now[1]} array<string>", make).drop(*was)
+    return add_columns(docs, FIELDS, make).drop(*was)
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 URL_FILTER = r"""
 WITH seen AS (
   SELECT page_id, url, DATE '2024-01-01' + CAST(page_id % 366 AS INTEGER) AS fetched,
-    coalesce(regexp_replace(regexp_extract(lower(url), '^(?:[a-z][a-z0-9+.\\-]*:)?//(?:[^/?#@]*@)?([^/:?#]*)', 1), '\\.+$', ''), '') AS host
+    coalesce(regexp_replace(regexp_extract(lower(url), '^(?:[a-z][a-z0-9+.\-]*:)?//(?:[^/?#@]*@)?([^/:?#]*)', 1), '\.+$', ''), '') AS host
   FROM pages),
 hosts AS (SELECT host AS pattern, min(page_id) AS k FROM seen WHERE host <> '' GROUP BY 1),
 entries AS (
@@ -24,6 +24,34 @@ hits AS (
 SELECT page_id, url, seen.fetched, seen.host, CAST(coalesce(n, 0) AS BIGINT) AS n_entries, coalesce(lists, '') AS lists,
   coalesce(block, false) AND NOT coalesce(allow, false) AS blocked
 FROM seen LEFT JOIN hits ON hits.host = seen.host AND hits.fetched = seen.fetched
-""".replace("\\\\", "\\")
+"""
 
-ORACLES: dict[str, str] = {"op5_url_filter": URL_FILTER}
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+DECONTAMINATE = rf"""
+WITH docs AS (SELECT doc_id, regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+items AS (SELECT item_id, w, least(13, len(w)) AS size FROM (SELECT item_id, regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark) WHERE len(w) > 0),
+windows AS (SELECT DISTINCT item_id, size, array_to_string(w[i : i + size - 1], ' ') AS t FROM (SELECT *, unnest(range(1, len(w) - size + 2)) AS i FROM items)),
+places AS (SELECT doc_id, size, i, array_to_string(w[i : i + size - 1], ' ') AS t FROM (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM docs, (SELECT DISTINCT size FROM windows) WHERE len(w) >= size)),
+found AS (SELECT p.doc_id, p.i, p.size, v.item_id FROM places p JOIN windows v ON p.size = v.size AND p.t = v.t),
+hit AS (SELECT doc_id, count(DISTINCT k) AS n FROM (SELECT doc_id, unnest(range(i, i + size)) AS k FROM found) GROUP BY 1),
+named AS (SELECT doc_id, count(*) AS n, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS id FROM found) GROUP BY 1)
+SELECT docs.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(hit.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(named.n, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(hit.n, 0) > 0 AND 20 * coalesce(hit.n, 0) >= len(w) AS contaminated
+FROM docs LEFT JOIN hit ON hit.doc_id = docs.doc_id LEFT JOIN named ON named.doc_id = docs.doc_id
+"""
+
+NEARDUP = rf"""
+WITH RECURSIVE docs AS (SELECT doc_id, regexp_extract_all({LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM docs WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY 1),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM sets a JOIN sets b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM shared JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b WHERE 100 * shared.n >= 85 * (p.n + q.n - shared.n)),
+edges AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach(node, root) AS (SELECT a, a FROM edges UNION SELECT edges.b, reach.root FROM reach JOIN edges ON edges.a = reach.node WHERE reach.root < edges.b),
+roots AS (SELECT node, min(root) AS root FROM reach GROUP BY 1)
+SELECT docs.doc_id, CAST(coalesce(sizes.n, 0) AS BIGINT) AS n_shingles, coalesce(root, docs.doc_id) AS component_id, coalesce(root, docs.doc_id) = docs.doc_id AS kept
+FROM docs LEFT JOIN sizes ON sizes.doc_id = docs.doc_id LEFT JOIN roots ON roots.node = docs.doc_id
+"""
+
+ORACLES: dict[str, str] = {"op1_decontaminate": DECONTAMINATE, "op5_url_filter": URL_FILTER, "op6_neardup": NEARDUP}
