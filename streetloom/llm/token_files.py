@@ -36,7 +36,7 @@ ROWS_PER_BATCH = 64
 END = 0
 #: Bytes of text of a shard, about.
 SHARD_BYTES = 32 << 20
-CACHE_PIECES = 100_000
+CACHE_PIECES, FIRST_PIECES = 250_000, 50_000
 HOT_SAMPLE, HOT_PIECES = 16, 300_000
 
 
@@ -65,7 +65,7 @@ class Encoder:
         self.begins = np.zeros(size, bool)
         self.begins[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith("\u0120")]] = True
         self.hot = hot or {}
-        self.cache = Pieces()
+        self.cache, self.firsts = Pieces(), {}
         self.cache.update(self.hot)
 
     def whole(self, text: str) -> bytes:
@@ -92,8 +92,34 @@ class Encoder:
         if cache.missed:
             cache.update(self.learn(list(set(cache.missed))))
             cache.missed.clear()
-            found = [list(map(get, ps)) if None in fs else fs for ps, fs in zip(cut, found, strict=True)]
-        return [b"" if not fs else self.whole(text) if b"" in fs else self.whole(ps[0]) + b"".join(fs[1:]) for text, ps, fs in zip(texts, cut, found, strict=True)]
+            for ps, fs in zip(cut, found, strict=True):
+                self.patch(ps, fs)
+        out = []
+        for text, ps, fs in zip(texts, cut, found, strict=True):
+            if not fs:
+                out.append(b"")
+            elif b"" in fs:
+                out.append(self.whole(text))
+            else:
+                fs[0] = self.first(ps[0])
+                out.append(b"".join(fs))
+        return out
+
+    def patch(self, pieces: list[str], found: list) -> None:
+        """Fill in what was not known when the pieces were looked up."""
+        at = -1
+        for _ in range(found.count(None)):
+            at = found.index(None, at + 1)
+            found[at] = self.cache[pieces[at]]
+
+    def first(self, piece: str) -> bytes:
+        """The ids of a text's first piece, which has no space before it."""
+        got = self.firsts.get(piece)
+        if got is None:
+            if len(self.firsts) > FIRST_PIECES:
+                self.firsts.clear()
+            got = self.firsts[piece] = self.whole(piece)
+        return got
 
 
 def hot_pieces(docs: DataFrame, path: str) -> dict[str, bytes]:
