@@ -6,8 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from ..operators import clean, graph, spatial_join
+from ..operators import centrality, clean, graph, hetero, segments, spatial_join
 from ..sources import layers as L
+from ..streaming import windows
 
 QUERIES, ORACLES = {}, {}
 
@@ -368,3 +369,46 @@ def edge_sample(spark, d):
     g = L.pois(spark, d).select("poi_id", L.zone_of().alias("zone_id"))
     k = F.row_number().over(Window.partitionBy("zone_id").orderBy(F.md5(F.concat_ws(":", F.col("poi_id").cast("string"), F.lit("3")).cast("binary")), "poi_id"))
     return g.withColumn("k", k).where("k <= 20").drop("k")
+
+
+SPARSE = LINES + ", sparse AS (SELECT *, vx - ux AS dx, vy - uy AS dy FROM lines WHERE street_id % 29 = 0)"
+
+
+@query("nearest_street_50m", f"WITH {SPARSE}, {BUILDINGS}, f AS (SELECT bid, street_id, x, y, ux, uy, dx, dy, greatest(0, least(1, ((x - ux) * dx + (y - uy) * dy) / (dx * dx + dy * dy))) AS t FROM buildings, sparse), g AS (SELECT bid, street_id, sqrt(pow(x - ux - t * dx, 2) + pow(y - uy - t * dy, 2)) AS distance FROM f) SELECT bid, street_id, round(distance, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY bid ORDER BY round(distance, 9), street_id) AS k FROM g WHERE distance <= 50) WHERE k = 1")
+def nearest_street(spark, d):
+    got = segments.nearest_segment(L.buildings(spark, d).select("bid", "x", "y"), L.located_streets(spark, d, sparse=True), "bid", "street_id", 50.0)
+    return got.select("bid", "street_id", F.round("distance", 6).alias("distance"))
+
+
+@query("street_catchment", f"WITH {SPARSE}, f AS (SELECT n.id, dx * dx + dy * dy AS a, 2 * ((ux - x) * dx + (uy - y) * dy) AS b, (ux - x) * (ux - x) + (uy - y) * (uy - y) - 10000 AS c FROM nodes n, sparse), g AS (SELECT id, CASE WHEN b * b - 4 * a * c > 0 THEN greatest(0, least(1, (-b + sqrt(greatest(0, b * b - 4 * a * c))) / (2 * a)) - greatest(0, (-b - sqrt(greatest(0, b * b - 4 * a * c))) / (2 * a))) * sqrt(a) ELSE 0 END AS l FROM f) SELECT id AS intersection_id, round(sum(l), 3) AS length FROM g GROUP BY 1")
+def street_catchment(spark, d):
+    got = segments.clipped_length(L.intersections(spark, d).select("intersection_id", "x", "y"), L.located_streets(spark, d, sparse=True), "intersection_id", "street_id", 100.0)
+    return got.withColumn("length", F.round("length", 3))
+
+
+@query("centralities")
+def centralities(spark, d):
+    return centrality.centralities(L.streets(spark, d, sparse=True))
+
+
+@query("save_load_roundtrip", f"WITH {STREETS} SELECT 'street_to_intersection' AS relation, street_id AS src, u AS dst FROM streets UNION ALL SELECT 'boundary_to_zone', CAST(0 AS BIGINT), CAST(n_nationkey AS BIGINT) FROM nation")
+def save_load_roundtrip(spark, d):
+    import tempfile
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="streetloom-")
+    path = f"{base}/graph-{windows.uuid.uuid4().hex}"
+    s = L.streets(spark, d)
+    hetero.UrbanGraph({"zone": L.zones(spark, d)}, {"street_to_intersection": s.select(F.col("street_id").alias("src"), F.col("u").alias("dst")), "boundary_to_zone": boundary_relation(spark, d)}).save(path)
+    back = hetero.UrbanGraph.load(spark, path, ["zone"])
+    parts = [e.select(F.lit(r).alias("relation"), "src", "dst") for r, e in sorted(back.edges.items())]
+    return parts[0].union(parts[1])
+
+
+@query("stream_event_windows", ORACLES["event_windows"])
+def stream_event_windows(spark, d):
+    schema = L.table(spark, d, "events").schema
+    e = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    key = F.col("event_id").cast("long")
+    e = e.select(F.col("ts").cast("timestamp").alias("ts"), "value", (key * 7919 % L.WIDE).cast("double").alias("x"), (key * 6007 % L.HIGH).cast("double").alias("y"))
+    out = windows.finished(windows.windowed(e, L.zone_of(), "zone_id", "6 hours"))
+    return out.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "zone_id", "n", F.round("mean", 6).alias("mean"))
