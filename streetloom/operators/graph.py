@@ -79,3 +79,34 @@ def dual(edges: DataFrame, key: str = "street_id") -> DataFrame:
     a = edges.select(F.col(key).alias("a"), F.col("v").alias("at"))
     b = edges.select(F.col(key).alias("b"), F.col("u").alias("at"))
     return a.join(b, "at").where("a <> b").select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct()
+
+
+def eigenvector(nodes: DataFrame, edges: DataFrame, key: str, rounds: int = 5) -> DataFrame:
+    """Power iteration of (I + transposed adjacency), scaled to length 1 each round; parallel edges count."""
+    links = _held(edges.select("u", "v"))
+    now = nodes.select(F.col(key).alias("id"), F.lit(1.0).alias("value"))
+    for k in range(rounds):
+        got = links.join(now, links.u == now.id).groupBy("v").agg(F.sum("value").alias("got"))
+        now = now.join(got, F.col("id") == F.col("v"), "left").select("id", (F.col("value") + F.coalesce("got", F.lit(0.0))).alias("value"))
+        size = now.agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("size"))
+        now = now.crossJoin(F.broadcast(size)).select("id", (F.col("value") / F.col("size")).alias("value"))
+        if k % 3 == 2:
+            now = _held(now)
+    return now.select(F.col("id").alias(key), F.col("value").alias("eigenvector"))
+
+
+def fill_along(values: DataFrame, edges: DataFrame, rounds: int = 64) -> DataFrame:
+    """(id, value): null values become those of the nearest node that has one, by hops in either direction, ties to the least id.
+
+    Every round settles the nodes one hop farther; it ends when no node is reached.
+    """
+    both = _held(edges.select("u", "v").union(edges.select("v", "u")).where("u <> v").distinct())
+    done = _held(values.where("value IS NOT NULL").select("id", "value", F.col("id").alias("from")))
+    front = done
+    for _ in range(rounds):
+        reached = both.join(front, both.u == front.id).groupBy("v").agg(F.min(F.struct("from", "value")).alias("best")).select(F.col("v").alias("id"), "best.value", "best.from")
+        front = _held(reached.join(done, "id", "left_anti"))
+        if front.isEmpty():
+            break
+        done = _held(done.unionByName(front))
+    return values.select("id").join(done.select("id", "value"), "id", "left")

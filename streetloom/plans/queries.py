@@ -412,3 +412,40 @@ def stream_event_windows(spark, d):
     e = e.select(F.col("ts").cast("timestamp").alias("ts"), "value", (key * 7919 % L.WIDE).cast("double").alias("x"), (key * 6007 % L.HIGH).cast("double").alias("y"))
     out = windows.finished(windows.windowed(e, L.zone_of(), "zone_id", "6 hours"))
     return out.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "zone_id", "n", F.round("mean", 6).alias("mean"))
+
+
+@query("eigenvector", f"WITH {NODES}, {STREETS}, r0 AS (SELECT id, CAST(1.0 AS DOUBLE) AS p FROM nodes), " + _rounds(5, "SELECT id, p / sqrt(sum(p * p) OVER ()) AS p FROM (SELECT {p}.id, {p}.p + coalesce(g.s, 0) AS p FROM {p} LEFT JOIN (SELECT v, sum(q.p) AS s FROM streets JOIN {p} q ON q.id = streets.u GROUP BY v) g ON g.v = {p}.id)") + " SELECT id AS intersection_id, round(p, 7) AS eigenvector FROM r5")
+def eigenvector(spark, d):
+    return graph.eigenvector(L.intersections(spark, d), L.streets(spark, d), "intersection_id").withColumn("eigenvector", F.round("eigenvector", 7))
+
+
+FILL = f"WITH RECURSIVE {NODES}, {STREETS}, e AS (SELECT u, v FROM streets WHERE street_id % 29 = 0 UNION SELECT v, u FROM streets WHERE street_id % 29 = 0), seeds AS (SELECT id, value FROM nodes WHERE id % 20 = 0), r(id, source, hops) AS (SELECT id, id, 0 FROM seeds UNION SELECT e.v, r.source, r.hops + 1 FROM r JOIN e ON e.u = r.id WHERE r.hops < 12), best AS (SELECT id, source FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY hops, source) AS k FROM r) WHERE k = 1) SELECT nodes.id, seeds.value FROM nodes LEFT JOIN best ON best.id = nodes.id LEFT JOIN seeds ON seeds.id = best.source"
+
+
+@query("graph_fill", FILL)
+def graph_fill(spark, d):
+    n = L.intersections(spark, d).select(F.col("intersection_id").alias("id"), F.when(F.col("intersection_id") % 20 == 0, F.col("value")).alias("value"))
+    return graph.fill_along(n, L.streets(spark, d, sparse=True), rounds=12)
+
+
+IMAGES = f"WITH {SPARSE}, {POIS}, f AS (SELECT poi_id, street_id, length, x, y, ux, uy, dx, dy, greatest(0, least(1, ((x - ux) * dx + (y - uy) * dy) / (dx * dx + dy * dy))) AS t FROM pois, sparse), g AS (SELECT *, sqrt(pow(x - ux - t * dx, 2) + pow(y - uy - t * dy, 2)) AS distance FROM f), near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY poi_id ORDER BY round(distance, 9), street_id) AS k FROM g WHERE distance <= 10) WHERE k = 1)"
+
+
+def _on_streets(spark, d):
+    p = L.pois(spark, d).select("poi_id", "x", "y")
+    return segments.nearest_segment(p, L.located_streets(spark, d, sparse=True), "poi_id", "street_id", 10.0)
+
+
+@query("bin_thinning", IMAGES + " SELECT poi_id AS image_id, street_id, bin FROM (SELECT *, row_number() OVER (PARTITION BY street_id, bin ORDER BY round(distance, 9), poi_id) AS b FROM (SELECT *, CAST(floor(round(t * length, 6) / 20) AS BIGINT) AS bin FROM near)) WHERE b = 1")
+def bin_thinning(spark, d):
+    length = F.hypot(F.col("vx") - F.col("ux"), F.col("vy") - F.col("uy"))
+    b = _on_streets(spark, d).withColumn("bin", F.floor(F.round(F.col("t") * length, 6) / 20).cast("long"))
+    best = b.groupBy("street_id", "bin").agg(F.min(F.struct(F.round("distance", 9), "poi_id")).alias("m"))
+    return best.select(F.col("m.poi_id").alias("image_id"), "street_id", "bin")
+
+
+@query("align_filter", IMAGES + ", a AS (SELECT poi_id AS image_id, CAST(poi_id * 37 % 360 AS DOUBLE) AS angle, degrees(atan2(dx, dy)) AS t FROM near), b AS (SELECT image_id, angle, round(CASE WHEN t < 0 THEN t + 360 ELSE t END, 1) AS bearing FROM a) SELECT image_id, bearing FROM b WHERE abs(angle - bearing) < 30 OR abs(angle - CASE WHEN bearing >= 180 THEN bearing - 180 ELSE bearing + 180 END) < 30")
+def align_filter(spark, d):
+    a = _on_streets(spark, d).select(F.col("poi_id").alias("image_id"), (F.col("poi_id") * 37 % 360).cast("double").alias("angle"), F.round(F.pmod(F.degrees(F.atan2(F.col("vx") - F.col("ux"), F.col("vy") - F.col("uy"))), F.lit(360.0)), 1).alias("bearing"))
+    back = F.pmod(F.col("bearing") + 180, F.lit(360.0))
+    return a.where((F.abs(F.col("angle") - F.col("bearing")) < 30) | (F.abs(F.col("angle") - back) < 30)).select("image_id", "bearing")
