@@ -54,13 +54,27 @@ def one_hot(df: DataFrame, column: str, values: list[str]) -> DataFrame:
     return df.withColumns({f"{column}_{v}": (F.col(column) == v).cast("long") for v in values}).drop(column)
 
 
+def numbered(df: DataFrame, key: str, name: str, bucket: Column | None = None, order: Column | None = None) -> DataFrame:
+    """df with `name`: 0, 1, ... in the order given (the integer key's by default), without one task for all rows.
+
+    Rows are counted by a bucket that grows with the order; the few buckets' offsets are summed and joined back.
+    """
+    bucket = F.shiftright(F.col(key).cast("long"), 16) if bucket is None else bucket
+    order = F.col(key) if order is None else order
+    held = df.withColumn("_b", bucket)
+    sums = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    before = held.groupBy("_b").agg(F.count(F.lit(1)).alias("_n")).select("_b", F.coalesce(F.sum("_n").over(sums), F.lit(0)).alias("_o"))
+    rank = F.row_number().over(Window.partitionBy("_b").orderBy(order, key))
+    return held.join(before, held["_b"].eqNullSafe(before["_b"])).drop(before["_b"]).withColumn(name, (F.col("_o") + rank - 1).cast("long")).drop("_b", "_o")
+
+
 def split_masks(df: DataFrame, key: str, train: float, val: float, seed: int) -> DataFrame:
     """train, val and test masks by the order of a digest of id and seed; the cut points are those of the shares."""
     n = df.count()
-    order = Window.orderBy(F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))).cast("binary")), key)
-    ranked = df.withColumn("_r", F.row_number().over(order))
+    digest = F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))).cast("binary"))
+    ranked = numbered(df, key, "_r", F.substring(digest, 1, 3), digest)
     a, b = int(n * train), int(n * train) + int(n * val)
-    return ranked.withColumns({"train": F.col("_r") <= a, "val": (F.col("_r") > a) & (F.col("_r") <= b), "test": F.col("_r") > b}).drop("_r")
+    return ranked.withColumns({"train": F.col("_r") < a, "val": (F.col("_r") >= a) & (F.col("_r") < b), "test": F.col("_r") >= b}).drop("_r")
 
 
 def ranked_mode(df: DataFrame, group: list[str], column: str) -> DataFrame:
@@ -72,3 +86,21 @@ def ranked_mode(df: DataFrame, group: list[str], column: str) -> DataFrame:
 def class_counts(df: DataFrame, group: str, column: str, values: list[str]) -> DataFrame:
     """A count for each class of a fixed list, 0 where there is none."""
     return df.groupBy(group).pivot(column, list(values)).count().na.fill(0)
+
+
+def top_classes(df: DataFrame, group: str, column: str, k: int, least: float) -> DataFrame:
+    """(group, class, percent) of each group's k most frequent classes of at least `least` percent, ties to the least class."""
+    counts = df.groupBy(group, column).agg(F.count(F.lit(1)).alias("_n"))
+    share = counts.withColumn("percent", 100.0 * F.col("_n") / F.sum("_n").over(Window.partitionBy(group)))
+    rank = F.row_number().over(Window.partitionBy(group).orderBy(F.desc("_n"), column))
+    return share.withColumn("_k", rank).where((F.col("_k") <= k) & (F.col("percent") >= least)).drop("_k", "_n")
+
+
+def poi_class(food: set[str]) -> Column:
+    """A point's class from its tags: amenity as it is, then tourism, leisure, shops that sell food, and commercial for the rest."""
+    return F.when(F.col("amenity").isNotNull(), F.col("amenity")).when(F.col("tourism").isNotNull(), "entertainment").when(F.col("leisure").isNotNull(), "recreational").when(F.col("shop").isin(sorted(food)), "shop").otherwise("commercial")
+
+
+def has_word(column: Column, word: str) -> Column:
+    """1 where the text has the word, whatever its case, else 0; null counts as without."""
+    return F.coalesce(column.rlike(rf"(?i)\b{word}\b"), F.lit(False)).cast("int")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import _held
+
 
 def _cells(df: DataFrame, x: str, y: str, size: float, reach: int) -> DataFrame:
     steps = F.sequence(F.lit(-reach), F.lit(reach))
@@ -43,7 +45,7 @@ def knn(points: DataFrame, key: str, k: int, start: float) -> DataFrame:
         ranked = pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(key, "neighbour", "distance", "rank")
         full = ranked.where(F.col("rank") == k).select(key)
         parts.append(ranked.join(full, key, "left_semi"))
-        left = left.join(full, key, "left_anti")
+        left = _held(left.join(full, key, "left_anti"))
         radius *= 2
         if left.isEmpty():
             break
@@ -51,3 +53,23 @@ def knn(points: DataFrame, key: str, k: int, start: float) -> DataFrame:
     for p in parts[1:]:
         out = out.unionByName(p)
     return out if parts else spark.createDataFrame([], "key long, neighbour long, distance double, rank int")
+
+
+def nearest_any(left: DataFrame, right: DataFrame, key: str, right_key: str, start: float, x: str = "rx", y: str = "ry") -> DataFrame:
+    """(key, right_key, distance) of each left row's nearest right row however far, ties to the least id.
+
+    The radius doubles for rows without a hit; an empty right side gives no rows.
+    """
+    out = None
+    open_, radius = left.select(key, "x", "y"), start
+    if right.isEmpty():
+        return within_distance(open_, right.select(right_key, x, y), radius, rx=x, ry=y).select(key, right_key, "distance")
+    while True:
+        pairs = within_distance(open_, right.select(right_key, x, y), radius, rx=x, ry=y)
+        best = pairs.groupBy(key).agg(F.min(F.struct("distance", right_key)).alias("b")).select(key, f"b.{right_key}", "b.distance")
+        best = _held(best)
+        out = best if out is None else out.unionByName(best)
+        open_ = _held(open_.join(best, key, "left_anti"))
+        if open_.where("x IS NOT NULL AND y IS NOT NULL").isEmpty():
+            return out
+        radius *= 2

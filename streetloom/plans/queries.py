@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..operators import centrality, clean, graph, hetero, segments, spatial_join
 from ..sources import layers as L
+from ..storage import shared_path
 from ..streaming import windows
 
 QUERIES, ORACLES = {}, {}
@@ -337,7 +338,7 @@ def modal_class(spark, d):
 @query("bbox_timeseries", f"WITH {POIS} SELECT poi_id, row_number() OVER (ORDER BY poi_id) - 1 AS oid FROM pois WHERE x > 1000 AND x < 3000 AND y > 500 AND y < 2500")
 def bbox_timeseries(spark, d):
     p = L.pois(spark, d).where("x > 1000 AND x < 3000 AND y > 500 AND y < 2500")
-    return p.select("poi_id", (F.row_number().over(Window.orderBy("poi_id")) - 1).cast("long").alias("oid"))
+    return clean.numbered(p.select("poi_id"), "poi_id", "oid")
 
 
 @query("incidence_relation", f"WITH {STREETS} SELECT u AS src, street_id AS dst FROM streets UNION ALL SELECT v, street_id FROM streets")
@@ -393,10 +394,7 @@ def centralities(spark, d):
 
 @query("save_load_roundtrip", f"WITH {STREETS} SELECT 'street_to_intersection' AS relation, street_id AS src, u AS dst FROM streets UNION ALL SELECT 'boundary_to_zone', CAST(0 AS BIGINT), CAST(n_nationkey AS BIGINT) FROM nation")
 def save_load_roundtrip(spark, d):
-    import tempfile
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="streetloom-")
-    path = f"{base}/graph-{windows.uuid.uuid4().hex}"
+    path = shared_path(spark, "graph")
     s = L.streets(spark, d)
     hetero.UrbanGraph({"zone": L.zones(spark, d)}, {"street_to_intersection": s.select(F.col("street_id").alias("src"), F.col("u").alias("dst")), "boundary_to_zone": boundary_relation(spark, d)}).save(path)
     back = hetero.UrbanGraph.load(spark, path, ["zone"])
@@ -410,7 +408,7 @@ def stream_event_windows(spark, d):
     e = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
     key = F.col("event_id").cast("long")
     e = e.select(F.col("ts").cast("timestamp").alias("ts"), "value", (key * 7919 % L.WIDE).cast("double").alias("x"), (key * 6007 % L.HIGH).cast("double").alias("y"))
-    out = windows.finished(windows.windowed(e, L.zone_of(), "zone_id", "6 hours"))
+    out = windows.finished(windows.windowed(e, L.zone_of(), "zone_id", "6 hours"), shared_path(spark, "windows"))
     return out.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "zone_id", "n", F.round("mean", 6).alias("mean"))
 
 
@@ -449,3 +447,6 @@ def align_filter(spark, d):
     a = _on_streets(spark, d).select(F.col("poi_id").alias("image_id"), (F.col("poi_id") * 37 % 360).cast("double").alias("angle"), F.round(F.pmod(F.degrees(F.atan2(F.col("vx") - F.col("ux"), F.col("vy") - F.col("uy"))), F.lit(360.0)), 1).alias("bearing"))
     back = F.pmod(F.col("bearing") + 180, F.lit(360.0))
     return a.where((F.abs(F.col("angle") - F.col("bearing")) < 30) | (F.abs(F.col("angle") - back) < 30)).select("image_id", "bearing")
+
+
+from . import more  # noqa: E402,F401  registers the rest

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,8 +15,20 @@ def distinct_events(stream: DataFrame, key: str, late: str = "1 day") -> DataFra
     return stream.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
 
 
-def finished(df: DataFrame, mode: str = "complete") -> DataFrame:
-    """Run a stream over all that is there now and return its result as a table."""
-    name = f"result_{uuid.uuid4().hex}"
-    df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
-    return df.sparkSession.table(name)
+def finished(df: DataFrame, path: str, mode: str = "complete") -> DataFrame:
+    """Run a stream over all that is there now and return its result, written as Parquet below path.
+
+    Each batch has its own folder, overwritten if the batch is run again. With mode `complete` the last one is the result,
+    otherwise all of them together.
+    """
+    schema, last = df.schema, []
+
+    def write(batch, number):
+        batch.write.mode("overwrite").parquet(f"{path}/result/batch={number}")
+        last.append(number)
+
+    df.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").foreachBatch(write).trigger(availableNow=True).start().awaitTermination()
+    spark = df.sparkSession
+    if not last:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{path}/result/batch={max(last)}" if mode == "complete" else f"{path}/result")
