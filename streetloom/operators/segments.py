@@ -42,3 +42,22 @@ def clipped_length(points: DataFrame, segments: DataFrame, key: str, segment_key
     inside = F.when(a > 0, F.greatest(F.lit(0.0), high - low) * F.sqrt(a)).otherwise(0.0)
     got = pairs.groupBy(key).agg(F.sum(inside).alias("length"))
     return points.select(key).join(got, key, "left").na.fill(0.0, ["length"])
+
+
+def by_square(segments: DataFrame, key: str, size: float) -> DataFrame:
+    """(key, _cx, _cy, length): length of each segment inside each grid square that it passes, where above 0.
+
+    A segment on the border of two squares counts in both.
+    """
+    span = lambda a, b: F.explode(F.sequence(F.floor(F.least(a, b) / size), F.floor(F.greatest(a, b) / size)))
+    cells = segments.select(key, "ux", "uy", "vx", "vy").withColumn("_cx", span("ux", "vx")).withColumn("_cy", span("uy", "vy"))
+
+    def within(u: str, v: str, cell: str):
+        """Share of the way at which the segment enters and leaves the strip of the cell."""
+        d, low = F.col(v) - F.col(u), F.col(cell) * size
+        a, b = F.try_divide(low - F.col(u), d), F.try_divide(low + size - F.col(u), d)
+        return F.when(d == 0, F.lit(0.0)).otherwise(F.least(a, b)), F.when(d == 0, F.lit(1.0)).otherwise(F.greatest(a, b))
+
+    (x0, x1), (y0, y1) = within("ux", "vx", "_cx"), within("uy", "vy", "_cy")
+    share = F.least(F.lit(1.0), x1, y1) - F.greatest(F.lit(0.0), x0, y0)
+    return cells.withColumn("length", share * F.hypot(F.col("vx") - F.col("ux"), F.col("vy") - F.col("uy"))).where("length > 1e-9").select(key, "_cx", "_cy", "length")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import grids, sql
-from ..operators import clean, export, hetero, overlay, paths, plots, spatial_join
+from ..operators import clean, export, hetero, overlay, paths, plots, segments, spatial_join
 from ..sources import files
 from ..sources import layers as L
 from ..storage import shared_path
@@ -203,3 +203,12 @@ def node_neighbours(spark, d):
 def largest_overlap(spark, d):
     b = L.buildings(spark, d).select((F.col("bid") % 100).alias("bid"), "area")
     return overlay.drop_overlapped(b, "bid", "area")
+
+
+@query("street_length_by_zone", f"""WITH {LINES}, c AS (SELECT *, unnest(generate_series(CAST(floor(least(ux, vx) / 1000) AS BIGINT), CAST(floor(greatest(ux, vx) / 1000) AS BIGINT))) AS col FROM lines WHERE street_id % 29 = 0),
+ k AS (SELECT *, unnest(generate_series(CAST(floor(least(uy, vy) / 1000) AS BIGINT), CAST(floor(greatest(uy, vy) / 1000) AS BIGINT))) AS row FROM c),
+ t AS (SELECT *, CASE WHEN vx = ux THEN 0 ELSE least((col * 1000 - ux) / (vx - ux), (col * 1000 + 1000 - ux) / (vx - ux)) END AS x0, CASE WHEN vx = ux THEN 1 ELSE greatest((col * 1000 - ux) / (vx - ux), (col * 1000 + 1000 - ux) / (vx - ux)) END AS x1, CASE WHEN vy = uy THEN 0 ELSE least((row * 1000 - uy) / (vy - uy), (row * 1000 + 1000 - uy) / (vy - uy)) END AS y0, CASE WHEN vy = uy THEN 1 ELSE greatest((row * 1000 - uy) / (vy - uy), (row * 1000 + 1000 - uy) / (vy - uy)) END AS y1 FROM k),
+ s AS (SELECT row * 5 + col AS zone_id, (least(1, x1, y1) - greatest(0, x0, y0)) * length AS part FROM t) SELECT zone_id, count(*) AS streets, round(sum(part), 3) AS length FROM s WHERE part > 1e-9 GROUP BY 1""")
+def street_length_by_zone(spark, d):
+    parts = segments.by_square(L.located_streets(spark, d, sparse=True), "street_id", 1000.0)
+    return parts.groupBy((F.col("_cy") * 5 + F.col("_cx")).cast("long").alias("zone_id")).agg(F.count(F.lit(1)).alias("streets"), F.round(F.sum("length"), 3).alias("length"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from streetloom.functions import geometry as G
 from streetloom.functions import grids, sql
-from streetloom.operators import clean, export, hetero, overlay, paths, plots, spatial_join
+from streetloom.operators import clean, export, hetero, overlay, paths, plots, segments, spatial_join
 from streetloom.sources import files
 
 RING = "ring array<struct<x: double, y: double>>"
@@ -150,3 +150,10 @@ def test_export(spark, tmp_path):
     got = {r.id: (r.ix, [round(v, 4) for v in r.features]) for r in spark.read.parquet(str(tmp_path / "out/features/n")).collect()}
     assert got == {5: (0, [0.0, 0.0]), 7: (1, [1.2247, 1.0]), 10: (2, [-1.2247, 1.0])}
     assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "out/edges")).select("src", "dst").collect()] == [(0, 2)]
+
+
+def test_segments_by_square_keep_their_length(spark):
+    rows = [(1, 5.0, 5.0, 35.0, 5.0), (2, 0.0, 0.0, 30.0, 40.0), (3, 5.0, 5.0, 5.0, 5.0), (4, -7.0, 3.0, 12.0, -8.0)]
+    got = segments.by_square(spark.createDataFrame(rows, "id long, ux double, uy double, vx double, vy double"), "id", 10.0).groupBy("id").agg(F.sum("length").alias("l"), F.count("length").alias("n")).collect()
+    assert {r.id: round(r.l, 6) for r in got} == {1: 30.0, 2: 50.0, 4: round(math.hypot(19, 11), 6)}
+    assert {r.id: r.n for r in got}[1] == 4
