@@ -10,12 +10,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import geometry as G
+
+#: Sides of the polygon that stands for a disc.
+SIDES = 64
+
 
 def clip_convex(ring: np.ndarray, window: np.ndarray) -> np.ndarray:
     """The part of a polygon inside a convex counter-clockwise window; rings are open. A concave polygon may come back
     with parts joined along the window's border, which leaves its area right."""
     out = ring
-    for a, b in zip(window, np.roll(window, -1, axis=0), strict=True):
+    ends = np.roll(window, -1, axis=0)
+    d = ends - window
+    far = d[:, :1] * (ring[None, :, 1] - window[:, 1:]) - d[:, 1:] * (ring[None, :, 0] - window[:, :1])
+    # Sides that have the whole polygon on their inner hand cut nothing.
+    for k in np.flatnonzero((far < 0).any(axis=1)):
+        a, b = window[k], ends[k]
         if len(out) == 0:
             break
         side = (b[0] - a[0]) * (out[:, 1] - a[1]) - (b[1] - a[1]) * (out[:, 0] - a[0])
@@ -30,7 +40,7 @@ def clip_convex(ring: np.ndarray, window: np.ndarray) -> np.ndarray:
     return out
 
 
-def disc(x: float, y: float, radius: float, sides: int = 64) -> np.ndarray:
+def disc(x: float, y: float, radius: float, sides: int = SIDES) -> np.ndarray:
     t = np.arange(sides) * (2 * math.pi / sides)
     return np.column_stack([x + radius * np.cos(t), y + radius * np.sin(t)])
 
@@ -88,7 +98,16 @@ def with_discs(points: DataFrame, polygons: DataFrame, radius: float, ring: str
     size = 2.0 * radius
     at = points.withColumns({"_cx": F.floor(F.col("x") / size), "_cy": F.floor(F.col("y") / size)})
     pairs = at.join(_spread(polygons, ring, size, radius), ["_cx", "_cy"]).drop("_cx", "_cy")
-    return _clipped(pairs, ring, lambda row: disc(row["x"], row["y"], radius)).where("clipped_area > 1e-9")
+    # Farthest vertex from the centre: within the circle inside all sides, the polygon is whole. Nearest point of the
+    # bounds: beyond the radius, it is out. Only the others are clipped.
+    away = F.array_max(F.transform(ring, lambda p: F.hypot(p["x"] - F.col("x"), p["y"] - F.col("y"))))
+    box = bounds(ring)
+    gap = lambda c, low, high: F.greatest(F.lit(0.0), low - F.col(c), F.col(c) - high)
+    near = F.hypot(gap("x", box["_x0"], box["_x1"]), gap("y", box["_y0"], box["_y1"]))
+    pairs = pairs.where(near <= radius).withColumn("_whole", away <= radius * math.cos(math.pi / SIDES))
+    inside = pairs.where("_whole").drop("_whole").withColumn("clipped_area", G.area(F.col(ring)))
+    cut = _clipped(pairs.where("NOT _whole").drop("_whole"), ring, lambda row: disc(row["x"], row["y"], radius))
+    return inside.unionByName(cut).where("clipped_area > 1e-9")
 
 
 def drop_overlapped(polygons: DataFrame, key: str, area: str) -> DataFrame:
