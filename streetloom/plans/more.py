@@ -24,8 +24,8 @@ CHAIN = LINES + """, e AS (SELECT street_id, u, v, length FROM lines WHERE stree
 
 
 @query("simplify_streets", "WITH RECURSIVE " + CHAIN + " SELECT street_id, u, here AS v, round(length, 3) AS length, CAST(n AS BIGINT) AS n_parts FROM walk WHERE done UNION ALL SELECT street_id, u, v, round(length, 3), 1 FROM m WHERE fe AND te")
-def simplify_streets(spark, d):
-    out = paths.simplify(L.located_streets(spark, d, sparse=True).select("street_id", "u", "v", "length"))
+def simplify_streets(spark, d, sparse=True):
+    out = paths.simplify(L.located_streets(spark, d, sparse).select("street_id", "u", "v", "length"))
     return out.select("street_id", "u", "v", F.round("length", 3).alias("length"), "n_parts")
 
 
@@ -35,9 +35,9 @@ def weighted_clustering(spark, d):
 
 
 @query("truncate_by_edge", f"WITH {NODES}, {STREETS}, i AS (SELECT id FROM nodes WHERE x < 1500 AND y < 1500), b AS (SELECT u, v FROM streets WHERE street_id % 29 = 0 UNION SELECT v, u FROM streets WHERE street_id % 29 = 0) SELECT id AS intersection_id FROM i UNION SELECT u FROM b JOIN i ON i.id = b.v")
-def truncate_by_edge(spark, d):
+def truncate_by_edge(spark, d, sparse=True):
     nodes = L.intersections(spark, d)
-    return paths.truncate(nodes, L.streets(spark, d, sparse=True), "intersection_id", (F.col("x") < 1500) & (F.col("y") < 1500)).select("intersection_id")
+    return paths.truncate(nodes, L.streets(spark, d, sparse), "intersection_id", (F.col("x") < 1500) & (F.col("y") < 1500)).select("intersection_id")
 
 
 def _street_lines(spark, d):
@@ -209,6 +209,6 @@ def largest_overlap(spark, d):
  k AS (SELECT *, unnest(generate_series(CAST(floor(least(uy, vy) / 1000) AS BIGINT), CAST(floor(greatest(uy, vy) / 1000) AS BIGINT))) AS row FROM c),
  t AS (SELECT *, CASE WHEN vx = ux THEN 0 ELSE least((col * 1000 - ux) / (vx - ux), (col * 1000 + 1000 - ux) / (vx - ux)) END AS x0, CASE WHEN vx = ux THEN 1 ELSE greatest((col * 1000 - ux) / (vx - ux), (col * 1000 + 1000 - ux) / (vx - ux)) END AS x1, CASE WHEN vy = uy THEN 0 ELSE least((row * 1000 - uy) / (vy - uy), (row * 1000 + 1000 - uy) / (vy - uy)) END AS y0, CASE WHEN vy = uy THEN 1 ELSE greatest((row * 1000 - uy) / (vy - uy), (row * 1000 + 1000 - uy) / (vy - uy)) END AS y1 FROM k),
  s AS (SELECT row * 5 + col AS zone_id, (least(1, x1, y1) - greatest(0, x0, y0)) * length AS part FROM t) SELECT zone_id, count(*) AS streets, round(sum(part), 3) AS length FROM s WHERE part > 1e-9 GROUP BY 1""")
-def street_length_by_zone(spark, d):
-    parts = segments.by_square(L.located_streets(spark, d, sparse=True), "street_id", 1000.0)
+def street_length_by_zone(spark, d, sparse=True):
+    parts = segments.by_square(L.located_streets(spark, d, sparse), "street_id", 1000.0)
     return parts.groupBy((F.col("_cy") * 5 + F.col("_cx")).cast("long").alias("zone_id")).agg(F.count(F.lit(1)).alias("streets"), F.round(F.sum("length"), 3).alias("length"))

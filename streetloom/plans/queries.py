@@ -210,20 +210,20 @@ def clustering(spark, d):
 
 
 @query("wcc", f"WITH RECURSIVE {STREETS}, e AS (SELECT u AS a, v AS b FROM streets WHERE street_id % 29 = 0 UNION SELECT v, u FROM streets WHERE street_id % 29 = 0), r(n, m) AS (SELECT a, a FROM e UNION SELECT e.b, r.m FROM r JOIN e ON e.a = r.n WHERE r.m < e.b) SELECT n AS node, min(m) AS component FROM r GROUP BY 1")
-def wcc(spark, d):
-    return graph.components(L.streets(spark, d, sparse=True))
+def wcc(spark, d, sparse=True):
+    return graph.components(L.streets(spark, d, sparse))
 
 
 @query("wcc_largest", None)
 def wcc_largest(spark, d):
-    c = graph.components(L.streets(spark, d, sparse=True))
+    c = graph.components(L.streets(spark, d))
     best = c.groupBy("component").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "component").limit(1).select("component")
     return c.join(F.broadcast(best), "component", "left_semi")
 
 
 @query("dual_graph", f"WITH {STREETS}, s AS (SELECT * FROM streets WHERE street_id % 29 = 0) SELECT DISTINCT least(a.street_id, b.street_id) AS src, greatest(a.street_id, b.street_id) AS dst FROM s a JOIN s b ON a.v = b.u AND a.street_id <> b.street_id")
-def dual_graph(spark, d):
-    return graph.dual(L.streets(spark, d, sparse=True))
+def dual_graph(spark, d, sparse=True):
+    return graph.dual(L.streets(spark, d, sparse))
 
 
 def _rounds(n: int, step: str) -> str:
@@ -376,20 +376,20 @@ SPARSE = LINES + ", sparse AS (SELECT *, vx - ux AS dx, vy - uy AS dy FROM lines
 
 
 @query("nearest_street_50m", f"WITH {SPARSE}, {BUILDINGS}, f AS (SELECT bid, street_id, x, y, ux, uy, dx, dy, greatest(0, least(1, ((x - ux) * dx + (y - uy) * dy) / (dx * dx + dy * dy))) AS t FROM buildings, sparse), g AS (SELECT bid, street_id, sqrt(pow(x - ux - t * dx, 2) + pow(y - uy - t * dy, 2)) AS distance FROM f) SELECT bid, street_id, round(distance, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY bid ORDER BY round(distance, 9), street_id) AS k FROM g WHERE distance <= 50) WHERE k = 1")
-def nearest_street(spark, d):
-    got = segments.nearest_segment(L.buildings(spark, d).select("bid", "x", "y"), L.located_streets(spark, d, sparse=True), "bid", "street_id", 50.0)
+def nearest_street(spark, d, sparse=True):
+    got = segments.nearest_segment(L.buildings(spark, d).select("bid", "x", "y"), L.located_streets(spark, d, sparse), "bid", "street_id", 50.0)
     return got.select("bid", "street_id", F.round("distance", 6).alias("distance"))
 
 
 @query("street_catchment", f"WITH {SPARSE}, f AS (SELECT n.id, dx * dx + dy * dy AS a, 2 * ((ux - x) * dx + (uy - y) * dy) AS b, (ux - x) * (ux - x) + (uy - y) * (uy - y) - 10000 AS c FROM nodes n, sparse), g AS (SELECT id, CASE WHEN b * b - 4 * a * c > 0 THEN greatest(0, least(1, (-b + sqrt(greatest(0, b * b - 4 * a * c))) / (2 * a)) - greatest(0, (-b - sqrt(greatest(0, b * b - 4 * a * c))) / (2 * a))) * sqrt(a) ELSE 0 END AS l FROM f) SELECT id AS intersection_id, round(sum(l), 3) AS length FROM g GROUP BY 1")
-def street_catchment(spark, d):
-    got = segments.clipped_length(L.intersections(spark, d).select("intersection_id", "x", "y"), L.located_streets(spark, d, sparse=True), "intersection_id", "street_id", 100.0)
+def street_catchment(spark, d, sparse=True):
+    got = segments.clipped_length(L.intersections(spark, d).select("intersection_id", "x", "y"), L.located_streets(spark, d, sparse), "intersection_id", "street_id", 100.0)
     return got.withColumn("length", F.round("length", 3))
 
 
 @query("centralities")
 def centralities(spark, d):
-    return centrality.centralities(L.streets(spark, d, sparse=True))
+    return centrality.centralities(L.streets(spark, d))
 
 
 @query("save_load_roundtrip", f"WITH {STREETS} SELECT 'street_to_intersection' AS relation, street_id AS src, u AS dst FROM streets UNION ALL SELECT 'boundary_to_zone', CAST(0 AS BIGINT), CAST(n_nationkey AS BIGINT) FROM nation")
@@ -421,32 +421,32 @@ FILL = f"WITH RECURSIVE {NODES}, {STREETS}, e AS (SELECT u, v FROM streets WHERE
 
 
 @query("graph_fill", FILL)
-def graph_fill(spark, d):
+def graph_fill(spark, d, sparse=True):
     n = L.intersections(spark, d).select(F.col("intersection_id").alias("id"), F.when(F.col("intersection_id") % 20 == 0, F.col("value")).alias("value"))
-    return graph.fill_along(n, L.streets(spark, d, sparse=True), rounds=12)
+    return graph.fill_along(n, L.streets(spark, d, sparse), rounds=12)
 
 
 IMAGES = f"WITH {SPARSE}, {POIS}, f AS (SELECT poi_id, street_id, length, x, y, ux, uy, dx, dy, greatest(0, least(1, ((x - ux) * dx + (y - uy) * dy) / (dx * dx + dy * dy))) AS t FROM pois, sparse), g AS (SELECT *, sqrt(pow(x - ux - t * dx, 2) + pow(y - uy - t * dy, 2)) AS distance FROM f), near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY poi_id ORDER BY round(distance, 9), street_id) AS k FROM g WHERE distance <= 10) WHERE k = 1)"
 
 
-def _on_streets(spark, d):
+def _on_streets(spark, d, sparse=True):
     p = L.pois(spark, d).select("poi_id", "x", "y")
-    return segments.nearest_segment(p, L.located_streets(spark, d, sparse=True), "poi_id", "street_id", 10.0)
+    return segments.nearest_segment(p, L.located_streets(spark, d, sparse), "poi_id", "street_id", 10.0)
 
 
 @query("bin_thinning", IMAGES + " SELECT poi_id AS image_id, street_id, bin FROM (SELECT *, row_number() OVER (PARTITION BY street_id, bin ORDER BY round(distance, 9), poi_id) AS b FROM (SELECT *, CAST(floor(round(t * length, 6) / 20) AS BIGINT) AS bin FROM near)) WHERE b = 1")
-def bin_thinning(spark, d):
+def bin_thinning(spark, d, sparse=True):
     length = F.hypot(F.col("vx") - F.col("ux"), F.col("vy") - F.col("uy"))
-    b = _on_streets(spark, d).withColumn("bin", F.floor(F.round(F.col("t") * length, 6) / 20).cast("long"))
+    b = _on_streets(spark, d, sparse).withColumn("bin", F.floor(F.round(F.col("t") * length, 6) / 20).cast("long"))
     best = b.groupBy("street_id", "bin").agg(F.min(F.struct(F.round("distance", 9), "poi_id")).alias("m"))
     return best.select(F.col("m.poi_id").alias("image_id"), "street_id", "bin")
 
 
 @query("align_filter", IMAGES + ", a AS (SELECT poi_id AS image_id, CAST(poi_id * 37 % 360 AS DOUBLE) AS angle, degrees(atan2(dx, dy)) AS t FROM near), b AS (SELECT image_id, angle, round(CASE WHEN t < 0 THEN t + 360 ELSE t END, 1) AS bearing FROM a) SELECT image_id, bearing FROM b WHERE abs(angle - bearing) < 30 OR abs(angle - CASE WHEN bearing >= 180 THEN bearing - 180 ELSE bearing + 180 END) < 30")
-def align_filter(spark, d):
-    a = _on_streets(spark, d).select(F.col("poi_id").alias("image_id"), (F.col("poi_id") * 37 % 360).cast("double").alias("angle"), F.round(F.pmod(F.degrees(F.atan2(F.col("vx") - F.col("ux"), F.col("vy") - F.col("uy"))), F.lit(360.0)), 1).alias("bearing"))
+def align_filter(spark, d, sparse=True):
+    a = _on_streets(spark, d, sparse).select(F.col("poi_id").alias("image_id"), (F.col("poi_id") * 37 % 360).cast("double").alias("angle"), F.round(F.pmod(F.degrees(F.atan2(F.col("vx") - F.col("ux"), F.col("vy") - F.col("uy"))), F.lit(360.0)), 1).alias("bearing"))
     back = F.pmod(F.col("bearing") + 180, F.lit(360.0))
     return a.where((F.abs(F.col("angle") - F.col("bearing")) < 30) | (F.abs(F.col("angle") - back) < 30)).select("image_id", "bearing")
 
 
-from . import more  # noqa: E402,F401  registers the rest
+from . import more, whole  # noqa: E402,F401  register the rest

@@ -1,0 +1,26 @@
+"""Queries `<name>_all`: those over sparse streets, over every street; their SQL is the sparse one without its filter."""
+
+from __future__ import annotations
+
+from functools import partial
+
+from . import more, queries
+from .queries import ORACLES, QUERIES
+
+SPARSE_ONLY = " WHERE street_id % 29 = 0"
+MADE = {
+    "wcc": queries.wcc,
+    "dual_graph": queries.dual_graph,
+    "nearest_street_50m": queries.nearest_street,
+    "street_catchment": queries.street_catchment,
+    "graph_fill": queries.graph_fill,
+    "bin_thinning": queries.bin_thinning,
+    "align_filter": queries.align_filter,
+    "simplify_streets": more.simplify_streets,
+    "truncate_by_edge": more.truncate_by_edge,
+    "street_length_by_zone": more.street_length_by_zone,
+}
+
+for _name, _make in MADE.items():
+    QUERIES[f"{_name}_all"] = partial(_make, sparse=False)
+    ORACLES[f"{_name}_all"] = ORACLES[_name].replace(SPARSE_ONLY, "")
