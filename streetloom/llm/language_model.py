@@ -10,8 +10,10 @@ Scoring packs whole documents into lanes that step together; the state of a lane
 its document ends, and set back where the next one begins. Frequent words' counts travel with the model (a bounded
 table); rare words are joined with the full count table, and their logarithms summed by document.
 
-Weights are fitted on a sample of training documents (hash of the id; about SAMPLE_BYTES of text); every count, and so
-every class's mass and every word's share in it, is that of the whole corpus.
+Weights start from a sample of training documents (hash of the id; about SAMPLE_BYTES of text). From there every
+partition passes once over all its training documents, long ones in windows with carried state, and the weights become
+the partitions' mean by tokens. Every count, and so every class's mass and every word's share in it, is that of the
+whole corpus.
 
 Defined results: null and empty texts are one end token. Null ids count as the empty text for the held-out rule.
 Repeated rows get equal results. Without training documents the base and the model see every word as unseen.
@@ -38,6 +40,8 @@ ENDINGS = 512
 SAMPLE_BYTES, SAMPLE_LONGEST = 3 << 20, 1 << 15
 LANES, WINDOW = 128, 64
 TRAIN_LANES, TRAIN_WINDOW, EPOCHS, RATE = 32, 20, 2, 0.006
+#: The pass over all documents: lanes, least tokens of an update, rate; numbers of a row of weights on their way.
+PASS_LANES, PASS_TOKENS, PASS_RATE, PIECE = 128, 2048, 0.003, 1024
 #: Distinct words counted before they are sent on.
 FLUSH = 150_000
 END = b"\n"
@@ -300,6 +304,72 @@ def train(texts: list[bytes], v: Vocabulary, *, epochs: int = EPOCHS, rate: floa
     return net
 
 
+def pass_over(net: Network, outs: list[np.ndarray], intos: list[np.ndarray], rate: float) -> int:
+    """One pass of updates over all symbols of the documents; how many they are."""
+    lanes = list(streams(outs, intos, packed(outs, PASS_LANES))) if outs else []
+    sizes = np.array([len(x[0]) for x in lanes], np.int64)
+    state = np.zeros((len(lanes), HIDDEN), np.float32)
+    held, n = None, 0
+    for at in range(0, int(sizes.max(initial=0)), TRAIN_WINDOW):
+        live = int((sizes > at).sum())
+        steps = min(TRAIN_WINDOW, int(sizes[0]) - at)
+        target, feed, fresh, mask = (np.zeros((live, steps), t) for t in (np.int64, np.int64, bool, bool))
+        for k in range(live):
+            part = slice(at, min(at + steps, sizes[k]))
+            for table, x in zip((target, feed, fresh), lanes[k], strict=False):
+                table[k, : part.stop - at] = x[part]
+            mask[k, : part.stop - at] = True
+        grads, state, _ = net.train_window(feed.T, target.T, fresh.T, mask.T, state[:live])
+        held = grads if held is None else {k: g + grads[k] for k, g in held.items()}
+        n += int(mask.sum())
+        if n >= PASS_TOKENS:
+            net.update(held, n, rate)
+            held, n = None, 0
+    if n:
+        net.update(held, n, rate * n / PASS_TOKENS)
+    return int(sizes.sum())
+
+
+def taught(docs: DataFrame, start, text_col: str = "text") -> dict | None:
+    """Weights after a pass over all docs from those of start, a broadcast (vocabulary, network): each partition's, averaged by tokens."""
+    bound_batches(docs.sparkSession)
+    fields, names = "piece int, tokens long, part binary", ["piece", "tokens", "part"]
+
+    def send(pieces, tokens, parts):
+        return pa.RecordBatch.from_arrays([pa.array(pieces, pa.int32()), pa.array(tokens, pa.int64()), pa.array(parts, pa.binary())], names=names)
+
+    def run(batches):
+        v, first = start.value
+        net, codes, tokens = Network(v), Codes(v), 0
+        net.p = {k: w.copy() for k, w in first.p.items()}
+        for batch in batches:
+            codes.bound()
+            found = [codes.of(words_of(t)) for t in utf8(batch, text_col)]
+            tokens += pass_over(net, [v.taught[c] for c in found], [v.inputs[c] for c in found], PASS_RATE)
+        if tokens:
+            flat = np.concatenate([w.ravel() for w in net.p.values()]).astype(np.float64) * tokens
+            parts = [flat[at : at + PIECE].tobytes() for at in range(0, len(flat), PIECE)]
+            yield send(range(len(parts)), [tokens] * len(parts), parts)
+
+    def add(batches):
+        sums: dict = {}
+        for batch in batches:
+            for piece, tokens, part in zip(*[batch.column(c).to_pylist() for c in names], strict=True):
+                n, x = sums.get(piece, (0, 0.0))
+                sums[piece] = n + tokens, x + np.frombuffer(part)
+        if sums:
+            yield send(list(sums), [n for n, _ in sums.values()], [x.tobytes() for _, x in sums.values()])
+
+    rows = docs.select(text_col).mapInArrow(run, fields).repartition("piece").mapInArrow(add, fields).collect()
+    if not rows:
+        return None
+    flat, at, out = np.concatenate([np.frombuffer(r.part) / r.tokens for r in sorted(rows, key=lambda r: r.piece)]), 0, {}
+    for k, w in start.value[1].p.items():
+        out[k] = flat[at : at + w.size].reshape(w.shape).astype(np.float32)
+        at += w.size
+    return out
+
+
 def count_words(docs: DataFrame, text_col: str) -> DataFrame:
     """(word, n) over all tokens of docs, END once a row; counted before the shuffle."""
     bound_batches(docs.sparkSession)
@@ -353,7 +423,11 @@ def score_documents(docs: DataFrame, *, text_col: str = "text", id_col: str = "d
     share = min(1.0, SAMPLE_BYTES / max(1, there))
     drawn = seen.where((size <= longest) & (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + (share == 1.0)))
     sample = sorted(bytes(r.text) for r in drawn.select(F.col("text").cast("binary")).collect())
-    broadcast = spark.sparkContext.broadcast((v, train(sample, v)))
+    net = train(sample, v)
+    start = spark.sparkContext.broadcast((v, net))
+    net.p = taught(seen, start) or net.p
+    start.unpersist()
+    broadcast = spark.sparkContext.broadcast((v, net))
     scored = materialize(_scored(docs, broadcast), "scored")
     found = scored.where("word IS NOT NULL").select("word", "docs").join(counts, "word", "left").select(F.explode("docs").alias("uid"), F.coalesce("n", F.lit(0)).alias("c"))
     sums = found.groupBy("uid").agg(F.sum(F.log10(F.col("c") + 1.0)).alias("logs"), F.sum((F.col("c") > 0).cast("long")).alias("known"))

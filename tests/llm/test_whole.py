@@ -1,0 +1,11 @@
+"""Operators that take all of their input: cases that a sample, a fixed threshold or a missing row key would lose."""
+
+from streetloom.llm import language_model
+
+
+def test_language_model_learns_from_long_documents(spark):
+    """All texts are longer than the sample takes, each word foretells the next."""
+    rows = [(k, " ".join(f"word{(k + i) % 60}" for i in range(6000))) for k in range(40)]
+    assert min(len(t) for _, t in rows) > language_model.SAMPLE_LONGEST
+    got = [r for r in language_model.score_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect() if r.held_out]
+    assert got and sum(r.score for r in got) > 0.95 * sum(r.base_score for r in got)
