@@ -13,6 +13,8 @@ from streetloom.llm import bpe, decontaminate, neardup, quality
 from streetloom.llm.common import documents, materialize
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Similarity in percent from which the near-dup stage links; op6 has 85 by its contract.
+NEAR = 80
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,7 +25,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def neardup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the one of least id."""
-    kept = neardup.near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    kept = neardup.near_duplicates(docs, percent=NEAR).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
     return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
 
 

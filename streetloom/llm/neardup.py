@@ -2,19 +2,19 @@
 
 A text's set is its distinct runs of five words (a text of fewer words is one run). Texts with equal sets are one class,
 so exact copies cost one row each and are never paired. A class's signature is its least value under BANDS * ROWS
-universal hash functions; ROWS minima together give a band's key. At similarity 0.85 two sets share none of the 32
-bands of 7 with a probability of 4e-6.
+universal hash functions; some minima together give a band's key: the most, up to ROWS, at which two sets at the
+threshold share no band with a probability below MISSED. At 0.85 that is 32 bands of 7 (4e-6), at 0.80 37 of 6 (1e-5).
 
 Candidates never come from all pairs of a large bucket. First every class is paired with its bucket's leader, the class
 that shares most buckets overall (in a family of copies that is the text they were made from). Links that hold are
 merged into components. Only buckets whose classes are still in different components are looked at further. In those of
 at most BLOCK classes, all pairs across components are compared. The classes of larger ones go to an exact prefix join:
 runs are ordered by how few of these classes have them, and two sets at the threshold must share one of their first
-n - ceil(0.85 n) + 1 runs, at places that leave enough runs to share. So every pair of a bucket is compared, connected
+n - ceil(t n) + 1 runs (t the threshold), at places that leave enough runs to share. So every pair of a bucket is compared, connected
 already, or known to be below the threshold.
 
 A pair is compared by the share of equal minima first (pairs more than five standard deviations below the threshold
-go), then by the whole sets: linked if 100 * intersection >= 85 * union.
+go), then by the whole sets: linked if 100 * intersection >= percent * union (85 unless told otherwise).
 
 Defined results: null texts and texts without words have 0 runs and are linked with nothing. Rows with a null id take no
 part in linking: their component is null and they are kept. Rows that share an id share a component. Repeated rows get
@@ -24,6 +24,7 @@ equal results. An empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -35,9 +36,7 @@ from .components import components
 
 WIDTH = 5
 BANDS, ROWS = 32, 7
-PERCENT = 85
-#: Share of equal minima below which a pair is not looked at: 0.85 less five standard deviations of 224 minima.
-LEAST_AGREE = 0.85 - 5 * (0.85 * 0.15 / (BANDS * ROWS)) ** 0.5
+PERCENT, MISSED = 85, 2e-5
 BLOCK = 32
 _U = np.uint64
 _P = _U(0x9E3779B97F4A7C15)
@@ -45,10 +44,20 @@ _SEED = np.random.default_rng(20)
 _TAPS = _SEED.integers(0, 1 << 63, WIDTH, dtype=np.uint64) * _U(2) + _U(1)
 _A = (_SEED.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * _U(2) + _U(1))[:, None]
 _B = _SEED.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)[:, None] * _U(2)
-_BAND_TAPS = _SEED.integers(0, 1 << 63, (BANDS, ROWS), dtype=np.uint64) * _U(2) + _U(1)
+_BAND_TAPS = _SEED.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * _U(2) + _U(1)
 _BLANKS = bytes(32 if b == 32 or 9 <= b <= 13 else b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
+def least_agree(percent: int) -> float:
+    """Share of equal minima below which a pair is not looked at: the threshold less five standard deviations of 224 minima."""
+    t = percent / 100
+    return t - 5 * (t * (1 - t) / (BANDS * ROWS)) ** 0.5
+
+
+def band_rows(percent: int) -> int:
+    return next((k for k in range(ROWS, 1, -1) if (1 - (percent / 100) ** k) ** (BANDS * ROWS // k) <= MISSED), 1)
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> _U(30))) * _U(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> _U(27))) * _U(0x94D049BB133111EB)
@@ -96,11 +105,13 @@ def minima(s: np.ndarray) -> np.ndarray:
     return least >> _U(32)
 
 
-def band_keys(least: np.ndarray) -> np.ndarray:
-    return mixed((mixed(least).reshape(BANDS, ROWS) * _BAND_TAPS).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
+def band_keys(least: np.ndarray, rows: int = ROWS) -> np.ndarray:
+    n = len(least) // rows
+    taken = (mixed(least[: n * rows]) * _BAND_TAPS[: n * rows]).reshape(n, rows)
+    return mixed(taken.sum(axis=1, dtype=np.uint64) + np.arange(n, dtype=np.uint64)).view(np.int64)
 
 
-def signed(docs: DataFrame, text_col: str) -> DataFrame:
+def signed(docs: DataFrame, text_col: str, rows: int = ROWS) -> DataFrame:
     """docs with n_shingles, class (a digest of the set) and bands (keys); null without words."""
 
     def make(batches):
@@ -111,7 +122,7 @@ def signed(docs: DataFrame, text_col: str) -> DataFrame:
                 n.append(len(s))
                 if len(s):
                     digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                    bands.append(band_keys(minima(s)))
+                    bands.append(band_keys(minima(s), rows))
                 else:
                     digest.append(None), bands.append(None)
             yield [pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
@@ -140,17 +151,17 @@ def with_tokens(sets: DataFrame) -> DataFrame:
     return add_columns(sets, "tokens array<long>", make).drop("set")
 
 
-def prefix_pairs(sets: DataFrame) -> DataFrame:
+def prefix_pairs(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(a, b) of classes (id, n, component, set) of different components that may reach the threshold: none is left out."""
     tokens = with_tokens(sets).select("id", "n", "component", F.explode("tokens").alias("token"))
     common = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     place = F.row_number().over(Window.partitionBy("id").orderBy("df", "token"))
-    first = F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1
+    first = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
     ranked = tokens.join(common, "token").withColumn("at", place).where((F.col("at") <= first) & (F.col("df") > 1)).drop("df")
     one = ranked.select("token", *[F.col(c).alias(f"{c}_") for c in ("id", "n", "component", "at")])
-    need = PERCENT * (F.col("n") + F.col("n_"))
+    need = percent * (F.col("n") + F.col("n_"))
     room = F.least(F.col("n") - F.col("at"), F.col("n_") - F.col("at_")) + 1
-    met = ranked.join(one, "token").where((F.col("id") < F.col("id_")) & (F.col("component") != F.col("component_")) & (room * (100 + PERCENT) >= need))
+    met = ranked.join(one, "token").where((F.col("id") < F.col("id_")) & (F.col("component") != F.col("component_")) & (room * (100 + percent) >= need))
     return met.select(F.col("id").alias("a"), F.col("id_").alias("b"))
 
 
@@ -166,16 +177,16 @@ def _keep(pairs: DataFrame, test) -> DataFrame:
     return pairs.mapInArrow(run, "a long, b long")
 
 
-def _agree(x: bytes, y: bytes) -> bool:
-    return (np.frombuffer(x, np.uint16) == np.frombuffer(y, np.uint16)).mean() >= LEAST_AGREE
+def _agree(x: bytes, y: bytes, percent: int = PERCENT) -> bool:
+    return (np.frombuffer(x, np.uint16) == np.frombuffer(y, np.uint16)).mean() >= least_agree(percent)
 
 
-def linked(x: bytes, y: bytes) -> bool:
+def linked(x: bytes, y: bytes, percent: int = PERCENT) -> bool:
     p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-    if 100 * min(len(p), len(q)) < PERCENT * max(len(p), len(q)):
+    if 100 * min(len(p), len(q)) < percent * max(len(p), len(q)):
         return False
     both = len(p) + len(q) - len(np.unique(np.concatenate([p, q])))
-    return 100 * both >= PERCENT * (len(p) + len(q) - both)
+    return 100 * both >= percent * (len(p) + len(q) - both)
 
 
 def _beside(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
@@ -184,21 +195,21 @@ def _beside(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(u, v) of the pairs (a, b) that pass the signature's test, then the whole sets'."""
-    likely = _keep(_beside(pairs, sets, "sig"), _agree)
-    return materialize(_keep(_beside(likely, sets, "set"), linked).select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
+    likely = _keep(_beside(pairs, sets, "sig"), partial(_agree, percent=percent))
+    return materialize(_keep(_beside(likely, sets, "set"), partial(linked, percent=percent)).select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
 
 
 def _ordered(a, b):
     return F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
 
 
-def near_duplicates(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+def near_duplicates(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), a row for each row of docs."""
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    marked = materialize(signed(docs, "text"), "signed")
+    marked = materialize(signed(docs, "text", band_rows(percent)), "signed")
     classes = marked.where("class IS NOT NULL AND doc_id IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("id"), F.min_by("bands", "doc_id").alias("bands"))
     classes = materialize(classes, "classes")
 
@@ -215,7 +226,7 @@ def near_duplicates(docs: DataFrame, *, text_col: str = "text", id_col: str = "d
         ids = buckets.select("id").distinct()
         # Told to shuffle, so that texts move the same way at every size.
         sets = materialize(with_sets(docs.withColumnRenamed("doc_id", "id").join(ids.hint("merge"), "id", "left_semi")), "sets")
-        links = _confirmed(pairs, sets)
+        links = _confirmed(pairs, sets, percent)
         labels = materialize(components(links), "labels")
         # Buckets whose classes are in several components yet.
         named = buckets.join(labels, F.col("id") == F.col("node"), "left").select("key", "n", "id", F.coalesce("component", "id").alias("component"))
@@ -225,7 +236,7 @@ def near_duplicates(docs: DataFrame, *, text_col: str = "text", id_col: str = "d
         other = small.select("key", F.col("id").alias("id_"), F.col("component").alias("component_"))
         more = small.join(other, "key").where("id < id_ AND component <> component_").select(F.col("id").alias("a"), F.col("id_").alias("b"))
         large = left.where(F.col("n") > BLOCK).select("id", "component").distinct()
-        more = _confirmed(more.union(prefix_pairs(sets.select("id", "n", "set").join(large, "id"))).distinct(), sets)
+        more = _confirmed(more.union(prefix_pairs(sets.select("id", "n", "set").join(large, "id"), percent)).distinct(), sets, percent)
         if not more.isEmpty():
             labels = materialize(components(labels.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more)), "labels")
         discard(buckets, sets, left)

@@ -1,6 +1,13 @@
 """Operators that take all of their input: cases that a sample, a fixed threshold or a missing row key would lose."""
 
-from streetloom.llm import language_model
+import random
+
+import corpus_pipeline
+import numpy as np
+import pytest
+from streetloom.llm import language_model, neardup
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars double"
 
 
 def test_language_model_learns_from_long_documents(spark):
@@ -9,3 +16,36 @@ def test_language_model_learns_from_long_documents(spark):
     assert min(len(t) for _, t in rows) > language_model.SAMPLE_LONGEST
     got = [r for r in language_model.score_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect() if r.held_out]
     assert got and sum(r.score for r in got) > 0.95 * sum(r.base_score for r in got)
+
+
+def _near_texts():
+    """Pairs of 120 runs of words, one to three spoiled words apart at 5-word runs: similarities from 0.77 to 0.92."""
+    out, rng = {}, random.Random(7)
+    for k in range(60):
+        w = [f"p{k}w{i}" for i in range(124)]
+        other = list(w)
+        for at in rng.sample(range(10, 114, 10), 1 + k % 3):
+            other[at] = f"q{k}at{at}"
+        out[2 * k], out[2 * k + 1] = " ".join(w), " ".join(other)
+    return out
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_near_duplicates_take_the_threshold(spark, percent):
+    texts = _near_texts()
+    sets = {k: neardup.runs(t.encode()) for k, t in texts.items()}
+    want = {}
+    for k in range(0, len(texts), 2):
+        both = len(np.intersect1d(sets[k], sets[k + 1]))
+        near = 100 * both >= percent * (len(sets[k]) + len(sets[k + 1]) - both)
+        want |= {k: k, k + 1: k if near else k + 1}
+    got = neardup.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), percent=percent)
+    assert {r.doc_id: r.component_id for r in got.collect()} == want and len(set(want.values())) < len(want)
+
+
+def test_pipeline_links_from_eighty(spark):
+    texts = _near_texts()
+    docs = spark.createDataFrame([(k, t, "en", "x", 1.0) for k, t in texts.items()], DOCS)
+    want = {r.doc_id for r in neardup.near_duplicates(docs, percent=80).where("kept").collect()}
+    at_85 = {r.doc_id for r in neardup.near_duplicates(docs, percent=85).where("kept").collect()}
+    assert want < at_85 and {r.doc_id for r in corpus_pipeline.neardup_stage(spark, docs, "").collect()} == want
