@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,21 +55,31 @@ def clustering(edges: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
     return nodes.select(key).join(out, key, "left").na.fill(0.0, ["clustering"])
 
 
-def _iterate(nodes: DataFrame, edges: DataFrame, key: str, rounds: int, first: float, send, take) -> DataFrame:
+def _change(now: DataFrame, before: DataFrame) -> float:
+    old = before.select("id", F.col("value").alias("old"))
+    return now.join(old, "id").agg(F.coalesce(F.sum(F.abs(F.col("value") - F.col("old"))), F.lit(0.0))).first()[0]
+
+
+def _iterate(nodes: DataFrame, edges: DataFrame, key: str, rounds: int | None, first: float, send, take, tol: float = 0.0) -> DataFrame:
+    """So many rounds, or without a number until all values together change by less than tol."""
     out = edges.groupBy("u").agg(F.count(F.lit(1)).alias("out"))
     links = _held(edges.join(out, "u").select("u", "v", "out"))
     now = nodes.select(F.col(key).alias("id"), F.lit(first).alias("value"))
-    for k in range(rounds):
+    before = now
+    for k in itertools.count() if rounds is None else range(rounds):
         got = links.join(now, links.u == now.id).groupBy("v").agg(F.sum(send(F.col("value"), F.col("out"))).alias("got"))
         now = nodes.select(F.col(key).alias("id")).join(got, F.col("id") == F.col("v"), "left").select("id", take(F.coalesce("got", F.lit(0.0))).alias("value"))
         if k % 4 == 3:
             now = _held(now)
+            if rounds is None and _change(now, before) < tol:
+                break
+            before = now
     return now.select(F.col("id").alias(key), "value")
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, key: str, rounds: int = 8, damping: float = 0.85) -> DataFrame:
+def pagerank(nodes: DataFrame, edges: DataFrame, key: str, rounds: int | None = None, damping: float = 0.85, tol: float = 1e-8) -> DataFrame:
     n = nodes.count()
-    return _iterate(nodes, edges, key, rounds, 1.0 / n, lambda v, out: v / out, lambda got: F.lit((1 - damping) / n) + damping * got).withColumnRenamed("value", "pagerank")
+    return _iterate(nodes, edges, key, rounds, 1.0 / n, lambda v, out: v / out, lambda got: F.lit((1 - damping) / n) + damping * got, tol).withColumnRenamed("value", "pagerank")
 
 
 def katz(nodes: DataFrame, edges: DataFrame, key: str, rounds: int = 6, alpha: float = 0.01) -> DataFrame:

@@ -232,6 +232,11 @@ def _rounds(n: int, step: str) -> str:
 
 @query("pagerank", f"WITH {NODES}, {STREETS}, o AS (SELECT u, count(*) AS k FROM streets GROUP BY 1), r0 AS (SELECT id, 1.0 / (SELECT count(*) FROM nodes) AS p FROM nodes), " + _rounds(8, "SELECT n.id, 0.15 / (SELECT count(*) FROM nodes) + 0.85 * coalesce(g.s, 0) AS p FROM nodes n LEFT JOIN (SELECT v, sum(CAST(p AS DOUBLE) / k) AS s FROM streets JOIN o USING (u) JOIN {p} ON {p}.id = streets.u GROUP BY v) g ON g.v = n.id") + " SELECT id AS intersection_id, round(p, 9) AS pagerank FROM r8")
 def pagerank(spark, d):
+    return graph.pagerank(L.intersections(spark, d), L.streets(spark, d), "intersection_id", rounds=8).withColumn("pagerank", F.round("pagerank", 9))
+
+
+@query("pagerank_converged")
+def pagerank_converged(spark, d):
     return graph.pagerank(L.intersections(spark, d), L.streets(spark, d), "intersection_id").withColumn("pagerank", F.round("pagerank", 9))
 
 

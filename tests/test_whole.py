@@ -65,3 +65,14 @@ def test_nearest_of_all_streets(spark):
         t = np.clip(((np.array([x, y]) - a[:, :2]) * d).sum(axis=1) / (d * d).sum(axis=1), 0, 1)
         least = np.hypot(*(a[:, :2] + t[:, None] * d - [x, y]).T).min()
         assert got.get(bid, math.inf) == pytest.approx(least, abs=1e-5) if least <= 50 else bid not in got
+
+
+def test_pagerank_converges(spark):
+    got = {r.intersection_id: r.pagerank for r in QUERIES["pagerank_converged"](spark, SF).collect()}
+    n, links = len(got), [(u, v) for _, u, v in _streets()]
+    step = np.zeros((n, n))
+    for u, v in links:
+        step[v, u] += 1
+    step /= np.maximum(step.sum(axis=0), 1)
+    want = np.linalg.solve(np.eye(n) - 0.85 * step, np.full(n, 0.15 / n))
+    assert np.abs(want - [got[k] for k in range(n)]).sum() < 2e-7
