@@ -24,9 +24,11 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def neardup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one of least id."""
-    kept = neardup.near_duplicates(docs, percent=NEAR).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """One row of each group of near-duplicates: of least id, and one only of rows that repeat an id. Rows without an id stay."""
+    keyed = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    kept = neardup.near_duplicates(keyed, percent=NEAR, row_col="_row").where("kept")
+    one = kept.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("_row").alias("_row")).select("_row")
+    return keyed.join(one.union(kept.where("doc_id IS NULL").select("_row")), "_row", "left_semi").select(*docs.columns)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -205,11 +205,13 @@ def _ordered(a, b):
     return F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
 
 
-def near_duplicates(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept), a row for each row of docs."""
+def near_duplicates(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", percent: int = PERCENT, row_col: str | None = None) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept), a row for each row of docs; with its row_col, where one is named."""
     spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    marked = materialize(signed(docs, "text", band_rows(percent)), "signed")
+    row = [row_col] if row_col else []
+    all_docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *row)
+    docs = all_docs.select("doc_id", "text")
+    marked = materialize(signed(all_docs, "text", band_rows(percent)), "signed")
     classes = marked.where("class IS NOT NULL AND doc_id IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("id"), F.min_by("bands", "doc_id").alias("bands"))
     classes = materialize(classes, "classes")
 
@@ -240,14 +242,14 @@ def near_duplicates(docs: DataFrame, *, text_col: str = "text", id_col: str = "d
         if not more.isEmpty():
             labels = materialize(components(labels.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more)), "labels")
         discard(buckets, sets, left)
-    out = marked.select("doc_id", "n_shingles", "class").join(classes.select("class", "id"), "class", "left")
+    out = marked.select("doc_id", "n_shingles", "class", *row).join(classes.select("class", "id"), "class", "left")
     if labels is not None:
         out = out.join(labels, F.col("id") == F.col("node"), "left").withColumn("component_id", F.coalesce("component", "id", "doc_id"))
     else:
         out = out.withColumn("component_id", F.coalesce("id", "doc_id"))
     out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
     spark._jvm.System.gc()
-    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), *row)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

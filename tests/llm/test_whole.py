@@ -49,3 +49,10 @@ def test_pipeline_links_from_eighty(spark):
     want = {r.doc_id for r in neardup.near_duplicates(docs, percent=80).where("kept").collect()}
     at_85 = {r.doc_id for r in neardup.near_duplicates(docs, percent=85).where("kept").collect()}
     assert want < at_85 and {r.doc_id for r in corpus_pipeline.neardup_stage(spark, docs, "").collect()} == want
+
+
+def test_pipeline_keeps_null_ids_and_one_of_repeated_rows(spark):
+    rows = [(None, "a text without an id that is unlike others"), (None, None), *[(1, "one text that is in the table three times")] * 3, (2, "one text that is in the table three times"), (3, "another text of its own")]
+    docs = spark.createDataFrame([(k, t, "en", "x", 1.0) for k, t in rows], DOCS)
+    got = corpus_pipeline.neardup_stage(spark, docs, "").collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in got) == sorted((k or 0, t or "") for k, t in [*rows[:3], rows[-1]])
