@@ -107,7 +107,7 @@ def eigenvector(nodes: DataFrame, edges: DataFrame, key: str, rounds: int = 5) -
     return now.select(F.col("id").alias(key), F.col("value").alias("eigenvector"))
 
 
-def fill_along(values: DataFrame, edges: DataFrame, rounds: int = 64) -> DataFrame:
+def fill_along(values: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, value): null values become those of the nearest node that has one, by hops in either direction, ties to the least id.
 
     Every round settles the nodes one hop farther; it ends when no node is reached.
@@ -115,7 +115,7 @@ def fill_along(values: DataFrame, edges: DataFrame, rounds: int = 64) -> DataFra
     both = _held(edges.select("u", "v").union(edges.select("v", "u")).where("u <> v").distinct())
     done = _held(values.where("value IS NOT NULL").select("id", "value", F.col("id").alias("from")))
     front = done
-    for _ in range(rounds):
+    while True:
         reached = both.join(front, both.u == front.id).groupBy("v").agg(F.min(F.struct("from", "value")).alias("best")).select(F.col("v").alias("id"), "best.value", "best.from")
         front = _held(reached.join(done, "id", "left_anti"))
         if front.isEmpty():

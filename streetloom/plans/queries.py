@@ -428,7 +428,7 @@ FILL = f"WITH RECURSIVE {NODES}, {STREETS}, e AS (SELECT u, v FROM streets WHERE
 @query("graph_fill", FILL)
 def graph_fill(spark, d, sparse=True):
     n = L.intersections(spark, d).select(F.col("intersection_id").alias("id"), F.when(F.col("intersection_id") % 20 == 0, F.col("value")).alias("value"))
-    return graph.fill_along(n, L.streets(spark, d, sparse), rounds=12)
+    return graph.fill_along(n, L.streets(spark, d, sparse))
 
 
 IMAGES = f"WITH {SPARSE}, {POIS}, f AS (SELECT poi_id, street_id, length, x, y, ux, uy, dx, dy, greatest(0, least(1, ((x - ux) * dx + (y - uy) * dy) / (dx * dx + dy * dy))) AS t FROM pois, sparse), g AS (SELECT *, sqrt(pow(x - ux - t * dx, 2) + pow(y - uy - t * dy, 2)) AS distance FROM f), near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY poi_id ORDER BY round(distance, 9), street_id) AS k FROM g WHERE distance <= 10) WHERE k = 1)"

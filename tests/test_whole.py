@@ -76,3 +76,11 @@ def test_pagerank_converges(spark):
     step /= np.maximum(step.sum(axis=0), 1)
     want = np.linalg.solve(np.eye(n) - 0.85 * step, np.full(n, 0.15 / n))
     assert np.abs(want - [got[k] for k in range(n)]).sum() < 2e-7
+
+
+def test_fill_goes_to_the_end_of_a_chain(spark, tmp_path):
+    """Nodes 0 to 14 in a row; only node 0 and node 20, which no street meets, have a value."""
+    pd.DataFrame({"c_custkey": range(40), "c_acctbal": [float(k) + 1 for k in range(40)]}).to_parquet(f"{tmp_path}/customer.parquet")
+    pd.DataFrame({"o_orderkey": [203 * k for k in range(14)], "o_custkey": range(14)}).to_parquet(f"{tmp_path}/orders.parquet")
+    got = {r.id: r.value for r in QUERIES["graph_fill"](spark, str(tmp_path)).collect()}
+    assert [got[k] for k in range(16)] == [1.0] * 15 + [None]
