@@ -5,9 +5,10 @@ every run of 13 consecutive words as a window; an item of 1 to 12 words is one w
 automaton, a text is scanned once, and the words within any occurrence are hit; their places are mapped back to
 character offsets of the original text.
 
-The benchmark is read in blocks of at most `block_bytes` of text: a block is what a worker holds, so its automaton is
-bounded. A benchmark within one block (the usual case) is scanned in one pass; further blocks add passes that run
-pipelined in the same stage and merge their hits.
+The benchmark is read in blocks of at most `block_bytes` of text. A block's automaton takes some 340 bytes of memory for
+a byte of text (measured), so a worker holds about 64 MB. A benchmark within one block (the usual case) is scanned in one
+pass. Further blocks add passes that merge their hits, PASSES of them in a stage; between stages the rows are written to
+the shared folder, so neither a stage's workers nor what is broadcast at a time grows with the benchmark.
 
 Defined results: null or wordless texts have 0 words, no items, contaminated false. Null items and items without words
 give no windows. Repeated items count once by item_id; a null item_id is no item. An empty benchmark hits nothing.
@@ -16,7 +17,7 @@ Repeated documents get equal rows. Columns of documents named as the added ones
 
 from __future__ import annotations
 
-import re
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -24,13 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import add_columns, utf8
+from .common import add_columns, materialize, utf8
 
 WINDOW = 13
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 192 << 10
+PASSES = 4
 #: Lower-cases A-Z, keeps 0-9, a-z and bytes of non-ASCII code points, makes the rest a space: one pass over the bytes.
 _NORMAL = bytes(b if chr(b).isdigit() and b < 128 or 97 <= b <= 122 or b >= 128 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
-_WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 FIELDS = "n_words long, n_hit long, n_items long, items array<string>, spans array<struct<start:long,end:long>>, contaminated boolean"
 
 
@@ -73,21 +74,24 @@ def scan(automaton, words: list[bytes], hit: np.ndarray, items: set[str]) -> Non
 
 def spans_of(text: bytes, hit: np.ndarray) -> list[dict]:
     """Character offsets in the original text of maximal runs of hit words."""
-    places = [m.span() for m in _WORD.finditer(text.translate(_NORMAL))]
+    flat = np.frombuffer(text, np.uint8)
+    inside = np.frombuffer(text.translate(_NORMAL), np.uint8) != 32
+    turns = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]]).view(np.int8)))
     edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]])))
-    chars = lambda n: len(text[:n].decode("utf-8"))
-    return [{"start": chars(places[a][0]), "end": chars(places[b - 1][1])} for a, b in zip(edge[::2], edge[1::2], strict=True)]
+    # A code point begins at each byte that continues none.
+    chars = np.concatenate([[0], np.cumsum((flat & 0xC0) != 0x80)])
+    starts, ends = chars[turns[::2][edge[::2]]].tolist(), chars[turns[1::2][edge[1::2] - 1]].tolist()
+    return [{"start": a, "end": b} for a, b in zip(starts, ends, strict=True)]
 
 
 _built: dict = {}
 
 
 def _automaton(broadcast, width: int):
-    """The worker's automaton of a broadcast block; a few are kept between tasks."""
+    """The automaton of a broadcast block; a worker keeps that of its last one."""
     key = (broadcast._jbroadcast.id() if broadcast._jbroadcast is not None else id(broadcast.value), width)
     if key not in _built:
-        while len(_built) >= 4:
-            _built.pop(next(iter(_built)))
+        _built.clear()
         _built[key] = build(broadcast.value, width), broadcast.value
     return _built[key][0]
 
@@ -109,11 +113,18 @@ def item_blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs with n_words, n_hit, n_items, items (sorted ids), spans (character offsets of hit runs) and contaminated."""
     sc = docs.sparkSession.sparkContext
-    blocks = [sc.broadcast(b) for b in item_blocks(benchmark, item_col, item_text_col, block_bytes)] or [sc.broadcast([])]
-    final = len(blocks) - 1
-    out = docs
-    for k, broadcast in enumerate(blocks):
-        out = _pass(out, broadcast, text_col, width, k, k == final)
+    out, k, sent, block = docs, 0, [], None
+    for following in chain(item_blocks(benchmark, item_col, item_text_col, block_bytes), [None]):
+        if block is not None or following is None:
+            sent.append(sc.broadcast(block or []))
+            out = _pass(out, sent[-1], text_col, width, k, following is None)
+            k += 1
+            if k % PASSES == 0 and following is not None:
+                out = materialize(out, "passes")
+                for b in sent:
+                    b.unpersist()
+                sent = []
+        block = following
     return out
 
 
