@@ -1,22 +1,21 @@
 """Quality classifier: hashed word and character n-gram vectors, averaged per document, softmax, numpy SGD.
 
-Every word of a text is a feature, and so is each run of 3 and of 4 bytes of `<word>`, and the word pair in which a word
-follows itself (one feature for all such pairs); features are hashed into BUCKETS learned vectors. A document is the mean of its features' vectors; a softmax over the two labels follows. Training is
-stochastic gradient descent, a document at a time, over a sample of labelled rows of at most about SAMPLE_ROWS rows,
-chosen by a hash of the id; texts longer than SAMPLE_BYTES are not drawn. Rows with crc32(id) mod 5 = 0 are held out.
+Every word of a text is a feature, and so is each pair of words that follow one another, and each run of 3 and of 4 bytes
+of `<word>`; features are hashed into BUCKETS learned vectors. Pairs are those of a text in which a word equal to the one
+before it reads as the symbol AGAIN, so that repetition is one learned feature instead of one for each word. A document is the mean of its features' vectors; a softmax
+over the two labels follows. Training is stochastic gradient descent, a document at a time, over a bounded sample of
+labelled rows: the first in the order of a hash of the id, SAMPLE_ROWS of them at most, until their whole texts are
+SAMPLE_BYTES together. No text is too long for it. Rows with crc32(id) mod 5 = 0 are held out.
 
 A score needs only the difference of the two logits, which is linear in the vectors: each bucket's share is computed
-once, each word's sum is cached, and a whole text is a sum over its words.
+once, each word's sum is cached, and a whole text is a sum over its words and pairs.
 
 Defined results: null and empty texts get the score of the bias alone. Labels that are null or belong to no document
-are not used; an id with several labels gives several examples. Without training rows every score is 0.5.
+are not used; an id with several labels or texts gives several examples, repeated rows too. Without training rows every score is 0.5.
 """
 
 from __future__ import annotations
 
-from itertools import islice
-from operator import eq
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,20 +25,13 @@ from .common import add_columns, id_remainder, utf8
 
 BUCKETS, DIM = 1 << 17, 16
 SIZES = (3, 4)
-SAMPLE_ROWS, SAMPLE_BYTES = 6000, 1 << 15
+SAMPLE_ROWS, SAMPLE_BYTES = 6000, 32 << 20
 EPOCHS, RATE = 6, 0.5
 THRESHOLD = 0.3
 CACHE_WORDS = 200_000
 _M = 0x9E3779B97F4A7C15
-
-
-#: The bucket of the pair in which a word follows itself.
-AGAIN = 0
-
-
-def repeats(words: list[bytes]) -> int:
-    """Words equal to the word before them."""
-    return sum(map(eq, words, islice(words, 1, None)))
+#: Hash of the symbol that stands for a word equal to the one before it, and for what precedes it, in a pair.
+AGAIN = np.uint64(0xA6A1)
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -47,10 +39,10 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return ((h ^ (h >> np.uint64(32))) % np.uint64(BUCKETS)).astype(np.int64)
 
 
-def features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of all features of all words, and which word each belongs to."""
+def hashed(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A 64-bit hash of each word; buckets of all words and runs of bytes, and which word each belongs to."""
     if not words:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     sizes = np.array([len(w) + 2 for w in words], np.int64)
     flat = np.frombuffer(b"<" + b"><".join(words) + b">", np.uint8).astype(np.uint64) + np.uint64(1)
     owner = np.repeat(np.arange(len(words)), sizes)
@@ -59,7 +51,8 @@ def features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     m = np.uint64(_M)
     with np.errstate(over="ignore"):
         powers = np.cumprod(np.full(int(sizes.max()), m))
-        out, of = [_mixed(np.add.reduceat(flat * powers[place], starts))], [np.arange(len(words))]
+        whole = np.add.reduceat(flat * powers[place], starts)
+        out, of = [_mixed(whole)], [np.arange(len(words))]
         for n in SIZES:
             h = flat[: max(0, len(flat) - n + 1)] + np.uint64(n)
             for k in range(1, n):
@@ -67,7 +60,21 @@ def features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
             good = place[: len(h)] + n <= sizes[owner[: len(h)]]
             out.append(_mixed(h[good]))
             of.append(owner[: len(h)][good])
-    return np.concatenate(out), np.concatenate(of)
+    return whole, np.concatenate(out), np.concatenate(of)
+
+
+def pairs(words: np.ndarray) -> np.ndarray:
+    """Buckets of the pairs of neighbours in a row of word hashes; all pairs of equal words are one."""
+    same = words[:-1] == words[1:]
+    first, second = np.where(same, AGAIN, words[:-1]), np.where(same, AGAIN, words[1:])
+    with np.errstate(over="ignore"):
+        return _mixed(first * np.uint64(_M) + (second ^ np.uint64(_M >> 1)))
+
+
+def features(words: list[bytes]) -> np.ndarray:
+    """Buckets of all features of a text."""
+    whole, ids, _ = hashed(words)
+    return np.concatenate([ids, pairs(whole)])
 
 
 def train(texts: list[bytes], labels: list[int], *, epochs: int = EPOCHS, rate: float = RATE, seed: int = 0) -> tuple[np.ndarray, float]:
@@ -77,8 +84,7 @@ def train(texts: list[bytes], labels: list[int], *, epochs: int = EPOCHS, rate:
     out, bias = np.zeros((DIM, 2), np.float32), np.zeros(2, np.float32)
     docs = []
     for text in texts:
-        words = text.split()
-        ids, n = np.unique(np.append(features(words)[0], np.full(repeats(words), AGAIN)), return_counts=True)
+        ids, n = np.unique(features(text.split()), return_counts=True)
         docs.append((ids, (n / max(1, n.sum())).astype(np.float32)))
     steps, done = epochs * len(docs), 0
     for _ in range(epochs):
@@ -99,28 +105,44 @@ def train(texts: list[bytes], labels: list[int], *, epochs: int = EPOCHS, rate:
     return vectors @ (out[:, 1] - out[:, 0]), float(bias[1] - bias[0])
 
 
+class Words(dict):
+    """Numbers of words in the order they are met, with those not yet summed."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self.new.append(word)
+        n = self[word] = len(self)
+        return n
+
+
 class Scorer:
+    """Keeps each word's hash, sum and number of features, of CACHE_WORDS words and a batch's at most."""
+
     def __init__(self, table: np.ndarray, bias: float):
-        self.table, self.bias, self.again = table, bias, float(table[AGAIN])
-        self.cache: dict[bytes, complex] = {}
+        self.table, self.bias = table, bias
+        self.clear()
+
+    def clear(self) -> None:
+        self.words, self.hash, self.sum, self.n = Words(), np.zeros(0, np.uint64), np.zeros(0), np.zeros(0, np.int64)
 
     def score(self, texts: list[bytes | None]) -> list[float]:
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-        cut = [t.split() if t else [] for t in texts]
-        new = list({w for ws in cut for w in ws if w not in self.cache})
-        if new:
-            ids, owner = features(new)
-            # The real part is the word's sum, the imaginary part its number of features.
-            self.cache.update(zip(new, (np.bincount(owner, self.table[ids], len(new)) + 1j * np.bincount(owner, minlength=len(new))).tolist(), strict=True))
-        get, out = self.cache.__getitem__, []
-        for ws in cut:
-            if ws:
-                again = repeats(ws)
-                got = sum(map(get, ws))
-                logit = (got.real + again * self.again) / (got.imag + again) + self.bias
-            else:
-                logit = self.bias
+        if len(self.words) > CACHE_WORDS:
+            self.clear()
+        found = [np.fromiter(map(self.words.__getitem__, ws), np.int64, len(ws)) for ws in [t.split() if t else [] for t in texts]]
+        if new := self.words.new:
+            whole, ids, owner = hashed(new)
+            self.hash = np.append(self.hash, whole)
+            self.sum = np.append(self.sum, np.bincount(owner, self.table[ids], len(new)))
+            self.n = np.append(self.n, np.bincount(owner, minlength=len(new)))
+            self.words.new = []
+        out = []
+        for ws in found:
+            logit = self.bias
+            if len(ws):
+                logit += (self.sum[ws].sum() + self.table[pairs(self.hash[ws])].sum()) / (self.n[ws].sum() + len(ws) - 1)
             out.append(float(1 / (1 + np.exp(-np.clip(logit, -60, 60)))))
         return out
 
@@ -128,15 +150,22 @@ class Scorer:
 _scorers: dict = {}
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", label_col: str = "quality", sample_rows: int = SAMPLE_ROWS):
+def fit(docs: DataFrame, labels: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", label_col: str = "quality", sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES):
     """Learn from a bounded sample of labelled rows; returns what score() takes."""
-    known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).alias("_label")).where(F.col("_label").isin(0, 1) & (id_remainder("_id", 5) != 0))
-    n = known.count()
-    share = min(1.0, sample_rows / n) if n else 0.0
-    drawn = known.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + (share == 1.0))
-    # drawn has about sample_rows rows at most, so that it may be broadcast.
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("_text")).where(F.octet_length("_text") <= SAMPLE_BYTES).join(F.broadcast(drawn), "_id").select("_id", "_text", "_label").collect()
-    rows.sort(key=lambda r: (r._id, r._label))
+    known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label")).where(F.col("_label").isin(0, 1) & (id_remainder("_id", 5) != 0)).distinct()
+    place = F.xxhash64("_id")
+    # At most sample_rows rows, so that they may be broadcast; each limit is one of an order.
+    drawn = known.orderBy(place, "_id", "_label").limit(sample_rows)
+    met = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("_text")).where("_text IS NOT NULL").join(F.broadcast(drawn), "_id")
+    sizes = met.select(place.alias("_at"), "_id", F.octet_length("_text").alias("_n")).orderBy("_at", "_id", "_n").limit(sample_rows).collect()
+    total = last = 0
+    for r in sizes:
+        total += r._n
+        if last and total > sample_bytes:
+            break
+        last += 1
+    rows = met.orderBy(place, "_id", F.octet_length("_text"), "_label", "_text").limit(last).select("_id", "_text", "_label").collect() if last else []
+    rows.sort(key=lambda r: (r._id, r._label, bytes(r._text)))
     return train([bytes(r._text) for r in rows], [r._label for r in rows]) if rows else (np.zeros(BUCKETS, np.float32), 0.0)
 
 
