@@ -56,3 +56,20 @@ def test_pipeline_keeps_null_ids_and_one_of_repeated_rows(spark):
     docs = spark.createDataFrame([(k, t, "en", "x", 1.0) for k, t in rows], DOCS)
     got = corpus_pipeline.neardup_stage(spark, docs, "").collect()
     assert sorted((r.doc_id or 0, r.text or "") for r in got) == sorted((k or 0, t or "") for k, t in [*rows[:3], rows[-1]])
+
+
+def test_pipeline_drops_every_leak_and_no_clean_document(spark, tmp_path):
+    """A benchmark passage within a long text is far less than a twentieth of it."""
+    passage = " ".join(f"secret{k}" for k in range(20))
+    plain = " ".join(f"word{k}" for k in range(3000))
+    spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(1, plain), (2, f"{plain} {passage} {plain}"), (3, passage), (4, None), (5, ""), (None, "kept"), (None, passage)]
+    docs = spark.createDataFrame([(k, t, "en", "x", 1.0) for k, t in rows], DOCS)
+    got = corpus_pipeline.decontaminate_stage(spark, docs, str(tmp_path))
+    assert got.columns == docs.columns and sorted((r.doc_id or 0) for r in got.collect()) == [0, 1, 4, 5]
+
+
+def test_pipeline_takes_an_empty_table(spark):
+    empty = spark.createDataFrame([], DOCS)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, "/root/testdata/sf0.001").count() == 0, name
