@@ -1,17 +1,22 @@
 """HTML extraction: streaming parser events, text-to-tag ratio per line, Gaussian smoothing, threshold clustering.
 
 The standard library's parser feeds events, in pieces, to a builder of lines: the start or end of a block element ends
-a line, a line break is a space. A line keeps its text, the tags seen in it, the characters inside links and the region it stands in.
-Regions that can never be the article (navigation, page header and footer, sidebars, forms, notices, adverts, comment
-sections, scripts, styles; by element, role, or words of class and id) are not text at all. The others are scored by
-their text-to-tag ratio, smoothed by a Gaussian along the page; the lines above a share of the mean open clusters, and
-a cluster reaches over all lines of its region, so short headings and paragraphs inside the article stay.
-
-Where the page marks its article (article, main, role=main, itemprop=articleBody), those regions are the candidates.
+a line, a line break is a space. A line keeps its text, the tags seen in it, the characters inside links, the containers
+around it and the marked article it stands in, if any. Elements that hold no running text of a page by their own name or
+role (navigation, page header and footer, sidebars, forms, scripts, styles), that are hidden, or whose class or id is
+made of names of such parts, give no lines.
+
+Which of the lines are the article is decided by their numbers, on every page: a line's ratio is its characters outside
+links for each tag; lines in an element that the page marks as its article (article, main, role=main,
+itemprop=articleBody) have their ratio raised MARK times. Ratios are smoothed by a Gaussian along the page. Lines that
+reach THRESHOLD of the mean smoothed ratio form clusters, runs within one article or outside all; clusters with a SHARE
+of the largest one's sum are content. A cluster stands for a region: the least container around its lines, or the marked
+article they are in. All lines of the region but those made of links are the text, so an article's short headings, lists
+and last lines stay.
 
 Defined results: null and empty html give the empty text. Unclosed and truncated markup is read as far as it goes; an
 unfinished tag at the end is dropped, an unfinished character reference stays as written. Very long pages are fed in
-pieces. Repeated pages get equal rows.
+pieces. Repeated pages get equal rows. Columns of pages named text or n_chars are replaced, others stay.
 """
 
 from __future__ import annotations
@@ -19,6 +24,7 @@ from __future__ import annotations
 import html as references
 import re
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +33,9 @@ from pyspark.sql import DataFrame
 from .common import add_columns
 
 SIGMA = 1.0
-#: A line opens a cluster where its smoothed ratio reaches this share of the page's mean.
-THRESHOLD = 0.5
+#: A line opens a cluster where its smoothed ratio reaches this share of the page's mean; what a mark of the page's own
+#: is worth; the least sum of a cluster, as a share of the largest one's; share of link characters of a line of links.
+THRESHOLD, MARK, SHARE, LINKS = 0.5, 20.0, 0.2, 0.5
 FEED = 1 << 16
 
 SKIPPED = frozenset("script style noscript template svg math head title nav footer aside form button select textarea option label iframe object canvas dialog menu audio video map".split())
@@ -36,32 +43,56 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
 RAW = frozenset(("script", "style"))
 CLOSES_P = BLOCK - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "caption"}
-_NOISE = re.compile(
-    r"(?:^|[-_\s])(?:ads?|adv|advert\w*|adsense|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|sidebar|side|aside|footer|foot|topbar|toolbar|cookies?\w*|consent|notices?|gdpr|popup|modal|overlay|newsletter|subscri\w*|signup|login|social|share|sharing|related|recommend\w*|comments?|commentlist|respond|disqus|replies|reply|pagination|pager|widgets?|copyright|legal|skip|search\w*|alert|toast|tags|tagcloud)(?:$|[-_\s])"
-)
-#: Noise only outside a marked article, where an article may have its own header.
-_OUTSIDE = re.compile(r"(?:^|[-_\s])(?:header|masthead|banner)(?:$|[-_\s])")
+#: A class or id is noise if all its parts between hyphens are of these two lists and one at least is of the first.
+NOISE = frozenset("ad ads advert advertisement adsense sponsor sponsored promo nav navbar navigation menu breadcrumb breadcrumbs sidebar footer topbar toolbar cookie cookies consent notice gdpr popup modal newsletter subscribe signup login social share sharing related comment comments commentlist respond disqus replies pagination pager copyright alert".split())
+NEUTRAL = frozenset("area banner bar block bottom box buttons container content footer form group header icons inner item left links list main outer page panel posts primary right row secondary section site slot text top unit widget wrap wrapper".split())
+#: Noise only outside a marked article, which may have a header of its own.
+OUTSIDE = frozenset("header masthead banner".split())
+_PART = re.compile(r"[-_]+")
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 _SPACE = re.compile(r"\s+")
 
 
+CONTAINERS = frozenset("body article main section div td center blockquote".split())
+
+
+class Line(NamedTuple):
+    text: str
+    tags: int
+    linked: int
+    #: Number of the marked article, 0 outside all; numbers of the containers around the line, the outermost first.
+    region: int
+    path: tuple[int, ...]
+
+
+def named_noise(value: str, inside: bool) -> bool:
+    """Whether a class or id names a part of a page that is no article."""
+    for name in value.lower().split():
+        parts = [p for p in _PART.split(name) if p]
+        if all(p in NOISE or p in NEUTRAL for p in parts) and any(p in NOISE or not inside and p in OUTSIDE for p in parts):
+            return True
+    return False
+
+
 class Lines(HTMLParser):
-    """Events to lines: [text, tags, link characters, region], where region is 0 outside a marked article."""
+    """Events to lines."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, bool, int]] = []
+        #: Open elements: tag, whether it drops its text, the region before it, number of the container or 0.
+        self.stack: list[tuple[str, bool, int, int]] = []
         self.dropped = 0
         self.inside = 0
-        self.regions = 0
+        self.regions = self.containers = 0
+        self.path: tuple[int, ...] = ()
         self.text: list[str] = []
         self.tags = self.linked = self.links = 0
-        self.lines: list[tuple[str, int, int, int]] = []
+        self.lines: list[Line] = []
 
     def end_line(self) -> None:
         text = _SPACE.sub(" ", "".join(self.text)).strip()
         if text:
-            self.lines.append((text, self.tags, self.linked, self.inside))
+            self.lines.append(Line(text, self.tags, self.linked, self.inside, self.path))
             self.tags = 0
         self.text, self.linked = [], 0
 
@@ -73,7 +104,7 @@ class Lines(HTMLParser):
         if not attrs or tag in ("html", "body", "article", "main"):
             return False
         for k, v in attrs:
-            if v and (k in ("class", "id") and (_NOISE.search(v.lower()) or not self.inside and _OUTSIDE.search(v.lower())) or k == "role" and v.lower() in _ROLES):
+            if v and (k in ("class", "id") and named_noise(v, bool(self.inside)) or k == "role" and v.lower() in _ROLES):
                 return True
             if k == "hidden" or k == "aria-hidden" and v == "true" or k == "style" and v and "display:none" in v.replace(" ", "").lower():
                 return True
@@ -100,7 +131,12 @@ class Lines(HTMLParser):
             self.inside = self.regions
         elif not self.dropped and self.inside and tag == "article" and any(t == "article" for t, *_ in self.stack):
             drops = True  # an article inside an article is a comment or a teaser
-        self.stack.append((tag, drops, before))
+        held = 0
+        if tag in CONTAINERS:
+            self.containers += 1
+            held = self.containers
+            self.path += (held,)
+        self.stack.append((tag, drops, before, held))
         self.dropped += drops
         self.links += tag == "a"
 
@@ -114,8 +150,10 @@ class Lines(HTMLParser):
                 return
 
     def cut(self, k: int) -> None:
-        for tag, drops, before in reversed(self.stack[k:]):
+        for tag, drops, before, held in reversed(self.stack[k:]):
             self.dropped -= drops
+            if held:
+                self.path = self.path[:-1]
             self.links -= tag == "a"
             if not drops:
                 self.inside = before
@@ -140,7 +178,7 @@ class Lines(HTMLParser):
                 self.linked += len(data.strip())
 
 
-def lines_of(page: str) -> list[tuple[str, int, int, int]]:
+def lines_of(page: str) -> list[Line]:
     parser = Lines()
     for at in range(0, len(page), FEED):
         parser.feed(page[at : at + FEED])
@@ -152,9 +190,9 @@ def lines_of(page: str) -> list[tuple[str, int, int, int]]:
     return parser.lines
 
 
-def ratios(lines: list[tuple[str, int, int, int]]) -> np.ndarray:
-    """Characters outside links for each tag of the line."""
-    return np.array([max(0, len(t) - linked) / max(1, tags) for t, tags, linked, _ in lines])
+def ratios(lines: list[Line]) -> np.ndarray:
+    """Characters outside links for each tag of the line, raised inside a marked article."""
+    return np.array([max(0, len(x.text) - x.linked) / max(1, x.tags) * (MARK if x.region else 1.0) for x in lines])
 
 
 def smoothed(x: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
@@ -164,26 +202,43 @@ def smoothed(x: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return np.convolve(x, kernel, "full")[reach : reach + len(x)] / weight
 
 
-def content(lines: list[tuple[str, int, int, int]]) -> list[str]:
+def clusters(lines: list[Line]) -> list[tuple[int, int, float]]:
+    """(first, after last, sum of smoothed ratios) of the runs of lines that open."""
+    score = smoothed(ratios(lines))
+    opens = score >= THRESHOLD * score.mean()
+    found, first = [], None
+    for k in range(len(lines) + 1):
+        if first is not None and (k == len(lines) or not opens[k] or lines[k].region != lines[first].region):
+            found.append((first, k, float(score[first:k].sum())))
+            first = None
+        if first is None and k < len(lines) and opens[k]:
+            first = k
+    return found
+
+
+def content(lines: list[Line]) -> list[str]:
     """The lines of the content regions, in page order."""
     if not lines:
         return []
-    marked = any(region for *_, region in lines)
-    pool = [x for x in lines if x[3]] if marked else lines
-    score = smoothed(ratios(pool))
-    opens = score >= THRESHOLD * score.mean()
-    if marked:
-        good = {x[3] for x, o in zip(pool, opens, strict=True) if o}
-        return [x[0] for x in pool if x[3] in good]
-    # Without a mark: clusters of opening lines, joined over gaps that are not made of links.
-    keep = opens.copy()
-    linky = np.array([linked > 0.5 * len(t) for t, _, linked, _ in pool])
-    at = np.flatnonzero(opens)
-    for a, b in zip(at[:-1], at[1:], strict=True):
-        if b - a > 1 and not linky[a + 1 : b].any():
-            keep[a:b] = True
-    keep &= ~linky
-    return [x[0] for x, k in zip(pool, keep, strict=True) if k]
+    linky = [x.linked > LINKS * len(x.text) for x in lines]
+    found = clusters(lines)
+    least = SHARE * max(c[2] for c in found)
+    articles, containers = set(), set()
+    for first, last, total in found:
+        held = [k for k in range(first, last) if not linky[k]]
+        if total < least or not held:
+            continue
+        if lines[first].region:
+            articles.add(lines[first].region)
+            continue
+        # The containers that all lines of the cluster share; the innermost one is the region.
+        path = lines[held[0]].path
+        for k in held:
+            path = path[: next((d for d, (a, b) in enumerate(zip(path, lines[k].path, strict=False)) if a != b), min(len(path), len(lines[k].path)))]
+        containers.add(path[-1] if path else 0)
+    kept = lambda x: x.region in articles if x.region else bool(containers.intersection(x.path or (0,)))
+    # A marked article keeps its lists of links; elsewhere a line of links is a menu.
+    return [x.text for x, menu in zip(lines, linky, strict=True) if kept(x) and (x.region or not menu)]
 
 
 def extract(page: str | None) -> str:
