@@ -4,15 +4,15 @@ Documents are dealt by ranges of ascending id, so shard k holds the documents af
 Arrow files: `tokens` has rows of SEQUENCE ids (two bytes each where the vocabulary allows, else four) and as many mask
 bits (1: a token, 0: padding after the shard's last token), in batches of ROWS_PER_BATCH rows, so the row and batch of any position follow by division and a memory map
 gives it without copying; `documents` has each document's id, start within the shard and length. A manifest row per
-shard is all that reaches the driver. Files are written under a name of their own and then moved into place, so a
-retried or doubled task leaves one complete file.
+shard is all that reaches the driver, and it names the shard's files. Each attempt of a task writes files of its own, so a
+retried or doubled task never meets another's; files that no manifest row names may be deleted.
 
 Text is encoded by the tokenizers library. Pieces between single spaces are encoded once and kept in a bounded cache,
 which starts with the pieces met most often in a sample of documents (that changes time, not results): byte-level pre-tokenization always starts a new word at a space that stands between two other characters, so the
 pieces' ids joined are those of the whole text. Texts with other white space next to a space are encoded whole.
 
-Defined results: null and empty texts have the end id alone. Equal document ids stand next to each other, ordered by
-text; null ids come first. An empty table gives shards without rows and an empty result.
+Defined results: null and empty texts have the end id alone. Equal document ids stand next to each other, ordered by a
+hash of their text, then the text, so that many rows of one id or of none are spread over shards; null ids come first. An empty table gives shards without rows and an empty result.
 """
 
 from __future__ import annotations
@@ -21,9 +21,11 @@ import os
 import uuid
 import zlib
 from collections import Counter
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,21 +38,10 @@ ROWS_PER_BATCH = 64
 END = 0
 #: Bytes of text of a shard, about.
 SHARD_BYTES = 32 << 20
-CACHE_PIECES, FIRST_PIECES = 250_000, 50_000
+CACHE_PIECES, FIRST_PIECES = 300_000, 50_000
 HOT_SAMPLE, HOT_PIECES = 16, 300_000
 
 
-class Pieces(dict):
-    """Ids of a space and a piece, by piece; b"" marks pieces that may not stand alone. Remembers what it lacked."""
-
-    def __init__(self):
-        super().__init__()
-        self.missed: list[str] = []
-
-    def __missing__(self, piece: str) -> None:
-        self.missed.append(piece)
-
-
 class Encoder:
     """`hot`: ids of pieces known from the start, as learn() makes them; others are kept until CACHE_PIECES."""
 
@@ -65,52 +56,60 @@ class Encoder:
         self.begins = np.zeros(size, bool)
         self.begins[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith("\u0120")]] = True
         self.hot = hot or {}
-        self.cache, self.firsts = Pieces(), {}
-        self.cache.update(self.hot)
+        #: Ids of a space and a piece, by piece; b"" marks pieces that may not stand alone.
+        self.cache, self.firsts = dict(self.hot), {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind).tobytes()
 
     def learn(self, pieces: list[str]) -> dict[str, bytes]:
         """Encode pieces, each after a space, in one text."""
-        good = [p for p in pieces if p and not p[0].isspace() and not p[-1].isspace()]
-        got = dict.fromkeys(pieces, b"")
+        good = [p for p in pieces if p and p == p.strip()]
+        got = dict.fromkeys(pieces, b"") if len(good) < len(pieces) else {}
         if good:
             ids = np.frombuffer(self.whole(" " + " ".join(good)), self.kind)
             data, cuts = ids.tobytes(), (self.kind.itemsize * np.append(np.flatnonzero(self.begins[ids]), len(ids))).tolist()
             got.update(zip(good, [data[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)], strict=True))
         return got
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text, in self.kind."""
-        cache = self.cache
-        if len(cache) > len(self.hot) + CACHE_PIECES:
-            cache.clear()
-            cache.update(self.hot)
-        get, cut = cache.__getitem__, [t.split(" ") if t else () for t in texts]
-        found = [list(map(get, c)) for c in cut]
-        if cache.missed:
-            cache.update(self.learn(list(set(cache.missed))))
-            cache.missed.clear()
-            for ps, fs in zip(cut, found, strict=True):
-                self.patch(ps, fs)
-        out = []
-        for text, ps, fs in zip(texts, cut, found, strict=True):
-            if not fs:
-                out.append(b"")
-            elif b"" in fs:
-                out.append(self.whole(text))
-            else:
-                fs[0] = self.first(ps[0])
-                out.append(b"".join(fs))
-        return out
-
-    def patch(self, pieces: list[str], found: list) -> None:
-        """Fill in what was not known when the pieces were looked up."""
-        at = -1
-        for _ in range(found.count(None)):
-            at = found.index(None, at + 1)
-            found[at] = self.cache[pieces[at]]
+    def known(self, pieces: list[str]) -> list[bytes]:
+        """The ids of distinct pieces, each after a space."""
+        found = list(map(self.cache.get, pieces))
+        if lacking := [p for p, ids in zip(pieces, found, strict=True) if ids is None]:
+            new = self.learn(lacking)
+            found = [new[p] if ids is None else ids for p, ids in zip(pieces, found, strict=True)]
+            if len(self.cache) + len(new) > len(self.hot) + CACHE_PIECES:
+                self.cache = dict(self.hot)
+            self.cache.update(islice(new.items(), CACHE_PIECES))
+        return found
+
+    def encode(self, texts: list[str | None] | pa.Array) -> list[bytes]:
+        """The ids of each text, in self.kind.
+
+        All pieces of the texts are numbered by what they are, distinct ones looked up, and their ids laid out by number.
+        """
+        texts = pa.array(texts, pa.string()) if isinstance(texts, list) else texts
+        cut = pc.split_pattern(texts.fill_null(""), " ")
+        ends = cut.offsets.to_numpy()
+        if not len(texts):
+            return []
+        coded = cut.flatten().dictionary_encode()
+        pieces, numbers = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        ids = self.known(pieces)
+        size = np.fromiter(map(len, ids), np.int32, len(ids)) // self.kind.itemsize
+        flat, starts = np.frombuffer(b"".join(ids), self.kind), np.cumsum(size, dtype=np.int32) - size
+        at = ends[:-1] - ends[0]
+        whole = np.logical_or.reduceat(size[numbers] == 0, at)
+        firsts = numbers[at].tolist()
+        # First pieces have no space before them and are looked up apart; here they take no room.
+        n = size[numbers]
+        n[at] = 0
+        upto = np.cumsum(n, dtype=np.int32)
+        place = np.repeat(starts[numbers] - upto + n, n)
+        place += np.arange(len(place), dtype=np.int32)
+        data = flat[place].tobytes()
+        stops = (np.append(upto[at], upto[-1]) * self.kind.itemsize).tolist()
+        return [(self.whole(texts[k].as_py()) if texts[k].as_py() else b"") if whole[k] else self.first(pieces[p]) + data[stops[k] : stops[k + 1]] for k, p in enumerate(firsts)]
 
     def first(self, piece: str) -> bytes:
         """The ids of a text's first piece, which has no space before it."""
@@ -169,8 +168,9 @@ class ShardWriter:
         self.fs.create_dir(self.base, recursive=True)
         self.sequence, self.shard, self.kind, self.docs, self.at = sequence, shard, kind, 0, 0
         own = uuid.uuid4().hex
-        self.paths = {n: (f"{self.base}/.{n}-{shard:05d}-{own}", f"{self.base}/{n}-{shard:05d}.arrow") for n in ("tokens", "documents")}
-        self.out = {n: self.fs.open_output_stream(a) for n, (a, _) in self.paths.items()}
+        names = {n: f"{n}-{shard:05d}-{own}.arrow" for n in ("tokens", "documents")}
+        self.paths = [f"{base}/{name}" for name in names.values()]
+        self.out = {n: self.fs.open_output_stream(f"{self.base}/{name}") for n, name in names.items()}
         self.schema = token_schema(sequence, kind)
         self.tokens = pa.ipc.new_file(self.out["tokens"], self.schema)
         self.index = pa.ipc.new_file(self.out["documents"], DOCUMENT_SCHEMA)
@@ -205,9 +205,8 @@ class ShardWriter:
         self._flush(True)
         self.tokens.close()
         self.index.close()
-        for name, (own, final) in self.paths.items():
-            self.out[name].close()
-            self.fs.move(own, final)
+        for out in self.out.values():
+            out.close()
 
 
 class ShardReader:
@@ -257,7 +256,8 @@ def write_shards(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_
     hot = spark.sparkContext.broadcast(hot_pieces(docs, path))
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     shards = max(spark.sparkContext.defaultParallelism, -(-total // shard_bytes))
-    ordered = docs.repartitionByRange(shards, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
+    order = F.col("doc_id").asc_nulls_first(), F.xxhash64("text")
+    ordered = docs.repartitionByRange(shards, *order).sortWithinPartitions(*order, F.col("text").asc_nulls_first())
 
     def run(batches):
         from pyspark import TaskContext
@@ -267,11 +267,10 @@ def write_shards(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_
             coder = encoder(path, hot)
             writer = writer or ShardWriter(base, shard, sequence, coder.kind)
             tail = np.array([end], coder.kind).tobytes()
-            writer.add(batch.column("doc_id").to_pylist(), [x + tail for x in coder.encode(batch.column("text").to_pylist())])
+            writer.add(batch.column("doc_id").to_pylist(), [x + tail for x in coder.encode(batch.column("text"))])
         if writer:
             writer.close()
-            paths = [f"{base}/{n}-{shard:05d}.arrow" for n in ("tokens", "documents")]
-            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), *[pa.array([p]) for p in paths], pa.array([writer.docs]), pa.array([writer.at])], names=["shard", "tokens_path", "documents_path", "n_docs", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), *[pa.array([p]) for p in writer.paths], pa.array([writer.docs]), pa.array([writer.at])], names=["shard", "tokens_path", "documents_path", "n_docs", "n_tokens"])
 
     # The manifest has a row for each shard of shard_bytes: the only thing collected.
     rows, start = [], 0
