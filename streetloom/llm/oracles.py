@@ -5,25 +5,31 @@ from __future__ import annotations
 URL_FILTER = r"""
 WITH seen AS (
   SELECT page_id, url, DATE '2024-01-01' + CAST(page_id % 366 AS INTEGER) AS fetched,
-    coalesce(regexp_replace(regexp_extract(lower(url), '^(?:[a-z][a-z0-9+.\-]*:)?//(?:[^/?#@]*@)?([^/:?#]*)', 1), '\.+$', ''), '') AS host
+    coalesce(regexp_replace(regexp_extract(lower(url), '^(?:[a-z][a-z0-9+.\-]*:)?//(?:[^/?#@]*@)?([^/:?#]*)', 1), '\.+$', ''), '') AS host,
+    coalesce(regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//[^/?#]*([^?#]*)', 1), '') AS path
   FROM pages),
 hosts AS (SELECT host AS pattern, min(page_id) AS k FROM seen WHERE host <> '' GROUP BY 1),
+urls AS (SELECT lower(host || path) AS pattern, min(page_id) AS k FROM seen WHERE host <> '' GROUP BY 1),
 entries AS (
-  SELECT 'blocked' AS list, pattern, k FROM hosts WHERE k % 3 = 0
-  UNION ALL SELECT 'allowed', pattern, k FROM hosts WHERE k % 7 = 0),
+  SELECT 'blocked' AS list, 'domain' AS kind, pattern, k FROM hosts WHERE k % 3 = 0
+  UNION ALL SELECT 'allowed', 'domain', pattern, k FROM hosts WHERE k % 7 = 0
+  UNION ALL SELECT 'pages', 'url', pattern, k FROM urls WHERE k % 5 = 0),
 spans AS (
-  SELECT list, pattern, DATE '2024-01-01' + CAST(k * 7 % 300 AS INTEGER) AS a, DATE '2024-01-01' + CAST(k * 7 % 300 + k % 60 + 10 AS INTEGER) AS b FROM entries
-  UNION ALL SELECT list, pattern, DATE '2024-01-01' + CAST(k * 7 % 300 + k % 60 + 40 AS INTEGER), DATE '9999-12-31' FROM entries
-  UNION ALL SELECT 'parents', 'example.org', DATE '2024-05-01', DATE '2024-06-01'),
-visits AS (SELECT DISTINCT host, fetched FROM seen WHERE host <> ''),
+  SELECT list, kind, pattern, DATE '2024-01-01' + CAST(k * 7 % 300 AS INTEGER) AS a, DATE '2024-01-01' + CAST(k * 7 % 300 + k % 60 + 10 AS INTEGER) AS b FROM entries
+  UNION ALL SELECT list, kind, pattern, DATE '2024-01-01' + CAST(k * 7 % 300 + k % 60 + 40 AS INTEGER), DATE '9999-12-31' FROM entries
+  UNION ALL SELECT 'parents', 'domain', 'example.org', DATE '2024-05-01', DATE '2024-06-01'),
+visits AS (SELECT DISTINCT host, path, fetched FROM seen WHERE host <> ''),
+met AS (
+  SELECT v.*, s.list FROM visits v JOIN spans s ON v.host = s.pattern AND s.kind = 'domain' AND v.fetched >= s.a AND v.fetched < s.b
+  UNION ALL SELECT v.*, s.list FROM visits v JOIN spans s ON ends_with(v.host, '.' || s.pattern) AND s.kind = 'domain' AND v.fetched >= s.a AND v.fetched < s.b
+  UNION ALL SELECT v.*, s.list FROM visits v JOIN spans s ON lower(v.host || v.path) = s.pattern AND s.kind = 'url' AND v.fetched >= s.a AND v.fetched < s.b),
 hits AS (
-  SELECT v.host, v.fetched, count(*) AS n, string_agg(DISTINCT s.list, ',' ORDER BY s.list) AS lists,
-    bool_or(s.list <> 'allowed') AS block, bool_or(s.list = 'allowed') AS allow
-  FROM visits v JOIN spans s ON (v.host = s.pattern OR ends_with(v.host, '.' || s.pattern)) AND v.fetched >= s.a AND v.fetched < s.b
-  GROUP BY 1, 2)
+  SELECT host, path, fetched, count(*) AS n, string_agg(DISTINCT list, ',' ORDER BY list) AS lists,
+    bool_or(list <> 'allowed') AS block, bool_or(list = 'allowed') AS allow
+  FROM met GROUP BY 1, 2, 3)
 SELECT page_id, url, seen.fetched, seen.host, CAST(coalesce(n, 0) AS BIGINT) AS n_entries, coalesce(lists, '') AS lists,
   coalesce(block, false) AND NOT coalesce(allow, false) AS blocked
-FROM seen LEFT JOIN hits ON hits.host = seen.host AND hits.fetched = seen.fetched
+FROM seen LEFT JOIN hits ON hits.host = seen.host AND hits.path = seen.path AND hits.fetched = seen.fetched
 """
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
