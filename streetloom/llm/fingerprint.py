@@ -9,12 +9,13 @@ All of it is one projection of a row: hashes and one marker for each bin (above
 the first entry of each bin is its least hash, or the marker of an empty bin.
 
 The next document by id is found without one global sort: ids are cut at percentiles into ranges, ranges into even
-pieces, the first document of each piece is also sent to the piece before it (the very first one to the last), and
-each piece is sorted on its own.
+pieces (an id of very many rows by a hash of their texts), the first document of each piece is also sent to the piece
+before it (the very first one to the last), and each piece is sorted on its own. Pieces are small and dealt over
+partitions of PART_BYTES of text, so a task does not grow with the input.
 
 Defined results: null and empty texts, and texts without words, have the fingerprint of 256 zeros written as dashes; two of them
-have likeness 1, one of them and a text with words 0. Null ids come first; equal ids are ordered by text. A single
-document is its own next document. An empty table gives no rows.
+have likeness 1, one of them and a text with words 0. Null ids come first; equal ids are ordered by a hash of their text,
+then the text; rows equal in both stand in one piece. A single document is its own next document. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,12 +23,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 WIDTH = 5
 BINS, BITS = 256, 4
 DIRECT = 8
-#: Rows of one sorted piece, about.
-PIECE_ROWS = 2000
-RANGES = 256
+#: Rows of one sorted piece, about; ranges of ids; bytes of text of a partition of pieces, about.
+PIECE_ROWS, RANGES, PART_BYTES = 500, 256, 32 << 20
+#: First documents of pieces that are broadcast at most; more are met by a shuffle.
+FEW_FIRSTS = 2_000_000
 _LOW = (1 << 56) - 1
 _LEAST = -(1 << 63)
 
@@ -84,30 +88,43 @@ def likeness(a: str, b: str) -> Column:
     return F.when(F.col(a).isNull() & F.col(b).isNull(), F.lit(1.0)).when(F.col(a).isNull() | F.col(b).isNull(), F.lit(0.0)).otherwise(both)
 
 
-def in_pieces(docs: DataFrame) -> tuple[DataFrame, Window]:
+def in_pieces(docs: DataFrame, piece_rows: int = PIECE_ROWS) -> tuple[DataFrame, Window]:
     """docs (doc_id, text) with the window that puts each beside its next one; rows with _copy = 1 stand after a piece's end."""
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST))
-    docs = docs.withColumn("_key", key)
-    cuts, n = docs.agg(F.percentile_approx("_key", F.lit([k / RANGES for k in range(RANGES + 1)]), 10_000), F.count(F.lit(1))).first()
+    spark = docs.sparkSession
+    docs = docs.withColumns({"_key": F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST)), "_hash": F.xxhash64("text")})
+    cuts, n, size = docs.agg(F.percentile_approx("_key", F.lit([k / RANGES for k in range(RANGES + 1)]), 10_000), F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
+    parts = max(spark.sparkContext.defaultParallelism, -(-(size or 0) // PART_BYTES))
+    order = "_copy", "_key", "_hash", "text"
     if not n:
-        docs = docs.withColumns({"_piece": F.lit(0).cast("long"), "_copy": F.lit(0)})
-    else:
-        cuts = sorted(set(cuts))
-        parts = max(1, -(-n // (len(cuts) * PIECE_ROWS)))
-        lows, highs = F.lit(cuts), F.lit([*cuts[1:], cuts[-1] + 1])
-        docs = docs.withColumn("_range", F.greatest(F.lit(0), F.size(F.filter(lows, lambda x: x <= F.col("_key"))) - 1))
-        low, high = F.get(lows, F.col("_range")).cast("double"), F.get(highs, F.col("_range")).cast("double")
-        within = F.least(F.lit(parts - 1), F.greatest(F.lit(0), F.floor((F.col("_key").cast("double") - low) / F.greatest(high - low, F.lit(1.0)) * parts)))
-        docs = docs.withColumn("_piece", F.col("_range").cast("long") * parts + within.cast("long")).drop("_range")
-        # A row for each piece of PIECE_ROWS documents, ids only.
-        firsts = docs.groupBy("_piece").agg(F.min("_key").alias("_key"))
-        order = Window.orderBy("_piece")
-        last = firsts.agg(F.max("_piece")).first()[0]
-        firsts = firsts.select("_key", F.coalesce(F.lag("_piece").over(order), F.lit(last)).alias("_before"))
-        docs = docs.join(firsts, "_key", "left")
-        sent = F.when(F.col("_before").isNull(), F.array(F.struct(F.col("_piece").alias("p"), F.lit(0).alias("c")))).otherwise(F.array(F.struct(F.col("_piece").alias("p"), F.lit(0).alias("c")), F.struct(F.col("_before").alias("p"), F.lit(1).alias("c"))))
-        docs = docs.select("doc_id", "text", "_key", F.explode(sent).alias("_to")).select("doc_id", "text", "_key", F.col("_to.p").alias("_piece"), F.col("_to.c").alias("_copy"))
-    return docs, Window.partitionBy("_piece").orderBy("_copy", "_key", "text")
+        return docs.withColumns({"_piece": F.lit(0).cast("long"), "_copy": F.lit(0)}), Window.partitionBy("_piece").orderBy(*order)
+    # An id that is several cuts at once holds so many ranges' rows: these are cut by their hash.
+    lows = sorted(set(cuts))
+    heavy = [-(-(cuts.count(x) - 1) * n // (RANGES * piece_rows)) for x in lows]
+    even = max(1, -(-n // (len(lows) * piece_rows)))
+    width = even + max(heavy)
+    lows_, heavy_, highs = F.lit(lows), F.lit(heavy), F.lit([*lows[1:], lows[-1] + 1])
+    docs = docs.withColumn("_range", F.greatest(F.lit(0), F.size(F.filter(lows_, lambda x: x <= F.col("_key"))) - 1))
+    low, high = F.get(lows_, F.col("_range")), F.get(highs, F.col("_range")).cast("double")
+    cut = F.get(heavy_, F.col("_range"))
+    share = F.when((F.col("_key") == low) & (cut > 0), F.col("_hash") / 2.0**64 + 0.5).otherwise((F.col("_key").cast("double") - low.cast("double")) / F.greatest(high - low.cast("double"), F.lit(1.0)))
+    steps = F.when((F.col("_key") == low) & (cut > 0), cut).otherwise(F.lit(even))
+    first = F.when((F.col("_key") == low) & (cut > 0), F.lit(0)).otherwise(cut)
+    within = first + F.least(steps - 1, F.greatest(F.lit(0), F.floor(share * steps)))
+    docs = docs.withColumn("_piece", F.col("_range").cast("long") * width + within.cast("long")).drop("_range")
+    # A row for each piece: ids only. Each goes to the piece before: within a range by a window, between the ranges by the few last pieces.
+    firsts = docs.groupBy("_piece").agg(F.min(F.struct("_key", "_hash")).alias("_f")).select("_piece", "_f.*", F.floor(F.col("_piece") / width).alias("_range"))
+    firsts = materialize(firsts, "firsts")
+    ends = {r[0]: r[1] for r in firsts.groupBy("_range").agg(F.max("_piece")).collect()}  # RANGES + 1 rows at most
+    there = sorted(ends)
+    before = F.create_map(*[F.lit(x) for k, r in enumerate(there) for x in (r, ends[there[k - 1]])])
+    lag = F.lag("_piece").over(Window.partitionBy("_range").orderBy("_piece"))
+    firsts = firsts.select("_key", "_hash", F.coalesce(lag, before[F.col("_range")]).alias("_before"))
+    few = n // piece_rows * 2 + 2 * RANGES < FEW_FIRSTS
+    docs = docs.join(F.broadcast(firsts) if few else firsts, ["_key", "_hash"], "left")
+    at = lambda p, c: F.struct(F.col(p).alias("p"), F.lit(c).alias("c"))
+    sent = F.when(F.col("_before").isNull(), F.array(at("_piece", 0))).otherwise(F.array(at("_piece", 0), at("_before", 1)))
+    docs = docs.select("doc_id", "text", "_key", "_hash", F.explode(sent).alias("_to")).select("doc_id", "text", "_key", "_hash", F.col("_to.p").alias("_piece"), F.col("_to.c").alias("_copy"))
+    return docs.repartition(parts, "_piece"), Window.partitionBy("_piece").orderBy(*order)
 
 
 def fingerprints(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
