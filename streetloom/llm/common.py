@@ -16,13 +16,15 @@ BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; only where it is unset (tests) one is made and set."""
+    """The folder all executors share: spark.checkpoint.dir. Where it is unset a local master gets one of its own; a cluster may not."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             base = held.get()
         else:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             base = tempfile.mkdtemp(prefix="streetloom-")
             spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
