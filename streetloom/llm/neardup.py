@@ -207,7 +207,6 @@ def _ordered(a, b):
 
 def near_duplicates(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", percent: int = PERCENT, row_col: str | None = None) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), a row for each row of docs; with its row_col, where one is named."""
-    spark = docs.sparkSession
     row = [row_col] if row_col else []
     all_docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *row)
     docs = all_docs.select("doc_id", "text")
@@ -248,7 +247,6 @@ def near_duplicates(docs: DataFrame, *, text_col: str = "text", id_col: str = "d
     else:
         out = out.withColumn("component_id", F.coalesce("id", "doc_id"))
     out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
-    spark._jvm.System.gc()
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), *row)
 
 
