@@ -96,6 +96,13 @@ def test_token_files_round_trip(spark, edge, empty, docs, texts):
     assert token_files.read_documents(token_files.write_shards(empty)).count() == 0
 
 
+def test_token_files_spread_rows_of_one_id(spark):
+    df = spark.createDataFrame([(None if k % 10 else k, f"text {k} of its own " * 20) for k in range(4000)], "doc_id long, text string")
+    manifest = token_files.write_shards(df, shard_bytes=40_000).collect()
+    n = sorted(r.n_docs for r in manifest)
+    assert sum(n) == 4000 and n[-1] < 4 * n[len(n) // 2] and all(os.path.exists(p) for r in manifest for p in (r.tokens_path, r.documents_path))
+
+
 def test_token_file_rows_are_views(spark, docs):
     m = token_files.write_shards(docs, sequence=16).first()
     reader = token_files.ShardReader(m.tokens_path, m.documents_path)
@@ -177,6 +184,19 @@ def test_url_filter_edges(spark):
     assert url_filter.filter_urls(c, e.limit(0)).where("blocked").count() == 0 and url_filter.filter_urls(c.limit(0), e).count() == 0
 
 
+def test_url_filter_keeps_columns_and_takes_hot_keys(spark):
+    """Every host is below `com`, which is listed; half of the captures have no url or no day; names begin with underscores."""
+    n = 600
+    rows = [(k, f"http://h{k % 50}.com/{'p' * ((k + 1) % 3 * 5000)}{k % 7}" if k % 4 else None, "2024-01-05" if k % 3 else None, k, -k) for k in range(n)] * 2
+    c = spark.createDataFrame(rows, "id long, URL string, fetched string, _host int, __x int").withColumn("lists", F.lit("old"))
+    e = spark.createDataFrame([("tops", "block", "domain", "com", "add", "2024-01-02"), ("pages", "allow", "url", "h1.com/1", "add", "2024-01-02")], EVENTS.replace("date", "string")).withColumn("day", F.col("day").cast("date"))
+    got = url_filter.filter_urls(c, e, url_col="URL").collect()
+    assert got[0].__fields__ == ["id", "URL", "fetched", "_host", "__x", "host", "n_entries", "lists", "blocked"] and len(got) == 2 * n
+    for r in got:
+        there, free = bool(r.URL and r.fetched), r.URL == "http://h1.com/1"
+        assert (r._host, r['__x']) == (r.id, -r.id) and r.blocked == (there and not free) and r.lists == ("" if not there else "pages,tops" if free else "tops")
+
+
 def _components(texts, percent=85):
     sets = {}
     for k, t in texts.items():
@@ -282,6 +302,24 @@ def test_fingerprint(spark, docs, texts, edge, empty):
     assert fingerprint.fingerprints(edge.where("doc_id = 4")).first().near_next == 1
 
 
+def test_fingerprint_of_many_rows_of_one_id(spark):
+    """Nine tenths of the rows have no id: their pieces stay even, and each still stands beside the next one."""
+    df = spark.createDataFrame([(None if k % 10 else k, f"text {k} of its own") for k in range(9000)], "doc_id long, text string")
+    pieces, _ = fingerprint.in_pieces(df, 300)
+    sizes = sorted(r[1] for r in pieces.where("_copy = 0").groupBy("_piece").count().collect())
+    assert sum(sizes) == 9000 and sizes[-1] < 2 * 300
+    order = {r.text: k for k, r in enumerate(df.orderBy(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), "text").collect())}
+    texts = list(order)
+    got = fingerprint.fingerprints(df).collect()
+    assert len(got) == 9000
+    want = collections.Counter()
+    for k, t in enumerate(texts):
+        u = texts[(k + 1) % len(texts)]
+        half = len(t) // 2
+        want[hashlib.sha256((t[: len(t) - half] + u[:half]).encode()).hexdigest()] += 1
+    assert collections.Counter(r.edited_sha256 for r in got) == want
+
+
 def test_fingerprint_is_the_plain_algorithm(spark):
     df = spark.createDataFrame([(1, "a b c d e f g h"), (2, "a"), (3, " ".join(str(k) for k in range(900)))], "id int, text string")
     got = {r.id: r for r in fingerprint.add_fingerprint(df, F.col("text"), "fp").collect()}
@@ -329,6 +367,90 @@ def test_html(spark):
     assert [r.n_chars for r in html.extract_text(df).orderBy("page_id").collect()] == [0, len("Head & line\nFirst para graph with bold été.\none\ntwo")] and html.extract_text(df.limit(0)).count() == 0
 
 
+def _plain_content(lines):
+    """The clusters by their formulas, line by line."""
+    n = len(lines)
+    ratio = [max(0, len(x.text) - x.linked) / max(1, x.tags) * (html.MARK if x.region else 1) for x in lines]
+    weight = lambda d: math.exp(-0.5 * (d / html.SIGMA) ** 2)
+    near = lambda i: range(max(0, i - 3), min(n, i + 4))
+    score = [sum(ratio[j] * weight(i - j) for j in near(i)) / sum(weight(i - j) for j in near(i)) for i in range(n)]
+    runs = []
+    for i in range(n):
+        if score[i] >= html.THRESHOLD * sum(score) / n:
+            if runs and runs[-1][-1] == i - 1 and lines[i].region == lines[i - 1].region:
+                runs[-1].append(i)
+            else:
+                runs.append([i])
+    sums, kept = [sum(score[i] for i in r) for r in runs], set()
+    menu = lambda x: x.linked > html.LINKS * len(x.text)
+    for r, total in zip(runs, sums):
+        held = [lines[i] for i in r if not menu(lines[i])]
+        if total >= html.SHARE * max(sums) and held:
+            if held[0].region:
+                kept |= {i for i in range(n) if lines[i].region == held[0].region}
+            else:
+                shared = [c for c in held[0].path if all(c in x.path for x in held)]
+                kept |= {i for i in range(n) if not lines[i].region and not menu(lines[i]) and (not shared or shared[-1] in lines[i].path)}
+    return "\n".join(lines[i].text for i in sorted(kept))
+
+
+def test_html_query_is_the_plain_method(spark):
+    pages = {r.page_id: r.html or "" for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
+    got = {r.page_id: r for r in QUERIES["op10_html"](spark, SF).collect()}
+    assert got.keys() == pages.keys()
+    for k, page in pages.items():
+        assert got[k].text == _plain_content(html.lines_of(page)) and got[k].n_chars == len(got[k].text)
+        unmarked = page.replace("<article>", "<div>").replace("</article>", "</div>")
+        assert html.extract(unmarked) == _plain_content(html.lines_of(unmarked))
+
+
+PAR = "A sentence of the article that goes on for a while, with a comma and a full stop. "
+
+
+def _link_list(n):
+    return "<ul>" + "".join(f'<li><a href="/{k}">Item {k}</a></li>' for k in range(n)) + "</ul>"
+
+
+UNMARKED = {
+    # An article's tail: a short heading and a list after the last long paragraph.
+    "tail": (f"<body><div>{_link_list(9)}</div><div><h1>Title</h1>" + f"<p>{PAR * 7}</p>" * 8 + "<h2>In short</h2><ul>" + "<li>a short point</li>" * 6 + f"</ul></div><div>{_link_list(12)}</div></body>", ["Title", *[(PAR * 7).strip()] * 8, "In short", *["a short point"] * 6]),
+    "table": (f"<table><tr><td>{_link_list(15)}</td><td><h2>Head</h2><p>{PAR * 4}</p><p>Short one.</p><p>{PAR * 5}</p></td></tr></table>", ["Head", (PAR * 4).strip(), "Short one.", (PAR * 5).strip()]),
+    "names": (f'<div class="site-header">Name of the site</div><div class="post-body"><h2 id="side-effects">Side effects</h2><p>{PAR * 3}</p><section id="related-work"><h2>Related work</h2><p>{PAR * 4}</p></section></div><div class="comment-list"><p>{PAR}</p></div><div class="cookie-notice">{PAR * 9}</div>', ["Side effects", (PAR * 3).strip(), "Related work", (PAR * 4).strip()]),
+    "sections": (f"<div>{_link_list(6)}</div><main><section><h2>One</h2><p>{PAR * 3}</p></section><section><h2>Two</h2><p>{PAR * 2}</p></section></main><div><p>Made by someone</p></div>", ["One", (PAR * 3).strip(), "Two", (PAR * 2).strip()]),
+}
+
+
+@pytest.mark.parametrize("name", sorted(UNMARKED))
+def test_html_pages_by_hand(name):
+    page, want = UNMARKED[name]
+    assert html.extract(page).split("\n") == want
+
+
+def test_html_precision_and_recall_without_marks():
+    """Random pages of plain divs: long and short paragraphs among menus, teasers and footers."""
+    rng, right, kept, there = random.Random(11), 0, 0, 0
+    for k in range(60):
+        body = [f"b{k} " + PAR * rng.randint(1, 6) if rng.random() < 0.7 else f"b{k} short line {j}" for j in range(rng.randint(6, 20))]
+        teasers = "".join(f'<div><a href="/{j}">Teaser {j} of another page</a> read on</div>' for j in range(rng.randint(0, 8)))
+        page = f"<body><div>{_link_list(rng.randint(3, 15))}</div><div>" + "".join(f"<p>{t}</p>" for t in body) + f"</div><div>{teasers}</div><div><p>Terms and imprint</p></div></body>"
+        got, want = collections.Counter(html.extract(page).split()), collections.Counter(" ".join(body).split())
+        right, kept, there = right + (got & want).total(), kept + got.total(), there + want.total()
+    assert right / kept > 0.99 and right / there > 0.99
+
+
+def test_html_keeps_columns_and_repeated_rows(spark):
+    df = spark.createDataFrame([(1, "u", "<article><p>one</p></article>", "x", 5)] * 3 + [(1, "u", None, None, None)], "page_id long, url string, html string, TEXT string, n_lines int")
+    got = html.extract_text(df).collect()
+    assert got[0].__fields__ == ["page_id", "url", "html", "n_lines", "text", "n_chars"]
+    assert sorted((r.text, r.n_chars, r.n_lines) for r in got if r.html) == [("one", 3, 5)] * 3
+
+
+def test_bpe_keeps_columns(spark):
+    df = spark.createDataFrame([(1, "one two", 7, "x")] * 2, "doc_id long, text string, IDS int, note string")
+    got = bpe.decode(bpe.encode(df)).collect()
+    assert got[0].__fields__ == ["doc_id", "text", "note", "ids", "decoded"] and {(r.note, r.decoded) for r in got} == {("x", "one</w> two</w>")}
+
+
 def test_pipeline(spark):
     import corpus_pipeline as P
 
