@@ -22,10 +22,10 @@ Repeated rows get equal results. Without training documents the base and the mod
 from __future__ import annotations
 
 import math
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,10 +40,9 @@ ENDINGS = 512
 SAMPLE_BYTES, SAMPLE_LONGEST = 3 << 20, 1 << 15
 LANES, WINDOW = 128, 64
 TRAIN_LANES, TRAIN_WINDOW, EPOCHS, RATE = 32, 20, 2, 0.006
-#: The pass over all documents: lanes, least tokens of an update, rate; numbers of a row of weights on their way.
-PASS_LANES, PASS_TOKENS, PASS_RATE, PIECE = 128, 2048, 0.003, 1024
-#: Distinct words counted before they are sent on.
-FLUSH = 150_000
+#: The pass over all documents: lanes, least tokens of an update, rate; texts and bytes packed at once; numbers of a row
+#: of weights on their way.
+PASS_LANES, PASS_TOKENS, PASS_RATE, PASS_ROWS, PASS_BYTES, PIECE = 128, 2048, 0.003, 3000, 16 << 20, 1024
 END = b"\n"
 _BLANKS = bytes(32 if b == 32 or 9 <= b <= 13 else b + 32 if 65 <= b <= 90 else b for b in range(256))
 LN10 = math.log(10)
@@ -53,9 +52,26 @@ def words_of(text: bytes | None) -> list[bytes]:
     return text.translate(_BLANKS).split() if text else []
 
 
-def _log_sum(x: np.ndarray) -> np.ndarray:
-    top = x.max(axis=1)
-    return top + np.log(np.exp(x - top[:, None]).sum(axis=1))
+def cut(texts: list[bytes | None]) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts in a row, and how many each text has."""
+    pieces = pc.split_pattern(pa.array([t.translate(_BLANKS) if t else b"" for t in texts], pa.binary()), b" ")
+    flat, at = pieces.flatten(), pieces.offsets.to_numpy()
+    good = pc.not_equal(pc.binary_length(flat), 0)
+    n = np.add.reduceat(good.to_numpy(zero_copy_only=False), at[:-1] - at[0], dtype=np.int64) if len(texts) else np.zeros(0, np.int64)
+    return flat.filter(good), n
+
+
+def _classes(symbols: np.ndarray) -> np.ndarray:
+    return np.where(symbols < HEAD, symbols // WORDS, symbols - HEAD + CLASSES).astype(np.uint8)
+
+
+def _exponentials(scores: np.ndarray) -> np.ndarray:
+    """Sums of exp of rows of scores, which become those exponentials. Scores are at most 0; rows that vanish are raised first."""
+    low = np.flatnonzero(scores.max(axis=1) < -60) if scores.size and scores.min() < -60 else []
+    if len(low):
+        scores[low] -= scores[low].max(axis=1, keepdims=True)
+    np.exp(scores, out=scores)
+    return scores @ np.ones(scores.shape[1], scores.dtype)
 
 
 class Vocabulary:
@@ -71,7 +87,7 @@ class Vocabulary:
         self.codes = {w: k for k, w in enumerate(head)} | {w: HEAD + k for k, w in enumerate(middle)}
         self.rare_from = HEAD + len(middle)
         self.symbols = np.concatenate([np.arange(HEAD), np.full(len(middle), HEAD), np.full(ENDINGS, HEAD + 1)])
-        self.inputs = np.concatenate([np.arange(HEAD), np.array([HEAD + ending(w) for w in middle], np.int64), HEAD + np.arange(ENDINGS)])
+        self.inputs = np.concatenate([np.arange(HEAD), HEAD + endings(pa.array(middle, pa.binary())), HEAD + np.arange(ENDINGS)])
         seen = np.zeros(self.rare_from + ENDINGS)
         seen[: len(head)] = [counts.get(w, 0) for w in head]
         seen[HEAD : self.rare_from] = [counts[w] for w in middle]
@@ -92,9 +108,13 @@ class Vocabulary:
         self.base_mass = math.log10(total + distinct + 1)
 
 
-def ending(word: bytes) -> int:
-    """A bucket of a word's last two bytes and first one."""
-    return (word[-1] * 31 + word[-2 % len(word)] * 7 + word[0] * 131) % ENDINGS
+def endings(words: pa.Array) -> np.ndarray:
+    """A bucket of the last two bytes and the first one of each word; no word is empty."""
+    if not len(words):
+        return np.zeros(0, np.int64)
+    at, data = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64), np.frombuffer(words.buffers()[2], np.uint8).astype(np.int64)
+    size = np.diff(at)
+    return (data[at[1:] - 1] * 31 + data[at[:-1] + (size - 2) % size] * 7 + data[at[:-1]] * 131) % ENDINGS
 
 
 class Network:
@@ -109,73 +129,112 @@ class Network:
     def step(self, gates: np.ndarray, state: np.ndarray):
         h = HIDDEN
         own = state @ self.p["u"]
-        zr = 1 / (1 + np.exp(-(gates[:, : 2 * h] + own[:, : 2 * h])))
+        zr = gates[:, : 2 * h] + own[:, : 2 * h]
+        np.exp(np.negative(zr, out=zr), out=zr)
+        zr += 1
+        np.reciprocal(zr, out=zr)
         z, r = zr[:, :h], zr[:, h:]
         n = np.tanh(gates[:, 2 * h :] + r * own[:, 2 * h :])
         return n + z * (state - n), (z, r, n, own[:, 2 * h :])
 
+    def scores(self, hidden: np.ndarray, classes: np.ndarray, symbols: np.ndarray):
+        """Of positions sorted by class: scores of classes and, of those in head classes, of the class's words, each less a
+        bound that no state (within -1 and 1) can make them pass; where each class begins."""
+        p = self.p
+        top = (p["cb"] + np.abs(p["c"]).sum(axis=0)).max()
+        tops = (p["wb"] + np.abs(p["w"]).sum(axis=1)).max(axis=1)
+        outer = hidden @ p["c"]
+        outer += p["cb"] - top
+        cuts = np.searchsorted(classes, np.arange(CLASSES + 1)).tolist()
+        inner = np.empty((cuts[-1], WORDS), np.float32)
+        for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+            if a < b:
+                np.matmul(hidden[a:b], p["w"][k], out=inner[a:b])
+                inner[a:b] += p["wb"][k] - tops[k]
+        return outer, inner, cuts
+
     def logs(self, hidden: np.ndarray, symbols: np.ndarray) -> np.ndarray:
         """ln P of each symbol (a head word, HEAD for middle, HEAD + 1 for rare) given its state."""
-        scores = hidden @ self.p["c"] + self.p["cb"]
-        classes = np.where(symbols < HEAD, symbols // WORDS, symbols - HEAD + CLASSES)
-        out = scores[np.arange(len(symbols)), classes] - _log_sum(scores)
+        classes = _classes(symbols)
         order = np.argsort(classes, kind="stable")
-        cuts = np.searchsorted(classes[order], np.arange(CLASSES + 1))
-        for k in range(CLASSES):
-            at = order[cuts[k] : cuts[k + 1]]
-            if len(at):
-                s = hidden[at] @ self.p["w"][k] + self.p["wb"][k]
-                out[at] += s[np.arange(len(at)), symbols[at] % WORDS] - _log_sum(s)
+        classes, symbols = classes[order], symbols[order]
+        outer, inner, cuts = self.scores(hidden[order], classes, symbols)
+        rows, head = np.arange(len(symbols)), cuts[-1]
+        found = outer[rows, classes]
+        words = inner[rows[:head], symbols[:head] % WORDS]
+        with np.errstate(divide="ignore"):
+            found -= self._log_sums(outer)
+            found[:head] += words - self._log_sums(inner)
+        out = np.empty(len(symbols))
+        out[order] = found
+        return out
+
+    @staticmethod
+    def _log_sums(scores: np.ndarray) -> np.ndarray:
+        low = np.flatnonzero(scores.max(axis=1) < -60) if scores.size and scores.min() < -60 else []
+        tops = scores[low].max(axis=1) if len(low) else 0
+        out = np.log(_exponentials(scores))
+        if len(low):
+            out[low] += tops
         return out
 
     def train_window(self, inputs, symbols, fresh, mask, state):
-        """Forward and truncated backward over arrays (steps, lanes); returns gradients, the last state and the loss."""
+        """Forward and truncated backward over arrays (steps, lanes); returns gradients and the last state."""
         p, h, (steps, lanes) = self.p, HIDDEN, inputs.shape
         gates = p["x"][inputs]
-        before, after, kept = [], [], []
+        before, hidden, z, r, n, own = (np.empty((steps, lanes, h), np.float32) for _ in range(6))
+        starts, keep = fresh.any(axis=1), (~fresh).astype(np.float32)[:, :, None]
         for t in range(steps):
-            state = state * ~fresh[t][:, None]
-            before.append(state)
-            state, parts = self.step(gates[t], state)
-            after.append(state)
-            kept.append(parts)
-        hidden, target, good = np.concatenate(after), symbols.ravel(), mask.ravel()
-        g = {k: np.zeros_like(v) for k, v in p.items()}
-        scores = hidden @ p["c"] + p["cb"]
-        scores -= scores.max(axis=1, keepdims=True)
-        prob = np.exp(scores)
-        prob /= prob.sum(axis=1, keepdims=True)
-        classes = np.where(target < HEAD, target // WORDS, target - HEAD + CLASSES)
-        rows = np.arange(len(target))
-        loss = -np.log(prob[rows, classes] + 1e-30)[good].sum()
-        prob[rows, classes] -= 1
-        prob[~good] = 0
-        g["c"], g["cb"] = hidden.T @ prob, prob.sum(axis=0)
-        back = prob @ p["c"].T
-        for k in np.unique(classes[good & (target < HEAD)]):
-            at = np.flatnonzero(good & (classes == k))
-            s = hidden[at] @ p["w"][k] + p["wb"][k]
-            s = np.exp(s - s.max(axis=1, keepdims=True))
-            s /= s.sum(axis=1, keepdims=True)
-            own = np.arange(len(at))
-            loss -= np.log(s[own, target[at] % WORDS] + 1e-30).sum()
-            s[own, target[at] % WORDS] -= 1
-            g["w"][k], g["wb"][k] = hidden[at].T @ s, s.sum(axis=0)
-            back[at] += s @ p["w"][k].T
+            if starts[t]:
+                state = state * keep[t]
+            before[t] = state
+            state, (z[t], r[t], n[t], own[t]) = self.step(gates[t], state)
+            hidden[t] = state
+        flat = mask.ravel()
+        target = symbols.ravel()
+        classes = np.where(flat, _classes(target), CLASSES + 2).astype(np.uint8)
+        order = np.argsort(classes, kind="stable")[: int(flat.sum())]
+        classes, target = classes[order], target[order]
+        seen = hidden.reshape(-1, h)[order]
+        outer, inner, cuts = self.scores(seen, classes, target)
+        rows, head = np.arange(len(order)), cuts[-1]
+        outer /= _exponentials(outer)[:, None]
+        outer[rows, classes] -= 1
+        inner /= _exponentials(inner)[:, None]
+        inner[rows[:head], target[:head] % WORDS] -= 1
+        g = {"c": seen.T @ outer, "cb": outer.sum(axis=0), "w": np.zeros_like(p["w"]), "wb": np.zeros_like(p["wb"])}
+        pull = outer @ p["c"].T
+        for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+            if a < b:
+                np.matmul(seen[a:b].T, inner[a:b], out=g["w"][k])
+                inner[a:b].sum(axis=0, out=g["wb"][k])
+                pull[a:b] += inner[a:b] @ p["w"][k].T
+        back = np.zeros((steps * lanes, h), np.float32)
+        back[order] = pull
         back = back.reshape(steps, lanes, h)
-        flow, g_gates = np.zeros((lanes, h), np.float32), np.zeros_like(gates)
+        # What does not depend on the flow from later steps, for all steps at once.
+        by_n, by_z, by_r = (1 - z) * (1 - n * n), (before - n) * z * (1 - z), own * r * (1 - r)
+        d_own, d_n = np.empty((steps, lanes, 3 * h), np.float32), np.empty((steps, lanes, h), np.float32)
+        flow, turned = np.zeros((lanes, h), np.float32), np.ascontiguousarray(p["u"].T)
         for t in range(steps - 1, -1, -1):
-            flow = flow + back[t]
-            (z, r, n, own), was = kept[t], before[t]
-            d_n = flow * (1 - z) * (1 - n * n)
-            d_z = flow * (was - n) * z * (1 - z)
-            d_r = d_n * own * r * (1 - r)
-            g_gates[t] = np.concatenate([d_z, d_r, d_n], axis=1)
-            d_own = np.concatenate([d_z, d_r, d_n * r], axis=1)
-            g["u"] += was.T @ d_own
-            flow = (flow * z + d_own @ p["u"].T) * ~fresh[t][:, None]
-        np.add.at(g["x"], inputs.ravel(), g_gates.reshape(-1, 3 * h))
-        return g, state, loss
+            flow += back[t]
+            np.multiply(flow, by_n[t], out=d_n[t])
+            np.multiply(flow, by_z[t], out=d_own[t, :, :h])
+            np.multiply(d_n[t], by_r[t], out=d_own[t, :, h : 2 * h])
+            np.multiply(d_n[t], r[t], out=d_own[t, :, 2 * h :])
+            flow *= z[t]
+            flow += d_own[t] @ turned
+            if starts[t]:
+                flow *= keep[t]
+        g["u"] = before.reshape(-1, h).T @ d_own.reshape(-1, 3 * h)
+        d_own[:, :, 2 * h :] = d_n
+        into = inputs.ravel().astype(np.int16)
+        order = np.argsort(into, kind="stable")
+        into = into[order]
+        first = np.flatnonzero(np.concatenate([[True], into[1:] != into[:-1]]))
+        g["x"] = np.zeros_like(p["x"])
+        g["x"][into[first]] = np.add.reduceat(d_own.reshape(-1, 3 * h)[order], first, axis=0)
+        return g, state
 
     def update(self, g: dict, n: int, rate: float) -> None:
         """Adam."""
@@ -183,38 +242,58 @@ class Network:
             self.moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.p.items()}
             self.time = 0
         self.time += 1
-        norm = math.sqrt(sum(float((v * v).sum()) for v in g.values())) / max(1, n)
-        scale = 1 / max(1, n) * min(1, 1 / max(norm, 1e-9))
+        norm = math.sqrt(sum(float(np.vdot(v, v)) for v in g.values())) / max(1, n)
+        scale = np.float32(1 / max(1, n) * min(1, 1 / max(norm, 1e-9)))
         fix1, fix2 = 1 - 0.9**self.time, 1 - 0.99**self.time
         for k, v in g.items():
-            v = v * scale
+            v *= scale
             m, s = self.moments[k]
-            m += 0.1 * (v - m)
-            s += 0.01 * (v * v - s)
-            self.p[k] -= (rate * (m / fix1) / (np.sqrt(s / fix2) + 1e-8)).astype(np.float32)
-
-
-class Codes(dict):
-    """Codes of words, kept up to FLUSH beyond the vocabulary's own."""
-
-    def __init__(self, v: Vocabulary):
-        super().__init__(v.codes)
-        self.v = v
-
-    def __missing__(self, word: bytes) -> int:
-        code = self.v.rare_from + ending(word)
-        if len(word) <= KNOWN_BYTES:
-            self[word] = code
-        return code
-
-    def bound(self) -> None:
-        if len(self) > len(self.v.codes) + FLUSH:
-            self.clear()
-            self.update(self.v.codes)
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        """Codes of a document's words and its end."""
-        return np.fromiter(map(self.__getitem__, (*words, END)), np.int64, len(words) + 1)
+            m *= np.float32(0.9)
+            m += np.float32(0.1) * v
+            v *= v
+            s *= np.float32(0.99)
+            s += np.float32(0.01) * v
+            np.sqrt(s, out=v)
+            v *= np.float32(1 / math.sqrt(fix2))
+            v += np.float32(1e-8)
+            np.divide(m, v, out=v)
+            v *= np.float32(rate / fix1)
+            self.p[k] -= v
+
+
+class Coded:
+    """Texts as codes: `flat` with the end after each text's words, `at` where each text begins in it, and its parts in `docs`."""
+
+    def __init__(self, v: Vocabulary, texts: list[bytes | None]):
+        words, self.n = cut(texts)
+        coded = words.dictionary_encode()
+        self.words, self.numbers = coded.dictionary, coded.indices.to_numpy()
+        own = np.fromiter((v.codes.get(w, -1) for w in self.words.to_pylist()), np.int64, len(self.words))
+        rare = np.flatnonzero(own < 0)
+        own[rare] = v.rare_from + endings(self.words)[rare]
+        self.at = np.cumsum(self.n + 1) - self.n - 1
+        self.flat = np.zeros(len(self.numbers) + len(texts), np.int64)
+        inner = np.ones(len(self.flat), bool)
+        inner[self.at + self.n] = False
+        self.flat[inner] = own[self.numbers]
+        self.flat[~inner] = v.codes[END]
+        self.docs = np.split(self.flat, self.at[1:]) if texts else []
+
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        """Of each text, the sum of its codes' values."""
+        return np.add.reduceat(values[self.flat], self.at) if len(self.at) else np.zeros(0)
+
+    def rare(self, v: Vocabulary, first: int) -> tuple[pa.Array, pa.Array]:
+        """Each rare word with the places of the texts that hold it, counted from first, once for each time."""
+        inner = np.ones(len(self.flat), bool)
+        inner[self.at + self.n] = False
+        far = np.flatnonzero(self.flat[inner] >= v.rare_from)
+        numbers, owner = self.numbers[far], first + np.repeat(np.arange(len(self.n)), self.n)[far]
+        order = np.argsort(numbers, kind="stable")
+        numbers = numbers[order]
+        starts = np.flatnonzero(np.concatenate([[True], numbers[1:] != numbers[:-1]])) if len(numbers) else np.zeros(0, np.int64)
+        lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(numbers)), pa.int32()), pa.array(owner[order], pa.int64()))
+        return self.words.take(pa.array(numbers[starts])), lists
 
 
 def packed(docs: list[np.ndarray], lanes: int) -> list[list[int]]:
@@ -245,59 +324,63 @@ def streams(outs: list[np.ndarray], intos: list[np.ndarray], lanes: list[list[in
         yield target, feed, fresh, np.repeat(lane, sizes)
 
 
+def windows(lanes: list[tuple], step: int, reach: int = 16):
+    """Tables (steps, lanes) of targets, inputs, starts and owners (-1: none) of successive windows, lanes by falling length.
+
+    Tables are filled for `reach` windows at a time; lanes that have ended are left out.
+    """
+    sizes = np.array([len(x[0]) for x in lanes], np.int64)
+    for base in range(0, int(sizes.max(initial=0)), step * reach):
+        live, wide = int((sizes > base).sum()), min(step * reach, int(sizes[0]) - base)
+        tables = [np.zeros((live, wide), t) for t in (np.int64, np.int64, bool, np.int64)]
+        tables[3][:] = -1
+        for k in range(live):
+            for table, x in zip(tables, lanes[k], strict=True):
+                part = x[base : base + wide]
+                table[k, : len(part)] = part
+        turned = [np.ascontiguousarray(t.T) for t in tables]
+        for at in range(0, wide, step):
+            there = int((sizes > base + at).sum())
+            yield [t[at : at + step, :there] for t in turned]
+
+
 def log_likelihoods(net: Network, outs: list[np.ndarray], intos: list[np.ndarray]) -> np.ndarray:
     """ln P of the symbols of each document."""
     result = np.zeros(len(outs))
     lanes = list(streams(outs, intos, packed(outs, LANES)))
-    sizes = np.array([len(x[0]) for x in lanes])
     state = np.zeros((len(lanes), HIDDEN), np.float32)
-    for at in range(0, int(sizes.max(initial=0)), WINDOW):
-        live = int((sizes > at).sum())
+    for target, feed, fresh, owner in windows(lanes, WINDOW):
+        steps, live = target.shape
         state = state[:live]
-        steps = min(WINDOW, int(sizes[0]) - at)
-        target, feed, fresh, owner = (np.zeros((live, steps), t) for t in (np.int64, np.int64, bool, np.int64))
-        owner[:] = -1
-        for k in range(live):
-            part = slice(at, min(at + steps, sizes[k]))
-            n = part.stop - part.start
-            for table, x in zip((target, feed, fresh, owner), lanes[k], strict=True):
-                table[k, :n] = x[part]
-        gates = net.p["x"][feed.T]
-        keep = (~fresh.T).astype(np.float32)[:, :, None]
-        any_fresh = fresh.any(axis=0)
+        gates = net.p["x"][feed]
+        keep, starts = (~fresh).astype(np.float32)[:, :, None], fresh.any(axis=1)
         hidden = np.empty((steps, live, HIDDEN), np.float32)
         for t in range(steps):
-            if any_fresh[t]:
+            if starts[t]:
                 state = state * keep[t]
             state, _ = net.step(gates[t], state)
             hidden[t] = state
-        own = owner.T.ravel()
+        own = owner.ravel()
         good = own >= 0
-        logs = net.logs(hidden.reshape(-1, HIDDEN)[good], target.T.ravel()[good])
+        logs = net.logs(hidden.reshape(-1, HIDDEN)[good], target.ravel()[good])
         result += np.bincount(own[good], logs, len(outs))
     return result
 
 
 def train(texts: list[bytes], v: Vocabulary, *, epochs: int = EPOCHS, rate: float = RATE) -> Network:
-    net, codes = Network(v), Codes(v)
-    found = [codes.of(words_of(t)) for t in texts]
+    net, found = Network(v), Coded(v, texts).docs
     outs, intos = [v.taught[c] for c in found], [v.inputs[c] for c in found]
     rng = np.random.default_rng(1)
     total, done = epochs * sum(map(len, outs)), 0
     for _ in range(epochs):
         order = rng.permutation(len(outs)).tolist()
         count = min(TRAIN_LANES, len(order))
-        lanes = list(streams(outs, intos, [order[k::count] for k in range(count)])) if count else []
-        longest = max((len(x[0]) for x in lanes), default=0)
+        lanes = sorted(streams(outs, intos, [order[k::count] for k in range(count)]), key=lambda x: -len(x[0])) if count else []
         state = np.zeros((len(lanes), HIDDEN), np.float32)
-        for at in range(0, longest, TRAIN_WINDOW):
-            steps = min(TRAIN_WINDOW, longest - at)
-            target, feed, fresh, mask = (np.zeros((len(lanes), steps), t) for t in (np.int64, np.int64, bool, bool))
-            for k, x in enumerate(lanes):
-                n = max(0, min(steps, len(x[0]) - at))
-                target[k, :n], feed[k, :n], fresh[k, :n], mask[k, :n] = x[0][at : at + n], x[1][at : at + n], x[2][at : at + n], True
+        for target, feed, fresh, owner in windows(lanes, TRAIN_WINDOW):
+            mask = owner >= 0
             n = int(mask.sum())
-            grads, state, _ = net.train_window(feed.T, target.T, fresh.T, mask.T, state)
+            grads, state = net.train_window(feed, target, fresh, mask, state[: target.shape[1]])
             net.update(grads, n, rate * max(0.05, 1 - done / total))
             done += n
     net.moments = None
@@ -307,27 +390,32 @@ def train(texts: list[bytes], v: Vocabulary, *, epochs: int = EPOCHS, rate: floa
 def pass_over(net: Network, outs: list[np.ndarray], intos: list[np.ndarray], rate: float) -> int:
     """One pass of updates over all symbols of the documents; how many they are."""
     lanes = list(streams(outs, intos, packed(outs, PASS_LANES))) if outs else []
-    sizes = np.array([len(x[0]) for x in lanes], np.int64)
     state = np.zeros((len(lanes), HIDDEN), np.float32)
-    held, n = None, 0
-    for at in range(0, int(sizes.max(initial=0)), TRAIN_WINDOW):
-        live = int((sizes > at).sum())
-        steps = min(TRAIN_WINDOW, int(sizes[0]) - at)
-        target, feed, fresh, mask = (np.zeros((live, steps), t) for t in (np.int64, np.int64, bool, bool))
-        for k in range(live):
-            part = slice(at, min(at + steps, sizes[k]))
-            for table, x in zip((target, feed, fresh), lanes[k], strict=False):
-                table[k, : part.stop - at] = x[part]
-            mask[k, : part.stop - at] = True
-        grads, state, _ = net.train_window(feed.T, target.T, fresh.T, mask.T, state[:live])
+    held, n, total = None, 0, 0
+    for target, feed, fresh, owner in windows(lanes, TRAIN_WINDOW):
+        mask = owner >= 0
+        grads, state = net.train_window(feed, target, fresh, mask, state[: target.shape[1]])
         held = grads if held is None else {k: g + grads[k] for k, g in held.items()}
         n += int(mask.sum())
         if n >= PASS_TOKENS:
             net.update(held, n, rate)
+            total += n
             held, n = None, 0
     if n:
         net.update(held, n, rate * n / PASS_TOKENS)
-    return int(sizes.sum())
+    return total + n
+
+
+def gathered(batches):
+    """Lists of texts joined up to PASS_ROWS of them or PASS_BYTES: the more texts are packed at once, the fuller are the lanes."""
+    held: list[bytes | None] = []
+    for texts in batches:
+        held += texts
+        if len(held) >= PASS_ROWS or sum(len(t) for t in held if t) >= PASS_BYTES:
+            yield held
+            held = []
+    if held:
+        yield held
 
 
 def taught(docs: DataFrame, start, text_col: str = "text") -> dict | None:
@@ -340,11 +428,10 @@ def taught(docs: DataFrame, start, text_col: str = "text") -> dict | None:
 
     def run(batches):
         v, first = start.value
-        net, codes, tokens = Network(v), Codes(v), 0
+        net, tokens = Network(v), 0
         net.p = {k: w.copy() for k, w in first.p.items()}
-        for batch in batches:
-            codes.bound()
-            found = [codes.of(words_of(t)) for t in utf8(batch, text_col)]
+        for texts in gathered(utf8(batch, text_col) for batch in batches):
+            found = Coded(v, texts).docs
             tokens += pass_over(net, [v.taught[c] for c in found], [v.inputs[c] for c in found], PASS_RATE)
         if tokens:
             flat = np.concatenate([w.ravel() for w in net.p.values()]).astype(np.float64) * tokens
@@ -374,20 +461,11 @@ def count_words(docs: DataFrame, text_col: str) -> DataFrame:
     """(word, n) over all tokens of docs, END once a row; counted before the shuffle."""
     bound_batches(docs.sparkSession)
 
-    def send(counts):
-        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
-
     def run(batches):
-        counts: Counter = Counter()
         for batch in batches:
-            for text in utf8(batch, text_col):
-                counts.update(words_of(text))
-                counts[END] += 1
-                if len(counts) > FLUSH:
-                    yield send(counts)
-                    counts.clear()
-        if counts:
-            yield send(counts)
+            words, n = cut(utf8(batch, text_col))
+            found = words.value_counts()
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays([found.field("values"), pa.array([END], pa.binary())]), pa.concat_arrays([found.field("counts"), pa.array([len(n)], pa.int64())])], names=["word", "n"])
 
     return docs.select(text_col).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -450,36 +528,22 @@ def _scored(docs: DataFrame, broadcast) -> DataFrame:
         key = broadcast._jbroadcast.id() if broadcast._jbroadcast is not None else id(broadcast.value)
         if key not in _held:
             _held.clear()
-            v, net = broadcast.value
-            _held[key] = v, net, Codes(v)
-        v, net, codes = _held[key]
+            _held[key] = broadcast.value
+        v, net = _held[key]
         uid = TaskContext.get().partitionId() << 33
         for batch in batches:
-            codes.bound()
-            outs, intos, base, known, within, rare, n_rare = [], [], [], [], [], {}, []
-            for k, text in enumerate(utf8(batch, "text")):
-                words = words_of(text)
-                c = codes.of(words)
-                outs.append(v.symbols[c])
-                intos.append(v.inputs[c])
-                base.append(float(v.logs[c].sum()))
-                known.append(int(v.known[c].sum()))
-                within.append(float(v.within[c].sum()))
-                far = np.flatnonzero(c >= v.rare_from).tolist()
-                n_rare.append(len(far))
-                for i in far:
-                    rare.setdefault(words[i], []).append(uid + k)
-            ln = log_likelihoods(net, outs, intos)
-            n = len(outs)
+            got = Coded(v, utf8(batch, "text"))
+            ln, n = log_likelihoods(net, [v.symbols[c] for c in got.docs], [v.inputs[c] for c in got.docs]), len(got.n)
+            known, base, score, far = got.sums(v.known.astype(np.int64)), got.sums(v.logs), ln / LN10 + got.sums(v.within), got.sums((np.arange(len(v.known)) >= v.rare_from).astype(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(range(uid, uid + n), pa.int64()), batch.column("doc_id"), batch.column("held_out"), pa.array([len(o) for o in outs], pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(ln / LN10 + np.array(within)), pa.array(n_rare, pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.list_(pa.int64()))],
+                [pa.array(np.arange(uid, uid + n)), batch.column("doc_id"), batch.column("held_out"), *map(pa.array, (got.n + 1, known, base, score, far)), pa.nulls(n, pa.binary()), pa.nulls(n, pa.list_(pa.int64()))],
                 names=[*names, "word", "docs"],
             )
+            words, where = got.rare(v, uid)
             uid += n
-            if rare:
-                m = len(rare)
+            if m := len(words):
                 empty = [pa.nulls(m, t) for t in (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64())]
-                yield pa.RecordBatch.from_arrays([*empty, pa.array(list(rare), pa.binary()), pa.array(list(rare.values()), pa.list_(pa.int64()))], names=[*names, "word", "docs"])
+                yield pa.RecordBatch.from_arrays([*empty, words, where], names=[*names, "word", "docs"])
 
     return docs.mapInArrow(run, SCORED + ", word binary, docs array<long>")
 
