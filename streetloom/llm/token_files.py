@@ -38,7 +38,7 @@ ROWS_PER_BATCH = 64
 END = 0
 #: Bytes of text of a shard, about.
 SHARD_BYTES = 32 << 20
-CACHE_PIECES, FIRST_PIECES = 300_000, 50_000
+CACHE_PIECES, FIRST_PIECES = 1_000_000, 50_000
 HOT_SAMPLE, HOT_PIECES = 16, 300_000
 
 
