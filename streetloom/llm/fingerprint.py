@@ -29,7 +29,7 @@ WIDTH = 5
 BINS, BITS = 256, 4
 DIRECT = 8
 #: Rows of one sorted piece, about; ranges of ids; bytes of text of a partition of pieces, about.
-PIECE_ROWS, RANGES, PART_BYTES = 500, 256, 32 << 20
+PIECE_ROWS, RANGES, PART_BYTES = 500, 256, 16 << 20
 #: First documents of pieces that are broadcast at most; more are met by a shuffle.
 FEW_FIRSTS = 2_000_000
 _LOW = (1 << 56) - 1
