@@ -42,7 +42,7 @@ LANES, WINDOW = 128, 64
 TRAIN_LANES, TRAIN_WINDOW, EPOCHS, RATE = 32, 20, 2, 0.006
 #: The pass over all documents: lanes, least tokens of an update, rate; texts and bytes packed at once; numbers of a row
 #: of weights on their way.
-PASS_LANES, PASS_TOKENS, PASS_RATE, PASS_ROWS, PASS_BYTES, PIECE = 128, 2048, 0.003, 3000, 16 << 20, 1024
+PASS_LANES, PASS_TOKENS, PASS_RATE, PASS_ROWS, PASS_BYTES, PIECE = 128, 2048, 0.003, 5000, 20 << 20, 1024
 END = b"\n"
 _BLANKS = bytes(32 if b == 32 or 9 <= b <= 13 else b + 32 if 65 <= b <= 90 else b for b in range(256))
 LN10 = math.log(10)
@@ -84,10 +84,11 @@ class Vocabulary:
         middle = [w for w in order if w not in there]
         self.middle = sum(counts[w] + 1 for w in middle)
         # A code is a head word's symbol, then a middle word's place, then an ending of the others.
-        self.codes = {w: k for k, w in enumerate(head)} | {w: HEAD + k for k, w in enumerate(middle)}
+        self.listed = pa.array([*head, *middle], pa.binary())
+        self.places = np.concatenate([np.arange(len(head)), HEAD + np.arange(len(middle))])
         self.rare_from = HEAD + len(middle)
-        self.symbols = np.concatenate([np.arange(HEAD), np.full(len(middle), HEAD), np.full(ENDINGS, HEAD + 1)])
-        self.inputs = np.concatenate([np.arange(HEAD), HEAD + endings(pa.array(middle, pa.binary())), HEAD + np.arange(ENDINGS)])
+        self.symbols = np.concatenate([np.arange(HEAD), np.full(len(middle), HEAD), np.full(ENDINGS, HEAD + 1)]).astype(np.int16)
+        self.inputs = np.concatenate([np.arange(HEAD), HEAD + endings(pa.array(middle, pa.binary())), HEAD + np.arange(ENDINGS)]).astype(np.int16)
         seen = np.zeros(self.rare_from + ENDINGS)
         seen[: len(head)] = [counts.get(w, 0) for w in head]
         seen[HEAD : self.rare_from] = [counts[w] for w in middle]
@@ -95,7 +96,7 @@ class Vocabulary:
         self.within = np.zeros(len(seen))
         self.within[HEAD : self.rare_from] = np.log10((seen[HEAD : self.rare_from] + 1) / max(1, self.middle))
         # A training word of count 2 has been seen once elsewhere: to training it is what a word of count 1 is to scoring.
-        self.taught = np.where((seen == 2) & (self.symbols == HEAD), HEAD + 1, self.symbols)
+        self.taught = np.where((seen == 2) & (self.symbols == HEAD), HEAD + 1, self.symbols).astype(np.int16)
         self.rare_total = total - sum(counts.values())
         self.rare_distinct = distinct - len(counts)
         n = np.ones(HEAD)
@@ -266,34 +267,30 @@ class Coded:
 
     def __init__(self, v: Vocabulary, texts: list[bytes | None]):
         words, self.n = cut(texts)
-        coded = words.dictionary_encode()
-        self.words, self.numbers = coded.dictionary, coded.indices.to_numpy()
-        own = np.fromiter((v.codes.get(w, -1) for w in self.words.to_pylist()), np.int64, len(self.words))
-        rare = np.flatnonzero(own < 0)
-        own[rare] = v.rare_from + endings(self.words)[rare]
+        found = pc.index_in(words, value_set=v.listed)
+        far = found.is_null()
+        self.far, self.rare_words = np.flatnonzero(far.to_numpy(zero_copy_only=False)), words.filter(far)
+        own = v.places[found.fill_null(0).to_numpy()]
+        own[self.far] = v.rare_from + endings(self.rare_words)
         self.at = np.cumsum(self.n + 1) - self.n - 1
-        self.flat = np.zeros(len(self.numbers) + len(texts), np.int64)
+        self.flat = np.zeros(len(own) + len(texts), np.int32)
         inner = np.ones(len(self.flat), bool)
         inner[self.at + self.n] = False
-        self.flat[inner] = own[self.numbers]
-        self.flat[~inner] = v.codes[END]
+        self.flat[inner] = own
+        # The end has code 0.
         self.docs = np.split(self.flat, self.at[1:]) if texts else []
 
     def sums(self, values: np.ndarray) -> np.ndarray:
         """Of each text, the sum of its codes' values."""
         return np.add.reduceat(values[self.flat], self.at) if len(self.at) else np.zeros(0)
 
-    def rare(self, v: Vocabulary, first: int) -> tuple[pa.Array, pa.Array]:
+    def rare(self, first: int) -> tuple[pa.Array, pa.Array]:
         """Each rare word with the places of the texts that hold it, counted from first, once for each time."""
-        inner = np.ones(len(self.flat), bool)
-        inner[self.at + self.n] = False
-        far = np.flatnonzero(self.flat[inner] >= v.rare_from)
-        numbers, owner = self.numbers[far], first + np.repeat(np.arange(len(self.n)), self.n)[far]
+        coded = self.rare_words.dictionary_encode()
+        numbers, owner = coded.indices.to_numpy(), first + np.repeat(np.arange(len(self.n)), self.n)[self.far]
         order = np.argsort(numbers, kind="stable")
-        numbers = numbers[order]
-        starts = np.flatnonzero(np.concatenate([[True], numbers[1:] != numbers[:-1]])) if len(numbers) else np.zeros(0, np.int64)
-        lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(numbers)), pa.int32()), pa.array(owner[order], pa.int64()))
-        return self.words.take(pa.array(numbers[starts])), lists
+        starts = np.concatenate([[0], np.cumsum(np.bincount(numbers, minlength=len(coded.dictionary)))])
+        return coded.dictionary, pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(owner[order], pa.int64()))
 
 
 def packed(docs: list[np.ndarray], lanes: int) -> list[list[int]]:
@@ -317,11 +314,11 @@ def streams(outs: list[np.ndarray], intos: list[np.ndarray], lanes: list[list[in
         target = np.concatenate([outs[d] for d in lane])
         sizes = np.array([len(outs[d]) for d in lane])
         starts = np.cumsum(sizes) - sizes
-        feed = np.concatenate([[0], np.concatenate([intos[d] for d in lane])[:-1]])
+        feed = np.concatenate([np.zeros(1, np.int16), np.concatenate([intos[d] for d in lane])[:-1]])
         feed[starts] = 0
         fresh = np.zeros(len(target), bool)
         fresh[starts] = True
-        yield target, feed, fresh, np.repeat(lane, sizes)
+        yield target, feed, fresh, np.repeat(np.array(lane, np.int32), sizes)
 
 
 def windows(lanes: list[tuple], step: int, reach: int = 16):
@@ -332,7 +329,7 @@ def windows(lanes: list[tuple], step: int, reach: int = 16):
     sizes = np.array([len(x[0]) for x in lanes], np.int64)
     for base in range(0, int(sizes.max(initial=0)), step * reach):
         live, wide = int((sizes > base).sum()), min(step * reach, int(sizes[0]) - base)
-        tables = [np.zeros((live, wide), t) for t in (np.int64, np.int64, bool, np.int64)]
+        tables = [np.zeros((live, wide), t) for t in (np.int16, np.int16, bool, np.int32)]
         tables[3][:] = -1
         for k in range(live):
             for table, x in zip(tables, lanes[k], strict=True):
@@ -407,15 +404,15 @@ def pass_over(net: Network, outs: list[np.ndarray], intos: list[np.ndarray], rat
 
 
 def gathered(batches):
-    """Lists of texts joined up to PASS_ROWS of them or PASS_BYTES: the more texts are packed at once, the fuller are the lanes."""
-    held: list[bytes | None] = []
-    for texts in batches:
-        held += texts
-        if len(held) >= PASS_ROWS or sum(len(t) for t in held if t) >= PASS_BYTES:
-            yield held
+    """Batches joined up to PASS_ROWS rows or PASS_BYTES: the more texts are packed at once, the fuller are the lanes."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= PASS_ROWS or sum(b.nbytes for b in held) >= PASS_BYTES:
+            yield pa.concat_batches(held)
             held = []
     if held:
-        yield held
+        yield pa.concat_batches(held)
 
 
 def taught(docs: DataFrame, start, text_col: str = "text") -> dict | None:
@@ -430,8 +427,8 @@ def taught(docs: DataFrame, start, text_col: str = "text") -> dict | None:
         v, first = start.value
         net, tokens = Network(v), 0
         net.p = {k: w.copy() for k, w in first.p.items()}
-        for texts in gathered(utf8(batch, text_col) for batch in batches):
-            found = Coded(v, texts).docs
+        for batch in gathered(batches):
+            found = Coded(v, utf8(batch, text_col)).docs
             tokens += pass_over(net, [v.taught[c] for c in found], [v.inputs[c] for c in found], PASS_RATE)
         if tokens:
             flat = np.concatenate([w.ravel() for w in net.p.values()]).astype(np.float64) * tokens
@@ -531,7 +528,7 @@ def _scored(docs: DataFrame, broadcast) -> DataFrame:
             _held[key] = broadcast.value
         v, net = _held[key]
         uid = TaskContext.get().partitionId() << 33
-        for batch in batches:
+        for batch in gathered(batches):
             got = Coded(v, utf8(batch, "text"))
             ln, n = log_likelihoods(net, [v.symbols[c] for c in got.docs], [v.inputs[c] for c in got.docs]), len(got.n)
             known, base, score, far = got.sums(v.known.astype(np.int64)), got.sums(v.logs), ln / LN10 + got.sums(v.within), got.sums((np.arange(len(v.known)) >= v.rare_from).astype(np.int64))
@@ -539,7 +536,7 @@ def _scored(docs: DataFrame, broadcast) -> DataFrame:
                 [pa.array(np.arange(uid, uid + n)), batch.column("doc_id"), batch.column("held_out"), *map(pa.array, (got.n + 1, known, base, score, far)), pa.nulls(n, pa.binary()), pa.nulls(n, pa.list_(pa.int64()))],
                 names=[*names, "word", "docs"],
             )
-            words, where = got.rare(v, uid)
+            words, where = got.rare(uid)
             uid += n
             if m := len(words):
                 empty = [pa.nulls(m, t) for t in (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64())]
