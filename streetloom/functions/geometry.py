@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,13 +41,13 @@ def square_compactness(a: Column, p: Column) -> Column:
 
 
 def turns(ring: Column) -> Column:
-    """Interior angles in degrees (0 to 180) at each vertex of a closed ring."""
+    """Interior angles in degrees (0 to 180) at each vertex of a closed ring; null at a vertex that repeats a neighbour."""
     n = F.size(ring) - 1
 
     def at(i: Column) -> Column:
         p, q, r = F.get(ring, F.pmod(i - 1 + n, n)), F.get(ring, i), F.get(ring, i + 1)
         ax, ay, bx, by = p["x"] - q["x"], p["y"] - q["y"], r["x"] - q["x"], r["y"] - q["y"]
-        cos = (ax * bx + ay * by) / (F.hypot(ax, ay) * F.hypot(bx, by))
+        cos = F.try_divide(ax * bx + ay * by, F.hypot(ax, ay) * F.hypot(bx, by))
         return F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cos))))
 
     return F.transform(F.sequence(F.lit(0), n - 1), at)
@@ -59,9 +58,9 @@ def corners(ring: Column) -> Column:
 
 
 def squareness(ring: Column) -> Column:
-    """Mean deviation from a right angle over the vertices that turn."""
+    """Mean deviation from a right angle over the vertices that turn; null where none does."""
     kept = F.transform(F.filter(turns(ring), lambda a: (a <= 175) | (a >= 185)), lambda a: F.abs(90 - a))
-    return F.aggregate(kept, F.lit(0.0), lambda s, c: s + c) / F.size(kept)
+    return F.try_divide(F.aggregate(kept, F.lit(0.0), lambda s, c: s + c), F.size(kept))
 
 
 def haversine(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
@@ -95,7 +94,7 @@ def tile_id(lon: Column, lat: Column, zoom: int) -> Column:
 
 def inside(x: Column, y: Column, ring: Column) -> Column:
     """Even-odd rule."""
-    crossed = F.filter(_pairs(ring), lambda p: ((p["a"]["y"] > y) != (p["b"]["y"] > y)) & (x < (p["b"]["x"] - p["a"]["x"]) * (y - p["a"]["y"]) / (p["b"]["y"] - p["a"]["y"]) + p["a"]["x"]))
+    crossed = F.filter(_pairs(ring), lambda p: ((p["a"]["y"] > y) != (p["b"]["y"] > y)) & (x < F.try_divide((p["b"]["x"] - p["a"]["x"]) * (y - p["a"]["y"]), p["b"]["y"] - p["a"]["y"]) + p["a"]["x"]))
     return F.size(crossed) % 2 == 1
 
 
@@ -163,26 +162,37 @@ def enclosing_radius(h: np.ndarray) -> float:
 
 
 MORPHOLOGY = "convexity double, rectangularity double, eri double, elongation double, orientation double, longest_axis double, circular_compactness double, shape_index double"
+#: Rings of at most so many vertices are worked on in stacks, all their pairs and triples at once.
+FEW = 12
 
 
 def morphology(df: DataFrame, ring: str = "ring") -> DataFrame:
-    """df with the metrics that need hull, least rectangle and least circle, all from one Arrow pass."""
-    from pyspark.sql import types as T
-
-    new = T._parse_datatype_string(MORPHOLOGY)
-    schema = T.StructType([*df.schema.fields, *new.fields])
-
-    def run(batches):
-        for batch in batches:
-            rows = []
-            for pts in batch.column(ring).to_pylist():
-                p = np.array([(q["x"], q["y"]) for q in pts[:-1]])
-                h = hull(p)
-                a, per = _ring_area(p), float(np.hypot(*(np.roll(p, -1, axis=0) - p).T).sum())
-                long, short, azimuth = bounding_rectangle(h)
-                r = enclosing_radius(h)
-                folded = abs((azimuth + 45) % 90 - 45)
-                rows.append((a / _ring_area(h), a / (long * short), math.sqrt(a / (long * short)) * 2 * (long + short) / per, short / long, folded, 2 * r, a / (math.pi * r * r), math.sqrt(a / math.pi) / r))
-            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(c, pa.float64()) for c in zip(*rows, strict=True)]], names=[*batch.schema.names, *new.names])
-
-    return df.mapInArrow(run, schema)
+    """df with the metrics that need hull, least rectangle and least circle, all from one Arrow pass.
+
+    Null rings, rings with null coordinates, of fewer than three vertices, or without an area have null metrics.
+    """
+    from . import kernels as K
+
+    def measured(pts: np.ndarray) -> tuple:
+        h = hull(pts)
+        if len(h) < 3:
+            return (0.0,) * 7
+        per = float(np.hypot(*(np.roll(pts, -1, axis=0) - pts).T).sum())
+        return (_ring_area(pts), per, _ring_area(h), *bounding_rectangle(h), enclosing_radius(h))
+
+    def make(batch):
+        first, n, xy = K.flat_rings(batch.column(ring))
+        found = np.full((batch.num_rows, 7), np.nan)
+        for k, at in K.by_size(np.where(n >= 3, n, 0), lambda k: k**4 if k <= FEW else 1):
+            if k:
+                stack = K.stack(first[at], k, xy)
+                good = np.isfinite(stack).all(axis=(1, 2))
+                at, stack = at[good], stack[good]
+                if len(at):
+                    found[at] = K.bounding_metrics(stack) if k <= FEW else np.array([measured(p - p[0]) for p in stack])
+        area, per, around, long, short, azimuth, r = np.where((found[:, 2:3] > 0) & (found[:, 4:5] > 0), found, np.nan).T
+        folded = np.abs((azimuth + 45) % 90 - 45)
+        share = area / (long * short)
+        return [area / around, share, np.sqrt(share) * 2 * (long + short) / per, short / long, folded, 2 * r, area / (np.pi * r * r), np.sqrt(area / np.pi) / r]
+
+    return K.with_columns(df, MORPHOLOGY, make)

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import SparkSession
+from pyspark.sql.functions import udtf
 
 _RING = "ARRAY<STRUCT<x: DOUBLE, y: DOUBLE>>"
 _TURN = "aggregate(sequence(1, size(ring) - 1), 0D, (s, i) -> s + {})"
@@ -19,8 +22,39 @@ FUNCTIONS = {
 }
 
 
+class GridTable:
+    """Cells of a grid over a box, row by row: int(width / delta) lines each way, so one cell fewer."""
+
+    COLUMNS = "cell_id long, row long, col long, minx double, miny double, maxx double, maxy double"
+
+    def eval(self, x0: float, y0: float, x1: float, y1: float, delta: float):
+        nx, ny = int((x1 - x0) / delta) - 1, int((y1 - y0) / delta) - 1
+        if nx < 1 or ny < 1:
+            return
+        dx, dy = (x1 - x0) / nx, (y1 - y0) / ny
+        for k in range(nx * ny):
+            row, col = divmod(k, nx)
+            yield k, row, col, x0 + col * dx, y0 + row * dy, x0 + (col + 1) * dx, y0 + (row + 1) * dy
+
+
+class TilesTable:
+    """Map tiles that a box of longitudes and latitudes touches."""
+
+    COLUMNS = "tile_id string, x long, y long"
+
+    def eval(self, west: float, south: float, east: float, north: float, zoom: int):
+        n = 1 << zoom
+        row = lambda lat: min(n - 1, max(0, math.floor((1 - math.asinh(math.tan(math.radians(lat))) / math.pi) / 2 * n)))
+        column = lambda lon: min(n - 1, max(0, math.floor((lon + 180) / 360 * n)))
+        for y in range(row(north), row(south) + 1):
+            for x in range(column(west), column(east) + 1):
+                yield f"{zoom}/{x}/{y}", x, y
+
+
 def register(spark: SparkSession) -> list[str]:
     """Register all functions for this session; returns their names."""
     for name, (args, result, body) in FUNCTIONS.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({args}) RETURNS {result} RETURN {body}")
-    return list(FUNCTIONS)
+    for name, table in (("ug_grid", GridTable), ("ug_tiles", TilesTable)):
+        spark.udtf.register(name, udtf(table, returnType=table.COLUMNS))
+    return [*FUNCTIONS, "ug_grid", "ug_tiles"]

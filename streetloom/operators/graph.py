@@ -4,19 +4,17 @@ from __future__ import annotations
 
 import itertools
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_ITERATION = 0
-
+from ..storage import shared_base
 
 def _held(df: DataFrame) -> DataFrame:
     """Cut the lineage of an iteration: checkpoint() writes to the folder all executors share."""
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="streetloom-"))
+        sc.setCheckpointDir(shared_base(df.sparkSession))
     return df.checkpoint()
 
 
@@ -40,18 +38,33 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
 
 
+def triangles(both: DataFrame) -> DataFrame:
+    """(i, t): for each node the sum, over the ordered pairs of others that close a triangle with it, of the product of the
+    three sides' w, from undirected weights (u, v, w) that list both directions.
+
+    A side points from the node of fewer neighbours to that of more, so that a wedge is only opened where its tip has few:
+    a hub opens none of its own pairs. Each triangle is found once and counts for its three nodes.
+    """
+    size = both.groupBy("u").agg(F.count(F.lit(1)).alias("k"))
+    place = lambda c: F.struct(F.col(f"k{c}"), F.col(c))
+    ranked = both.join(size.withColumnRenamed("k", "ku"), "u").join(size.select(F.col("u").alias("v"), F.col("k").alias("kv")), "v")
+    up = _held(ranked.where(place("u") < place("v")).select("u", "v", "w", "kv"))
+    a = up.select(F.col("u").alias("i"), F.col("v").alias("j"), F.col("w").alias("wij"), F.col("kv").alias("kj"))
+    b = up.select(F.col("u").alias("i"), F.col("v").alias("k"), F.col("w").alias("wik"), F.col("kv").alias("kk"))
+    wedge = a.join(b, "i").where(F.struct("kj", "j") < F.struct("kk", "k"))
+    closed = wedge.join(up.select(F.col("u").alias("j"), F.col("v").alias("k"), F.col("w").alias("wjk")), ["j", "k"])
+    each = closed.select((2 * F.col("wij") * F.col("wik") * F.col("wjk")).alias("t"), F.explode(F.array("i", "j", "k")).alias("i_"))
+    return each.groupBy(F.col("i_").alias("i")).agg(F.sum("t").alias("t"))
+
+
 def clustering(edges: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
     """Directed clustering: triangles over 2 (d (d - 1) - 2 b), with total degree d and two-way neighbours b, parallel edges as one."""
     one = edges.where("u <> v").select("u", "v").distinct()
-    both = one.union(one.select("v", "u")).groupBy("u", "v").agg(F.count(F.lit(1)).alias("w"))
-    a = both.select(F.col("u").alias("i"), F.col("v").alias("j"), F.col("w").alias("wij"))
-    b = both.select(F.col("u").alias("j"), F.col("v").alias("k"), F.col("w").alias("wjk"))
-    c = both.select(F.col("u").alias("i"), F.col("v").alias("k"), F.col("w").alias("wik"))
-    triangles = a.join(b, "j").where("i <> k").join(c, ["i", "k"]).groupBy("i").agg(F.sum(F.col("wij") * F.col("wjk") * F.col("wik")).alias("t"))
+    both = _held(one.union(one.select("v", "u")).groupBy("u", "v").agg(F.count(F.lit(1)).alias("w")))
     degree = both.groupBy(F.col("u").alias("i")).agg(F.sum("w").alias("d"), F.sum((F.col("w") == 2).cast("long")).alias("b"))
     most = F.col("d") * (F.col("d") - 1) - 2 * F.col("b")
     value = F.when(most > 0, F.coalesce("t", F.lit(0)) / (2 * most)).otherwise(0.0)
-    out = degree.join(triangles, "i", "left").select(F.col("i").alias(key), value.alias("clustering"))
+    out = degree.join(triangles(both), "i", "left").select(F.col("i").alias(key), value.alias("clustering"))
     return nodes.select(key).join(out, key, "left").na.fill(0.0, ["clustering"])
 
 
@@ -60,30 +73,62 @@ def _change(now: DataFrame, before: DataFrame) -> float:
     return now.join(old, "id").agg(F.coalesce(F.sum(F.abs(F.col("value") - F.col("old"))), F.lit(0.0))).first()[0]
 
 
-def _iterate(nodes: DataFrame, edges: DataFrame, key: str, rounds: int | None, first: float, send, take, tol: float = 0.0) -> DataFrame:
-    """So many rounds, or without a number until all values together change by less than tol."""
+#: Links and nodes up to which an iteration runs in the driver's numpy, where thousands of rounds cost seconds.
+SMALL = 2_000_000
+
+
+def _local(nodes: DataFrame, links: DataFrame, columns: list[str]):
+    """(ids and other columns of nodes, ends and weights of links as places among them), or None above SMALL rows of either."""
+    if links.limit(SMALL + 1).count() > SMALL or nodes.limit(SMALL + 1).count() > SMALL:
+        return None
+    table, e = nodes.select(*columns).toPandas(), links.select("u", "v", "w").toPandas()
+    ids = table[columns[0]].to_numpy()
+    order = np.argsort(ids, kind="stable")
+    at = lambda c: order[np.minimum(np.searchsorted(ids[order], e[c].to_numpy()), len(ids) - 1)] if len(ids) else np.zeros(0, int)
+    u, v = at("u"), at("v")
+    there = (ids[u] == e["u"].to_numpy()) & (ids[v] == e["v"].to_numpy()) if len(ids) else np.zeros(0, bool)
+    return table, u[there], v[there], e["w"].to_numpy(float)[there]
+
+
+def _iterate(nodes: DataFrame, edges: DataFrame, key: str, first: float, send, take, tol: float) -> DataFrame:
+    """Rounds until all values together change by less than tol in one of them; parallel edges are one link with a weight.
+
+    Small graphs are iterated in numpy, others by a join and an aggregation a round.
+    """
+    weights = _held(edges.groupBy("u", "v").agg(F.count(F.lit(1)).alias("w")))
+    if (small := _local(nodes, weights, [key])) is not None:
+        table, u, v, w = small
+        n = len(table)
+        out = np.bincount(u, w, n)
+        now, change = np.full(n, first), np.inf
+        while n and change >= tol:
+            before, now = now, take(np.bincount(v, w * send(now[u], out[u]), n))
+            change = np.abs(now - before).sum()
+        return nodes.sparkSession.createDataFrame(table.assign(value=now), f"`{key}` long, value double")
     out = edges.groupBy("u").agg(F.count(F.lit(1)).alias("out"))
-    links = _held(edges.join(out, "u").select("u", "v", "out"))
+    links = _held(weights.join(out, "u").select("u", "v", "w", "out"))
     now = nodes.select(F.col(key).alias("id"), F.lit(first).alias("value"))
     before = now
-    for k in itertools.count() if rounds is None else range(rounds):
-        got = links.join(now, links.u == now.id).groupBy("v").agg(F.sum(send(F.col("value"), F.col("out"))).alias("got"))
-        now = nodes.select(F.col(key).alias("id")).join(got, F.col("id") == F.col("v"), "left").select("id", take(F.coalesce("got", F.lit(0.0))).alias("value"))
-        if k % 4 == 3:
+    for k in itertools.count(1):
+        got = links.join(now, links.u == now.id).groupBy("v").agg(F.sum(F.col("w") * send(F.col("value"), F.col("out"))).alias("got"))
+        after = nodes.select(F.col(key).alias("id")).join(got, F.col("id") == F.col("v"), "left").select("id", take(F.coalesce("got", F.lit(0.0))).alias("value"))
+        before, now = now, after
+        if k % 8 == 0:
             now = _held(now)
-            if rounds is None and _change(now, before) < tol:
-                break
-            before = now
-    return now.select(F.col("id").alias(key), "value")
+            # The last round's own change: the round before is in the plan that was just written.
+            if _change(now, before) < tol:
+                return now.select(F.col("id").alias(key), "value")
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, key: str, rounds: int | None = None, damping: float = 0.85, tol: float = 1e-8) -> DataFrame:
-    n = nodes.count()
-    return _iterate(nodes, edges, key, rounds, 1.0 / n, lambda v, out: v / out, lambda got: F.lit((1 - damping) / n) + damping * got, tol).withColumnRenamed("value", "pagerank")
+def pagerank(nodes: DataFrame, edges: DataFrame, key: str, damping: float = 0.85, tol: float = 1e-8) -> DataFrame:
+    """Ranks; those of nodes without a way out are not dealt to others."""
+    n = max(1, nodes.count())
+    return _iterate(nodes, edges, key, 1.0 / n, lambda v, out: v / out, lambda got: (1 - damping) / n + damping * got, tol).withColumnRenamed("value", "pagerank")
 
 
-def katz(nodes: DataFrame, edges: DataFrame, key: str, rounds: int = 6, alpha: float = 0.01) -> DataFrame:
-    return _iterate(nodes, edges, key, rounds, 1.0, lambda v, out: v, lambda got: 1.0 + alpha * got).withColumnRenamed("value", "katz")
+def katz(nodes: DataFrame, edges: DataFrame, key: str, alpha: float = 0.01, tol: float = 1e-8) -> DataFrame:
+    """Not scaled; alpha must be below one over the largest eigenvalue, or the values grow without end."""
+    return _iterate(nodes, edges, key, 1.0, lambda v, out: v, lambda got: 1.0 + alpha * got, tol).withColumnRenamed("value", "katz")
 
 
 def dual(edges: DataFrame, key: str = "street_id") -> DataFrame:
@@ -93,18 +138,38 @@ def dual(edges: DataFrame, key: str = "street_id") -> DataFrame:
     return a.join(b, "at").where("a <> b").select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct()
 
 
-def eigenvector(nodes: DataFrame, edges: DataFrame, key: str, rounds: int = 5) -> DataFrame:
-    """Power iteration of (I + transposed adjacency), scaled to length 1 each round; parallel edges count."""
-    links = _held(edges.select("u", "v"))
-    now = nodes.select(F.col(key).alias("id"), F.lit(1.0).alias("value"))
-    for k in range(rounds):
-        got = links.join(now, links.u == now.id).groupBy("v").agg(F.sum("value").alias("got"))
-        now = now.join(got, F.col("id") == F.col("v"), "left").select("id", (F.col("value") + F.coalesce("got", F.lit(0.0))).alias("value"))
-        size = now.agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("size"))
-        now = now.crossJoin(F.broadcast(size)).select("id", (F.col("value") / F.col("size")).alias("value"))
-        if k % 3 == 2:
-            now = _held(now)
-    return now.select(F.col("id").alias(key), F.col("value").alias("eigenvector"))
+def eigenvector(nodes: DataFrame, edges: DataFrame, key: str, tol: float = 1e-8, group: str | None = None, most: int = 2000) -> DataFrame:
+    """Power iteration of (I + transposed adjacency), scaled to length 1 (of each group) each round; parallel edges count.
+
+    It goes on until all values together change by less than tol in a round. Where the largest eigenvalue is not single
+    that may not be: after `most` rounds a ValueError is raised.
+    """
+    links = _held(edges.groupBy("u", "v").agg(F.count(F.lit(1)).alias("w")))
+    if (small := _local(nodes, links, [key, *([group] if group else [])])) is not None:
+        table, u, v, w = small
+        of = np.unique(table[group], return_inverse=True)[1] if group else np.zeros(len(table), int)
+        scaled = lambda x: x / np.sqrt(np.bincount(of, x * x))[of]
+        now, change = scaled(np.ones(len(table))) if len(table) else np.zeros(0), np.inf
+        while len(table) and change >= tol:
+            before, now = now, scaled(now + np.bincount(v, w * now[u], len(table)))
+            change = np.abs(now - before).sum()
+        return nodes.sparkSession.createDataFrame(table[[key]].assign(eigenvector=now), f"`{key}` long, eigenvector double")
+    now = nodes.select(F.col(key).alias("id"), F.lit(1.0).alias("value"), *([F.col(group).alias("_g")] if group else [F.lit(0).alias("_g")]))
+    groups = F.broadcast if group is None else (lambda df: df)
+    for k in itertools.count(1):
+        got = links.join(now, links.u == now.id).groupBy("v").agg(F.sum(F.col("w") * F.col("value")).alias("got"))
+        after = now.join(got, F.col("id") == F.col("v"), "left").select("id", "_g", (F.col("value") + F.coalesce("got", F.lit(0.0))).alias("value"))
+        before = now
+        if k % 4:
+            now = after
+            continue
+        size = after.groupBy("_g").agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("size"))
+        now = _held(after.join(groups(size), "_g").select("id", "_g", (F.col("value") / F.col("size")).alias("value")))
+        scaled = before.groupBy("_g").agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("size"))
+        if _change(now, before.join(groups(scaled), "_g").select("id", (F.col("value") / F.col("size")).alias("value"))) < tol:
+            return now.select(F.col("id").alias(key), F.col("value").alias("eigenvector"))
+        if k >= most:
+            raise ValueError(f"no eigenvector after {k} rounds")
 
 
 def fill_along(values: DataFrame, edges: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .graph import _held
+from .graph import _held, triangles
 
 
 def rank_chains(links: DataFrame) -> DataFrame:
@@ -86,12 +86,8 @@ def weighted_clustering(edges: DataFrame, nodes: DataFrame, key: str, weight: st
     most = one.agg(F.max("w").alias("most"))
     scaled = one.crossJoin(F.broadcast(most)).select("u", "v", F.cbrt(F.col("w") / F.col("most")).alias("w"))
     both = _held(scaled.union(scaled.select("v", "u", "w")).groupBy("u", "v").agg(F.sum("w").alias("w"), F.count(F.lit(1)).alias("n")))
-    a = both.select(F.col("u").alias("i"), F.col("v").alias("j"), F.col("w").alias("wij"))
-    b = both.select(F.col("u").alias("j"), F.col("v").alias("k"), F.col("w").alias("wjk"))
-    c = both.select(F.col("u").alias("i"), F.col("v").alias("k"), F.col("w").alias("wik"))
-    triangles = a.join(b, "j").where("i <> k").join(c, ["i", "k"]).groupBy("i").agg(F.sum(F.col("wij") * F.col("wjk") * F.col("wik")).alias("t"))
     degree = both.groupBy(F.col("u").alias("i")).agg(F.sum("n").alias("d"), F.sum((F.col("n") == 2).cast("long")).alias("b"))
     room = F.col("d") * (F.col("d") - 1) - 2 * F.col("b")
     value = F.when(room > 0, F.coalesce("t", F.lit(0.0)) / (2 * room)).otherwise(0.0)
-    out = degree.join(triangles, "i", "left").select(F.col("i").alias(key), value.alias("weighted_clustering"))
+    out = degree.join(triangles(both.select("u", "v", "w")), "i", "left").select(F.col("i").alias(key), value.alias("weighted_clustering"))
     return nodes.select(key).join(out, key, "left").na.fill(0.0, ["weighted_clustering"])

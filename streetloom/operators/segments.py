@@ -9,27 +9,39 @@ from pyspark.sql import functions as F
 def near_segments(points: DataFrame, segments: DataFrame, key: str, segment_key: str, radius: float) -> DataFrame:
     """Pairs of points (x, y) and segments at most radius apart, with `distance` and the place `t` (0 to 1) of the foot.
 
-    Cells are two radii wide; a segment is sampled twice a radius, so a point within reach has a sample in its own or a
-    neighbouring cell.
+    Cells are two radii wide. A point stands in its own cell alone; a segment stands in every cell that it comes within a
+    radius of: column by column, the rows between its heights at the column's two sides, all widened by the radius. So each
+    pair arises once. Rows without a place give no pairs.
     """
     size = 2.0 * radius
     dx, dy = F.col("vx") - F.col("ux"), F.col("vy") - F.col("uy")
-    steps = F.greatest(F.lit(1), F.ceil(F.hypot(dx, dy) / (radius / 2)).cast("int"))
-    walk = segments.select(segment_key, "ux", "uy", "vx", "vy", F.explode(F.transform(F.sequence(F.lit(0), steps), lambda i: F.struct(F.floor((F.col("ux") + dx * i / steps) / size).alias("_cx"), F.floor((F.col("uy") + dy * i / steps) / size).alias("_cy")))).alias("c"))
-    cells = walk.select(segment_key, "ux", "uy", "vx", "vy", "c._cx", "c._cy").distinct()
-    near = F.sequence(F.lit(-1), F.lit(1))
-    spread = points.select(key, "x", "y").withColumn("_dx", F.explode(near)).withColumn("_dy", F.explode(near))
-    spread = spread.withColumns({"_cx": F.floor(F.col("x") / size) + F.col("_dx"), "_cy": F.floor(F.col("y") / size) + F.col("_dy")}).drop("_dx", "_dy")
-    pairs = spread.join(cells, ["_cx", "_cy"]).drop("_cx", "_cy").distinct()
+    x0, x1, y0, y1 = F.least("ux", "vx"), F.greatest("ux", "vx"), F.least("uy", "vy"), F.greatest("uy", "vy")
+    span = lambda a, b: F.sequence(F.floor((a - radius) / size), F.floor((b + radius) / size))
+    known = segments.where(F.col("ux").isNotNull() & F.col("uy").isNotNull() & F.col("vx").isNotNull() & F.col("vy").isNotNull())
+    walk = known.select(segment_key, "ux", "uy", "vx", "vy", F.explode(span(x0, x1)).alias("_cx"))
+    # The part of the segment within a radius of the column, and the heights between which it runs there.
+    left, right = F.greatest(x0, F.col("_cx") * size - radius), F.least(x1, (F.col("_cx") + 1) * size + radius)
+    height = lambda x: F.coalesce(F.col("uy") + (x - F.col("ux")) * F.try_divide(dy, dx), F.col("uy"))
+    steep = F.abs(dx) < 1e-9
+    low = F.when(steep, y0).otherwise(F.least(height(left), height(right)))
+    high = F.when(steep, y1).otherwise(F.greatest(height(left), height(right)))
+    cells = walk.withColumn("_cy", F.explode(span(F.greatest(y0, low - 1e-6), F.least(y1, high + 1e-6))))
+    at = points.select(key, "x", "y").where("x IS NOT NULL AND y IS NOT NULL").withColumns({"_cx": F.floor(F.col("x") / size), "_cy": F.floor(F.col("y") / size)})
+    pairs = at.join(cells, ["_cx", "_cy"]).drop("_cx", "_cy")
     along = ((F.col("x") - F.col("ux")) * dx + (F.col("y") - F.col("uy")) * dy) / F.greatest(dx * dx + dy * dy, F.lit(1e-12))
     pairs = pairs.withColumn("t", F.greatest(F.lit(0.0), F.least(F.lit(1.0), along)))
     return pairs.withColumn("distance", F.hypot(F.col("x") - F.col("ux") - F.col("t") * dx, F.col("y") - F.col("uy") - F.col("t") * dy)).where(F.col("distance") <= radius)
 
 
-def nearest_segment(points: DataFrame, segments: DataFrame, key: str, segment_key: str, radius: float) -> DataFrame:
-    """Each point's nearest segment within radius; of equal distances the least id."""
-    order = Window.partitionBy(key).orderBy(F.round("distance", 9), segment_key)
-    return near_segments(points, segments, key, segment_key, radius).withColumn("_k", F.row_number().over(order)).where("_k = 1").drop("_k")
+def nearest_segment(points: DataFrame, segments: DataFrame, key: str, segment_key: str, radius: float, ties: bool = False) -> DataFrame:
+    """Each point's nearest segment within radius; of equal distances the least id, or all of them with `ties`."""
+    pairs = near_segments(points, segments, key, segment_key, radius)
+    if ties:
+        order = Window.partitionBy(key).orderBy(F.round("distance", 9))
+        return pairs.withColumn("_k", F.rank().over(order)).where("_k = 1").drop("_k")
+    rest = [c for c in pairs.columns if c != key]
+    best = pairs.groupBy(key).agg(F.min_by(F.struct(*rest), F.struct(F.round("distance", 9), segment_key)).alias("_b"))
+    return best.select(key, "_b.*")
 
 
 def clipped_length(points: DataFrame, segments: DataFrame, key: str, segment_key: str, radius: float) -> DataFrame:

@@ -33,10 +33,11 @@ def knn(points: DataFrame, key: str, k: int, start: float) -> DataFrame:
     """(key, neighbour, distance, rank) of each point's k nearest points, itself included; ties by id.
 
     The search radius doubles for points that have fewer than k hits within it, so no pair farther than needed is made.
+    Points without a place (a null or NaN coordinate) neither have neighbours nor are any. With fewer than k places all of
+    them are neighbours.
     """
-    spark = points.sparkSession
-    total = points.count()
-    k = min(k, total)
+    points = points.where("x IS NOT NULL AND y IS NOT NULL AND NOT isnan(x) AND NOT isnan(y)")
+    k = min(k, points.count())
     right = points.select(F.col(key).alias("neighbour"), F.col("x").alias("rx"), F.col("y").alias("ry"))
     left, radius, parts = points.select(key, "x", "y"), start, []
     while True:
@@ -52,16 +53,17 @@ def knn(points: DataFrame, key: str, k: int, start: float) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out if parts else spark.createDataFrame([], "key long, neighbour long, distance double, rank int")
+    return out
 
 
 def nearest_any(left: DataFrame, right: DataFrame, key: str, right_key: str, start: float, x: str = "rx", y: str = "ry") -> DataFrame:
     """(key, right_key, distance) of each left row's nearest right row however far, ties to the least id.
 
-    The radius doubles for rows without a hit; an empty right side gives no rows.
+    The radius doubles for rows without a hit; rows without a place and an empty right side give no rows.
     """
     out = None
-    open_, radius = left.select(key, "x", "y"), start
+    open_, radius = left.select(key, "x", "y").where("x IS NOT NULL AND y IS NOT NULL AND NOT isnan(x) AND NOT isnan(y)"), start
+    right = right.where(F.col(x).isNotNull() & F.col(y).isNotNull() & ~F.isnan(x) & ~F.isnan(y))
     if right.isEmpty():
         return within_distance(open_, right.select(right_key, x, y), radius, rx=x, ry=y).select(key, right_key, "distance")
     while True:
@@ -70,6 +72,6 @@ def nearest_any(left: DataFrame, right: DataFrame, key: str, right_key: str, sta
         best = _held(best)
         out = best if out is None else out.unionByName(best)
         open_ = _held(open_.join(best, key, "left_anti"))
-        if open_.where("x IS NOT NULL AND y IS NOT NULL").isEmpty():
+        if open_.isEmpty():
             return out
         radius *= 2

@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import grids, sql
-from ..operators import clean, export, hetero, overlay, paths, plots, segments, spatial_join
+from ..operators import clean, export, hetero, overlay, paths, plots, polygons, segments, spatial_join
 from ..sources import files
 from ..sources import layers as L
 from ..storage import shared_path
-from .queries import BUILDINGS, LINES, NODES, POIS, POPULATION, STREETS, ZONE, query
+from .queries import BUILDINGS, LANES, LINES, NODES, POIS, POPULATION, STREETS, ZONE, query
 
-# Streets that are sparse enough to leave chains, and what passes through their nodes.
-CHAIN = LINES + """, e AS (SELECT street_id, u, v, length FROM lines WHERE street_id % 29 = 0),
+# Chains of streets and what passes through their nodes.
+CHAIN = """e AS (SELECT street_id, u, v, length FROM {}),
  inc AS (SELECT u AS node, v AS other, 1 AS o FROM e UNION ALL SELECT v, u, 0 FROM e),
  kind AS (SELECT node, bool_or(node = other) OR sum(o) = 0 OR sum(o) = count(*) OR count(DISTINCT other) <> 2 OR count(*) NOT IN (2, 4) AS is_end FROM inc GROUP BY 1),
  m AS (SELECT e.*, a.is_end AS fe, b.is_end AS te FROM e JOIN kind a ON a.node = u JOIN kind b ON b.node = v),
@@ -23,9 +23,18 @@ CHAIN = LINES + """, e AS (SELECT street_id, u, v, length FROM lines WHERE stree
  walk(street_id, u, came, here, done, length, n) AS (SELECT street_id, u, u, v, te, length, 1 FROM c WHERE fe UNION ALL SELECT w.street_id, w.u, c.u, c.v, c.te, w.length + c.length, w.n + 1 FROM walk w JOIN c ON c.u = w.here AND c.v <> w.came WHERE NOT w.done)"""
 
 
-@query("simplify_streets", "WITH RECURSIVE " + CHAIN + " SELECT street_id, u, here AS v, round(length, 3) AS length, CAST(n AS BIGINT) AS n_parts FROM walk WHERE done UNION ALL SELECT street_id, u, v, round(length, 3), 1 FROM m WHERE fe AND te")
-def simplify_streets(spark, d, sparse=True):
-    out = paths.simplify(L.located_streets(spark, d, sparse).select("street_id", "u", "v", "length"))
+SIMPLE = CHAIN + " SELECT street_id, u, here AS v, round(length, 3) AS length, CAST(n AS BIGINT) AS n_parts FROM walk WHERE done UNION ALL SELECT street_id, u, v, round(length, 3), 1 FROM m WHERE fe AND te"
+
+
+@query("simplify_lanes", "WITH RECURSIVE " + LANES + ", " + SIMPLE.format("lanes"))
+def simplify_lanes(spark, d):
+    out = paths.simplify(L.lanes(spark, d))
+    return out.select("street_id", "u", "v", F.round("length", 3).alias("length"), "n_parts")
+
+
+@query("simplify_streets", "WITH RECURSIVE " + LINES + ", " + SIMPLE.format("lines"))
+def simplify_streets(spark, d):
+    out = paths.simplify(L.located_streets(spark, d).select("street_id", "u", "v", "length"))
     return out.select("street_id", "u", "v", F.round("length", 3).alias("length"), "n_parts")
 
 
@@ -34,10 +43,10 @@ def weighted_clustering(spark, d):
     return paths.weighted_clustering(L.located_streets(spark, d), L.intersections(spark, d), "intersection_id").withColumn("weighted_clustering", F.round("weighted_clustering", 6))
 
 
-@query("truncate_by_edge", f"WITH {NODES}, {STREETS}, i AS (SELECT id FROM nodes WHERE x < 1500 AND y < 1500), b AS (SELECT u, v FROM streets WHERE street_id % 29 = 0 UNION SELECT v, u FROM streets WHERE street_id % 29 = 0) SELECT id AS intersection_id FROM i UNION SELECT u FROM b JOIN i ON i.id = b.v")
-def truncate_by_edge(spark, d, sparse=True):
+@query("truncate_by_edge", f"WITH {NODES}, {STREETS}, i AS (SELECT id FROM nodes WHERE x < 1500 AND y < 1500), b AS (SELECT u, v FROM streets UNION SELECT v, u FROM streets) SELECT id AS intersection_id FROM i UNION SELECT u FROM b JOIN i ON i.id = b.v")
+def truncate_by_edge(spark, d):
     nodes = L.intersections(spark, d)
-    return paths.truncate(nodes, L.streets(spark, d, sparse), "intersection_id", (F.col("x") < 1500) & (F.col("y") < 1500)).select("intersection_id")
+    return paths.truncate(nodes, L.streets(spark, d), "intersection_id", (F.col("x") < 1500) & (F.col("y") < 1500)).select("intersection_id")
 
 
 def _street_lines(spark, d):
@@ -69,7 +78,7 @@ def footprint_context(spark, d):
     """Clipped footprint in the disc of 100 m of each intersection; mean, deviation and perimeter are those of whole buildings."""
     nodes = L.intersections(spark, d).select("intersection_id", "x", "y")
     rings = L.building_rings(spark, d).select("bid", "ring").withColumns({"area": G.area(F.col("ring")), "perimeter": G.length(F.col("ring"))})
-    pairs = overlay.with_discs(nodes, rings, 100.0)
+    pairs = polygons.disc_footprints(nodes, rings, 100.0)
     got = pairs.groupBy("intersection_id").agg(F.count("bid").alias("building_count"), F.sum("clipped_area").alias("s"), F.avg("area").alias("m"), F.stddev_samp("area").alias("d"), F.sum("perimeter").alias("p"))
     z = lambda c: F.coalesce(c, F.lit(0.0))
     return nodes.join(got, "intersection_id", "left").select("intersection_id", F.coalesce("building_count", F.lit(0)).alias("building_count"), F.round(z("s") / (math.pi * 10000), 3).alias("footprint_proportion"), F.round(z("m"), 3).alias("footprint_mean"), F.round(z("d"), 3).alias("footprint_std"), F.round(z("p"), 3).alias("perimeter_total"))
@@ -205,10 +214,10 @@ def largest_overlap(spark, d):
     return overlay.drop_overlapped(b, "bid", "area")
 
 
-@query("street_length_by_zone", f"""WITH {LINES}, c AS (SELECT *, unnest(generate_series(CAST(floor(least(ux, vx) / 1000) AS BIGINT), CAST(floor(greatest(ux, vx) / 1000) AS BIGINT))) AS col FROM lines WHERE street_id % 29 = 0),
+@query("street_length_by_zone", f"""WITH {LINES}, c AS (SELECT *, unnest(generate_series(CAST(floor(least(ux, vx) / 1000) AS BIGINT), CAST(floor(greatest(ux, vx) / 1000) AS BIGINT))) AS col FROM lines),
  k AS (SELECT *, unnest(generate_series(CAST(floor(least(uy, vy) / 1000) AS BIGINT), CAST(floor(greatest(uy, vy) / 1000) AS BIGINT))) AS row FROM c),
  t AS (SELECT *, CASE WHEN vx = ux THEN 0 ELSE least((col * 1000 - ux) / (vx - ux), (col * 1000 + 1000 - ux) / (vx - ux)) END AS x0, CASE WHEN vx = ux THEN 1 ELSE greatest((col * 1000 - ux) / (vx - ux), (col * 1000 + 1000 - ux) / (vx - ux)) END AS x1, CASE WHEN vy = uy THEN 0 ELSE least((row * 1000 - uy) / (vy - uy), (row * 1000 + 1000 - uy) / (vy - uy)) END AS y0, CASE WHEN vy = uy THEN 1 ELSE greatest((row * 1000 - uy) / (vy - uy), (row * 1000 + 1000 - uy) / (vy - uy)) END AS y1 FROM k),
  s AS (SELECT row * 5 + col AS zone_id, (least(1, x1, y1) - greatest(0, x0, y0)) * length AS part FROM t) SELECT zone_id, count(*) AS streets, round(sum(part), 3) AS length FROM s WHERE part > 1e-9 GROUP BY 1""")
-def street_length_by_zone(spark, d, sparse=True):
-    parts = segments.by_square(L.located_streets(spark, d, sparse), "street_id", 1000.0)
+def street_length_by_zone(spark, d):
+    parts = segments.by_square(L.located_streets(spark, d), "street_id", 1000.0)
     return parts.groupBy((F.col("_cy") * 5 + F.col("_cx")).cast("long").alias("zone_id")).agg(F.count(F.lit(1)).alias("streets"), F.round(F.sum("length"), 3).alias("length"))

@@ -17,6 +17,7 @@ QUERIES, ORACLES = {}, {}
 NODES = "nodes AS (SELECT CAST(c_custkey AS BIGINT) AS id, CAST((c_custkey * 7919) % 4999 AS DOUBLE) AS x, CAST((c_custkey * 6007) % 4993 AS DOUBLE) AS y, c_acctbal AS value FROM customer)"
 STREETS = "streets AS (SELECT CAST(o_orderkey AS BIGINT) AS street_id, CAST(o_custkey AS BIGINT) AS u, CAST((o_custkey + 1 + o_orderkey % 7) % (SELECT count(*) FROM customer) AS BIGINT) AS v FROM orders)"
 LINES = NODES + ", " + STREETS + ", lines AS (SELECT s.*, a.x AS ux, a.y AS uy, b.x AS vx, b.y AS vy, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS length FROM streets s JOIN nodes a ON s.u = a.id JOIN nodes b ON s.v = b.id)"
+LANES = "lanes AS (SELECT k AS street_id, k AS u, CASE WHEN k % 9 = 0 THEN k // 2 ELSE k + 1 END AS v, 10.0::DOUBLE + k % 13 AS length FROM (SELECT CAST(o_orderkey AS BIGINT) AS k FROM orders))"
 BUILDINGS = "buildings AS (SELECT bid, x, y, size, brand, price, width, depth, width * depth AS area, 2 * (width + depth) AS perimeter FROM (SELECT CAST(p_partkey AS BIGINT) AS bid, CAST((p_partkey * 4649) % 4999 AS DOUBLE) AS x, CAST((p_partkey * 3571) % 4993 AS DOUBLE) AS y, CAST(p_size AS BIGINT) AS size, p_brand AS brand, p_retailprice AS price, CAST(p_size + 5 AS DOUBLE) AS width, CAST(p_partkey % 23 + 5 AS DOUBLE) AS depth FROM part))"
 CLASS_LIST = "[" + ", ".join(f"'{c}'" for c in L.POI_CLASSES) + "]"
 POIS = f"pois AS (SELECT CAST(event_id AS BIGINT) AS poi_id, event_type, value, ts, user_id, CAST((event_id * 7919) % 4999 AS DOUBLE) AS x, CAST((event_id * 6007) % 4993 AS DOUBLE) AS y, {CLASS_LIST}[CAST((event_id * 5 + floor(value)) AS BIGINT) % 8 + 1] AS poi_class FROM events)"
@@ -122,7 +123,7 @@ def id_suffix(spark, d):
 
 @query("line_dedup", f"WITH {STREETS} SELECT street_id, u, v FROM (SELECT *, row_number() OVER (PARTITION BY least(u, v), greatest(u, v) ORDER BY street_id) AS k FROM streets) WHERE k = 1")
 def line_dedup(spark, d):
-    return clean.line_dedup(L.streets(spark, d), "u", "v", "street_id").select("street_id", "u", "v")
+    return clean.line_dedup(L.streets(spark, d), "street_id", ("u", "v")).select("street_id", "u", "v")
 
 
 @query("street_length", f"WITH {LINES} SELECT street_id, round(length, 3) AS length FROM lines")
@@ -180,8 +181,8 @@ def tile_impute(spark, d):
 
 @query("hier_impute", f"WITH {HOLES}, s AS (SELECT poi_id, tile_id, zone_id, CASE WHEN poi_id % 50 < 40 THEN NULL ELSE v END AS v, poi_id // 3 AS street FROM holes) SELECT poi_id, round(coalesce(v, avg(v) OVER (PARTITION BY street), avg(v) OVER (PARTITION BY tile_id), (SELECT avg(v) FROM s)), 6) AS v FROM s")
 def hier_impute(spark, d):
-    s = _holes(spark, d).withColumns({"v": F.when(F.col("poi_id") % 50 >= 40, F.col("v")), "street": F.floor(F.col("poi_id") / 3), "everywhere": F.lit(0)})
-    return clean.fill_by_group(s, "v", ["street", "tile_id", "everywhere"]).select("poi_id", F.round("v", 6).alias("v"))
+    s = _holes(spark, d).withColumns({"v": F.when(F.col("poi_id") % 50 >= 40, F.col("v")), "street": F.floor(F.col("poi_id") / 3), })
+    return clean.fill_mean(clean.fill_by_group(s, "v", ["street", "tile_id"]), ["v"], s).select("poi_id", F.round("v", 6).alias("v"))
 
 
 @query("standardise", f"WITH {BUILDINGS} SELECT bid, round((area - avg(area) OVER ()) / stddev_pop(area) OVER (), 6) AS area, round((price - avg(price) OVER ()) / stddev_pop(price) OVER (), 6) AS price FROM buildings")
@@ -209,40 +210,44 @@ def clustering(spark, d):
     return graph.clustering(L.streets(spark, d), L.intersections(spark, d), "intersection_id").withColumn("clustering", F.round("clustering", 6))
 
 
-@query("wcc", f"WITH RECURSIVE {STREETS}, e AS (SELECT u AS a, v AS b FROM streets WHERE street_id % 29 = 0 UNION SELECT v, u FROM streets WHERE street_id % 29 = 0), r(n, m) AS (SELECT a, a FROM e UNION SELECT e.b, r.m FROM r JOIN e ON e.a = r.n WHERE r.m < e.b) SELECT n AS node, min(m) AS component FROM r GROUP BY 1")
-def wcc(spark, d, sparse=True):
-    return graph.components(L.streets(spark, d, sparse))
+@query("wcc", f"WITH RECURSIVE {STREETS}, e AS (SELECT u AS a, v AS b FROM streets UNION SELECT v, u FROM streets), r(n, m) AS (SELECT a, a FROM e UNION SELECT e.b, r.m FROM r JOIN e ON e.a = r.n WHERE r.m < e.b) SELECT n AS node, min(m) AS component FROM r GROUP BY 1")
+def wcc(spark, d):
+    return graph.components(L.streets(spark, d))
 
 
-@query("wcc_largest", None)
+@query("wcc_lanes", f"WITH RECURSIVE {LANES}, e AS (SELECT u AS a, v AS b FROM lanes WHERE street_id % 3 > 0 AND u <> v UNION SELECT v, u FROM lanes WHERE street_id % 3 > 0 AND u <> v), r(n, m) AS (SELECT a, a FROM e UNION SELECT e.b, r.m FROM r JOIN e ON e.a = r.n WHERE r.m < e.b) SELECT n AS node, min(m) AS component FROM r GROUP BY 1")
+def wcc_lanes(spark, d):
+    """Many components: chains between the gaps that every third lane leaves."""
+    return graph.components(L.lanes(spark, d).where("street_id % 3 > 0"))
+
+
+@query("wcc_largest", ORACLES["wcc"].replace("SELECT n AS node, min(m) AS component FROM r GROUP BY 1", ", c AS (SELECT n AS node, min(m) AS component FROM r GROUP BY 1) SELECT node, component FROM c WHERE component = (SELECT component FROM c GROUP BY 1 ORDER BY count(*) DESC, component LIMIT 1)").replace("r.m < e.b) ,", "r.m < e.b),"))
 def wcc_largest(spark, d):
     c = graph.components(L.streets(spark, d))
     best = c.groupBy("component").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "component").limit(1).select("component")
     return c.join(F.broadcast(best), "component", "left_semi")
 
 
-@query("dual_graph", f"WITH {STREETS}, s AS (SELECT * FROM streets WHERE street_id % 29 = 0) SELECT DISTINCT least(a.street_id, b.street_id) AS src, greatest(a.street_id, b.street_id) AS dst FROM s a JOIN s b ON a.v = b.u AND a.street_id <> b.street_id")
-def dual_graph(spark, d, sparse=True):
-    return graph.dual(L.streets(spark, d, sparse))
+@query("dual_graph", f"WITH {STREETS}, s AS (SELECT * FROM streets) SELECT DISTINCT least(a.street_id, b.street_id) AS src, greatest(a.street_id, b.street_id) AS dst FROM s a JOIN s b ON a.v = b.u AND a.street_id <> b.street_id")
+def dual_graph(spark, d):
+    return graph.dual(L.streets(spark, d))
 
 
 def _rounds(n: int, step: str) -> str:
-    return ", ".join(f"r{k} AS ({step.format(p=f'r{k - 1}')})" for k in range(1, n + 1))
+    return ", ".join(f"r{k} AS MATERIALIZED ({step.format(p=f'r{k - 1}')})" for k in range(1, n + 1))
 
 
-@query("pagerank", f"WITH {NODES}, {STREETS}, o AS (SELECT u, count(*) AS k FROM streets GROUP BY 1), r0 AS (SELECT id, 1.0 / (SELECT count(*) FROM nodes) AS p FROM nodes), " + _rounds(8, "SELECT n.id, 0.15 / (SELECT count(*) FROM nodes) + 0.85 * coalesce(g.s, 0) AS p FROM nodes n LEFT JOIN (SELECT v, sum(CAST(p AS DOUBLE) / k) AS s FROM streets JOIN o USING (u) JOIN {p} ON {p}.id = streets.u GROUP BY v) g ON g.v = n.id") + " SELECT id AS intersection_id, round(p, 9) AS pagerank FROM r8")
-def pagerank(spark, d):
-    return graph.pagerank(L.intersections(spark, d), L.streets(spark, d), "intersection_id", rounds=8).withColumn("pagerank", F.round("pagerank", 9))
+LINKS = f"{NODES}, {STREETS}, links AS MATERIALIZED (SELECT u, v, CAST(count(*) AS DOUBLE) AS w FROM streets GROUP BY 1, 2)"
 
 
-@query("pagerank_converged")
-def pagerank_converged(spark, d):
-    return graph.pagerank(L.intersections(spark, d), L.streets(spark, d), "intersection_id").withColumn("pagerank", F.round("pagerank", 9))
+@query("pagerank", f"WITH {LINKS}, o AS (SELECT u, count(*) AS k FROM streets GROUP BY 1), r0 AS (SELECT id, 1.0 / (SELECT count(*) FROM nodes) AS p FROM nodes), " + _rounds(80, "SELECT n.id, 0.15 / (SELECT count(*) FROM nodes) + 0.85 * coalesce(g.s, 0) AS p FROM nodes n LEFT JOIN (SELECT v, sum(w * CAST(p AS DOUBLE) / k) AS s FROM links JOIN o USING (u) JOIN {p} ON {p}.id = links.u GROUP BY v) g ON g.v = n.id") + " SELECT id AS intersection_id, round(p, 7) AS pagerank FROM r80")
+def pagerank(spark, d):
+    return graph.pagerank(L.intersections(spark, d), L.streets(spark, d), "intersection_id").withColumn("pagerank", F.round("pagerank", 7))
 
 
-@query("katz", f"WITH {NODES}, {STREETS}, r0 AS (SELECT id, CAST(1.0 AS DOUBLE) AS p FROM nodes), " + _rounds(6, "SELECT n.id, 1.0 + 0.01 * coalesce(g.s, 0) AS p FROM nodes n LEFT JOIN (SELECT v, sum(p) AS s FROM streets JOIN {p} ON {p}.id = streets.u GROUP BY v) g ON g.v = n.id") + " SELECT id AS intersection_id, round(p, 9) AS katz FROM r6")
+@query("katz", f"WITH {LINKS}, r0 AS (SELECT id, CAST(1.0 AS DOUBLE) AS p FROM nodes), " + _rounds(24, "SELECT n.id, 1.0 + 0.01 * coalesce(g.s, 0) AS p FROM nodes n LEFT JOIN (SELECT v, sum(w * p) AS s FROM links JOIN {p} ON {p}.id = links.u GROUP BY v) g ON g.v = n.id") + " SELECT id AS intersection_id, round(p, 7) AS katz FROM r24")
 def katz(spark, d):
-    return graph.katz(L.intersections(spark, d), L.streets(spark, d), "intersection_id").withColumn("katz", F.round("katz", 9))
+    return graph.katz(L.intersections(spark, d), L.streets(spark, d), "intersection_id").withColumn("katz", F.round("katz", 7))
 
 
 @query("assortativity", f"WITH {LINES}, a AS (SELECT CAST(floor(l.uy / 1000) * 5 + floor(l.ux / 1000) AS BIGINT) AS zone_id, p.value AS pu, q.value AS pv FROM lines l JOIN nodes p ON p.id = l.u JOIN nodes q ON q.id = l.v) SELECT zone_id, CAST(count(*) AS BIGINT) AS edges, CASE WHEN count(*) >= 30 THEN round(corr(pu, pv), 6) END AS assortativity FROM a GROUP BY 1")
@@ -290,14 +295,18 @@ def shape_simple(spark, d):
     return b.select("bid", F.round(a, 3).alias("area"), F.round(p, 3).alias("perimeter"), F.round(G.complexity(a, p), 6).alias("complexity"), F.round(G.fractal_dimension(a, p), 6).alias("fractal_dimension"), F.round(G.square_compactness(a, p), 6).alias("square_compactness"), "corners")
 
 
-@query("mbr_metrics", f"WITH {BUILDINGS}, s AS (SELECT bid, bid % 2 = 0 AS even, area, width, depth, CASE WHEN bid % 2 = 0 THEN 1.0 ELSE 0.75 END AS part, sqrt(width * width + depth * depth) AS diagonal FROM buildings) SELECT bid, round(CASE WHEN even THEN 1.0 ELSE 0.75 / 0.875 END, 6) AS convexity FROM s")
+SHAPES = f"WITH {BUILDINGS}, s AS (SELECT bid, width AS w, depth AS d, CASE WHEN bid % 2 = 0 THEN area ELSE area * 0.75 END AS a, CASE WHEN bid % 2 = 0 THEN 1.0::DOUBLE ELSE 0.75::DOUBLE / 0.875 END AS convexity, sqrt(width * width + depth * depth) AS diag FROM buildings)"
+
+
+@query("mbr_metrics", SHAPES + " SELECT bid, round(convexity, 6) AS convexity, round(a / (w * d), 6) AS rectangularity, round(least(w, d) / greatest(w, d), 6) AS elongation FROM s")
 def mbr_metrics(spark, d):
-    return G.morphology(L.building_rings(spark, d).select("bid", "ring")).select("bid", F.round("convexity", 6).alias("convexity"))
+    return G.morphology(L.building_rings(spark, d).select("bid", "ring")).select("bid", *[F.round(c, 6).alias(c) for c in ("convexity", "rectangularity", "elongation")])
 
 
-@query("morphology", None)
+@query("morphology", SHAPES + " SELECT bid, round(convexity, 5) AS convexity, round(a / (w * d), 5) AS rectangularity, round(sqrt(a / (w * d)), 5) AS eri, round(least(w, d) / greatest(w, d), 5) AS elongation, 0.0::DOUBLE AS orientation, round(diag, 5) AS longest_axis, round(a / (pi() * diag * diag / 4), 5) AS circular_compactness, round(sqrt(a / pi()) / (diag / 2), 5) AS shape_index FROM s")
 def morphology(spark, d):
-    return G.morphology(L.building_rings(spark, d).select("bid", "ring")).drop("ring")
+    out = G.morphology(L.building_rings(spark, d).select("bid", "ring")).drop("ring")
+    return out.select("bid", *[F.round(c, 5).alias(c) for c in out.columns if c != "bid"])
 
 
 @query("squareness", f"WITH {BUILDINGS} SELECT bid, round(0.0, 6) AS squareness FROM buildings")
@@ -377,18 +386,18 @@ def edge_sample(spark, d):
     return g.withColumn("k", k).where("k <= 20").drop("k")
 
 
-SPARSE = LINES + ", sparse AS (SELECT *, vx - ux AS dx, vy - uy AS dy FROM lines WHERE street_id % 29 = 0)"
+WAYS = LINES + ", ways AS MATERIALIZED (SELECT *, vx - ux AS dx, vy - uy AS dy FROM lines)"
 
 
-@query("nearest_street_50m", f"WITH {SPARSE}, {BUILDINGS}, f AS (SELECT bid, street_id, x, y, ux, uy, dx, dy, greatest(0, least(1, ((x - ux) * dx + (y - uy) * dy) / (dx * dx + dy * dy))) AS t FROM buildings, sparse), g AS (SELECT bid, street_id, sqrt(pow(x - ux - t * dx, 2) + pow(y - uy - t * dy, 2)) AS distance FROM f) SELECT bid, street_id, round(distance, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY bid ORDER BY round(distance, 9), street_id) AS k FROM g WHERE distance <= 50) WHERE k = 1")
-def nearest_street(spark, d, sparse=True):
-    got = segments.nearest_segment(L.buildings(spark, d).select("bid", "x", "y"), L.located_streets(spark, d, sparse), "bid", "street_id", 50.0)
+@query("nearest_street_50m", f"WITH {WAYS}, {BUILDINGS}, f AS (SELECT bid, street_id, x, y, ux, uy, dx, dy, greatest(0, least(1, ((x - ux) * dx + (y - uy) * dy) / (dx * dx + dy * dy))) AS t FROM (SELECT bid, x, y FROM buildings), (SELECT street_id, ux, uy, dx, dy FROM ways)), g AS (SELECT bid, street_id, sqrt(pow(x - ux - t * dx, 2) + pow(y - uy - t * dy, 2)) AS distance FROM f) SELECT bid, street_id, round(distance, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY bid ORDER BY round(distance, 9), street_id) AS k FROM g WHERE distance <= 50) WHERE k = 1")
+def nearest_street(spark, d):
+    got = segments.nearest_segment(L.buildings(spark, d).select("bid", "x", "y"), L.located_streets(spark, d), "bid", "street_id", 50.0)
     return got.select("bid", "street_id", F.round("distance", 6).alias("distance"))
 
 
-@query("street_catchment", f"WITH {SPARSE}, f AS (SELECT n.id, dx * dx + dy * dy AS a, 2 * ((ux - x) * dx + (uy - y) * dy) AS b, (ux - x) * (ux - x) + (uy - y) * (uy - y) - 10000 AS c FROM nodes n, sparse), g AS (SELECT id, CASE WHEN b * b - 4 * a * c > 0 THEN greatest(0, least(1, (-b + sqrt(greatest(0, b * b - 4 * a * c))) / (2 * a)) - greatest(0, (-b - sqrt(greatest(0, b * b - 4 * a * c))) / (2 * a))) * sqrt(a) ELSE 0 END AS l FROM f) SELECT id AS intersection_id, round(sum(l), 3) AS length FROM g GROUP BY 1")
-def street_catchment(spark, d, sparse=True):
-    got = segments.clipped_length(L.intersections(spark, d).select("intersection_id", "x", "y"), L.located_streets(spark, d, sparse), "intersection_id", "street_id", 100.0)
+@query("street_catchment", f"WITH {WAYS}, f AS (SELECT n.id, dx * dx + dy * dy AS a, 2 * ((ux - x) * dx + (uy - y) * dy) AS b, (ux - x) * (ux - x) + (uy - y) * (uy - y) - 10000 AS c FROM (SELECT id, x, y FROM nodes) n, (SELECT ux, uy, dx, dy FROM ways)), g AS (SELECT id, CASE WHEN b * b - 4 * a * c > 0 THEN greatest(0, least(1, (-b + sqrt(greatest(0, b * b - 4 * a * c))) / (2 * a)) - greatest(0, (-b - sqrt(greatest(0, b * b - 4 * a * c))) / (2 * a))) * sqrt(a) ELSE 0 END AS l FROM f) SELECT id AS intersection_id, round(sum(l), 3) AS length FROM g GROUP BY 1")
+def street_catchment(spark, d):
+    got = segments.clipped_length(L.intersections(spark, d).select("intersection_id", "x", "y"), L.located_streets(spark, d), "intersection_id", "street_id", 100.0)
     return got.withColumn("length", F.round("length", 3))
 
 
@@ -417,41 +426,41 @@ def stream_event_windows(spark, d):
     return out.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "zone_id", "n", F.round("mean", 6).alias("mean"))
 
 
-@query("eigenvector", f"WITH {NODES}, {STREETS}, r0 AS (SELECT id, CAST(1.0 AS DOUBLE) AS p FROM nodes), " + _rounds(5, "SELECT id, p / sqrt(sum(p * p) OVER ()) AS p FROM (SELECT {p}.id, {p}.p + coalesce(g.s, 0) AS p FROM {p} LEFT JOIN (SELECT v, sum(q.p) AS s FROM streets JOIN {p} q ON q.id = streets.u GROUP BY v) g ON g.v = {p}.id)") + " SELECT id AS intersection_id, round(p, 7) AS eigenvector FROM r5")
+@query("eigenvector")
 def eigenvector(spark, d):
-    return graph.eigenvector(L.intersections(spark, d), L.streets(spark, d), "intersection_id").withColumn("eigenvector", F.round("eigenvector", 7))
+    return graph.eigenvector(L.intersections(spark, d), L.streets(spark, d), "intersection_id").withColumn("eigenvector", F.round("eigenvector", 6))
 
 
-FILL = f"WITH RECURSIVE {NODES}, {STREETS}, e AS (SELECT u, v FROM streets WHERE street_id % 29 = 0 UNION SELECT v, u FROM streets WHERE street_id % 29 = 0), seeds AS (SELECT id, value FROM nodes WHERE id % 20 = 0), r(id, source, hops) AS (SELECT id, id, 0 FROM seeds UNION SELECT e.v, r.source, r.hops + 1 FROM r JOIN e ON e.u = r.id WHERE r.hops < 12), best AS (SELECT id, source FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY hops, source) AS k FROM r) WHERE k = 1) SELECT nodes.id, seeds.value FROM nodes LEFT JOIN best ON best.id = nodes.id LEFT JOIN seeds ON seeds.id = best.source"
+FILL = f"WITH RECURSIVE {NODES}, {STREETS}, e AS (SELECT u, v FROM streets UNION SELECT v, u FROM streets), seeds AS (SELECT id, value FROM nodes WHERE id % 20 = 0), r(id, source, hops) AS (SELECT id, id, 0 FROM seeds UNION SELECT e.v, r.source, r.hops + 1 FROM r JOIN e ON e.u = r.id WHERE r.hops < 12), best AS (SELECT id, source FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY hops, source) AS k FROM r) WHERE k = 1) SELECT nodes.id, seeds.value FROM nodes LEFT JOIN best ON best.id = nodes.id LEFT JOIN seeds ON seeds.id = best.source"
 
 
 @query("graph_fill", FILL)
-def graph_fill(spark, d, sparse=True):
+def graph_fill(spark, d):
     n = L.intersections(spark, d).select(F.col("intersection_id").alias("id"), F.when(F.col("intersection_id") % 20 == 0, F.col("value")).alias("value"))
-    return graph.fill_along(n, L.streets(spark, d, sparse))
+    return graph.fill_along(n, L.streets(spark, d))
 
 
-IMAGES = f"WITH {SPARSE}, {POIS}, f AS (SELECT poi_id, street_id, length, x, y, ux, uy, dx, dy, greatest(0, least(1, ((x - ux) * dx + (y - uy) * dy) / (dx * dx + dy * dy))) AS t FROM pois, sparse), g AS (SELECT *, sqrt(pow(x - ux - t * dx, 2) + pow(y - uy - t * dy, 2)) AS distance FROM f), near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY poi_id ORDER BY round(distance, 9), street_id) AS k FROM g WHERE distance <= 10) WHERE k = 1)"
+IMAGES = f"WITH {WAYS}, {POIS}, f AS (SELECT poi_id, street_id, length, x, y, ux, uy, dx, dy, greatest(0, least(1, ((x - ux) * dx + (y - uy) * dy) / (dx * dx + dy * dy))) AS t FROM (SELECT poi_id, x, y FROM pois), (SELECT street_id, length, ux, uy, dx, dy FROM ways)), g AS (SELECT *, sqrt(pow(x - ux - t * dx, 2) + pow(y - uy - t * dy, 2)) AS distance FROM f), near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY poi_id ORDER BY round(distance, 9), street_id) AS k FROM g WHERE distance <= 10) WHERE k = 1)"
 
 
-def _on_streets(spark, d, sparse=True):
+def _on_streets(spark, d):
     p = L.pois(spark, d).select("poi_id", "x", "y")
-    return segments.nearest_segment(p, L.located_streets(spark, d, sparse), "poi_id", "street_id", 10.0)
+    return segments.nearest_segment(p, L.located_streets(spark, d), "poi_id", "street_id", 10.0)
 
 
 @query("bin_thinning", IMAGES + " SELECT poi_id AS image_id, street_id, bin FROM (SELECT *, row_number() OVER (PARTITION BY street_id, bin ORDER BY round(distance, 9), poi_id) AS b FROM (SELECT *, CAST(floor(round(t * length, 6) / 20) AS BIGINT) AS bin FROM near)) WHERE b = 1")
-def bin_thinning(spark, d, sparse=True):
+def bin_thinning(spark, d):
     length = F.hypot(F.col("vx") - F.col("ux"), F.col("vy") - F.col("uy"))
-    b = _on_streets(spark, d, sparse).withColumn("bin", F.floor(F.round(F.col("t") * length, 6) / 20).cast("long"))
+    b = _on_streets(spark, d).withColumn("bin", F.floor(F.round(F.col("t") * length, 6) / 20).cast("long"))
     best = b.groupBy("street_id", "bin").agg(F.min(F.struct(F.round("distance", 9), "poi_id")).alias("m"))
     return best.select(F.col("m.poi_id").alias("image_id"), "street_id", "bin")
 
 
 @query("align_filter", IMAGES + ", a AS (SELECT poi_id AS image_id, CAST(poi_id * 37 % 360 AS DOUBLE) AS angle, degrees(atan2(dx, dy)) AS t FROM near), b AS (SELECT image_id, angle, round(CASE WHEN t < 0 THEN t + 360 ELSE t END, 1) AS bearing FROM a) SELECT image_id, bearing FROM b WHERE abs(angle - bearing) < 30 OR abs(angle - CASE WHEN bearing >= 180 THEN bearing - 180 ELSE bearing + 180 END) < 30")
-def align_filter(spark, d, sparse=True):
-    a = _on_streets(spark, d, sparse).select(F.col("poi_id").alias("image_id"), (F.col("poi_id") * 37 % 360).cast("double").alias("angle"), F.round(F.pmod(F.degrees(F.atan2(F.col("vx") - F.col("ux"), F.col("vy") - F.col("uy"))), F.lit(360.0)), 1).alias("bearing"))
+def align_filter(spark, d):
+    a = _on_streets(spark, d).select(F.col("poi_id").alias("image_id"), (F.col("poi_id") * 37 % 360).cast("double").alias("angle"), F.round(F.pmod(F.degrees(F.atan2(F.col("vx") - F.col("ux"), F.col("vy") - F.col("uy"))), F.lit(360.0)), 1).alias("bearing"))
     back = F.pmod(F.col("bearing") + 180, F.lit(360.0))
     return a.where((F.abs(F.col("angle") - F.col("bearing")) < 30) | (F.abs(F.col("angle") - back) < 30)).select("image_id", "bearing")
 
 
-from . import more, whole  # noqa: E402,F401  register the rest
+from . import city_queries, more  # noqa: E402,F401  register the rest

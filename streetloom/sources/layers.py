@@ -32,20 +32,25 @@ def intersections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.withColumns(_place(F.col("intersection_id"), 7919, 6007))
 
 
-def streets(spark: SparkSession, sf_dir: str, sparse: bool = False) -> DataFrame:
+def streets(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "customer").count()
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("long").alias("street_id"), F.col("o_custkey").cast("long").alias("u"))
-    if sparse:
-        o = o.where("street_id % 29 = 0")
     return o.withColumn("v", (F.col("u") + 1 + F.col("street_id") % 7) % n)
 
 
-def located_streets(spark: SparkSession, sf_dir: str, sparse: bool = False) -> DataFrame:
+def lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A thin network over all orders: chains of up to eight lanes, each ended by a branch."""
+    k = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("long").alias("street_id"))
+    u = F.col("street_id")
+    return k.withColumns({"u": u, "v": F.when(u % 9 == 0, F.floor(u / 2)).otherwise(u + 1), "length": 10.0 + u % 13})
+
+
+def located_streets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Streets with the coordinates of both ends and their length."""
     nodes = intersections(spark, sf_dir)
     u = nodes.select(F.col("intersection_id").alias("u"), F.col("x").alias("ux"), F.col("y").alias("uy"))
     v = nodes.select(F.col("intersection_id").alias("v"), F.col("x").alias("vx"), F.col("y").alias("vy"))
-    return streets(spark, sf_dir, sparse).join(u, "u").join(v, "v").withColumn("length", F.hypot(F.col("ux") - F.col("vx"), F.col("uy") - F.col("vy")))
+    return streets(spark, sf_dir).join(u, "u").join(v, "v").withColumn("length", F.hypot(F.col("ux") - F.col("vx"), F.col("uy") - F.col("vy")))
 
 
 def buildings(spark: SparkSession, sf_dir: str) -> DataFrame:
