@@ -138,7 +138,8 @@ def test_grid_without_cells_and_numbers(spark):
 def test_words_and_sql(spark):
     rows = spark.createDataFrame([("Trunk",), ("trunk_link",), (None,), ("['primary', 'trunk']",)], "h string")
     assert [r[0] for r in rows.select(clean.has_word(F.col("h"), "trunk")).collect()] == [1, 0, 0, 1]
-    assert set(sql.register(spark)) == set(sql.FUNCTIONS)
+    assert set(sql.register(spark)) == {*sql.FUNCTIONS, "ug_grid", "ug_tiles"}
+    assert [r.tile_id for r in spark.sql("SELECT * FROM ug_tiles(103.8D, 1.3D, 103.81D, 1.31D, 10)").collect()] == ["10/807/508"]
     assert spark.sql("SELECT ug_tile(103.8D, 1.3D, 14)").first()[0] == spark.range(1).select(G.tile_id(F.lit(103.8), F.lit(1.3), 14)).first()[0]
     assert spark.sql("SELECT ug_bearing(0D, 0D, 1D, 0D), ug_haversine(0D, 0D, 1D, 0D), ug_complexity(16D, 16D)").first() == pytest.approx((90.0, math.radians(1) * 6371009, 8.0))
 
