@@ -38,11 +38,11 @@ KNOWN, KNOWN_BYTES = 120_000, 64
 HIDDEN = 24
 ENDINGS = 512
 SAMPLE_BYTES, SAMPLE_LONGEST = 3 << 20, 1 << 15
-LANES, WINDOW = 128, 64
+LANES, WINDOW = 256, 32
 TRAIN_LANES, TRAIN_WINDOW, EPOCHS, RATE = 32, 20, 2, 0.006
 #: The pass over all documents: lanes, least tokens of an update, rate; texts and bytes packed at once; numbers of a row
 #: of weights on their way.
-PASS_LANES, PASS_TOKENS, PASS_RATE, PASS_ROWS, PASS_BYTES, PIECE = 128, 2048, 0.003, 5000, 20 << 20, 1024
+PASS_LANES, PASS_TOKENS, PASS_RATE, PASS_ROWS, PASS_BYTES, PIECE = 256, 4096, 0.006, 5000, 20 << 20, 1024
 END = b"\n"
 _BLANKS = bytes(32 if b == 32 or 9 <= b <= 13 else b + 32 if 65 <= b <= 90 else b for b in range(256))
 LN10 = math.log(10)
