@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound_batches, id_remainder, materialize, utf8
+from .common import bound_batches, gathered, id_remainder, materialize, utf8
 
 CLASSES, WORDS = 40, 40
 HEAD = CLASSES * WORDS
@@ -403,18 +403,6 @@ def pass_over(net: Network, outs: list[np.ndarray], intos: list[np.ndarray], rat
     return total + n
 
 
-def gathered(batches):
-    """Batches joined up to PASS_ROWS rows or PASS_BYTES: the more texts are packed at once, the fuller are the lanes."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        held.append(batch)
-        if sum(b.num_rows for b in held) >= PASS_ROWS or sum(b.nbytes for b in held) >= PASS_BYTES:
-            yield pa.concat_batches(held)
-            held = []
-    if held:
-        yield pa.concat_batches(held)
-
-
 def taught(docs: DataFrame, start, text_col: str = "text") -> dict | None:
     """Weights after a pass over all docs from those of start, a broadcast (vocabulary, network): each partition's, averaged by tokens."""
     bound_batches(docs.sparkSession)
@@ -427,7 +415,7 @@ def taught(docs: DataFrame, start, text_col: str = "text") -> dict | None:
         v, first = start.value
         net, tokens = Network(v), 0
         net.p = {k: w.copy() for k, w in first.p.items()}
-        for batch in gathered(batches):
+        for batch in gathered(batches, PASS_ROWS, PASS_BYTES):
             found = Coded(v, utf8(batch, text_col)).docs
             tokens += pass_over(net, [v.taught[c] for c in found], [v.inputs[c] for c in found], PASS_RATE)
         if tokens:
@@ -459,7 +447,7 @@ def count_words(docs: DataFrame, text_col: str) -> DataFrame:
     bound_batches(docs.sparkSession)
 
     def run(batches):
-        for batch in gathered(batches):
+        for batch in gathered(batches, PASS_ROWS, PASS_BYTES):
             words, n = cut(utf8(batch, text_col))
             found = words.value_counts()
             yield pa.RecordBatch.from_arrays([pa.concat_arrays([found.field("values"), pa.array([END], pa.binary())]), pa.concat_arrays([found.field("counts"), pa.array([len(n)], pa.int64())])], names=["word", "n"])
@@ -528,7 +516,7 @@ def _scored(docs: DataFrame, broadcast) -> DataFrame:
             _held[key] = broadcast.value
         v, net = _held[key]
         uid = TaskContext.get().partitionId() << 33
-        for batch in gathered(batches):
+        for batch in gathered(batches, PASS_ROWS, PASS_BYTES):
             got = Coded(v, utf8(batch, "text"))
             ln, n = log_likelihoods(net, [v.symbols[c] for c in got.docs], [v.inputs[c] for c in got.docs]), len(got.n)
             known, base, score, far = got.sums(v.known.astype(np.int64)), got.sums(v.logs), ln / LN10 + got.sums(v.within), got.sums((np.arange(len(v.known)) >= v.rare_from).astype(np.int64))

@@ -30,7 +30,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound_batches, frequent, fresh_path, materialize
+from .common import bound_batches, frequent, fresh_path, gathered, materialize
 
 VOCABULARY = "byte_bpe_50k.json"
 SEQUENCE = 2048
@@ -40,6 +40,8 @@ END = 0
 SHARD_BYTES = 32 << 20
 CACHE_PIECES, FIRST_PIECES = 1_000_000, 50_000
 HOT_SAMPLE, HOT_PIECES = 16, 300_000
+#: Pieces of one text when new ones are encoded; rows and bytes of texts encoded at once.
+LEARN_PIECES, ROWS_AT_ONCE, BYTES_AT_ONCE = 500, 8000, 12 << 20
 
 
 class Encoder:
@@ -59,15 +61,16 @@ class Encoder:
         #: Ids of a space and a piece, by piece; b"" marks pieces that may not stand alone.
         self.cache, self.firsts = dict(self.hot), {}
 
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind).tobytes()
+    def whole(self, *texts: str) -> bytes:
+        """The ids of each text, one text's after another's."""
+        return b"".join([np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(list(texts), add_special_tokens=False)])
 
     def learn(self, pieces: list[str]) -> dict[str, bytes]:
-        """Encode pieces, each after a space, in one text."""
+        """Encode pieces, each after a space, in texts of LEARN_PIECES."""
         good = [p for p in pieces if p and p == p.strip()]
         got = dict.fromkeys(pieces, b"") if len(good) < len(pieces) else {}
         if good:
-            ids = np.frombuffer(self.whole(" " + " ".join(good)), self.kind)
+            ids = np.frombuffer(self.whole(*[" " + " ".join(good[at : at + LEARN_PIECES]) for at in range(0, len(good), LEARN_PIECES)]), self.kind)
             data, cuts = ids.tobytes(), (self.kind.itemsize * np.append(np.flatnonzero(self.begins[ids]), len(ids))).tolist()
             got.update(zip(good, [data[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)], strict=True))
         return got
@@ -263,7 +266,7 @@ def write_shards(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_
         from pyspark import TaskContext
 
         shard, writer = TaskContext.get().partitionId(), None
-        for batch in batches:
+        for batch in gathered(batches, ROWS_AT_ONCE, BYTES_AT_ONCE):
             coder = encoder(path, hot)
             writer = writer or ShardWriter(base, shard, sequence, coder.kind)
             tail = np.array([end], coder.kind).tobytes()
