@@ -41,7 +41,7 @@ SHARD_BYTES = 32 << 20
 CACHE_PIECES, FIRST_PIECES = 1_000_000, 50_000
 HOT_SAMPLE, HOT_PIECES = 16, 300_000
 #: Pieces of one text when new ones are encoded; rows and bytes of texts encoded at once.
-LEARN_PIECES, ROWS_AT_ONCE, BYTES_AT_ONCE = 500, 8000, 12 << 20
+LEARN_PIECES, ROWS_AT_ONCE, BYTES_AT_ONCE = 500, 8000, 8 << 20
 
 
 class Encoder:
