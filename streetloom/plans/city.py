@@ -223,7 +223,8 @@ def plot_nodes(streets: DataFrame, buildings: DataFrame | None, cell: float, lea
 def urban_graph(city: City, cell: float, radius: float = 100.0, knn: int = 5, reach: float = 50.0) -> UrbanGraph:
     """Node tables of all five types and their twelve relations."""
     nodes, edges = street_network(city, radius, ("catchment",))
-    at = city.buildings.withColumn("_c", shapes.centroid(F.col("ring"))).withColumns({"x": F.col("_c.x"), "y": F.col("_c.y")}).drop("_c")
+    # Held: otherwise every join below would repeat the whole expression of the centroid.
+    at = graph._held(city.buildings.withColumn("_c", shapes.centroid(F.col("ring"))).withColumns({"x": F.col("_c.x"), "y": F.col("_c.y")}).drop("_c"))
     plot = graph._held(plot_nodes(edges, city.buildings, cell))
     border = city.zones.select(F.lit(0).cast("long").alias("boundary_id"), "ring") if city.zones is not None else plot.select(F.lit(0).cast("long").alias("boundary_id"), "ring")
     b = bounds("ring")

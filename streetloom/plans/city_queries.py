@@ -283,6 +283,48 @@ def urban_relations(spark, d):
     return out
 
 
+def _blocks(spark):
+    """(intersections, streets) of the zones' borders: 36 crossings and the 60 streets between neighbours."""
+    at = spark.range(36).select(F.col("id").alias("intersection_id"), (F.col("id") % 6 * 1000.0).alias("x"), (F.floor(F.col("id") / 6) * 1000.0).alias("y"))
+    u, v = at.toDF("u", "ux", "uy"), at.toDF("v", "vx", "vy")
+    east = u.where("u % 6 < 5").select((F.floor(F.col("u") / 6) * 5 + F.col("u") % 6).alias("street_id"), "u", (F.col("u") + 1).alias("v"), "ux", "uy")
+    north = u.where("u < 30").select((100 + F.col("u") % 6 * 5 + F.floor(F.col("u") / 6)).alias("street_id"), "u", (F.col("u") + 6).alias("v"), "ux", "uy")
+    return at, east.unionByName(north).join(v, "v").withColumn("length", F.lit(1000.0))
+
+
+@query("urban_graph", f"""WITH {BUILDINGS}, {BUILT_IN},
+ crossings AS (SELECT CAST(range AS BIGINT) AS id, range % 6 AS c, range // 6 AS r FROM range(36)),
+ blocks AS (SELECT r * 5 + c AS street_id, id AS u, id + 1 AS v, c * 1000 AS ux, r * 1000 AS uy, c * 1000 + 1000 AS vx, r * 1000 AS vy FROM crossings WHERE c < 5 UNION ALL SELECT 100 + c * 5 + r, id, id + 6, c * 1000, r * 1000, c * 1000, r * 1000 + 1000 FROM crossings WHERE r < 5),
+ z AS (SELECT range AS zone_id, range % 5 AS c, range // 5 AS r FROM range(25)),
+ sides AS (SELECT zone_id, unnest([r * 5 + c, r * 5 + 5 + c, 100 + c * 5 + r, 105 + c * 5 + r]) AS street_id FROM z),
+ mid AS (SELECT bid, x + width * CASE WHEN bid % 2 = 0 THEN 0.5 ELSE 5.0 / 12 END AS x, y + depth * CASE WHEN bid % 2 = 0 THEN 0.5 ELSE 5.0 / 12 END AS y FROM buildings),
+ knn AS (SELECT bid, neighbour FROM (SELECT a.bid, b.bid AS neighbour, row_number() OVER (PARTITION BY a.bid ORDER BY (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y), b.bid) AS k FROM mid a, mid b) WHERE k <= 5),
+ near AS (SELECT bid, street_id FROM (SELECT bid, street_id, row_number() OVER (PARTITION BY bid ORDER BY round(distance, 9), street_id) AS k FROM (SELECT bid, street_id, sqrt(pow(greatest(ux - x, 0, x - vx), 2) + pow(greatest(uy - y, 0, y - vy), 2)) AS distance FROM mid, blocks) WHERE distance <= 50) WHERE k = 1),
+ r AS (SELECT 'boundary_to_plot' AS relation, 0 AS src, zone_id AS dst FROM z UNION ALL SELECT 'plot_to_boundary', zone_id, 0 FROM z
+  UNION ALL SELECT 'plot_to_plot', a.zone_id, b.zone_id FROM sides a JOIN sides b ON a.street_id = b.street_id AND a.zone_id <> b.zone_id
+  UNION ALL SELECT 'building_to_building', neighbour, bid FROM knn
+  UNION ALL SELECT 'building_to_street', bid, street_id FROM near UNION ALL SELECT 'street_to_building', street_id, bid FROM near
+  UNION ALL SELECT 'intersection_to_street', u, street_id FROM blocks UNION ALL SELECT 'intersection_to_street', v, street_id FROM blocks
+  UNION ALL SELECT 'street_to_intersection', street_id, u FROM blocks UNION ALL SELECT 'street_to_intersection', street_id, v FROM blocks
+  UNION ALL SELECT 'building_to_plot', bid, zone_id FROM square_in UNION ALL SELECT 'plot_to_building', zone_id, bid FROM square_in
+  UNION ALL SELECT 'street_to_plot', street_id, zone_id FROM sides UNION ALL SELECT 'plot_to_street', zone_id, street_id FROM sides)
+ SELECT relation, CAST(src AS BIGINT) AS src, CAST(dst AS BIGINT) AS dst FROM r""")
+def urban_graph(spark, d):
+    """All twelve relations of the graph built from streets and buildings alone; plots are named by the zone they equal."""
+    nodes, streets = _blocks(spark)
+    g = C.urban_graph(C.City(intersections=nodes, streets=streets, buildings=_rings(spark, d)), 1000.0)
+    first = F.col("ring")[0]
+    zones = g.nodes["plot"].select("plot_id", F.round(first["y"] / 1000 * 5 + first["x"] / 1000).cast("long").alias("zone_id"))
+    out = None
+    for name, e in sorted(g.edges.items()):
+        for end, kind in zip(("src", "dst"), name.split("_to_"), strict=True):
+            if kind == "plot":
+                e = e.join(F.broadcast(zones), F.col(end) == F.col("plot_id")).withColumn(end, F.col("zone_id")).drop("plot_id", "zone_id")
+        part = e.select(F.lit(name).alias("relation"), F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 # Yearly graphs: nodes that are there in a year, and the streets between two of them.
 YEARLY = f"WITH RECURSIVE {NODES}, {STREETS}, y AS (SELECT unnest([{', '.join(map(str, YEARS))}]) AS year), there AS (SELECT id, year FROM nodes, y WHERE (id * 13 + year) % 600 >= 300), e AS (SELECT DISTINCT s.u, s.v, a.year FROM streets s JOIN there a ON a.id = s.u JOIN there b ON b.id = s.v AND b.year = a.year)"
 
