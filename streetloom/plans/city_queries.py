@@ -283,7 +283,7 @@ def urban_relations(spark, d):
     return out
 
 
-def _blocks(spark):
+def _border_streets(spark):
     """(intersections, streets) of the zones' borders: 36 crossings and the 60 streets between neighbours."""
     at = spark.range(36).select(F.col("id").alias("intersection_id"), (F.col("id") % 6 * 1000.0).alias("x"), (F.floor(F.col("id") / 6) * 1000.0).alias("y"))
     u, v = at.toDF("u", "ux", "uy"), at.toDF("v", "vx", "vy")
@@ -311,7 +311,7 @@ def _blocks(spark):
  SELECT relation, CAST(src AS BIGINT) AS src, CAST(dst AS BIGINT) AS dst FROM r""")
 def urban_graph(spark, d):
     """All twelve relations of the graph built from streets and buildings alone; plots are named by the zone they equal."""
-    nodes, streets = _blocks(spark)
+    nodes, streets = _border_streets(spark)
     g = C.urban_graph(C.City(intersections=nodes, streets=streets, buildings=_rings(spark, d)), 1000.0)
     first = F.col("ring")[0]
     zones = g.nodes["plot"].select("plot_id", F.round(first["y"] / 1000 * 5 + first["x"] / 1000).cast("long").alias("zone_id"))

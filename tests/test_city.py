@@ -1,10 +1,13 @@
 """Polygon kernels and joins, bad rows, map-data extracts, rasters, yearly graphs: closed forms and brute force on small tables."""
 
+import ast
 import math
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
+import streetloom
 from pyspark.sql import functions as F
 from streetloom.functions import geometry as G
 from streetloom.functions import kernels as K
@@ -236,3 +239,10 @@ def test_places_and_colours(spark):
     assert p.count() == 16 and p.agg(F.min("lon")).first()[0] > 0
     assert one.select(clean.local_time(F.lit(1_700_000_000_000), "Asia/Singapore").alias("m")).first().m == 6 * 60 + 13
     assert [tuple(x) for x in clean.side_by_side(spark.range(3), spark.createDataFrame([(5, "a"), (9, "b")], "k long, v string"), "id", "k").orderBy("id").collect()] == [(0, 5, "a"), (1, 9, "b"), (2, None, None)]
+
+
+def test_no_function_of_a_module_is_defined_twice():
+    """A second definition takes the place of the first in all its callers."""
+    for path in sorted(Path(streetloom.__file__).parent.rglob("*.py")):
+        names = [n.name for n in ast.parse(path.read_text()).body if isinstance(n, ast.FunctionDef)]
+        assert len(names) == len(set(names)), path
