@@ -153,6 +153,14 @@ def inside_shares(segments: np.ndarray, rings: np.ndarray) -> np.ndarray:
     return ((cuts[..., 1:] - cuts[..., :-1]) * (inside | (border != 0))).sum(axis=(1, 2))
 
 
+def inside_stays(segments: np.ndarray, rings: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, low, high): the intervals of each segment's way that lie inside its ring or on its border."""
+    cuts, inside, border = pieces(segments[:, :1], segments[:, 1:], rings)
+    low, high = cuts[:, 0, :-1], cuts[:, 0, 1:]
+    row, k = np.nonzero((inside | (border != 0))[:, 0] & (low < high))
+    return row, low[row, k], high[row, k]
+
+
 def border_shares(segments: np.ndarray, rings: np.ndarray) -> np.ndarray:
     """Share of each segment that runs along its ring's border."""
     cuts, _, border = pieces(segments[:, :1], segments[:, 1:], rings)
@@ -252,6 +260,24 @@ def with_columns(df: DataFrame, fields: str, make: Callable[[pa.RecordBatch], li
     return df.mapInArrow(run, schema)
 
 
+def pair_stacks(batch: pa.RecordBatch, left: str, right: str, closed: bool = True):
+    """(rows, stack of the left column, stack of the right one) of rows whose rings have enough vertices, in bounded parts.
+
+    `closed` false: the left column holds segments of two points each.
+    """
+    fa, na, xa = flat_rings(batch.column(left))
+    na = na if closed else na + 1
+    fb, nb, xb = flat_rings(batch.column(right))
+    good = (na >= (3 if closed else 2)) & (nb >= 3)
+    code = np.where(good, na * 1_000_003 + nb, -1)
+    for c in np.unique(code[code >= 0]).tolist():
+        n, k = divmod(c, 1_000_003)
+        at, step = np.flatnonzero(code == c), max(1, ROOM // (n * k * (2 * k + 2) + k * n * (2 * n + 2)))
+        for start in range(0, len(at), step):
+            part = at[start : start + step]
+            yield part, stack(fa[part], n, xa), stack(fb[part], k, xb)
+
+
 def pair_column(df: DataFrame, name: str, left: str, right: str, kernel: Callable[[np.ndarray, np.ndarray], np.ndarray], closed: bool = True) -> DataFrame:
     """df with `name`: the kernel's value of the rings in two columns; 0 where one has fewer vertices than it needs.
 
@@ -259,18 +285,9 @@ def pair_column(df: DataFrame, name: str, left: str, right: str, kernel: Callabl
     """
 
     def make(batch):
-        fa, na, xa = flat_rings(batch.column(left))
-        na = na if closed else na + 1
-        fb, nb, xb = flat_rings(batch.column(right))
         out = np.zeros(batch.num_rows)
-        good = (na >= (3 if closed else 2)) & (nb >= 3)
-        code = np.where(good, na * 1_000_003 + nb, -1)
-        for c in np.unique(code[code >= 0]).tolist():
-            n, k = divmod(c, 1_000_003)
-            at, step = np.flatnonzero(code == c), max(1, ROOM // (n * k * (2 * k + 2) + k * n * (2 * n + 2)))
-            for start in range(0, len(at), step):
-                part = at[start : start + step]
-                out[part] = kernel(stack(fa[part], n, xa), stack(fb[part], k, xb))
+        for part, a, b in pair_stacks(batch, left, right, closed):
+            out[part] = kernel(a, b)
         return [out]
 
     return with_columns(df, f"{name} double", make)

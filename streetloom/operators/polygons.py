@@ -10,8 +10,10 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import geometry as G
 from ..functions import kernels as K
@@ -88,7 +90,7 @@ def outside_parts(segments: DataFrame, polygons: DataFrame, key: str, size: floa
     from pyspark.sql import Window
 
     pairs = _segment(_segment_pairs(segments.select(key, "ux", "uy", "vx", "vy"), polygons.select(ring), size, ring))
-    stays = _stays(pairs, ring).select(key, F.explode("stays").alias("s")).select(key, "s.low", "s.high")
+    stays = _stays(pairs, key, ring)
     both = stays.unionByName(segments.select(key, F.lit(1.0).alias("low"), F.lit(1.0).alias("high")))
     so_far = F.max("high").over(Window.partitionBy(key).orderBy("low", "high").rowsBetween(Window.unboundedPreceding, -1))
     gaps = both.withColumn("from", F.coalesce(so_far, F.lit(0.0))).where(F.col("low") - F.col("from") > 1e-9).select(key, "from", F.col("low").alias("to"))
@@ -96,24 +98,18 @@ def outside_parts(segments: DataFrame, polygons: DataFrame, key: str, size: floa
     return gaps.join(segments.select(key, "ux", "uy", "vx", "vy"), key).select(key, on("ux", "vx", "from").alias("ux"), on("uy", "vy", "from").alias("uy"), on("ux", "vx", "to").alias("vx"), on("uy", "vy", "to").alias("vy"))
 
 
-def _stays(pairs: DataFrame, ring: str) -> DataFrame:
-    """pairs with `stays`: intervals (low, high) of the segment's way inside the ring, by its crossings with the ring's edges."""
-    sx, sy = F.col("vx") - F.col("ux"), F.col("vy") - F.col("uy")
-
-    def meets(e: Column) -> Column:
-        a, b = e["a"], e["b"]
-        ex, ey = b["x"] - a["x"], b["y"] - a["y"]
-        across = sx * ey - sy * ex
-        t = F.try_divide((a["x"] - F.col("ux")) * ey - (a["y"] - F.col("uy")) * ex, across)
-        w = F.try_divide((a["x"] - F.col("ux")) * sy - (a["y"] - F.col("uy")) * sx, across)
-        return F.when((t > 0) & (t < 1) & (w >= 0) & (w <= 1), t)
-
-    cuts = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0.0), F.lit(1.0)), F.filter(F.transform(G._pairs(F.col(ring)), meets), lambda t: t.isNotNull()))))
-    held = pairs.withColumn("_cuts", cuts)
-    c = F.col("_cuts")
-    spans = F.transform(F.sequence(F.lit(0), F.size(c) - 2), lambda k: F.struct(F.get(c, k).alias("low"), F.get(c, k + 1).alias("high")))
-    middle = lambda s, a, b: F.col(a) + (F.col(b) - F.col(a)) * (s["low"] + s["high"]) / 2
-    return held.withColumn("stays", F.filter(spans, lambda s: G.inside(middle(s, "ux", "vx"), middle(s, "uy", "vy"), F.col(ring)))).drop("_cuts")
+def _stays(pairs: DataFrame, key: str, ring: str) -> DataFrame:
+    """(key, low, high): the intervals of each pair's segment's way that lie inside the ring."""
+    held = pairs.select(key, "_segment", ring)
+    schema = T.StructType([held.schema[key], T.StructField("low", T.DoubleType()), T.StructField("high", T.DoubleType())])
+
+    def run(batches):
+        for batch in batches:
+            for part, segments, rings in K.pair_stacks(batch, "_segment", ring, closed=False):
+                row, low, high = K.inside_stays(segments, rings)
+                yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(part[row])), pa.array(low), pa.array(high)], names=[key, "low", "high"])
+
+    return held.mapInArrow(run, schema)
 
 
 def edges_of(polygons: DataFrame, keys: list[str], ring: str = "ring") -> DataFrame:

@@ -246,3 +246,18 @@ def test_no_function_of_a_module_is_defined_twice():
     for path in sorted(Path(streetloom.__file__).parent.rglob("*.py")):
         names = [n.name for n in ast.parse(path.read_text()).body if isinstance(n, ast.FunctionDef)]
         assert len(names) == len(set(names)), path
+
+
+def test_outside_parts_add_up_to_the_outside_length(spark):
+    """Through a square and a star, along each side of the square, past both; a segment of no ring keeps its whole length."""
+    rng = random.Random(5)
+    rings = [([(100.0, 100.0), (200.0, 100.0), (200.0, 200.0), (100.0, 200.0)],), (star(rng, 9, 400.0, 150.0, 90.0),)]
+    rings = spark.createDataFrame([(closed(r[0]),) for r in rings] + [(None,)], f"ring {RING}")
+    ends = [(50.0, y, 250.0, y) for y in (100.0, 150.0, 200.0)] + [(x, 50.0, x, 250.0) for x in (100.0, 150.0, 200.0)]
+    ends += [tuple(rng.uniform(0, 500) for _ in range(4)) for _ in range(60)] + [(0.0, 0.0, 10.0, 0.0), (120.0, 120.0, 180.0, 180.0)]
+    lines = spark.createDataFrame([(k, *e) for k, e in enumerate(ends)], "k long, ux double, uy double, vx double, vy double")
+    want = {r.k: r.outside_length for r in polygons.outside_length(lines, rings, "k", 100.0).collect()}
+    got = dict.fromkeys(want, 0.0)
+    for r in polygons.outside_parts(lines, rings, "k", 100.0).collect():
+        got[r.k] += math.hypot(r.vx - r.ux, r.vy - r.uy)
+    assert got == pytest.approx(want, abs=1e-6) and want[0] == want[5] == pytest.approx(100.0) and got[len(ends) - 1] == 0.0
