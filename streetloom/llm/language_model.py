@@ -43,6 +43,8 @@ TRAIN_LANES, TRAIN_WINDOW, EPOCHS, RATE = 32, 20, 2, 0.006
 #: The pass over all documents: lanes, least tokens of an update, rate; texts and bytes packed at once; numbers of a row
 #: of weights on their way.
 PASS_LANES, PASS_TOKENS, PASS_RATE, PASS_ROWS, PASS_BYTES, PIECE = 256, 4096, 0.006, 5000, 20 << 20, 1024
+#: Rows of one key from which on they are summed in a product of their own.
+LONG_RUN = 48
 END = b"\n"
 _BLANKS = bytes(32 if b == 32 or 9 <= b <= 13 else b + 32 if 65 <= b <= 90 else b for b in range(256))
 LN10 = math.log(10)
@@ -118,6 +120,24 @@ def endings(words: pa.Array) -> np.ndarray:
     return (data[at[1:] - 1] * 31 + data[at[:-1] + (size - 2) % size] * 7 + data[at[:-1]] * 131) % ENDINGS
 
 
+def sums_of_rows(rows: np.ndarray, keys: np.ndarray, n: int) -> np.ndarray:
+    """For each key from 0 to n - 1 the sum of its rows: the second rows of all keys at once, then the third ones, and so on."""
+    order, size = np.argsort(keys.astype(np.int16), kind="stable"), np.bincount(keys, minlength=n)
+    first, out = np.cumsum(size) - size, np.zeros((n, rows.shape[1]), rows.dtype)
+    for k in np.flatnonzero(size > LONG_RUN).tolist():
+        np.matmul(np.ones(size[k], rows.dtype), rows.take(order[first[k] : first[k] + size[k]], axis=0), out=out[k])
+    short = np.flatnonzero((size > 0) & (size <= LONG_RUN))
+    short = short[np.argsort(-size[short], kind="stable")]
+    first, more = first[short], len(short) - np.cumsum(np.bincount(size[short], minlength=LONG_RUN + 1))
+    sums = rows.take(order[first], axis=0)
+    for k in range(1, LONG_RUN):
+        if not (m := int(more[k])):
+            break
+        sums[:m] += rows.take(order[first[:m] + k], axis=0)
+    out[short] = sums
+    return out
+
+
 class Network:
     """x: each input symbol's share of the three gates; u: the state's; c, cb: classes; w, wb: words in a class."""
 
@@ -127,39 +147,54 @@ class Network:
         self.p = {"x": normal(HEAD + ENDINGS, 3 * h), "u": normal(h, 3 * h), "c": normal(h, CLASSES + 2) * 0.1, "cb": vocabulary.class_bias.copy(), "w": normal(CLASSES, h, WORDS) * 0.1, "wb": vocabulary.word_bias.copy()}
         self.moments = None
 
-    def step(self, gates: np.ndarray, state: np.ndarray):
-        h = HIDDEN
-        own = state @ self.p["u"]
-        zr = gates[:, : 2 * h] + own[:, : 2 * h]
-        np.exp(np.negative(zr, out=zr), out=zr)
+    def gates(self, inputs: np.ndarray) -> np.ndarray:
+        """Of inputs (steps, lanes) their share of the gates, each gate's in one piece: (steps, 3, lanes, HIDDEN)."""
+        return self.p["x"].reshape(-1, HIDDEN).take(inputs.astype(np.int32)[:, None] * 3 + np.arange(3, dtype=np.int32)[:, None], axis=0)
+
+    def turns(self) -> np.ndarray:
+        """The state's weights by gate, those of the first two with the sign that step() wants."""
+        return self.p["u"].reshape(HIDDEN, 3, HIDDEN).transpose(1, 0, 2) * np.array([-1, -1, 1], np.float32)[:, None, None]
+
+    @staticmethod
+    def step(gates: np.ndarray, state: np.ndarray, turns: np.ndarray):
+        """The next state and what the state gave to the third gate; gates (3, lanes, HIDDEN) become z, r and n."""
+        zr, (z, r, n) = gates[:2], gates
+        np.subtract(state @ turns[:2], zr, out=zr)
+        np.exp(zr, out=zr)
         zr += 1
         np.reciprocal(zr, out=zr)
-        z, r = zr[:, :h], zr[:, h:]
-        n = np.tanh(gates[:, 2 * h :] + r * own[:, 2 * h :])
-        return n + z * (state - n), (z, r, n, own[:, 2 * h :])
+        own = state @ turns[2]
+        n += r * own
+        np.tanh(n, out=n)
+        new = state - n
+        new *= z
+        new += n
+        return new, own
 
     def scores(self, hidden: np.ndarray, classes: np.ndarray, symbols: np.ndarray):
         """Of positions sorted by class: scores of classes and, of those in head classes, of the class's words, each less a
-        bound that no state (within -1 and 1) can make them pass; where each class begins."""
+        bound that no state (within -1 and 1) can make them pass; where each class begins; the states with a 1 behind each."""
         p = self.p
         top = (p["cb"] + np.abs(p["c"]).sum(axis=0)).max()
         tops = (p["wb"] + np.abs(p["w"]).sum(axis=1)).max(axis=1)
-        outer = hidden @ p["c"]
-        outer += p["cb"] - top
+        # The biases are the weights of a last input that is 1.
+        ones = np.ones((len(hidden), HIDDEN + 1), np.float32)
+        ones[:, :HIDDEN] = hidden
+        outer = ones @ np.vstack([p["c"], p["cb"] - top])
+        within = np.concatenate([p["w"], (p["wb"] - tops[:, None])[:, None]], axis=1)
         cuts = np.searchsorted(classes, np.arange(CLASSES + 1)).tolist()
         inner = np.empty((cuts[-1], WORDS), np.float32)
         for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
             if a < b:
-                np.matmul(hidden[a:b], p["w"][k], out=inner[a:b])
-                inner[a:b] += p["wb"][k] - tops[k]
-        return outer, inner, cuts
+                np.matmul(ones[a:b], within[k], out=inner[a:b])
+        return outer, inner, cuts, ones
 
     def logs(self, hidden: np.ndarray, symbols: np.ndarray) -> np.ndarray:
         """ln P of each symbol (a head word, HEAD for middle, HEAD + 1 for rare) given its state."""
         classes = _classes(symbols)
         order = np.argsort(classes, kind="stable")
         classes, symbols = classes[order], symbols[order]
-        outer, inner, cuts = self.scores(hidden[order], classes, symbols)
+        outer, inner, cuts, _ = self.scores(hidden.take(order, axis=0), classes, symbols)
         rows, head = np.arange(len(symbols)), cuts[-1]
         found = outer[rows, classes]
         words = inner[rows[:head], symbols[:head] % WORDS]
@@ -182,34 +217,34 @@ class Network:
     def train_window(self, inputs, symbols, fresh, mask, state):
         """Forward and truncated backward over arrays (steps, lanes); returns gradients and the last state."""
         p, h, (steps, lanes) = self.p, HIDDEN, inputs.shape
-        gates = p["x"][inputs]
-        before, hidden, z, r, n, own = (np.empty((steps, lanes, h), np.float32) for _ in range(6))
+        gates, turns = self.gates(inputs), self.turns()
+        before, hidden, own = (np.empty((steps, lanes, h), np.float32) for _ in range(3))
         starts, keep = fresh.any(axis=1), (~fresh).astype(np.float32)[:, :, None]
         for t in range(steps):
             if starts[t]:
                 state = state * keep[t]
             before[t] = state
-            state, (z[t], r[t], n[t], own[t]) = self.step(gates[t], state)
+            state, own[t] = self.step(gates[t], state, turns)
             hidden[t] = state
+        z, r, n = gates[:, 0], gates[:, 1], gates[:, 2]
         flat = mask.ravel()
         target = symbols.ravel()
         classes = np.where(flat, _classes(target), CLASSES + 2).astype(np.uint8)
         order = np.argsort(classes, kind="stable")[: int(flat.sum())]
         classes, target = classes[order], target[order]
-        seen = hidden.reshape(-1, h)[order]
-        outer, inner, cuts = self.scores(seen, classes, target)
+        outer, inner, cuts, seen = self.scores(hidden.reshape(-1, h).take(order, axis=0), classes, target)
         rows, head = np.arange(len(order)), cuts[-1]
         outer /= _exponentials(outer)[:, None]
         outer[rows, classes] -= 1
         inner /= _exponentials(inner)[:, None]
         inner[rows[:head], target[:head] % WORDS] -= 1
-        g = {"c": seen.T @ outer, "cb": outer.sum(axis=0), "w": np.zeros_like(p["w"]), "wb": np.zeros_like(p["wb"])}
+        top, inside = seen.T @ outer, np.zeros((CLASSES, h + 1, WORDS), np.float32)
         pull = outer @ p["c"].T
         for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
             if a < b:
-                np.matmul(seen[a:b].T, inner[a:b], out=g["w"][k])
-                inner[a:b].sum(axis=0, out=g["wb"][k])
+                np.matmul(seen[a:b].T, inner[a:b], out=inside[k])
                 pull[a:b] += inner[a:b] @ p["w"][k].T
+        g = {"c": top[:h], "cb": top[h], "w": inside[:, :h].copy(), "wb": inside[:, h].copy()}
         back = np.zeros((steps * lanes, h), np.float32)
         back[order] = pull
         back = back.reshape(steps, lanes, h)
@@ -229,12 +264,7 @@ class Network:
                 flow *= keep[t]
         g["u"] = before.reshape(-1, h).T @ d_own.reshape(-1, 3 * h)
         d_own[:, :, 2 * h :] = d_n
-        into = inputs.ravel().astype(np.int16)
-        order = np.argsort(into, kind="stable")
-        into = into[order]
-        first = np.flatnonzero(np.concatenate([[True], into[1:] != into[:-1]]))
-        g["x"] = np.zeros_like(p["x"])
-        g["x"][into[first]] = np.add.reduceat(d_own.reshape(-1, 3 * h)[order], first, axis=0)
+        g["x"] = sums_of_rows(d_own.reshape(-1, 3 * h), inputs.ravel(), len(p["x"]))
         return g, state
 
     def update(self, g: dict, n: int, rate: float) -> None:
@@ -349,14 +379,13 @@ def log_likelihoods(net: Network, outs: list[np.ndarray], intos: list[np.ndarray
     for target, feed, fresh, owner in windows(lanes, WINDOW):
         steps, live = target.shape
         state = state[:live]
-        gates = net.p["x"][feed]
+        gates, turns = net.gates(feed), net.turns()
         keep, starts = (~fresh).astype(np.float32)[:, :, None], fresh.any(axis=1)
         hidden = np.empty((steps, live, HIDDEN), np.float32)
         for t in range(steps):
             if starts[t]:
                 state = state * keep[t]
-            state, _ = net.step(gates[t], state)
-            hidden[t] = state
+            hidden[t] = state = net.step(gates[t], state, turns)[0]
         own = owner.ravel()
         good = own >= 0
         logs = net.logs(hidden.reshape(-1, HIDDEN)[good], target.ravel()[good])

@@ -18,6 +18,34 @@ def test_language_model_learns_from_long_documents(spark):
     assert got and sum(r.score for r in got) > 0.95 * sum(r.base_score for r in got)
 
 
+def test_language_model_sums_rows_by_key():
+    """No rows, one row, runs about the length from which a run is summed on its own, and far longer ones."""
+    rng, most = np.random.default_rng(2), language_model.LONG_RUN
+    keys = rng.permutation(np.repeat(np.arange(9), [0, 1, 2, most - 1, most, most + 1, 0, 20 * most, 3]))
+    rows = rng.standard_normal((len(keys), 6)).astype(np.float32)
+    want = np.array([rows[keys == k].sum(axis=0) for k in range(10)])
+    assert language_model.sums_of_rows(rows, keys, 10) == pytest.approx(want, abs=1e-3)
+    assert not language_model.sums_of_rows(rows[:0], keys[:0], 10).any()
+
+
+def test_language_model_gradients_are_those_of_its_likelihood():
+    """By central differences along a random direction of each array of weights, over documents that start within lanes."""
+    counts = {f"w{k}".encode(): 5 + k % 9 for k in range(1700)} | {language_model.END: 40}
+    v = language_model.Vocabulary(counts, sum(counts.values()) + 30, len(counts) + 20)
+    net, rng = language_model.Network(v, 4), np.random.default_rng(3)
+    docs = [rng.integers(0, language_model.HEAD + 2, n).astype(np.int16) for n in (7, 3, 9, 1, 5, 8)]
+    lanes = list(language_model.streams(docs, docs, [[0, 1], [2, 3], [4], [5]]))
+    target, feed, fresh, owner = next(language_model.windows(sorted(lanes, key=lambda x: -len(x[0])), 10))
+    g, _ = net.train_window(feed, target, fresh, owner >= 0, np.zeros((4, language_model.HIDDEN), np.float32))
+    for name, w in net.p.items():
+        way, ends = rng.standard_normal(w.shape).astype(np.float32), []
+        for step in (0.01, -0.01):
+            net.p[name] = w + np.float32(step) * way
+            ends.append(-language_model.log_likelihoods(net, docs, docs).sum())
+        net.p[name] = w
+        assert float(np.vdot(g[name], way)) == pytest.approx((ends[0] - ends[1]) / 0.02, rel=0.02, abs=0.02), name
+
+
 def _near_texts():
     """Pairs of 120 runs of words, one to three spoiled words apart at 5-word runs: similarities from 0.77 to 0.92."""
     out, rng = {}, random.Random(7)
