@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, fingerprint, html, language_model, neardup, quality, sharding, token_files, url_filter
+from . import bpe, clusters, decontaminate, fingerprint, html, language_model, merkle, neardup, quality, sharding, simhash, token_files, url_filter
 from .oracles import ORACLES
 
 
@@ -23,5 +23,8 @@ QUERIES = {
     "op8_fingerprint": fingerprint.query,
     "op9_bpe": bpe.query,
     "op10_html": html.query,
+    "op11_simhash": simhash.query,
+    "op12_merkle_manifest": merkle.query,
+    "op13_centroid_clustering": clusters.query,
     "pipeline": pipeline,
 }
