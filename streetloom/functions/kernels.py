@@ -99,8 +99,8 @@ def pieces(p: np.ndarray, q: np.ndarray, rings: np.ndarray) -> tuple[np.ndarray,
     length = np.hypot(edge[..., 0], edge[..., 1]) + 1e-300
     way = ((x - a[..., 0]) * edge[..., 0] + (y - a[..., 1]) * edge[..., 1]) / length
     on = (np.abs((x - a[..., 0]) * edge[..., 1] - (y - a[..., 1]) * edge[..., 0]) / length <= 1e-7) & (way >= 0) & (way <= length)
-    along = np.sign((d[:, :, None, None] * edge).sum(axis=-1)) * on
-    border = np.where(on.any(axis=-1), np.take_along_axis(along, np.abs(along).argmax(axis=-1)[..., None], -1)[..., 0], 0)
+    # Sides walked both ways (cuts to holes) cancel.
+    border = np.sign((np.sign((d[:, :, None, None] * edge).sum(axis=-1)) * on).sum(axis=-1))
     return cuts, inside, border
 
 

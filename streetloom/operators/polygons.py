@@ -2,7 +2,8 @@
 
 Every join spreads polygons over the cells that their bounds touch and puts the other side into cells too. A pair of two
 extended shapes is accepted in one cell alone, that of the larger of their lower bounds, so no pair is made twice and
-nothing has to be made distinct. Rows whose shape has no area or a null coordinate take part in no pair.
+nothing has to be made distinct. Rows whose shape has no area or a null coordinate take part in no pair. A polygon with
+holes is one ring too: see rings.keyhole().
 """
 
 from __future__ import annotations
@@ -17,9 +18,10 @@ from pyspark.sql import types as T
 
 from ..functions import geometry as G
 from ..functions import kernels as K
+from .crossings import cut_at_crossings
 from .graph import _held
 from .overlay import bounds
-from .paths import rank_chains
+from .rings import as_rings
 
 
 def _cells(df: DataFrame, box: dict[str, Column], size: float, tag: str, reach: float = 0.0) -> DataFrame:
@@ -38,11 +40,11 @@ def _owned(size: float) -> Column:
 _SCRATCH = ("_cx", "_cy", "_lx", "_ly", "_rx", "_ry")
 
 
-def points_in(points: DataFrame, polygons: DataFrame, size: float, x: str = "x", y: str = "y", ring: str = "ring") -> DataFrame:
-    """Pairs of points and polygons that hold them (even-odd rule); columns of both sides, the ring dropped."""
+def points_in(points: DataFrame, polygons: DataFrame, size: float, x: str = "x", y: str = "y", ring: str = "ring", same: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs of points and polygons that hold them (even-odd rule) and have equal `same` columns; columns of both sides, the ring dropped."""
     at = points.where(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumns({"_cx": F.floor(F.col(x) / size), "_cy": F.floor(F.col(y) / size)})
     spread = _cells(polygons, bounds(ring), size, "r")
-    return at.join(spread, ["_cx", "_cy"]).where(G.inside(F.col(x), F.col(y), F.col(ring))).drop(ring, "_cx", "_cy", "_rx", "_ry")
+    return at.join(spread, [*same, "_cx", "_cy"]).where(G.inside(F.col(x), F.col(y), F.col(ring))).drop(ring, "_cx", "_cy", "_rx", "_ry")
 
 
 def overlaps(left: DataFrame, right: DataFrame, size: float, left_ring: str, right_ring: str, least: float = 1e-6) -> DataFrame:
@@ -133,38 +135,56 @@ def shared_walls(polygons: DataFrame, key: str, size: float, ring: str = "ring")
     return out.select(key, s.alias("shared_length"), F.coalesce(F.try_divide(s, F.col("_p")), F.lit(0.0)).alias("shared_ratio"))
 
 
+def _outline(border: DataFrame, group: str) -> DataFrame:
+    """(group, rings, area, perimeter) of the border sides (group, a, b), the inside on their left.
+
+    Each side goes on at the side that turns most to the right, so parts that touch at a vertex are rings of their own.
+    """
+    border = _held(border.withColumn("item", F.xxhash64(F.col(group).cast("string"), "a", "b")))
+    after = border.select(group, F.col("a").alias("b"), F.col("b").alias("_c"), F.col("item").alias("_next"))
+    turn = F.pmod(F.atan2(F.col("_c.y") - F.col("b.y"), F.col("_c.x") - F.col("b.x")) - F.atan2(F.col("a.y") - F.col("b.y"), F.col("a.x") - F.col("b.x")), F.lit(2 * math.pi))
+    # Most to the right of the way in: the largest turn counter-clockwise from the way back is that of the outer ring's neighbour.
+    links = border.join(after, [group, "b"]).groupBy("item").agg(F.max_by("_next", turn).alias("next"))
+    rings = as_rings(border.join(links, "item"), [group])
+    return rings.groupBy(group).agg(F.sum(G.signed_area(F.col("ring"))).alias("area"), F.sum(G.length(F.col("ring"))).alias("perimeter"), F.sort_array(F.collect_list("ring")).alias("rings"))
+
+
+def _turned(polygons: DataFrame, ring: str) -> DataFrame:
+    return polygons.withColumn(ring, F.when(G.signed_area(F.col(ring)) < 0, F.reverse(ring)).otherwise(F.col(ring)))
+
+
 def dissolve(polygons: DataFrame, group: str, ring: str = "ring") -> DataFrame:
     """(group, rings, area, perimeter): the outline of each group's union, outer rings counter-clockwise, holes clockwise.
 
-    Polygons of a group must not overlap and must share borders vertex by vertex, as zones of a plan do. Sides met in both
-    directions vanish; each vertex of what is left follows the side that turns most to the right, and rings are put in
-    order by pointer doubling, so no group is gathered before its outline is known.
+    Polygons of a group must not overlap and must share borders vertex by vertex, as zones of a plan do; union() takes any.
+    Sides met in both directions vanish, and what is left is traced by pointer doubling, so no group is gathered before
+    its outline is known.
     """
-    turned = polygons.withColumn(ring, F.when(G.signed_area(F.col(ring)) < 0, F.reverse(ring)).otherwise(F.col(ring)))
-    e = edges_of(turned, [group], ring)
+    e = edges_of(_turned(polygons, ring), [group], ring)
     back = e.select(group, F.col("b").alias("a"), F.col("a").alias("b")).groupBy(group, "a", "b").agg(F.count(F.lit(1)).alias("_m"))
     once = e.groupBy(group, "a", "b").agg(F.count(F.lit(1)).alias("_n")).join(back, [group, "a", "b"], "left").where("_m IS NULL").select(group, "a", "b")
-    border = _held(once.withColumn("item", F.xxhash64(F.col(group).cast("string"), "a", "b")))
-    after = border.select(group, F.col("a").alias("b"), F.col("b").alias("_c"), F.col("item").alias("_next"))
-    turn = F.pmod(F.atan2(F.col("_c.y") - F.col("b.y"), F.col("_c.x") - F.col("b.x")) - F.atan2(F.col("a.y") - F.col("b.y"), F.col("a.x") - F.col("b.x")), F.lit(2 * math.pi))
-    # Most to the right of the way in: the largest turn counter-clockwise from the way back is that of the outer ring's neighbour.
-    links = border.join(after, [group, "b"]).groupBy("item").agg(F.max_by("_next", turn).alias("_next"))
-    links = _held(links.select(F.col("_next").alias("item"), F.col("item").alias("before")))
-    loop = _held(links.select("item", F.col("before").alias("at"), F.least("item", "before").alias("face")))
-    mark = None
-    while True:
-        far = loop.select(F.col("item").alias("at"), F.col("at").alias("far"), F.col("face").alias("least"))
-        loop = _held(loop.join(far, "at").select("item", F.col("far").alias("at"), F.least("face", "least").alias("face")))
-        found = tuple(loop.agg(F.sum(F.col("face").cast("decimal(38,0)")), F.count(F.lit(1))).first())
-        if found == mark:
-            break
-        mark = found
-    faces = _held(border.join(loop.select("item", "face"), "item").join(links, "item"))
-    order = rank_chains(faces.select("item", F.when(F.col("item") != F.col("face"), F.col("before")).alias("before")))
-    rings = order.join(faces.select("item", group, "face", "a"), "item").groupBy(group, "face").agg(F.array_sort(F.collect_list(F.struct("rank", "a"))).alias("_p"))
-    path = F.transform("_p", lambda q: q["a"])
-    rings = rings.select(group, F.concat(path, F.slice(path, 1, 1)).alias("ring"))
-    return rings.groupBy(group).agg(F.sum(G.signed_area(F.col("ring"))).alias("area"), F.sum(G.length(F.col("ring"))).alias("perimeter"), F.collect_list("ring").alias("rings"))
+    return _outline(once, group)
+
+
+def union(polygons: DataFrame, group: str, size: float, ring: str = "ring", snap: float = 1e-6) -> DataFrame:
+    """(group, rings, area, perimeter): the outline of each group's union, of polygons that may overlap in any way.
+
+    Sides are cut where they cross or touch sides of their group, in grid cells; a piece is on the outline if the place
+    just to its right is in no polygon of the group. Pieces that several polygons share count once. Places are snapped to
+    `snap`; gaps and overlaps narrower than 20 of it may be closed. Polygons are closed rings, holes by keyhole().
+    """
+    one = _held(_turned(polygons, ring).select(group, ring).withColumn("_of", F.monotonically_increasing_id()))
+    sides = edges_of(one, [group, "_of"], ring)
+    # Cuts to holes are walked both ways: no border.
+    cuts = sides.select(group, "_of", F.col("b").alias("a"), F.col("a").alias("b"))
+    sides = _held(sides.join(cuts, [group, "_of", "a", "b"], "left_anti").withColumn("_side", F.monotonically_increasing_id()))
+    flat = sides.select("_side", group, F.col("a.x").alias("ux"), F.col("a.y").alias("uy"), F.col("b.x").alias("vx"), F.col("b.y").alias("vy"))
+    pieces = _held(cut_at_crossings(flat, "_side", size, snap, (group,)).select(group, "a", "b").where("a <> b").distinct().withColumn("_piece", F.monotonically_increasing_id()))
+    dx, dy = F.col("b.x") - F.col("a.x"), F.col("b.y") - F.col("a.y")
+    off = 10 * snap / F.hypot(dx, dy)
+    beside = pieces.select("_piece", group, ((F.col("a.x") + F.col("b.x")) / 2 + dy * off).alias("x"), ((F.col("a.y") + F.col("b.y")) / 2 - dx * off).alias("y"))
+    covered = points_in(beside, one.select(group, ring), size, ring=ring, same=(group,)).select("_piece").distinct()
+    return _outline(pieces.join(covered, "_piece", "left_anti").select(group, "a", "b"), group)
 
 
 def drop_covered(polygons: DataFrame, key: str, size: float, ring: str = "ring", share: float = 0.5) -> DataFrame:

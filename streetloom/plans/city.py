@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import shapes
-from ..operators import clean, graph, paths, plots, polygons, relations, segments, spatial_join
+from ..operators import clean, crossings, graph, paths, plots, polygons, relations, rings, segments, spatial_join
 from ..operators.hetero import UrbanGraph
 from ..operators.overlay import bounds
 
@@ -201,21 +201,19 @@ def building_nodes(buildings: DataFrame, attributes: list[str], knn: tuple[int,
 
 
 def plot_nodes(streets: DataFrame, buildings: DataFrame | None, cell: float, least: float = 30.0, snap: float = 1.0) -> DataFrame:
-    """Plots that streets enclose: plot_id, area, perimeter, ring, street_id and bid lists, building figures.
+    """Plots that streets enclose: plot_id, area, perimeter, ring, holes, street_id and bid lists, building figures.
 
     A street belongs to the plots along whose border a part of it runs, a building to those it overlaps.
     """
-    cut = plots.split_at_crossings(streets.select("street_id", "ux", "uy", "vx", "vy"), "street_id", cell, snap)
-    found = graph._held(plots.plots(cut, least).select("plot_id", "area", "perimeter", "ring"))
-    side = polygons.edges_of(found, ["plot_id"]).select("plot_id", F.col("a.x").alias("ux"), F.col("a.y").alias("uy"), F.col("b.x").alias("vx"), F.col("b.y").alias("vy"))
-    middle = side.withColumns({"x": (F.col("ux") + F.col("vx")) / 2, "y": (F.col("uy") + F.col("vy")) / 2, "_side": F.monotonically_increasing_id()})
-    at = graph._held(middle.select("plot_id", "x", "y", "_side"))
-    near = segments.near_segments(at, streets, "_side", "street_id", 1.5 * snap).select("_side", "street_id")
-    along = near.join(at.select("_side", "plot_id"), "_side").groupBy("plot_id").agg(F.array_sort(F.collect_set("street_id")).alias("street_id"))
+    # Pieces keep their street, so a plot's streets are those of the pieces along its border: an equi-join.
+    pieces = graph._held(crossings.undirected(crossings.cut_at_crossings(streets.select("street_id", "ux", "uy", "vx", "vy"), "street_id", cell, snap)))
+    found = graph._held(plots.plots(pieces.select("a", "b").distinct(), least).select("plot_id", "area", "perimeter", "ring", "holes"))
+    border = found.select("plot_id", F.explode(F.concat(F.array("ring"), "holes")).alias("ring"))
+    along = crossings.undirected(polygons.edges_of(border, ["plot_id"])).join(pieces, ["a", "b"]).groupBy("plot_id").agg(F.array_sort(F.collect_set("street_id")).alias("street_id"))
     out = found.join(along, "plot_id", "left").withColumn("street_id", F.coalesce("street_id", F.array().cast("array<bigint>")))
     if buildings is not None:
         b = buildings.select("bid", F.col("ring").alias("_b")).withColumn("_a", G.area(F.col("_b")))
-        met = polygons.overlaps(b, found.select("plot_id", "ring"), cell, "_b", "ring").groupBy("plot_id").agg(F.array_sort(F.collect_set("bid")).alias("bid"), F.count(F.lit(1)).alias("building_count"), F.sum("_a").alias("_t"), F.avg("_a").alias("building_area_mean"), F.stddev_samp("_a").alias("building_area_std"))
+        met = polygons.overlaps(b, found.select("plot_id", rings.keyhole(F.concat(F.array("ring"), "holes")).alias("ring")), cell, "_b", "ring").groupBy("plot_id").agg(F.array_sort(F.collect_set("bid")).alias("bid"), F.count(F.lit(1)).alias("building_count"), F.sum("_a").alias("_t"), F.avg("_a").alias("building_area_mean"), F.stddev_samp("_a").alias("building_area_std"))
         out = out.join(met, "plot_id", "left").withColumns({"bid": F.coalesce("bid", F.array().cast("array<bigint>")), "building_count": F.coalesce("building_count", F.lit(0)), "coverage": F.round(F.coalesce("_t", F.lit(0.0)) / F.col("area"), 3), "building_area_mean": _z("building_area_mean"), "building_area_std": _z("building_area_std")}).drop("_t")
     return out
 

@@ -463,4 +463,4 @@ def align_filter(spark, d):
     return a.where((F.abs(F.col("angle") - F.col("bearing")) < 30) | (F.abs(F.col("angle") - back) < 30)).select("image_id", "bearing")
 
 
-from . import city_queries, more  # noqa: E402,F401  register the rest
+from . import area_queries, city_queries, more  # noqa: E402,F401  register the rest
