@@ -7,7 +7,8 @@ one class, so exact copies cost one row. Classes link where fingerprints differ
 Pairs are found by vantage-point trees. A node has a vantage point v and a radius m: fingerprints x with d(v, x) <= m are
 inside. By the triangle bound a partner of x within REACH is inside only if d(v, x) <= m + REACH and outside only if
 d(v, x) > m - REACH, so most points go one way at some nodes and both ways at others, and none is lost. An upper tree,
-fitted on a bounded sample of fingerprints (SAMPLE, in the order of a hash), cuts all of them into shards of about SHARD;
+fitted on a bounded sample of fingerprints (SAMPLE, and a fourth of them at most, in the order of a hash), cuts all of
+them into shards of about SHARD (more where the sample has fewer than LEAST for each);
 every fingerprint has one home, and is also sent as a visitor to the shards of higher number that its bounds overlap. A
 shard's visitors are dealt over blocks with a copy of the shard each, so a task holds a bounded number. In a task a lower
 tree of the shard's own members takes all points down at once, and its leaves are compared in numpy. The sample decides
@@ -29,12 +30,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import add_columns, bound_batches, discard, materialize, utf8
+from .common import add_columns, bound_batches, discard, gathered, materialize, utf8
 from .components import components
 
 WIDTH, SEED, REACH = 3, 42, 3
-#: Fingerprints that fit the upper tree; fingerprints of a shard, about; visitors a block takes for each member.
-SAMPLE, SHARD, VISITORS = 16_384, 16_384, 16
+#: Fingerprints that fit the upper tree at most, and for each shard at least; fingerprints of a shard, about; visitors a
+#: block takes for each member; fingerprints routed at once.
+SAMPLE, LEAST, SHARD, VISITORS, ROUTED = 1 << 18, 16, 4096, 16, 50_000
 #: Points of a lower tree's leaf; candidates for vantage points; runs hashed at once; pairs compared at once.
 LEAF, TRIALS, CHUNK, PAIRS = 96, 8, 1 << 16, 1 << 21
 _BLANKS = bytes(32 if b == 32 or 9 <= b <= 13 else b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -196,15 +198,16 @@ def links(classes: DataFrame, *, sample: int = SAMPLE, shard: int = SHARD) -> Da
     """(u, v) of distinct fingerprints (fp): links that span the components of all pairs within REACH."""
     bound_batches(classes.sparkSession)
     total = classes.count()
-    shards = -(-total // shard)
-    drawn = classes.orderBy(F.xxhash64("fp"), "fp").limit(min(sample, max(1, total // 4))).collect() if shards > 1 else []
+    drawn_n = min(sample, max(1, total // 4))
+    shards = min(-(-total // shard), max(1, drawn_n // LEAST))
+    drawn = classes.orderBy(F.xxhash64("fp"), "fp").limit(drawn_n).collect() if shards > 1 else []
     fitted = np.array([r.fp for r in drawn], np.int64).view(np.uint64)
     upper = Upper(fitted, shards)
     # Visitors for each member, as the sample foretells.
     blocks = max(1, -(-int((~upper.route(fitted)[2]).sum()) // max(1, len(fitted) * VISITORS)))
 
     def run(batches):
-        for batch in batches:
+        for batch in gathered(batches, ROUTED, 1 << 20):
             fp = batch.column("fp").to_numpy(zero_copy_only=False)
             row, to, home = upper.route(fp.view(np.uint64))
             block = (fp[row].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % blocks
