@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from ..functions import geometry as G
 from ..functions import kernels as K
-from .crossings import cut_at_crossings
+from .crossings import cut_at_crossings, undirected
 from .graph import _held
 from .overlay import bounds
 from .rings import as_rings
@@ -149,10 +149,6 @@ def _outline(border: DataFrame, group: str) -> DataFrame:
     return rings.groupBy(group).agg(F.sum(G.signed_area(F.col("ring"))).alias("area"), F.sum(G.length(F.col("ring"))).alias("perimeter"), F.sort_array(F.collect_list("ring")).alias("rings"))
 
 
-def _turned(polygons: DataFrame, ring: str) -> DataFrame:
-    return polygons.withColumn(ring, F.when(G.signed_area(F.col(ring)) < 0, F.reverse(ring)).otherwise(F.col(ring)))
-
-
 def dissolve(polygons: DataFrame, group: str, ring: str = "ring") -> DataFrame:
     """(group, rings, area, perimeter): the outline of each group's union, outer rings counter-clockwise, holes clockwise.
 
@@ -160,7 +156,8 @@ def dissolve(polygons: DataFrame, group: str, ring: str = "ring") -> DataFrame:
     Sides met in both directions vanish, and what is left is traced by pointer doubling, so no group is gathered before
     its outline is known.
     """
-    e = edges_of(_turned(polygons, ring), [group], ring)
+    turned = polygons.withColumn(ring, F.when(G.signed_area(F.col(ring)) < 0, F.reverse(ring)).otherwise(F.col(ring)))
+    e = edges_of(turned, [group], ring)
     back = e.select(group, F.col("b").alias("a"), F.col("a").alias("b")).groupBy(group, "a", "b").agg(F.count(F.lit(1)).alias("_m"))
     once = e.groupBy(group, "a", "b").agg(F.count(F.lit(1)).alias("_n")).join(back, [group, "a", "b"], "left").where("_m IS NULL").select(group, "a", "b")
     return _outline(once, group)
@@ -170,21 +167,21 @@ def union(polygons: DataFrame, group: str, size: float, ring: str = "ring", snap
     """(group, rings, area, perimeter): the outline of each group's union, of polygons that may overlap in any way.
 
     Sides are cut where they cross or touch sides of their group, in grid cells; a piece is on the outline if the place
-    just to its right is in no polygon of the group. Pieces that several polygons share count once. Places are snapped to
-    `snap`; gaps and overlaps narrower than 20 of it may be closed. Polygons are closed rings, holes by keyhole().
+    just beside it is in a polygon of the group on one hand and in none on the other. Pieces of several polygons count
+    once. Places are snapped to `snap`; gaps and overlaps narrower than 20 of it may be closed. Polygons are closed rings
+    that run either way, holes by keyhole(); one that crosses itself covers what the even-odd rule gives it.
     """
-    one = _held(_turned(polygons, ring).select(group, ring).withColumn("_of", F.monotonically_increasing_id()))
-    sides = edges_of(one, [group, "_of"], ring)
-    # Cuts to holes are walked both ways: no border.
-    cuts = sides.select(group, "_of", F.col("b").alias("a"), F.col("a").alias("b"))
-    sides = _held(sides.join(cuts, [group, "_of", "a", "b"], "left_anti").withColumn("_side", F.monotonically_increasing_id()))
-    flat = sides.select("_side", group, F.col("a.x").alias("ux"), F.col("a.y").alias("uy"), F.col("b.x").alias("vx"), F.col("b.y").alias("vy"))
-    pieces = _held(cut_at_crossings(flat, "_side", size, snap, (group,)).select(group, "a", "b").where("a <> b").distinct().withColumn("_piece", F.monotonically_increasing_id()))
+    one = polygons.select(group, ring)
+    sides = edges_of(one, [group], ring).select(F.monotonically_increasing_id().alias("_side"), group, F.col("a.x").alias("ux"), F.col("a.y").alias("uy"), F.col("b.x").alias("vx"), F.col("b.y").alias("vy"))
+    pieces = undirected(cut_at_crossings(_held(sides), "_side", size, snap, (group,))).select(group, "a", "b").distinct()
+    pieces = _held(pieces.withColumn("_piece", F.monotonically_increasing_id()))
     dx, dy = F.col("b.x") - F.col("a.x"), F.col("b.y") - F.col("a.y")
-    off = 10 * snap / F.hypot(dx, dy)
-    beside = pieces.select("_piece", group, ((F.col("a.x") + F.col("b.x")) / 2 + dy * off).alias("x"), ((F.col("a.y") + F.col("b.y")) / 2 - dx * off).alias("y"))
-    covered = points_in(beside, one.select(group, ring), size, ring=ring, same=(group,)).select("_piece").distinct()
-    return _outline(pieces.join(covered, "_piece", "left_anti").select(group, "a", "b"), group)
+    hand = F.explode(F.array(F.lit(-1), F.lit(1))).alias("_hand")
+    off = 10 * snap / F.hypot(dx, dy) * F.col("_hand")
+    beside = pieces.select("_piece", group, "a", "b", hand).select("_piece", group, "_hand", ((F.col("a.x") + F.col("b.x")) / 2 - dy * off).alias("x"), ((F.col("a.y") + F.col("b.y")) / 2 + dx * off).alias("y"))
+    filled = points_in(beside, one, size, ring=ring, same=(group,)).groupBy("_piece").agg(F.min("_hand").alias("_low"), F.max("_hand").alias("_high"))
+    border = pieces.join(filled.where("_low = _high"), "_piece")  # the inside is on one hand: it is to be the left one
+    return _outline(border.select(group, F.when(F.col("_low") > 0, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(F.col("_low") > 0, F.col("b")).otherwise(F.col("a")).alias("b")), group)
 
 
 def drop_covered(polygons: DataFrame, key: str, size: float, ring: str = "ring", share: float = 0.5) -> DataFrame:
