@@ -7,7 +7,7 @@ one class, so exact copies cost one row. Classes link where fingerprints differ
 Pairs are found by vantage-point trees. A node has a vantage point v and a radius m: fingerprints x with d(v, x) <= m are
 inside. By the triangle bound a partner of x within REACH is inside only if d(v, x) <= m + REACH and outside only if
 d(v, x) > m - REACH, so most points go one way at some nodes and both ways at others, and none is lost. An upper tree,
-fitted on a bounded sample of fingerprints (SAMPLE, and a fourth of them at most, in the order of a hash), cuts all of
+fitted on a bounded sample of fingerprints (about SAMPLE, and a fourth of them at most, by a hash), cuts all of
 them into shards of about SHARD (more where the sample has fewer than LEAST for each);
 every fingerprint has one home, and is also sent as a visitor to the shards of higher number that its bounds overlap. A
 shard's visitors are dealt over blocks with a copy of the shard each, so a task holds a bounded number. In a task a lower
@@ -200,7 +200,8 @@ def links(classes: DataFrame, *, sample: int = SAMPLE, shard: int = SHARD) -> Da
     total = classes.count()
     drawn_n = min(sample, max(1, total // 4))
     shards = min(-(-total // shard), max(1, drawn_n // LEAST))
-    drawn = classes.orderBy(F.xxhash64("fp"), "fp").limit(drawn_n).collect() if shards > 1 else []
+    # About drawn_n of them: those whose hash's low half is small.
+    drawn = classes.where(F.xxhash64("fp").bitwiseAND(F.lit((1 << 32) - 1)) < (drawn_n << 32) // total).collect() if shards > 1 else []
     fitted = np.array([r.fp for r in drawn], np.int64).view(np.uint64)
     upper = Upper(fitted, shards)
     # Visitors for each member, as the sample foretells.
