@@ -36,7 +36,7 @@ from .components import components
 WIDTH, SEED, REACH = 3, 42, 3
 #: Fingerprints that fit the upper tree at most, and for each shard at least; fingerprints of a shard, about; visitors a
 #: block takes for each member; fingerprints routed at once.
-SAMPLE, LEAST, SHARD, VISITORS, ROUTED = 1 << 18, 16, 4096, 16, 50_000
+SAMPLE, LEAST, SHARD, VISITORS, ROUTED = 1 << 18, 16, 16_384, 16, 50_000
 #: Points of a lower tree's leaf; candidates for vantage points; runs hashed at once; pairs compared at once.
 LEAF, TRIALS, CHUNK, PAIRS = 96, 8, 1 << 16, 1 << 21
 _BLANKS = bytes(32 if b == 32 or 9 <= b <= 13 else b + 32 if 65 <= b <= 90 else b for b in range(256))
