@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def near_segments(points: DataFrame, segments: DataFrame, key: str, segment_key: str, radius: float) -> DataFrame:
+def near_segments(points: DataFrame, segments: DataFrame, key: str, segment_key: str, radius: float, also: tuple[str, ...] = ()) -> DataFrame:
     """Pairs of points (x, y) and segments at most radius apart, with `distance` and the place `t` (0 to 1) of the foot.
 
+    `also` names columns of the points that pairs keep.
+
     Cells are two radii wide. A point stands in its own cell alone; a segment stands in every cell that it comes within a
     radius of: column by column, the rows between its heights at the column's two sides, all widened by the radius. So each
     pair arises once. Rows without a place give no pairs.
@@ -26,7 +28,7 @@ def near_segments(points: DataFrame, segments: DataFrame, key: str, segment_key:
     low = F.when(steep, y0).otherwise(F.least(height(left), height(right)))
     high = F.when(steep, y1).otherwise(F.greatest(height(left), height(right)))
     cells = walk.withColumn("_cy", F.explode(span(F.greatest(y0, low - 1e-6), F.least(y1, high + 1e-6))))
-    at = points.select(key, "x", "y").where("x IS NOT NULL AND y IS NOT NULL").withColumns({"_cx": F.floor(F.col("x") / size), "_cy": F.floor(F.col("y") / size)})
+    at = points.select(key, "x", "y", *also).where("x IS NOT NULL AND y IS NOT NULL").withColumns({"_cx": F.floor(F.col("x") / size), "_cy": F.floor(F.col("y") / size)})
     pairs = at.join(cells, ["_cx", "_cy"]).drop("_cx", "_cy")
     along = ((F.col("x") - F.col("ux")) * dx + (F.col("y") - F.col("uy")) * dy) / F.greatest(dx * dx + dy * dy, F.lit(1e-12))
     pairs = pairs.withColumn("t", F.greatest(F.lit(0.0), F.least(F.lit(1.0), along)))
@@ -36,11 +38,14 @@ def near_segments(points: DataFrame, segments: DataFrame, key: str, segment_key:
 def nearest_segment(points: DataFrame, segments: DataFrame, key: str, segment_key: str, radius: float, ties: bool = False) -> DataFrame:
     """Each point's nearest segment within radius; of equal distances the least id, or all of them with `ties`."""
     pairs = near_segments(points, segments, key, segment_key, radius)
+    # First the least distance alone, which a hash aggregate keeps in place; then the pairs at that distance, which are few.
+    # Keeping the best pair of all in one aggregate would sort them all.
+    least = pairs.groupBy(key).agg(F.min(F.round("distance", 9)).alias("_d"))
+    near = near_segments(points.select(key, "x", "y").join(least, key), segments, key, segment_key, radius, ("_d",)).where(F.round("distance", 9) == F.col("_d")).drop("_d")
     if ties:
-        order = Window.partitionBy(key).orderBy(F.round("distance", 9))
-        return pairs.withColumn("_k", F.rank().over(order)).where("_k = 1").drop("_k")
-    rest = [c for c in pairs.columns if c != key]
-    best = pairs.groupBy(key).agg(F.min_by(F.struct(*rest), F.struct(F.round("distance", 9), segment_key)).alias("_b"))
+        return near
+    rest = [c for c in near.columns if c != key]
+    best = near.groupBy(key).agg(F.min_by(F.struct(*rest), segment_key).alias("_b"))
     return best.select(key, "_b.*")
 
 

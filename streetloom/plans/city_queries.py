@@ -12,6 +12,7 @@ from ..operators import clean, graph, polygons, relations, temporal
 from ..sources import layers as L
 from ..sources import mapdata, rasters
 from . import city as C
+from .more import CHAIN
 from .queries import BUILDINGS, LINES, NODES, POIS, POPULATION, STREETS, YEARS, _pivot_sql, query
 
 # Zones that are no squares: each square of 1000 m cut in two by a line that passes no point of whole coordinates.
@@ -211,10 +212,18 @@ def dual_network(spark, d):
     return nodes.select("node_id", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"), F.round("length", 3).alias("length"))
 
 
-@query("network_layer")
+NETWORK = f"""WITH RECURSIVE {LINES}, i AS (SELECT id FROM nodes WHERE x < 2500 AND y < 2500), border AS (SELECT id FROM i UNION SELECT u FROM streets JOIN i ON i.id = v UNION SELECT v FROM streets JOIN i ON i.id = u),
+ town AS (SELECT * FROM lines WHERE u IN (SELECT id FROM border) AND v IN (SELECT id FROM border)), {CHAIN.format("town")},
+ simple AS MATERIALIZED (SELECT * FROM (SELECT street_id, u, here AS v, round(length, 3) AS length, CAST(n AS BIGINT) AS n_parts FROM walk WHERE done UNION ALL SELECT street_id, u, v, round(length, 3), 1 FROM m WHERE fe AND te) WHERE u <> v),
+ ends AS (SELECT u AS a, v AS b FROM simple UNION SELECT v, u FROM simple), r(n, m) AS (SELECT a, a FROM ends UNION SELECT ends.b, r.m FROM r JOIN ends ON ends.a = r.n WHERE r.m < ends.b), p AS (SELECT n, min(m) AS m FROM r GROUP BY 1),
+ largest AS (SELECT n FROM p WHERE m = (SELECT m FROM p GROUP BY 1 ORDER BY count(*) DESC, m LIMIT 1))
+ SELECT * FROM simple WHERE u IN (SELECT n FROM largest)"""
+
+
+@query("network_layer", NETWORK)
 def network_layer(spark, d):
     """Simplified, cut at a border, of the largest component, without loops."""
-    return C.network_layer(_city(spark, d), (F.col("x") < 2500) & (F.col("y") < 2500))[1].select("street_id", "u", "v", "length", "n_parts")
+    return C.network_layer(_city(spark, d), (F.col("x") < 2500) & (F.col("y") < 2500))[1].select("street_id", "u", "v", F.round("length", 3).alias("length"), "n_parts")
 
 
 @query("population_layer", f"WITH {POPULATION} SELECT CAST(col AS DOUBLE) AS x, CAST(row AS DOUBLE) AS y, coalesce(sum(value) FILTER (cell % 3 = 0), 0) AS men, coalesce(sum(value) FILTER (cell % 2 = 0), 0) AS women FROM population WHERE cell % 3 = 0 OR cell % 2 = 0 GROUP BY 1, 2")
@@ -341,6 +350,32 @@ def temporal_largest(spark, d):
     return nodes.select("year", "intersection_id")
 
 
+# Distances and numbers of shortest paths go out from every node, shares of paths come back from the farthest nodes;
+# ranks are iterated far beyond the rounding. Eigenvectors converge too slowly for SQL here: once compared, equal.
+METRICS = """, ends AS (SELECT u, v, year FROM e UNION SELECT v, u, year FROM e), r(year, n, m) AS (SELECT DISTINCT year, u, u FROM ends UNION SELECT r.year, ends.v, r.m FROM r JOIN ends ON ends.u = r.n AND ends.year = r.year WHERE r.m < ends.v),
+ c AS (SELECT year, n, min(m) AS m FROM r GROUP BY 1, 2), best AS (SELECT year, m FROM (SELECT year, m, row_number() OVER (PARTITION BY year ORDER BY count(*) DESC, m) AS k FROM c GROUP BY 1, 2) WHERE k = 1),
+ g AS MATERIALIZED (SELECT c.year, n AS id, count(*) OVER (PARTITION BY c.year) AS n FROM c JOIN best ON best.year = c.year AND best.m = c.m),
+ f AS MATERIALIZED (SELECT e.year, e.u, e.v, count(*) OVER (PARTITION BY e.year, e.u) AS ways FROM e JOIN g ON g.year = e.year AND g.id = e.u WHERE e.u <> e.v),
+ reach(year, s, v, d, p) USING KEY (year, s, v) AS (SELECT year, id, id, 0, 1.0::DOUBLE FROM g UNION SELECT w.* FROM (SELECT t.year, t.s, f.v, t.d + 1, sum(t.p) FROM reach t JOIN f ON f.year = t.year AND f.u = t.v GROUP BY 1, 2, 3, 4) w(year, s, v, d, p) ANTI JOIN recurring.reach k ON k.year = w.year AND k.s = w.s AND k.v = w.v),
+ far AS MATERIALIZED (SELECT * FROM reach),
+ back(year, s, v, d, p, share) AS (SELECT year, s, v, d, p, 0.0::DOUBLE FROM far WHERE d = (SELECT max(d) FROM far) UNION ALL SELECT far.year, far.s, far.v, far.d, far.p, far.p * coalesce(h.x, 0) FROM (SELECT max(d) - 1 AS k FROM back) l JOIN far ON far.d = l.k
+  LEFT JOIN (SELECT b.year, b.s, f.u, sum((1 + b.share) / b.p) AS x FROM back b JOIN f ON f.year = b.year AND f.v = b.v GROUP BY 1, 2, 3) h ON h.year = far.year AND h.s = far.s AND h.u = far.v),
+ near AS (SELECT year, s AS id, CASE WHEN sum(d) > 0 THEN (count(*) - 1) / CAST(sum(d) AS DOUBLE) ELSE 0.0 END AS closeness FROM far GROUP BY 1, 2),
+ mid AS (SELECT year, v AS id, sum(share) AS t FROM back WHERE d > 0 GROUP BY 1, 2),
+ ranks(year, id, n, i, p, k) AS (SELECT year, id, n, 0, 1.0::DOUBLE / n, 1.0::DOUBLE FROM g UNION ALL
+  SELECT q.year, q.id, q.n, q.i + 1, 0.15 / q.n + 0.85 * coalesce(h.p, 0), 1.0 + 0.01 * coalesce(h.k, 0)
+   FROM ranks q LEFT JOIN (SELECT f.year, f.v, sum(o.p / f.ways) AS p, sum(o.k) AS k FROM f JOIN ranks o ON o.year = f.year AND o.id = f.u GROUP BY 1, 2) h ON h.year = q.year AND h.v = q.id WHERE q.i < 150),
+ last AS (SELECT * FROM ranks WHERE i = 150)
+ SELECT CAST(g.year AS INTEGER) AS year, g.id AS intersection_id, coalesce(ways, 0) AS degree, round(closeness, 6) AS closeness, round(CASE WHEN n > 2 THEN coalesce(t, 0) / ((n - 1) * (n - 2)) ELSE 0.0 END, 6) AS betweenness, round(p, 6) AS pagerank, round(k, 6) AS katz
+ FROM g JOIN near USING (year, id) LEFT JOIN mid USING (year, id) JOIN (SELECT year, id, p, k FROM last) USING (year, id) LEFT JOIN (SELECT DISTINCT year, u AS id, ways FROM f) USING (year, id)"""
+
+
+@query("temporal_centrality", YEARLY + METRICS)
+def temporal_centrality(spark, d):
+    """The metrics of each year's largest component that SQL reaches in few rounds."""
+    return temporal_metrics(spark, d).drop("eigenvector")
+
+
 @query("temporal_metrics")
 def temporal_metrics(spark, d):
     """Degree, closeness, betweenness, PageRank, Katz and eigenvector of each year's largest component."""
