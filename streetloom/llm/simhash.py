@@ -15,7 +15,8 @@ tree of the shard's own members takes all points down at once, and its leaves ar
 about balance alone; pairs are exact whatever it is.
 
 A task keeps a forest: links within one component that it knows already are not passed on, so a family of near copies
-gives no more rows than it has members. Forests of all tasks are merged by alternating stars.
+gives no more rows than it has members. Points too close to be parted are first joined by some hubs among them; then only
+pairs across components are compared. Forests of all tasks are merged by alternating stars.
 
 Defined results: null texts and texts without words have the fingerprint zero and link like any other. Rows with a null
 id have a fingerprint, take no part in linking, and their component is null. Rows that share an id share a component only
@@ -37,8 +38,9 @@ WIDTH, SEED, REACH = 3, 42, 3
 #: Fingerprints that fit the upper tree at most, and for each shard at least; fingerprints of a shard, about; visitors a
 #: block takes for each member; fingerprints routed at once.
 SAMPLE, LEAST, SHARD, VISITORS, ROUTED = 1 << 18, 16, 16_384, 16, 50_000
-#: Points of a lower tree's leaf; candidates for vantage points; runs hashed at once; pairs compared at once.
-LEAF, TRIALS, CHUNK, PAIRS = 96, 8, 1 << 16, 1 << 21
+#: Points of a lower tree's leaf; candidates for vantage points; hubs of a leaf that cannot be parted; runs hashed at once;
+#: pairs compared at once.
+LEAF, TRIALS, HUBS, CHUNK, PAIRS = 96, 8, 32, 1 << 16, 1 << 21
 _BLANKS = bytes(32 if b == 32 or 9 <= b <= 13 else b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -70,8 +72,12 @@ def signed(docs: DataFrame, text_col: str) -> DataFrame:
 
 
 def split(points: np.ndarray, rng: np.random.Generator) -> tuple[np.uint64, int] | None:
-    """The vantage point and radius that send fewest points both ways, of some tried; None if no radius parts the points."""
+    """The vantage point and radius that send fewest points both ways, of some tried.
+
+    None if none saves a tenth of the pairs at least: points all within a few bits of each other are not worth a node.
+    """
     best = None
+    most = 0.9 * len(points) ** 2
     for v in points[rng.choice(len(points), min(TRIALS, len(points)), replace=False)]:
         d = np.bincount(np.bitwise_count(points ^ v), minlength=65)
         inside = np.cumsum(d)[:-1]
@@ -79,7 +85,7 @@ def split(points: np.ndarray, rng: np.random.Generator) -> tuple[np.uint64, int]
         low, high = np.concatenate([np.zeros(REACH, int), inside])[: len(inside)], np.concatenate([inside, np.full(REACH, len(points))])[REACH : REACH + len(inside)]
         cost = np.where((inside > 0) & (inside < len(points)), high.astype(float) * inside + (len(points) - low).astype(float) * (len(points) - inside), np.inf)
         m = int(cost.argmin())
-        if np.isfinite(cost[m]) and (best is None or cost[m] < best[0]):
+        if cost[m] < (best[0] if best else most):
             best = float(cost[m]), v, m
     return best and best[1:]
 
@@ -160,6 +166,35 @@ class Forest:
         return used
 
 
+def compare(points: np.ndarray, forest: Forest, own: np.ndarray, ask: np.ndarray) -> list[tuple[int, int]]:
+    """Links of the pairs within REACH of own and ask points that join components, all pairs compared in blocks."""
+    out: list[tuple[int, int]] = []
+    wide = min(len(own), PAIRS)
+    for o in range(0, len(own), max(1, wide)):
+        some = own[o : o + wide]
+        step = max(1, PAIRS // len(some))
+        for at in range(0, len(ask), step):
+            i, j = np.nonzero(np.bitwise_count(points[ask[at : at + step], None] ^ points[None, some]) <= REACH)
+            a, b = ask[at + i], some[j]
+            out += forest.link(a[a != b], b[a != b])
+    return out
+
+
+def compare_dense(points: np.ndarray, forest: Forest, own: np.ndarray, ask: np.ndarray, rng: np.random.Generator) -> list[tuple[int, int]]:
+    """As compare(), for many points close to each other: some hubs join most of them, and pairs within one component are passed over."""
+    out: list[tuple[int, int]] = []
+    every = np.concatenate([own, ask])
+    for hub in own[rng.choice(len(own), min(HUBS, len(own)), replace=False)].tolist():
+        near = every[np.bitwise_count(points[every] ^ points[hub]) <= REACH]
+        near = near[near != hub]
+        out += forest.link(near, np.full(len(near), hub))
+    top = forest.roots()
+    names, sizes = np.unique(top[own], return_counts=True)
+    large = names[sizes.argmax()]
+    inner = top[ask] == large
+    return out + compare(points, forest, own[top[own] != large], ask[inner]) + compare(points, forest, own, ask[~inner])
+
+
 def forest_links(members: np.ndarray, visitors: np.ndarray, within: bool) -> list[tuple[int, int]]:
     """Links that span the components of all pairs within REACH of members and visitors, and of members if `within`.
 
@@ -176,16 +211,7 @@ def forest_links(members: np.ndarray, visitors: np.ndarray, within: bool) -> lis
             continue
         cut = split(points[own], rng) if len(own) > LEAF else None
         if cut is None:
-            # Blocks by members too: points that no radius parts may be many.
-            wide = min(len(own), PAIRS)
-            for o in range(0, len(own), wide):
-                some = own[o : o + wide]
-                step = max(1, PAIRS // len(some))
-                for at in range(0, len(ask), step):
-                    near = np.bitwise_count(points[ask[at : at + step], None] ^ points[None, some]) <= REACH
-                    i, j = np.nonzero(near)
-                    a, b = ask[at + i], some[j]
-                    out += forest.link(a[a > b], b[a > b])
+            out += compare_dense(points, forest, own, ask, rng) if len(own) > 4 * LEAF else compare(points, forest, own, ask)
             continue
         v, m = cut
         d_own, d_ask = np.bitwise_count(points[own] ^ v).astype(int), np.bitwise_count(points[ask] ^ v).astype(int)

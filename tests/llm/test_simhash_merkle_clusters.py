@@ -133,6 +133,27 @@ def test_simhash_family_of_one_ball_gives_a_forest():
     assert len(simhash.forest_links(fps, fps[:0], True)) == len(fps) - 1
 
 
+def test_simhash_dense_family():
+    """Thousands of fingerprints within a few bits of one: trees stay flat, and components are those of all pairs."""
+    rng = random.Random(9)
+    centre = rng.getrandbits(64)
+    fps = {centre ^ 1 << a ^ 1 << b for a in range(64) for b in range(a)} | {rng.getrandbits(64) for _ in range(300)}
+    fps |= {f ^ 7 << 20 for f in list(fps)[::40]} | {centre ^ rng.getrandbits(64) & rng.getrandbits(64) & rng.getrandbits(64) for _ in range(300)}
+    fps = np.array(sorted(fps), np.uint64)
+    assert simhash.Upper(fps, 300).shards >= 1
+    near_ = np.bitwise_count(fps[:, None] ^ fps[None]) <= 3
+    forest = simhash.Forest(len(fps))
+    forest.link(*np.nonzero(np.triu(near_, 1)))
+    want = forest.roots()
+    for cut in (0, 700):
+        got = simhash.Forest(len(fps))
+        for members, visitors, base in ((fps[cut:], fps[:0], cut), (fps[:cut], fps[cut:], 0), (fps[:cut], fps[:0], 0)):
+            found = np.array(simhash.forest_links(members, visitors, not len(visitors)), int).reshape(-1, 2)
+            assert len(found) < len(members) + len(visitors) + 1 and near_[found[:, 0] + base, found[:, 1] + base].all()
+            got.link(found[:, 0] + base, found[:, 1] + base)
+        assert (got.roots() == want).all() and len(np.unique(want)) < len(fps) - 2000
+
+
 def plain_manifest(rows):
     """rows (doc_id, source, lang, n_chars, text) to what the query returns."""
 
