@@ -1,8 +1,8 @@
 """Map-data extracts (nodes, ways and tags) in their packed binary format, and the layers drawn from them.
 
 A packed extract is a row of blobs. One pass over the blob headers, which are a few bytes each, gives every blob's place;
-the places are dealt over the cluster and each task reads and unpacks its own blobs. From then on nodes and ways are
-tables: (id, lon, lat, tags) and (id, nodes, tags).
+the places are dealt over the cluster and each task reads and unpacks its own blobs. From then on nodes, ways and
+relations are tables: (id, lon, lat, tags), (id, nodes, tags) and (id, members, tags).
 """
 
 from __future__ import annotations
@@ -18,6 +18,9 @@ from ..functions import geometry as G
 
 NODES = "id long, lon double, lat double, tags map<string,string>"
 WAYS = "id long, nodes array<long>, tags map<string,string>"
+RELATIONS = "id long, members array<struct<type:string,ref:long,role:string>>, tags map<string,string>"
+#: What members of relations are, by number: fixed values of the format.
+MEMBERS = ("node", "way", "relation")
 #: Values of `highway` that carry traffic on wheels, and those left out of walking networks: fixed values of the source.
 DRIVING = ("motorway", "trunk", "primary", "secondary", "tertiary", "unclassified", "residential", "motorway_link", "trunk_link", "primary_link", "secondary_link", "tertiary_link", "living_street", "service", "road")
 NO_WALKING = ("motorway", "motorway_link", "trunk", "trunk_link", "cycleway", "proposed", "construction", "abandoned", "platform", "raceway")
@@ -81,8 +84,8 @@ def blob_places(stream) -> list[tuple[int, int]]:
     return out
 
 
-def decode_block(blob: bytes) -> tuple[list[tuple], list[tuple]]:
-    """Nodes (id, lon, lat, tags) and ways (id, nodes, tags) of one blob."""
+def decode_block(blob: bytes) -> tuple[list[tuple], list[tuple], list[tuple]]:
+    """Nodes (id, lon, lat, tags), ways (id, nodes, tags) and relations (id, members, tags) of one blob."""
     parts = dict(_fields(blob))
     data = parts[1] if 1 in parts else zlib.decompress(parts[3])
     strings: list[str] = []
@@ -99,7 +102,7 @@ def decode_block(blob: bytes) -> tuple[list[tuple], list[tuple]]:
             lat0 = signed(value)
         elif number == 20:
             lon0 = signed(value)
-    nodes, ways = [], []
+    nodes, ways, relations = [], [], []
     place = lambda lon, lat: ((lon0 + scale * lon) * 1e-9, (lat0 + scale * lat) * 1e-9)
     for group in groups:
         for number, value in _fields(group):
@@ -121,7 +124,11 @@ def decode_block(blob: bytes) -> tuple[list[tuple], list[tuple]]:
             elif number == 3:
                 tags = {strings[k]: strings[v] for k, v in zip(_numbers(f.get(2, b"")), _numbers(f.get(3, b"")), strict=True)}
                 ways.append((signed(f[1]), _running(_numbers(f.get(8, b""), True)), tags))
-    return nodes, ways
+            elif number == 4:
+                tags = {strings[k]: strings[v] for k, v in zip(_numbers(f.get(2, b"")), _numbers(f.get(3, b"")), strict=True)}
+                found = zip(_numbers(f.get(10, b"")), _running(_numbers(f.get(9, b""), True)), _numbers(f.get(8, b"")), strict=True)
+                relations.append((signed(f[1]), [{"type": MEMBERS[kind], "ref": ref, "role": strings[role]} for kind, ref, role in found], tags))
+    return nodes, ways, relations
 
 
 def _open(path: str):
@@ -129,8 +136,8 @@ def _open(path: str):
     return fs.open_input_file(name)
 
 
-def read_extract(spark: SparkSession, paths: list[str], blobs_a_task: int = 8) -> tuple[DataFrame, DataFrame]:
-    """(nodes, ways) of packed extracts, all of whose files every executor can open."""
+def _blobs(spark: SparkSession, paths: list[str], blobs_a_task: int) -> DataFrame:
+    """(path, at, size) of the blobs of all files, dealt over tasks."""
     files = spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, len(paths)))
 
     def places(batches):
@@ -142,28 +149,43 @@ def read_extract(spark: SparkSession, paths: list[str], blobs_a_task: int = 8) -
 
     blobs = files.mapInArrow(places, "path string, at long, size long")
     n = blobs.count()
-    blobs = blobs.repartition(max(1, -(-n // blobs_a_task)), "path", "at")
-
-    def read(which: int, schema: pa.Schema):
-        def run(batches):
-            for batch in batches:
-                for path, at, size in zip(*[batch.column(c).to_pylist() for c in ("path", "at", "size")], strict=True):
-                    with _open(path) as stream:
-                        stream.seek(at)
-                        rows = decode_block(stream.read(size))[which]
-                    columns = list(zip(*rows, strict=True)) if rows else [[] for _ in schema]
-                    yield pa.RecordBatch.from_arrays([pa.array([list(v.items()) for v in c] if pa.types.is_map(f.type) else list(c), f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
-
-        return run
-
-    tags = pa.map_(pa.string(), pa.string())
-    nodes = blobs.mapInArrow(read(0, pa.schema([("id", pa.int64()), ("lon", pa.float64()), ("lat", pa.float64()), ("tags", tags)])), NODES)
-    ways = blobs.mapInArrow(read(1, pa.schema([("id", pa.int64()), ("nodes", pa.list_(pa.int64())), ("tags", tags)])), WAYS)
+    return blobs.repartition(max(1, -(-n // blobs_a_task)), "path", "at")
+
+
+def _read(which: int, schema: pa.Schema):
+    """Nodes, ways or relations (0, 1, 2) of the blobs that come."""
+
+    def run(batches):
+        for batch in batches:
+            for path, at, size in zip(*[batch.column(c).to_pylist() for c in ("path", "at", "size")], strict=True):
+                with _open(path) as stream:
+                    stream.seek(at)
+                    rows = decode_block(stream.read(size))[which]
+                columns = list(zip(*rows, strict=True)) if rows else [[] for _ in schema]
+                yield pa.RecordBatch.from_arrays([pa.array([list(v.items()) for v in c] if pa.types.is_map(f.type) else list(c), f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+    return run
+
+
+_TAGS = pa.map_(pa.string(), pa.string())
+
+
+def read_extract(spark: SparkSession, paths: list[str], blobs_a_task: int = 8) -> tuple[DataFrame, DataFrame]:
+    """(nodes, ways) of packed extracts, all of whose files every executor can open."""
+    blobs = _blobs(spark, paths, blobs_a_task)
+    nodes = blobs.mapInArrow(_read(0, pa.schema([("id", pa.int64()), ("lon", pa.float64()), ("lat", pa.float64()), ("tags", _TAGS)])), NODES)
+    ways = blobs.mapInArrow(_read(1, pa.schema([("id", pa.int64()), ("nodes", pa.list_(pa.int64())), ("tags", _TAGS)])), WAYS)
     return nodes, ways
 
 
-def write_extract(nodes: list[tuple], ways: list[tuple], path: str) -> None:
-    """A small extract of one blob for fixtures: nodes (id, lon, lat, tags), ways (id, nodes, tags)."""
+def read_relations(spark: SparkSession, paths: list[str], blobs_a_task: int = 8) -> DataFrame:
+    """(id, members, tags) of packed extracts; members are (type, ref, role) in their order."""
+    member = pa.struct([("type", pa.string()), ("ref", pa.int64()), ("role", pa.string())])
+    return _blobs(spark, paths, blobs_a_task).mapInArrow(_read(2, pa.schema([("id", pa.int64()), ("members", pa.list_(member)), ("tags", _TAGS)])), RELATIONS)
+
+
+def write_extract(nodes: list[tuple], ways: list[tuple], path: str, relations: list[tuple] = ()) -> None:
+    """A small extract of one blob for fixtures: nodes (id, lon, lat, tags), ways (id, nodes, tags), relations (id, [(type, ref, role)], tags)."""
 
     def varint(v: int) -> bytes:
         out = b""
@@ -178,6 +200,8 @@ def write_extract(nodes: list[tuple], ways: list[tuple], path: str) -> None:
     words = [""]
     for row in [*nodes, *ways]:
         words += [w for kv in row[-1].items() for w in kv if w not in words]
+    for _, members, t in relations:
+        words += [w for w in dict.fromkeys([*(m[2] for m in members), *t.keys(), *t.values()]) if w not in words]
     at = {w: k for k, w in enumerate(words)}
     grid = lambda v: round(v * 1e7)
     tags = b"".join(b"".join(varint(at[w]) for kv in t.items() for w in kv) + b"\0" for *_, t in nodes)
@@ -185,6 +209,10 @@ def write_extract(nodes: list[tuple], ways: list[tuple], path: str) -> None:
     groups = field(2, field(2, dense))
     for key, refs, t in ways:
         groups += field(2, field(3, whole(1, key) + field(2, b"".join(varint(at[k]) for k in t)) + field(3, b"".join(varint(at[v]) for v in t.values())) + field(8, steps(refs))))
+    for key, members, t in relations:
+        kinds, refs, roles = zip(*members, strict=True) if members else ((), (), ())
+        held = field(8, b"".join(varint(at[r]) for r in roles)) + field(9, steps(refs)) + field(10, b"".join(varint(MEMBERS.index(k)) for k in kinds))
+        groups += field(2, field(4, whole(1, key) + field(2, b"".join(varint(at[k]) for k in t)) + field(3, b"".join(varint(at[v]) for v in t.values())) + held))
     block = field(1, b"".join(field(1, w.encode()) for w in words)) + groups
     with open(path, "wb") as f:
         for kind, data in (("OSMHeader", b""), ("OSMData", block)):
