@@ -123,28 +123,35 @@ def overlap_areas(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def disc_areas(rings: np.ndarray, centres: np.ndarray, radius: float, sides: int) -> np.ndarray:
-    """Area of each ring inside the regular polygon of so many sides around its centre."""
+    """Area of each ring inside the regular polygon of so many sides around its centre.
+
+    Seen from the centre, a side of the ring sweeps a triangle. Of it the polygon has, where the side runs inside, all, and
+    where it runs outside the sector between the two directions; the signed sum of these is the shared area.
+    """
     rings = counter_clockwise(rings) - centres[:, None]
-    turn = np.arange(sides) * (2 * np.pi / sides)
-    window = radius * np.column_stack([np.cos(turn), np.sin(turn)])
-    half = turn + np.pi / sides
-    normal, reach = np.column_stack([np.cos(half), np.sin(half)]), radius * np.cos(np.pi / sides)
-    # Parts of the ring inside all sides.
-    p, d = rings, np.roll(rings, -1, axis=1) - rings
+    turn = 2 * np.pi / sides
+    half, reach = (np.arange(sides) + 0.5) * turn, radius * np.cos(turn / 2)
+    normal = np.column_stack([np.cos(half), np.sin(half)])
+    p, q = rings, np.roll(rings, -1, axis=1)
+    d = q - p
     room, speed = reach - p @ normal.T, d @ normal.T
     with np.errstate(divide="ignore", invalid="ignore"):
         t = room / speed
     low = np.where(speed < 0, t, 0.0).max(axis=-1, initial=0.0)
     high = np.where(speed > 0, t, 1.0).min(axis=-1, initial=1.0)
     good = (low < high) & ~((speed == 0) & (room < 0)).any(axis=-1)
-    total = (cross(p + d * low[..., None], p + d * high[..., None]) * good).sum(axis=1) / 2
-    # Parts of the sides inside the ring.
-    w = np.broadcast_to(window, (len(rings), sides, 2))
-    v = np.roll(w, -1, axis=1)
-    cuts, inside, border = pieces(w, v, rings)
-    kept = inside & (border == 0)
-    a, b = (w[:, :, None] + (v - w)[:, :, None] * c[..., None] for c in (cuts[..., :-1], cuts[..., 1:]))
-    return np.maximum(total + (cross(a, b) * kept).sum(axis=(1, 2)) / 2, 0.0)
+    enter, leave = p + d * np.where(good, low, 0.0)[..., None], p + d * np.where(good, high, 0.0)[..., None]
+    whole, slice_ = sides * radius * radius * np.sin(turn) / 2, radius * radius * np.sin(turn) / 2
+
+    def swept(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        angles = [np.arctan2(c[..., 1], c[..., 0]) for c in (a, b)]
+        full = [np.floor(x / turn) for x in angles]
+        upto = [k * slice_ + radius * reach / np.cos(x - (k + 0.5) * turn) * np.sin(x - k * turn) / 2 for x, k in zip(angles, full, strict=True)]
+        by = angles[1] - angles[0]
+        return upto[1] - upto[0] + np.where(by > np.pi, -whole, np.where(by < -np.pi, whole, 0.0))
+
+    outside = np.where(good & (low == 0), 0.0, swept(p, enter)) + np.where(good & (high == 1), 0.0, swept(leave, q))
+    return np.maximum((cross(enter, leave) / 2 + outside).sum(axis=1), 0.0)
 
 
 def inside_shares(segments: np.ndarray, rings: np.ndarray) -> np.ndarray:

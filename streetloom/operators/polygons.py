@@ -220,7 +220,7 @@ def disc_footprints(points: DataFrame, polygons: DataFrame, radius: float, sides
         first, n, xy = K.flat_rings(batch.column(ring))
         centres = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("x", "y")])
         out = np.zeros(batch.num_rows)
-        for k, part in K.by_size(np.where(n >= 3, n, 0), lambda k: sides * (2 * k + 2) * k):
+        for k, part in K.by_size(np.where(n >= 3, n, 0), lambda k: sides * k):
             if k:
                 out[part] = K.disc_areas(K.stack(first[part], k, xy), centres[part], radius, sides)
         return [out]
