@@ -73,7 +73,19 @@ def zone_overlay(spark, d):
     return cut.where("_cx BETWEEN 0 AND 4 AND _cy BETWEEN 0 AND 4").select("bid", (F.col("_cy") * 5 + F.col("_cx")).cast("long").alias("zone_id"), F.round("clipped_area", 3).alias("clipped_area"))
 
 
-@query("footprint_context")
+# The 64-sided disc in strips between its corners: the shared area is the integral of its upper border, clamped by the
+# rectangle, less that of its lower one; each is two integrals of the positive part of a linear function.
+DISCS = f"""{NODES}, {BUILDINGS}, rects AS (SELECT bid, x AS x0, y AS y0, x + width AS x1, y + CASE WHEN bid % 2 = 0 THEN depth ELSE depth / 2 END AS y1 FROM buildings UNION ALL SELECT bid, x, y + depth / 2, x + width / 2, y + depth FROM buildings WHERE bid % 2 = 1),
+ strips AS (SELECT 100 * cos(pi() * k / 32) AS xa, 100 * sin(pi() * k / 32) AS ha, 100 * cos(pi() * (k - 1) / 32) AS xb, 100 * sin(pi() * (k - 1) / 32) AS hb FROM (SELECT unnest(generate_series(1, 32)) AS k)),
+ near AS (SELECT id, bid, x0 - x AS x0, y0 - y AS y0, x1 - x AS x1, y1 - y AS y1 FROM nodes JOIN rects ON x0 < x + 100 AND x1 > x - 100 AND y0 < y + 100 AND y1 > y - 100),
+ cut AS (SELECT *, ha + (hb - ha) * (greatest(x0, xa) - xa) / (xb - xa) AS p, ha + (hb - ha) * (least(x1, xb) - xa) / (xb - xa) AS q, least(x1, xb) - greatest(x0, xa) AS w FROM near JOIN strips ON x0 < xb AND x1 > xa),
+ part AS (SELECT id, bid, w * s AS w, up * p - y AS p, up * q - y AS q FROM (SELECT id, bid, w, p, q, unnest([{{'up': 1, 'y': y0, 's': 1}}, {{'up': 1, 'y': y1, 's': -1}}, {{'up': -1, 'y': y0, 's': -1}}, {{'up': -1, 'y': y1, 's': 1}}], recursive := true) FROM cut)),
+ clipped AS (SELECT id, bid, sum(w * CASE WHEN p >= 0 AND q >= 0 THEN (p + q) / 2 WHEN p <= 0 AND q <= 0 THEN 0 WHEN p > 0 THEN p * p / (2 * (p - q)) ELSE q * q / (2 * (q - p)) END) AS a FROM part GROUP BY 1, 2),
+ held AS (SELECT id, clipped.a, CASE WHEN b.bid % 2 = 0 THEN area ELSE area * 0.75 END AS area, perimeter FROM clipped JOIN buildings b ON b.bid = clipped.bid WHERE clipped.a > 1e-9)"""
+
+
+@query("footprint_context", f"""WITH {DISCS}, g AS (SELECT id, count(*) AS n, sum(a) AS s, avg(area) AS m, stddev_samp(area) AS d, sum(perimeter) AS p FROM held GROUP BY 1)
+ SELECT nodes.id AS intersection_id, coalesce(n, 0) AS building_count, round(coalesce(s, 0) / (pi() * 10000), 3) AS footprint_proportion, round(coalesce(m, 0), 3) AS footprint_mean, round(coalesce(d, 0), 3) AS footprint_std, round(coalesce(p, 0), 3) AS perimeter_total FROM nodes LEFT JOIN g ON g.id = nodes.id""")
 def footprint_context(spark, d):
     """Clipped footprint in the disc of 100 m of each intersection; mean, deviation and perimeter are those of whole buildings."""
     nodes = L.intersections(spark, d).select("intersection_id", "x", "y")
