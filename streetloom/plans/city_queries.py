@@ -12,8 +12,8 @@ from ..operators import clean, graph, polygons, relations, temporal
 from ..sources import layers as L
 from ..sources import mapdata, rasters
 from . import city as C
-from .more import CHAIN
-from .queries import BUILDINGS, LINES, NODES, POIS, POPULATION, STREETS, YEARS, _pivot_sql, query
+from .more import CHAIN, DISCS
+from .queries import BUILDINGS, LINES, NODES, ORACLES, POIS, POPULATION, STREETS, YEARS, _pivot_sql, query
 
 # Zones that are no squares: each square of 1000 m cut in two by a line that passes no point of whole coordinates.
 SLOPE, RISE = 0.7310585, 13.37
@@ -200,7 +200,14 @@ def network_context(spark, d):
     return C.point_context(nodes, "intersection_id", city, 100.0).drop("x", "y")
 
 
-@query("street_network")
+# The SQL of each attribute group with the roundings of the whole network.
+GROUPS = f"""WITH c AS ({ORACLES["network_context"]}), t AS ({ORACLES["clustering"].replace(", 6) AS clustering", ", 3) AS clustering")}), r AS ({ORACLES["pagerank"].replace(", 7) AS pagerank", ", 6) AS pagerank")}), s AS ({ORACLES["street_catchment"].replace("round(sum(l), 3)", "sum(l)")}),
+ f AS (WITH {DISCS} SELECT id AS intersection_id, count(*) AS n, sum(a) AS a, avg(area) AS m, stddev_samp(area) AS d, sum(perimeter) AS p, avg(perimeter) AS pm FROM held GROUP BY 1), v AS (WITH {NODES} SELECT id AS intersection_id, value, x, y FROM nodes)
+ SELECT v.*, clustering, pagerank, c.* EXCLUDE (intersection_id), round(length, 3) AS street_length, round(length / (pi() * 0.01) / 1000, 3) AS street_density, coalesce(n, 0) AS building_count, round(coalesce(a, 0) / (pi() * 10000), 3) AS footprint_proportion, round(coalesce(m, 0), 3) AS footprint_mean,
+  round(coalesce(d, 0), 3) AS footprint_std, round(coalesce(p, 0), 3) AS perimeter_total, round(coalesce(pm, 0), 3) AS perimeter_mean FROM v JOIN c USING (intersection_id) JOIN t USING (intersection_id) JOIN r USING (intersection_id) JOIN s USING (intersection_id) LEFT JOIN f USING (intersection_id)"""
+
+
+@query("street_network", GROUPS)
 def street_network(spark, d):
     """All attribute groups of the feature-rich street network."""
     return C.street_network(_city(spark, d))[0]
