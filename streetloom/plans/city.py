@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import shapes
-from ..operators import clean, crossings, graph, paths, plots, polygons, relations, rings, segments, spatial_join
+from ..operators import centrality, clean, crossings, graph, paths, plots, polygons, relations, rings, segments, spatial_join
 from ..operators.hetero import UrbanGraph
 from ..operators.overlay import bounds
 
@@ -168,7 +168,11 @@ def aggregate_stats(zones: DataFrame, key: str, city: City, cell: float) -> Data
 
 
 def street_network(city: City, radius: float = 100.0, attributes: tuple[str, ...] = ("catchment", "topology", "buildings", "population", "pois", "images"), dual: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) with the attribute groups named; dual: streets become nodes, consecutive streets edges."""
+    """(nodes, edges) with the attribute groups named; dual: streets become nodes, consecutive streets edges.
+
+    A group that is not among the default ones, `centrality`: closeness, betweenness, eigenvector and Katz centrality and
+    the clustering by street length; 0 for nodes without streets.
+    """
     nodes, edges = city.intersections, city.streets
     if dual:
         at = edges.select(F.col("street_id").alias("node_id"), ((F.col("ux") + F.col("vx")) / 2).alias("x"), ((F.col("uy") + F.col("vy")) / 2).alias("y"), "length", F.array("u", "v").alias("osmids"))
@@ -178,6 +182,12 @@ def street_network(city: City, radius: float = 100.0, attributes: tuple[str, ...
         nodes = nodes.join(graph.clustering(edges, nodes, "intersection_id"), "intersection_id")
         nodes = nodes.join(graph.pagerank(nodes, edges, "intersection_id"), "intersection_id")
         nodes = nodes.withColumns({"clustering": F.round("clustering", 3), "pagerank": F.round("pagerank", 6)})
+    if "centrality" in attributes:
+        key, given = "intersection_id", city.intersections.select("intersection_id")
+        near = centrality.centralities(edges).withColumnRenamed("id", key)
+        for more in (near, graph.eigenvector(given, edges, key), graph.katz(given, edges, key), paths.weighted_clustering(edges, given, key)):
+            nodes = nodes.join(more, key, "left")
+        nodes = nodes.withColumns({c: _z(c, 6) for c in ("closeness", "betweenness", "eigenvector", "katz", "weighted_clustering")})
     part = lambda name, layer: layer if name in attributes else None
     held = City(intersections=part("catchment", city.intersections), streets=part("catchment", city.streets), buildings=part("buildings", city.buildings), pois=part("pois", city.pois), population=part("population", city.population), images=part("images", city.images), classes=city.classes, indicators=city.indicators)
     return point_context(nodes, "intersection_id", held, radius), edges

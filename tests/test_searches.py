@@ -55,3 +55,20 @@ def test_disc_areas(corners):
     got = K.disc_areas(rings + 1000, np.full((len(rings), 2), 1000.0), 100.0, 64)
     want = [abs(float(K.signed_areas(c[None])[0])) if len(c := clip_convex(r, disc(0.0, 0.0, 100.0))) > 2 else 0.0 for r in rings]
     assert got == pytest.approx(want, abs=1e-6)
+
+
+def test_centrality_group_of_a_network(spark):
+    from streetloom.plans import city as C
+
+    nodes = spark.createDataFrame([(k, float(k), 0.0) for k in range(6)], "intersection_id long, x double, y double")
+    ends = [(0, 1), (1, 0), (1, 2), (2, 1), (2, 3), (3, 2), (1, 3), (3, 1), (4, 4)]
+    streets = spark.createDataFrame([(k, u, v, float(u), 0.0, float(v), 0.0, 1.0) for k, (u, v) in enumerate(ends)], "street_id long, u long, v long, ux double, uy double, vx double, vy double, length double")
+    got, _ = C.street_network(C.City(intersections=nodes, streets=streets), attributes=("topology", "centrality"))
+    rows = {r.intersection_id: r for r in got.collect()}
+    assert set(rows) == set(range(6))
+    near, through = _plain([[1], [0, 2, 3], [1, 3], [1, 2], [], []], 6)
+    for k in range(4):
+        assert rows[k].closeness == pytest.approx(near[k], abs=1e-6) and rows[k].betweenness == pytest.approx(through[k] / 6, abs=1e-6)
+    # A triangle with a tail: the value of its middle node is the largest.
+    assert rows[1].eigenvector > rows[2].eigenvector > rows[0].eigenvector > 0 and rows[2].eigenvector == pytest.approx(rows[3].eigenvector)
+    assert rows[2].weighted_clustering == pytest.approx(1.0) and rows[0].weighted_clustering == 0 == rows[5].closeness == rows[5].betweenness
