@@ -541,5 +541,7 @@ def drop_covered(spark, d):
     b = L.buildings(spark, d).withColumns({"x": F.col("bid") * 200.0, "y": F.lit(0.0)})
     x, y, w, h = (F.col(c) for c in ("x", "y", "width", "depth"))
     aside = F.when(F.col("bid") % 3 == 0, 0.9 * w).otherwise(0.0)
-    copy = b.select((F.col("bid") + 1_000_000).alias("bid"), grids.square(x + aside, y, x + aside + 0.8 * w, y + 0.8 * h).alias("ring"))
-    return polygons.drop_covered(b.select("bid", grids.square(x, y, x + w, y + h).alias("ring")).unionByName(copy), "bid", 100.0, share=0.5).select("bid")
+    # From a million buildings on a copy's number is also another building's, so rows have a key of their own.
+    own, other = (F.col("bid") * 2).alias("item"), (F.col("bid") * 2 + 1).alias("item")
+    copy = b.select(other, (F.col("bid") + 1_000_000).alias("bid"), grids.square(x + aside, y, x + aside + 0.8 * w, y + 0.8 * h).alias("ring"))
+    return polygons.drop_covered(b.select(own, "bid", grids.square(x, y, x + w, y + h).alias("ring")).unionByName(copy), "item", 100.0, share=0.5).select("bid")
