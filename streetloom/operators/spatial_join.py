@@ -18,7 +18,8 @@ def _cells(df: DataFrame, x: str, y: str, size: float, reach: int) -> DataFrame:
 
 def within_distance(left: DataFrame, right: DataFrame, radius: float, lx: str = "x", ly: str = "y", rx: str = "rx", ry: str = "ry") -> DataFrame:
     """Pairs at most radius apart, with `distance`. Cells are as wide as the radius; the right side stands in its neighbours too."""
-    pairs = _cells(left, lx, ly, radius, 0).join(_cells(right, rx, ry, radius, 1), ["_cx", "_cy"]).drop("_cx", "_cy")
+    # The bytes of files know nothing of the rows that explode() makes: without the hint they are gathered and broadcast.
+    pairs = _cells(left, lx, ly, radius, 0).hint("merge").join(_cells(right, rx, ry, radius, 1), ["_cx", "_cy"]).drop("_cx", "_cy")
     dx, dy = F.col(lx) - F.col(rx), F.col(ly) - F.col(ry)
     return pairs.where(dx * dx + dy * dy <= radius * radius).withColumn("distance", F.sqrt(dx * dx + dy * dy))
 
