@@ -11,11 +11,15 @@ from pyspark.sql import functions as F
 from ..storage import shared_base
 
 def _held(df: DataFrame) -> DataFrame:
-    """Cut the lineage of an iteration: checkpoint() writes to the folder all executors share."""
+    """Cut the lineage of an iteration: checkpoint() writes to the folder all executors share.
+
+    What is held keeps the size that Spark guessed from the bytes of its source, whatever rows were made of them; so joins
+    with it are merge joins, unless the other side is to be broadcast by name.
+    """
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(shared_base(df.sparkSession))
-    return df.checkpoint()
+    return df.checkpoint().hint("merge")
 
 
 def out_degree(nodes: DataFrame, edges: DataFrame, key: str) -> DataFrame:
