@@ -30,3 +30,10 @@ def test_knn_looks_no_farther_than_dense_points_need(spark, monkeypatch):
     for k in range(900):
         d = np.hypot(*(at - at[k]).T)
         assert [got[k, r + 1] for r in range(5)] == [(j, d[j]) for j in np.lexsort((np.arange(900), d))[:5]]
+
+
+def test_nearest_any_looks_no_farther_than_dense_points_need(spark, monkeypatch):
+    seen = _radii(monkeypatch)
+    far = spark.createDataFrame([(0, 3.2, 4.1), (1, 500.0, 0.0)], "k long, x double, y double")
+    got = {r.k: (r.i, round(r.distance, 6)) for r in spatial_join.nearest_any(far, _dense(spark).selectExpr("i", "x AS rx", "y AS ry"), "k", "i", 100.0).collect()}
+    assert seen[0] < 5 and got == {0: (123, 0.223607), 1: (29, 471.0)}
