@@ -2,25 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import _held
+from .spatial_join import extent
+
 
-def near_segments(points: DataFrame, segments: DataFrame, key: str, segment_key: str, radius: float, also: tuple[str, ...] = ()) -> DataFrame:
+def near_segments(points: DataFrame, segments: DataFrame, key: str, segment_key: str, radius: float, also: tuple[str, ...] = (), cell: float | None = None) -> DataFrame:
     """Pairs of points (x, y) and segments at most radius apart, with `distance` and the place `t` (0 to 1) of the foot.
 
-    `also` names columns of the points that pairs keep.
+    `also` names columns of the segments that pairs keep.
 
-    Cells are two radii wide. A point stands in its own cell alone; a segment stands in every cell that it comes within a
+    Cells are two radii wide unless `cell` says more. A point stands in its own cell alone; a segment stands in every cell that it comes within a
     radius of: column by column, the rows between its heights at the column's two sides, all widened by the radius. So each
     pair arises once. Rows without a place give no pairs.
     """
-    size = 2.0 * radius
+    size = max(2.0 * radius, cell or 0.0)
     dx, dy = F.col("vx") - F.col("ux"), F.col("vy") - F.col("uy")
     x0, x1, y0, y1 = F.least("ux", "vx"), F.greatest("ux", "vx"), F.least("uy", "vy"), F.greatest("uy", "vy")
     span = lambda a, b: F.sequence(F.floor((a - radius) / size), F.floor((b + radius) / size))
     known = segments.where(F.col("ux").isNotNull() & F.col("uy").isNotNull() & F.col("vx").isNotNull() & F.col("vy").isNotNull())
-    walk = known.select(segment_key, "ux", "uy", "vx", "vy", F.explode(span(x0, x1)).alias("_cx"))
+    walk = known.select(segment_key, *also, "ux", "uy", "vx", "vy", F.explode(span(x0, x1)).alias("_cx"))
     # The part of the segment within a radius of the column, and the heights between which it runs there.
     left, right = F.greatest(x0, F.col("_cx") * size - radius), F.least(x1, (F.col("_cx") + 1) * size + radius)
     height = lambda x: F.coalesce(F.col("uy") + (x - F.col("ux")) * F.try_divide(dy, dx), F.col("uy"))
@@ -28,25 +33,50 @@ def near_segments(points: DataFrame, segments: DataFrame, key: str, segment_key:
     low = F.when(steep, y0).otherwise(F.least(height(left), height(right)))
     high = F.when(steep, y1).otherwise(F.greatest(height(left), height(right)))
     cells = walk.withColumn("_cy", F.explode(span(F.greatest(y0, low - 1e-6), F.least(y1, high + 1e-6))))
-    at = points.select(key, "x", "y", *also).where("x IS NOT NULL AND y IS NOT NULL").withColumns({"_cx": F.floor(F.col("x") / size), "_cy": F.floor(F.col("y") / size)})
-    pairs = at.join(cells, ["_cx", "_cy"]).drop("_cx", "_cy")
+    at = points.select(key, "x", "y").where("x IS NOT NULL AND y IS NOT NULL").withColumns({"_cx": F.floor(F.col("x") / size), "_cy": F.floor(F.col("y") / size)})
+    # See spatial_join: cells are more than the segments' files let expect, so they are not to be broadcast.
+    pairs = at.join(cells.hint("merge"), ["_cx", "_cy"]).drop("_cx", "_cy")
     along = ((F.col("x") - F.col("ux")) * dx + (F.col("y") - F.col("uy")) * dy) / F.greatest(dx * dx + dy * dy, F.lit(1e-12))
     pairs = pairs.withColumn("t", F.greatest(F.lit(0.0), F.least(F.lit(1.0), along)))
     return pairs.withColumn("distance", F.hypot(F.col("x") - F.col("ux") - F.col("t") * dx, F.col("y") - F.col("uy") - F.col("t") * dy)).where(F.col("distance") <= radius)
 
 
+#: Open points up to which a round of nearest_segment broadcasts them instead of dealing all segments by their cells.
+FEW = 20_000
+
+
 def nearest_segment(points: DataFrame, segments: DataFrame, key: str, segment_key: str, radius: float, ties: bool = False) -> DataFrame:
-    """Each point's nearest segment within radius; of equal distances the least id, or all of them with `ties`."""
-    pairs = near_segments(points, segments, key, segment_key, radius)
-    # First the least distance alone, which a hash aggregate keeps in place; then the pairs at that distance, which are few.
-    # Keeping the best pair of all in one aggregate would sort them all.
-    least = pairs.groupBy(key).agg(F.min(F.round("distance", 9)).alias("_d"))
-    near = near_segments(points.select(key, "x", "y").join(least, key), segments, key, segment_key, radius, ("_d",)).where(F.round("distance", 9) == F.col("_d")).drop("_d")
-    if ties:
-        return near
-    rest = [c for c in near.columns if c != key]
-    best = near.groupBy(key).agg(F.min_by(F.struct(*rest), segment_key).alias("_b"))
-    return best.select(key, "_b.*")
+    """Each point's nearest segment within radius; of equal distances the least id, or all of them with `ties`.
+
+    The first round looks as far as it takes to meet eight segments on average; the reach grows eightfold, up to the radius,
+    for points without a hit. So dense networks don't make all pairs within the radius. Cells hold some 40 points, whatever
+    the reach. Segments of the same ends count as one with the least id, but with `ties`.
+    """
+    ends = ["ux", "uy", "vx", "vy"]
+    known = segments.where(" AND ".join(f"{c} IS NOT NULL AND NOT isnan({c})" for c in ends))
+    lines = _held(known.select(segment_key, *ends) if ties else known.groupBy(*ends).agg(F.min(segment_key).alias(segment_key)))
+    open_ = points.select(key, "x", "y").where("x IS NOT NULL AND y IS NOT NULL AND NOT isnan(x) AND NOT isnan(y)")
+    left, area = extent(open_)
+    x0, x1, y0, y1 = F.min(F.least("ux", "vx")), F.max(F.greatest("ux", "vx")), F.min(F.least("uy", "vy")), F.max(F.greatest("uy", "vy"))
+    total, wide, high, n = lines.agg(F.sum(F.hypot(F.col("vx") - F.col("ux"), F.col("vy") - F.col("uy"))), x1 - x0, y1 - y0, F.count(F.lit(1))).first()
+    reach = min(radius, 4.0 * wide * high / total) if n and total > 0 and wide * high > 0 else radius
+    cell = min(math.sqrt(40.0 * area / left), total / n) if n and left and total > 0 else None
+    out, tie = None, F.col("_d")
+    while True:
+        near = near_segments(F.broadcast(open_) if left <= FEW else open_, lines, key, segment_key, reach, cell=cell).withColumn("_d", F.round("distance", 9))
+        whole = Window.partitionBy(key)
+        best = near.withColumn("_k", F.rank().over(whole.orderBy(tie)) if ties else F.row_number().over(whole.orderBy(tie, segment_key))).where("_k = 1").drop("_k")
+        if reach >= radius:
+            best = best.drop("_d")
+            return best if out is None else out.unionByName(best)
+        # At the edge of the reach another segment of the same rounded distance may lie just beyond it: those go on.
+        best = _held(best.where(tie < reach - 1e-8).drop("_d"))
+        out = best if out is None else out.unionByName(best)
+        open_ = _held(open_.join(best.select(key).distinct(), key, "left_anti"))
+        left = open_.count()
+        if not left:
+            return out
+        reach = min(radius, 8.0 * reach)
 
 
 def clipped_length(points: DataFrame, segments: DataFrame, key: str, segment_key: str, radius: float) -> DataFrame:

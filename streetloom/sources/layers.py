@@ -50,7 +50,7 @@ def located_streets(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = intersections(spark, sf_dir)
     u = nodes.select(F.col("intersection_id").alias("u"), F.col("x").alias("ux"), F.col("y").alias("uy"))
     v = nodes.select(F.col("intersection_id").alias("v"), F.col("x").alias("vx"), F.col("y").alias("vy"))
-    return streets(spark, sf_dir).join(u, "u").join(v, "v").withColumn("length", F.hypot(F.col("ux") - F.col("vx"), F.col("uy") - F.col("vy")))
+    return streets(spark, sf_dir).join(u.hint("merge"), "u").join(v.hint("merge"), "v").withColumn("length", F.hypot(F.col("ux") - F.col("vx"), F.col("uy") - F.col("vy")))
 
 
 def buildings(spark: SparkSession, sf_dir: str) -> DataFrame:
