@@ -26,3 +26,12 @@ def test_nearest_segment_looks_no_farther_than_a_dense_network_needs(spark, monk
     for r in segments.nearest_segment(p, s, "p", "s", 50.0, ties=True).collect():
         many.setdefault(r.p, set()).add(r.s)
     assert many == want
+
+
+def test_clipped_length_meets_streets_of_the_same_ends_once(spark, monkeypatch):
+    met, real = [], segments.near_segments
+    monkeypatch.setattr(segments, "near_segments", lambda points, lines, *a, **b: (met.append(lines.count()), real(points, lines, *a, **b))[1])
+    s = spark.createDataFrame([(1, 0.0, 0.0, 4.0, 0.0), (2, 4.0, 0.0, 0.0, 0.0), (3, 0.0, 0.0, 4.0, 0.0), (4, 0.0, 1.0, 0.0, 3.0)], "s long, ux double, uy double, vx double, vy double")
+    p = spark.createDataFrame([(0, 0.0, 0.0), (1, 90.0, 0.0)], "p long, x double, y double")
+    got = {r.p: r.length for r in segments.clipped_length(p, s, "p", "s", 2.0).collect()}
+    assert got == {0: 7.0, 1: 0.0} and met == [2]
