@@ -10,7 +10,7 @@ def test_nearest_segment_looks_no_farther_than_a_dense_network_needs(spark, monk
     seen, real = [], segments.near_segments
     monkeypatch.setattr(segments, "near_segments", lambda *a, **b: (seen.append(a[4]), real(*a, **b))[1])
     rng = np.random.default_rng(3)
-    ends = rng.integers(0, 1000, (400, 4)).astype(float)
+    ends = rng.integers(0, 1000, (2000, 4)).astype(float)
     ends = np.vstack([ends, ends[:50], [(0, 5000, 100, 5000)]])
     at = np.vstack([rng.uniform(0, 1000, (200, 2)), ends[:1, :2], [(50, 5045)], [(50, 5051)]])
     s = spark.createDataFrame([(k, *map(float, e)) for k, e in enumerate(ends)], "s long, ux double, uy double, vx double, vy double")
