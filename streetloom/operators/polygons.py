@@ -2,7 +2,8 @@
 
 Every join spreads polygons over the cells that their bounds touch and puts the other side into cells too. A pair of two
 extended shapes is accepted in one cell alone, that of the larger of their lower bounds, so no pair is made twice and
-nothing has to be made distinct. Rows whose shape has no area or a null coordinate take part in no pair. A polygon with
+nothing has to be made distinct. Sides ask for a merge join, as in spatial_join; few polygons, such as zones, are broadcast if
+the caller passes them as F.broadcast(). Rows whose shape has no area or a null coordinate take part in no pair. A polygon with
 holes is one ring too: see rings.keyhole().
 """
 
@@ -44,13 +45,13 @@ def points_in(points: DataFrame, polygons: DataFrame, size: float, x: str = "x",
     """Pairs of points and polygons that hold them (even-odd rule) and have equal `same` columns; columns of both sides, the ring dropped."""
     at = points.where(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumns({"_cx": F.floor(F.col(x) / size), "_cy": F.floor(F.col(y) / size)})
     spread = _cells(polygons, bounds(ring), size, "r")
-    return at.join(spread, [*same, "_cx", "_cy"]).where(G.inside(F.col(x), F.col(y), F.col(ring))).drop(ring, "_cx", "_cy", "_rx", "_ry")
+    return at.hint("merge").join(spread, [*same, "_cx", "_cy"]).where(G.inside(F.col(x), F.col(y), F.col(ring))).drop(ring, "_cx", "_cy", "_rx", "_ry")
 
 
 def overlaps(left: DataFrame, right: DataFrame, size: float, left_ring: str, right_ring: str, least: float = 1e-6) -> DataFrame:
     """Pairs of polygons that share an area above `least`, with `overlap` (that area); both rings are dropped."""
     a, b = _cells(left, bounds(left_ring), size, "l"), _cells(right, bounds(right_ring), size, "r")
-    pairs = a.join(b, ["_cx", "_cy"]).where(_owned(size)).drop(*_SCRATCH)
+    pairs = a.hint("merge").join(b, ["_cx", "_cy"]).where(_owned(size)).drop(*_SCRATCH)
     p, q = bounds(left_ring), bounds(right_ring)
     pairs = pairs.where((p["_x0"] < q["_x1"]) & (q["_x0"] < p["_x1"]) & (p["_y0"] < q["_y1"]) & (q["_y0"] < p["_y1"]))
     return K.pair_column(pairs, "overlap", left_ring, right_ring, K.overlap_areas).where(F.col("overlap") > least).drop(left_ring, right_ring)
@@ -64,7 +65,7 @@ def _segment(df: DataFrame) -> DataFrame:
 def _segment_pairs(segments: DataFrame, polygons: DataFrame, size: float, ring: str, reach: float = 0.0) -> DataFrame:
     box = {"_x0": F.least("ux", "vx"), "_x1": F.greatest("ux", "vx"), "_y0": F.least("uy", "vy"), "_y1": F.greatest("uy", "vy")}
     a, b = _cells(segments, box, size, "l"), _cells(polygons, bounds(ring), size, "r", reach)
-    pairs = a.join(b, ["_cx", "_cy"]).where(_owned(size)).drop(*_SCRATCH)
+    pairs = a.hint("merge").join(b, ["_cx", "_cy"]).where(_owned(size)).drop(*_SCRATCH)
     q = bounds(ring)
     return pairs.where((box["_x0"] <= q["_x1"] + reach) & (box["_x1"] >= q["_x0"] - reach) & (box["_y0"] <= q["_y1"] + reach) & (box["_y1"] >= q["_y0"] - reach))
 
@@ -208,7 +209,7 @@ def disc_footprints(points: DataFrame, polygons: DataFrame, radius: float, sides
     """Pairs of a point (x, y) and a polygon that the regular polygon around it overlaps, with `clipped_area`."""
     size = 2.0 * radius
     at = points.where("x IS NOT NULL AND y IS NOT NULL").withColumns({"_cx": F.floor(F.col("x") / size), "_cy": F.floor(F.col("y") / size)})
-    pairs = at.join(_cells(polygons, bounds(ring), size, "r", radius), ["_cx", "_cy"]).drop("_cx", "_cy", "_rx", "_ry")
+    pairs = at.hint("merge").join(_cells(polygons, bounds(ring), size, "r", radius), ["_cx", "_cy"]).drop("_cx", "_cy", "_rx", "_ry")
     box = bounds(ring)
     gap = lambda c, low, high: F.greatest(F.lit(0.0), low - F.col(c), F.col(c) - high)
     pairs = pairs.where(F.hypot(gap("x", box["_x0"], box["_x1"]), gap("y", box["_y0"], box["_y1"])) <= radius)
