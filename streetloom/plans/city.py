@@ -198,14 +198,16 @@ def building_nodes(buildings: DataFrame, attributes: list[str], knn: tuple[int,
     b = buildings.select("bid", "x", "y")
     values = buildings.select(F.col("bid").alias("neighbour"), *attributes)
     out = buildings.select("bid", "x", "y", *attributes)
-    figures = lambda tag, rows: rows.join(values, "neighbour").groupBy("bid").agg(*[f(a).alias(f"{tag}_{a}_{n}") for a in attributes for n, f in (("mean", F.avg), ("std", F.stddev_samp))])
+    figures = lambda tag, rows: rows.groupBy("bid").agg(*[f(a).alias(f"{tag}_{a}_{n}") for a in attributes for n, f in (("mean", F.avg), ("std", F.stddev_samp))])
     if knn:
         # One search for the largest k serves all of them.
-        near = graph._held(spatial_join.knn(b, "bid", max(knn), start))
+        near = graph._held(spatial_join.knn(b, "bid", max(knn), start).join(values.hint("merge"), "neighbour"))
         for k in knn:
             out = out.join(figures(f"{k}nn", near.where(F.col("rank") <= k)), "bid", "left")
     for d in distances:
-        pairs = relations.buildings_by_distance(b, d).select(F.col("src").alias("bid"), F.col("dst").alias("neighbour"))
+        # Attributes come with the pairs: joined afterwards they would shuffle all pairs.
+        other = buildings.select(F.col("bid").alias("neighbour"), F.col("x").alias("rx"), F.col("y").alias("ry"), *[F.col(a) for a in attributes])
+        pairs = spatial_join.within_distance(b, other, d).where("bid <> neighbour")
         out = out.join(figures(f"{d:g}m", pairs), "bid", "left")
     return out.na.fill(0.0, [c for c in out.columns if c.endswith(("_mean", "_std")) and c not in attributes])
 
