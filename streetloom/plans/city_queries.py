@@ -106,7 +106,7 @@ def lines_in_polygons(spark, d):
 
 @query("polygons_in_polygons", f"WITH {BUILDINGS}, {BUILT_IN} SELECT bid, zone_id FROM built_in")
 def polygons_in_polygons(spark, d):
-    return polygons.overlaps(_rings(spark, d).withColumnRenamed("ring", "_b"), half_zones(spark), 1000.0, "_b", "ring", 1e-7).select("bid", "zone_id")
+    return polygons.overlaps(_rings(spark, d).withColumnRenamed("ring", "_b"), half_zones(spark), 1000.0, "_b", "ring").select("bid", "zone_id")
 
 
 BLOCKS = "clip AS (SELECT street_id, length, greatest(0, least(1, CASE WHEN vx = ux THEN CASE WHEN ux > x0 AND ux < x0 + 500 THEN 1 ELSE 0 END ELSE greatest((x0 - ux) / (vx - ux), (x0 + 500 - ux) / (vx - ux)) END, CASE WHEN vy = uy THEN CASE WHEN uy > y0 AND uy < y0 + 500 THEN 1 ELSE 0 END ELSE greatest((y0 - uy) / (vy - uy), (y0 + 500 - uy) / (vy - uy)) END) - greatest(0, CASE WHEN vx = ux THEN 0 ELSE least((x0 - ux) / (vx - ux), (x0 + 500 - ux) / (vx - ux)) END, CASE WHEN vy = uy THEN 0 ELSE least((y0 - uy) / (vy - uy), (y0 + 500 - uy) / (vy - uy)) END)) AS part FROM lines, (SELECT n_nationkey % 5 * 1000 + 200.5 AS x0, n_nationkey // 5 * 1000 + 300.5 AS y0 FROM nation))"
