@@ -96,6 +96,11 @@ def class_counts(df: DataFrame, group: str, column: str, values: list[str]) -> D
     return df.groupBy(group).pivot(column, list(values)).count().na.fill(0)
 
 
+def class_marks(column: str, values: list[str]) -> dict[str, Column]:
+    """A column for each class of a fixed list: 1 where a row has it, else 0."""
+    return {v: F.coalesce((F.col(column) == v).cast("long"), F.lit(0)) for v in values}
+
+
 def top_classes(df: DataFrame, group: str, column: str, k: int, least: float) -> DataFrame:
     """(group, class, percent) of each group's k most frequent classes of at least `least` percent, ties to the least class."""
     counts = df.groupBy(group, column).agg(F.count(F.lit(1)).alias("_n"))

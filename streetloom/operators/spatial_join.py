@@ -8,9 +8,12 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import kernels as K
 from .graph import _held
 
 
@@ -29,6 +32,44 @@ def within_distance(left: DataFrame, right: DataFrame, radius: float, lx: str =
     return pairs.where(dx * dx + dy * dy <= radius * radius).withColumn("distance", F.sqrt(dx * dx + dy * dy))
 
 
+#: Rows of a side that a tile's task holds at once; more are cut into parts.
+TILE_ROWS = 200_000
+
+
+def disc_sums(targets: DataFrame, others: DataFrame, key: str, radius: float, sums: dict[str, Column], x: str = "x", y: str = "y") -> DataFrame:
+    """(key, and of all others (x, y) at most radius away the sums of the columns named, as doubles); targets without any have no row.
+
+    No pair is made: targets and the others around them meet in tiles of four radii, where running sums are taken
+    (kernels.disc_sums). Others of one place count as one with their sums, and tiles of many rows are cut into parts, so that
+    a task's rows are bounded whatever the density.
+    """
+    tile, names = 4.0 * radius, ["_n", *sums]
+    placed = lambda df: df.where(F.col(x).isNotNull() & F.col(y).isNotNull() & ~F.isnan(x) & ~F.isnan(y))
+    t = placed(targets.select(F.col(key).alias("_key"), x, y)).withColumns({"_cx": F.floor(F.col(x) / tile), "_cy": F.floor(F.col(y) / tile)})
+    each = {"_n": F.lit(1.0), **sums}
+    o = placed(others.select(x, y, *[c.cast("double").alias(f"_s{k}") for k, c in enumerate(each.values())]))
+    o = o.groupBy(x, y).agg(*[F.sum(f"_s{k}").alias(f"_s{k}") for k in range(len(names))])
+    span = lambda c: F.explode(F.sequence(F.floor((F.col(c) - radius) / tile), F.floor((F.col(c) + radius) / tile)))
+    o = o.withColumn("_cx", span(x)).withColumn("_cy", span(y))
+    at = ["_cx", "_cy"]
+    many = lambda df, name: df.groupBy(*at).agg(F.ceil(F.count(F.lit(1)) / TILE_ROWS).alias(name))
+    parts = many(t, "_tp").join(many(o, "_op"), at)
+    all_of = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    t = t.hint("merge").join(parts, at).select("_key", x, y, *at, F.pmod(F.xxhash64("_key"), "_tp").alias("_p"), all_of("_op").alias("_q"))
+    o = o.hint("merge").join(parts, at).select(x, y, *[f"_s{k}" for k in range(len(names))], *at, F.pmod(F.xxhash64(x, y), "_op").alias("_q"), all_of("_tp").alias("_p"))
+
+    def summed(left: pa.Table, right: pa.Table) -> pa.Table:
+        columns = lambda table, cs: np.column_stack([table.column(c).to_numpy() for c in cs]).astype(float).reshape(-1, len(cs))
+        got = K.disc_sums(columns(left, (x, y)), columns(right, (x, y)), columns(right, [f"_s{k}" for k in range(len(names))]), radius)
+        some = got[:, 0] > 0
+        return pa.table({"_key": left.column("_key").filter(pa.array(some)), **{f"_s{k}": got[some, k] for k in range(len(names))}})
+
+    schema = f"_key {t.schema['_key'].dataType.simpleString()}, " + ", ".join(f"_s{k} double" for k in range(len(names)))
+    by = [*at, "_p", "_q"]
+    got = t.groupBy(*by).cogroup(o.groupBy(*by)).applyInArrow(summed, schema)
+    return got.groupBy(F.col("_key").alias(key)).agg(*[F.sum(f"_s{k}").alias(n) for k, n in enumerate(names)])
+
+
 def nearest(left: DataFrame, right: DataFrame, key: str, right_key: str, radius: float, **names: str) -> DataFrame:
     """For each left row its nearest right rows within radius; ties give several rows."""
     order = Window.partitionBy(key).orderBy("distance")

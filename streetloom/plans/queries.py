@@ -62,8 +62,8 @@ def zone_stats(spark, d):
 @query("point_context", f"""WITH {NODES}, {POIS} SELECT n.id AS intersection_id, {_pivot_sql('p', 'id')} FROM nodes n LEFT JOIN pois p ON abs(n.x - p.x) <= 100 AND (n.x - p.x) * (n.x - p.x) + (n.y - p.y) * (n.y - p.y) <= 10000 GROUP BY 1""")
 def point_context(spark, d):
     nodes = L.intersections(spark, d).select("intersection_id", "x", "y")
-    near = spatial_join.within_distance(nodes, L.pois(spark, d).select("poi_class", F.col("x").alias("rx"), F.col("y").alias("ry")), 100.0)
-    return nodes.select("intersection_id").join(clean.class_counts(near, "intersection_id", "poi_class", L.POI_CLASSES), "intersection_id", "left").na.fill(0)
+    got = spatial_join.disc_sums(nodes, L.pois(spark, d), "intersection_id", 100.0, clean.class_marks("poi_class", L.POI_CLASSES))
+    return nodes.select("intersection_id").join(got.drop("_n"), "intersection_id", "left").na.fill(0.0).withColumns({c: F.col(c).cast("long") for c in L.POI_CLASSES})
 
 
 @query("building_context", f"""WITH {NODES}, {BUILDINGS} SELECT n.id AS intersection_id, CAST(count(b.bid) AS BIGINT) AS building_count, round(coalesce(sum(b.area), 0), 3) AS footprint_sum, round(coalesce(avg(b.area), 0), 3) AS footprint_mean, round(coalesce(stddev_samp(b.area), 0), 3) AS footprint_std, round(coalesce(sum(b.perimeter), 0), 3) AS perimeter_total, round(coalesce(sum(b.area), 0) / (pi() * 10000), 3) AS footprint_proportion FROM nodes n LEFT JOIN buildings b ON abs(n.x - b.x) <= 100 AND (n.x - b.x) * (n.x - b.x) + (n.y - b.y) * (n.y - b.y) <= 10000 GROUP BY 1""")
