@@ -91,9 +91,20 @@ def with_heights(buildings: DataFrame, heights: DataFrame, cell: float) -> DataF
     return buildings.join(at.select("bid", "height"), "bid", "left").join(filled, "bid", "left").withColumn("height", F.coalesce("height", "_near")).drop("_near")
 
 
-def _disc(targets: DataFrame, key: str, others: DataFrame, radius: float) -> DataFrame:
-    at = others.withColumnsRenamed({"x": "rx", "y": "ry"})
-    return spatial_join.within_distance(targets.select(key, "x", "y"), at, radius)
+def _moments(images: DataFrame, indicators: tuple[str, ...]) -> tuple[dict[str, Column], dict[str, Column]]:
+    """Columns whose sums give the indicators' means and deviations, and these of the sums.
+
+    Sums are of what lies above the layer's mean in whole numbers, so that squares do not cancel.
+    """
+    base = images.agg(*[F.round(F.coalesce(F.avg(F.col(c).cast("double")), F.lit(0.0))) for c in indicators]).first()
+    sums, figures = {}, {}
+    for c, m in zip(indicators, base, strict=True):
+        m = m if math.isfinite(m) else 0.0
+        v = F.col(c).cast("double") - m
+        sums |= {f"_n_{c}": F.col(c).isNotNull().cast("long"), f"_s_{c}": F.coalesce(v, F.lit(0.0)), f"_q_{c}": F.coalesce(v * v, F.lit(0.0))}
+        n, s, q = F.col(f"_n_{c}"), F.col(f"_s_{c}"), F.col(f"_q_{c}")
+        figures |= {f"{c}_mean": F.try_divide(s + n * m, n), f"{c}_std": F.sqrt(F.greatest(F.lit(0.0), F.try_divide(q - F.try_divide(s * s, n), n - 1)))}
+    return sums, figures
 
 
 def point_context(targets: DataFrame, key: str, city: City, radius: float = 100.0) -> DataFrame:
@@ -101,8 +112,7 @@ def point_context(targets: DataFrame, key: str, city: City, radius: float = 100.
     disc = math.pi * radius * radius
     out = targets
     if city.intersections is not None:
-        near = _disc(targets, key, city.intersections.select("x", "y"), radius)
-        n = near.groupBy(key).agg(F.count(F.lit(1)).alias("node_count"))
+        n = spatial_join.disc_sums(targets, city.intersections, key, radius, {}).select(key, F.col("_n").cast("long").alias("node_count"))
         out = out.join(n, key, "left").withColumns({"node_count": F.coalesce("node_count", F.lit(0)), "node_density": F.round(F.coalesce("node_count", F.lit(0)) / (disc / 1e6), 3)})
     if city.streets is not None:
         length = segments.clipped_length(targets.select(key, "x", "y"), city.streets, key, "street_id", radius).withColumnRenamed("length", "street_length")
@@ -115,16 +125,16 @@ def point_context(targets: DataFrame, key: str, city: City, radius: float = 100.
         figures = ["footprint_mean", "footprint_std", "perimeter_total", "perimeter_mean", *[f"{c}_{n}" for c in held for n in ("mean", "std")]]
         out = out.join(got, key, "left").withColumns({"building_count": F.coalesce("building_count", F.lit(0)), "footprint_proportion": F.round(F.coalesce("_c", F.lit(0.0)) / disc, 3), **{c: _z(c) for c in figures}}).drop("_c")
     if city.pois is not None:
-        near = _disc(targets, key, city.pois.select("poi_class", "x", "y"), radius)
-        out = out.join(clean.class_counts(near, key, "poi_class", city.classes), key, "left").na.fill(0, list(city.classes))
+        n = spatial_join.disc_sums(targets, city.pois, key, radius, clean.class_marks("poi_class", city.classes))
+        out = out.join(n.select(key, *[F.col(c).cast("long").alias(c) for c in city.classes]), key, "left").na.fill(0, list(city.classes))
     if city.population is not None:
-        near = _disc(targets, key, city.population.select("value", "x", "y"), radius)
-        out = out.join(near.groupBy(key).agg(F.sum("value").cast("long").alias("population")), key, "left").na.fill(0, ["population"])
+        n = spatial_join.disc_sums(targets, city.population, key, radius, {"population": F.coalesce("value", F.lit(0.0))})
+        out = out.join(n.select(key, F.col("population").cast("long").alias("population")), key, "left").na.fill(0, ["population"])
     if city.images is not None:
-        near = _disc(targets, key, city.images.select("x", "y", *city.indicators), radius)
-        got = near.groupBy(key).agg(*[f(c).alias(f"{c}_{n}") for c in city.indicators for n, f in (("mean", F.avg), ("std", F.stddev_samp))])
+        sums, made = _moments(city.images, city.indicators)
+        got = graph._held(spatial_join.disc_sums(targets, city.images, key, radius, sums).select(key, *[c.alias(n) for n, c in made.items()]))
         figures = [f"{c}_{n}" for c in city.indicators for n in ("mean", "std")]
-        out = clean.fill_mean(out.join(got, key, "left"), [f"{c}_mean" for c in city.indicators]).withColumns({c: _z(c) for c in figures})
+        out = clean.fill_mean(out.join(got, key, "left"), [f"{c}_mean" for c in city.indicators], got).withColumns({c: _z(c) for c in figures})
     return out
 
 
