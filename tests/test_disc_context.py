@@ -19,3 +19,10 @@ def test_context_makes_no_pairs(spark, monkeypatch):
     out = C.point_context(t, "k", C.City(intersections=p, pois=p, population=p, images=p, classes=("food",), indicators=("green",)), 100.0)
     got = {r.k: (r.node_count, r.food, r.population, r.green_mean, r.green_std) for r in out.collect()}
     assert set(got) == set(range(40)) and all(got[k] == want[k] for k in want)
+
+
+def test_targets_among_the_layer_itself(spark):
+    """Targets joined from the layer that is counted: their columns are not taken for each other's."""
+    p = spark.range(30).select(F.col("id").alias("k"), (F.col("id") * 60).cast("double").alias("x"), F.lit(0.0).alias("y"))
+    t = p.join(p.groupBy("k").agg(F.count(F.lit(1)).alias("n")), "k")
+    assert sorted(r.node_count for r in C.point_context(t, "k", C.City(intersections=p), 100.0).collect()) == [2] * 2 + [3] * 28
