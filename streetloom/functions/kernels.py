@@ -455,3 +455,60 @@ def near_pairs(at: np.ndarray, segments: np.ndarray, radius: float) -> tuple[np.
             near = qx * qx + qy * qy <= (radius + 1e-9) ** 2
             found.append((order[one[near]], some[s[near]]))
     return np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])
+
+
+def uncovered(sides: np.ndarray, low: np.ndarray, high: np.ndarray, rings: tuple[np.ndarray, np.ndarray, np.ndarray], off: float, margin: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, low, high): what rings leave of the stretches low to high of sides (m, 4), as shares of their ways.
+
+    A ring takes of a side what it covers together with the places `off` to either hand, but for `margin` at the ends where
+    the ring's own border is met; so what crosses an outline is left with its crossing. The rings come as flat_rings() gives
+    them, the largest are taken first, and a later one meets only what is left then.
+    """
+    first, n, xy = rings
+    row = np.flatnonzero(high > low)
+    low, high = low[row], high[row]
+    ux, uy, dx, dy = sides[:, 0], sides[:, 1], sides[:, 2] - sides[:, 0], sides[:, 3] - sides[:, 1]
+    length = np.maximum(np.hypot(dx, dy), 1e-300)
+    each = [xy[a : a + k] for a, k in zip(first, n, strict=True) if k >= 3]
+    each = sorted((r for r in each if np.isfinite(r).all()), key=lambda r: -np.prod(np.ptp(r, axis=0)))
+    for p in each:
+        if not len(row):
+            break
+        (x0, y0), (x1, y1) = p.min(axis=0), p.max(axis=0)
+        ax, bx, ay, by = ux[row] + dx[row] * low, ux[row] + dx[row] * high, uy[row] + dy[row] * low, uy[row] + dy[row] * high
+        near = np.flatnonzero((np.minimum(ax, bx) < x1) & (np.maximum(ax, bx) > x0) & (np.minimum(ay, by) < y1) & (np.maximum(ay, by) > y0))
+        once = max(1, ROOM // 8 // len(p))
+        taken = [_covered(ux[r], uy[r], dx[r], dy[r], length[r], low[s], high[s], p, off, margin) for s in np.split(near, range(once, len(near), once)) for r in (row[s],)]
+        at = np.concatenate([near[k * once : (k + 1) * once][t[0]] for k, t in enumerate(taken)])
+        if not len(at):
+            continue
+        a, b = np.concatenate([t[1] for t in taken]), np.concatenate([t[2] for t in taken])
+        # Between what is taken, in order: from each end to the next beginning.
+        many = np.arange(len(row))
+        ends, starts = np.argsort(np.concatenate([many, at]), kind="stable"), np.argsort(np.concatenate([at, many]), kind="stable")
+        own, low, high = np.concatenate([many, at])[ends], np.concatenate([low, b])[ends], np.concatenate([a, high])[starts]
+        left = high > low
+        row, low, high = row[own[left]], low[left], high[left]
+    return row, low, high
+
+
+def _covered(ux, uy, dx, dy, length, low, high, p: np.ndarray, off: float, margin: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place, from, to) of the stretches that the open ring p covers on both hands, in order."""
+    c = lambda v: v[:, None]
+    met = []
+    for hand in (-off, off):
+        x, y = p[:, 0] - c(ux - hand * dy / length), p[:, 1] - c(uy + hand * dx / length)
+        aside, along = c(dx) * y - c(dy) * x, (x * c(dx) + y * c(dy)) / c(length * length)
+        then, far = np.roll(aside, -1, axis=1), np.roll(along, -1, axis=1)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            t = along + (far - along) * (aside / (aside - then))
+        met.append(np.where((aside >= 0) != (then >= 0), t, np.inf))
+    t = np.concatenate(met, axis=1)
+    order = np.argsort(t, axis=1, kind="stable")
+    t = np.take_along_axis(t, order, axis=1)
+    there, one = np.isfinite(t), order < len(p)
+    both = (np.cumsum(there & one, axis=1) % 2 == 1) & (np.cumsum(there & ~one, axis=1) % 2 == 1)
+    gap = c(margin / length)
+    a, b = (np.where(t[:, :-1] > c(low), t[:, :-1] + gap, c(low)), np.where(t[:, 1:] < c(high), t[:, 1:] - gap, c(high)))
+    place, k = np.nonzero(both[:, :-1] & there[:, 1:] & (b > a))
+    return place, a[place, k], b[place, k]

@@ -13,16 +13,17 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import geometry as G
 from ..functions import kernels as K
-from .crossings import cut_at_crossings, undirected
+from .crossings import _passed, cut_at_crossings, undirected
 from .graph import _held
 from .overlay import bounds
 from .rings import as_rings
+from .spatial_join import extent
 
 
 def _cells(df: DataFrame, box: dict[str, Column], size: float, tag: str, reach: float = 0.0) -> DataFrame:
@@ -93,8 +94,6 @@ def outside_parts(segments: DataFrame, polygons: DataFrame, key: str, size: floa
     A segment's stays inside polygons are intervals of its way; what is left between them is found by the running end of
     the intervals in order, so polygons may overlap.
     """
-    from pyspark.sql import Window
-
     pairs = _segment(_segment_pairs(segments.select(key, "ux", "uy", "vx", "vy"), polygons.select(ring), size, ring))
     stays = _stays(pairs, key, ring)
     both = stays.unionByName(segments.select(key, F.lit(1.0).alias("low"), F.lit(1.0).alias("high")))
@@ -167,17 +166,65 @@ def dissolve(polygons: DataFrame, group: str, ring: str = "ring") -> DataFrame:
     return _outline(once, group)
 
 
+#: Rings that a tile's task holds at once; of more each side meets a part, and the rest of the work is left to exact cuts.
+TILE_RINGS = 20_000
+#: Rings that a tile begins with on average, where it may be wider than a cell for it.
+FULL = 300
+
+
+def _outer(sides: DataFrame, polygons: DataFrame, group: str, size: float, snap: float, ring: str) -> DataFrame:
+    """sides (_side, group, ux, uy, vx, vy) without what a single polygon of their group covers on both hands.
+
+    Sides and polygons meet in tiles (kernels.uncovered). A side that keeps several stretches comes as several; stretches go
+    on past the border that they meet, so where sides cross on the outline both are left with their crossing. Nothing here
+    is on an outline, so what is missed costs time alone.
+    """
+    first = polygons.select(F.get(ring, F.lit(0)).alias("_at")).select("_at.x", "_at.y").where("x IS NOT NULL AND y IS NOT NULL AND NOT isnan(x) AND NOT isnan(y)")
+    n, area = extent(first)
+    size = max(size, math.sqrt(FULL * area / n)) if n else size
+    tile = ["_g", "_cx", "_cy"]
+    # Named anew: sides come from the polygons.
+    spread = _cells(polygons.select(F.col(group).alias("_g"), ring), bounds(ring), size, "r").select(*tile, ring)
+    parts = spread.groupBy(*tile).agg(F.ceil(F.count(F.lit(1)) / TILE_RINGS).alias("_n"))
+    dealt = lambda df, by: df.hint("merge").join(parts, tile, "left").withColumn("_p", F.pmod(F.xxhash64(by), F.coalesce("_n", F.lit(1)))).drop("_n")
+    walk, spread = dealt(_passed(sides.withColumnRenamed(group, "_g"), size), "_side"), dealt(spread, ring)
+
+    def left(key, a: pa.Table, b: pa.Table) -> pa.Table:
+        s = np.column_stack([a.column(c).to_numpy() for c in ("ux", "uy", "vx", "vy")]).reshape(-1, 4)
+        low, high = np.zeros(len(s)), np.ones(len(s))
+        for k, at in ((0, key[1].as_py()), (1, key[2].as_py())):
+            d = s[:, k + 2] - s[:, k]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                t0, t1 = (at * size - s[:, k]) / d, ((at + 1) * size - s[:, k]) / d
+            low = np.maximum(low, np.where(d == 0, 0.0, np.minimum(t0, t1)))
+            high = np.where((d == 0) & (np.floor(s[:, k] / size) != at), 0.0, np.minimum(high, np.where(d == 0, 1.0, np.maximum(t0, t1))))
+        row, low, high = K.uncovered(s, low, high, K.flat_rings(b.column(ring)), 10 * snap, 1e4 * snap)
+        return pa.table({"_side": a.column("_side").take(pa.array(row)), "low": low, "high": high})
+
+    by = [*tile, "_p"]
+    kept = walk.groupBy(*by).cogroup(spread.groupBy(*by)).applyInArrow(left, "_side long, low double, high double")
+    # Stretches that meet at a tile's edge are one again.
+    way = Window.partitionBy("_side").orderBy("low")
+    begun = kept.withColumn("_new", (F.col("low") > F.max("high").over(way.rowsBetween(Window.unboundedPreceding, -1)) + 1e-9).cast("int"))
+    runs = begun.withColumn("_run", F.sum(F.coalesce("_new", F.lit(0))).over(way)).groupBy("_side", "_run").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    on = lambda a, b, t: F.when(t <= 1e-12, F.col(a)).when(t >= 1 - 1e-12, F.col(b)).otherwise(F.col(a) + (F.col(b) - F.col(a)) * t)
+    ends = [on(f"u{c}", f"v{c}", F.col(t)).alias(f"{e}{c}") for e, t in (("u", "low"), ("v", "high")) for c in ("x", "y")]
+    return sides.hint("merge").join(runs, "_side").select(F.monotonically_increasing_id().alias("_side"), group, *ends)
+
+
 def union(polygons: DataFrame, group: str, size: float, ring: str = "ring", snap: float = 1e-6) -> DataFrame:
     """(group, rings, area, perimeter): the outline of each group's union, of polygons that may overlap in any way.
 
-    Sides are cut where they cross or touch sides of their group, in grid cells; a piece is on the outline if the place
+    Of sides only what no single polygon covers is looked at. It is cut where it crosses or touches other sides of its
+    group, in grid cells; a piece is on the outline if the place
     just beside it is in a polygon of the group on one hand and in none on the other. Pieces of several polygons count
     once. Places are snapped to `snap`; gaps and overlaps narrower than 20 of it may be closed. Polygons are closed rings
     that run either way, holes by keyhole(); one that crosses itself covers what the even-odd rule gives it.
     """
     one = polygons.select(group, ring)
     sides = edges_of(one, [group], ring).select(F.monotonically_increasing_id().alias("_side"), group, F.col("a.x").alias("ux"), F.col("a.y").alias("uy"), F.col("b.x").alias("vx"), F.col("b.y").alias("vy"))
-    pieces = undirected(cut_at_crossings(_held(sides), "_side", size, snap, (group,))).select(group, "a", "b").distinct()
+    sides = _held(_outer(_held(sides), one, group, size, snap, ring))
+    pieces = undirected(cut_at_crossings(sides, "_side", size, snap, (group,))).select(group, "a", "b").distinct()
     pieces = _held(pieces.withColumn("_piece", F.monotonically_increasing_id()))
     dx, dy = F.col("b.x") - F.col("a.x"), F.col("b.y") - F.col("a.y")
     hand = F.explode(F.array(F.lit(-1), F.lit(1))).alias("_hand")
