@@ -221,7 +221,7 @@ def union(polygons: DataFrame, group: str, size: float, ring: str = "ring", snap
     once. Places are snapped to `snap`; gaps and overlaps narrower than 20 of it may be closed. Polygons are closed rings
     that run either way, holes by keyhole(); one that crosses itself covers what the even-odd rule gives it.
     """
-    one = polygons.select(group, ring)
+    one = _held(polygons.select(group, ring))  # otherwise every mention below would make the rings anew
     sides = edges_of(one, [group], ring).select(F.monotonically_increasing_id().alias("_side"), group, F.col("a.x").alias("ux"), F.col("a.y").alias("uy"), F.col("b.x").alias("vx"), F.col("b.y").alias("vy"))
     sides = _held(_outer(_held(sides), one, group, size, snap, ring))
     pieces = undirected(cut_at_crossings(sides, "_side", size, snap, (group,))).select(group, "a", "b").distinct()
