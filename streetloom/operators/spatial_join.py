@@ -88,6 +88,32 @@ def nearest(left: DataFrame, right: DataFrame, key: str, right_key: str, radius:
     return within_distance(left, right, radius, **names).withColumn("_rank", F.rank().over(order)).where("_rank = 1").drop("_rank")
 
 
+def nearest_in_tiles(left: DataFrame, right: DataFrame, key: str, right_key: str, radius: float) -> DataFrame:
+    """(key, right_key, distance) of each left row's (x, y) nearest right rows (rx, ry) within radius; ties give several rows.
+
+    As nearest(), but pairs are looked up in tiles of four radii and only the nearest leave a task; right rows of one place
+    are looked up as one. `right_key` is to be a whole number.
+    """
+    tile = 4.0 * radius
+    at = left.select(F.col(key).alias("_key"), "x", "y").where("x IS NOT NULL AND y IS NOT NULL AND NOT isnan(x) AND NOT isnan(y)")
+    known = right.select(right_key, "rx", "ry").where("rx IS NOT NULL AND ry IS NOT NULL AND NOT isnan(rx) AND NOT isnan(ry)")
+    span = lambda c: F.explode(F.sequence(F.floor((F.col(c) - radius) / tile), F.floor((F.col(c) + radius) / tile)))
+    a = at.withColumns({"_cx": F.floor(F.col("x") / tile), "_cy": F.floor(F.col("y") / tile)})
+    b = known.select("rx", "ry").distinct().withColumn("_cx", span("rx")).withColumn("_cy", span("ry"))
+    a, b = in_parts(a, b, F.xxhash64("_key"), F.xxhash64("rx", "ry"))
+
+    def best(p: pa.Table, q: pa.Table) -> pa.Table:
+        flat = lambda t, cs: np.column_stack([t.column(c).to_numpy() for c in cs]).astype(float)
+        i, j, d2 = K.nearest_places(flat(p, ("x", "y")), flat(q, ("rx", "ry")), radius)
+        return pa.table({"_key": p.column("_key").take(pa.array(i)), "rx": q.column("rx").take(pa.array(j)), "ry": q.column("ry").take(pa.array(j)), "_d2": d2})
+
+    schema = f"_key {at.schema['_key'].dataType.simpleString()}, rx {known.schema['rx'].dataType.simpleString()}, ry {known.schema['ry'].dataType.simpleString()}, _d2 double"
+    got = a.groupBy(*PART).cogroup(b.groupBy(*PART)).applyInArrow(best, schema)
+    # The parts of a tile have a nearest each.
+    got = got.withColumn("_rank", F.rank().over(Window.partitionBy("_key").orderBy("_d2"))).where("_rank = 1").drop("_rank")
+    return got.join(known.hint("merge"), ["rx", "ry"]).select(F.col("_key").alias(key), right_key, F.sqrt("_d2").alias("distance"))
+
+
 def extent(points: DataFrame, x: str = "x", y: str = "y") -> tuple[int, float]:
     """Number of points and the area of the box around them."""
     n, x0, x1, y0, y1 = points.agg(F.count(F.lit(1)), F.min(x), F.max(x), F.min(y), F.max(y)).first()

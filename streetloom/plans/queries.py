@@ -85,7 +85,7 @@ def dist_neighbours(spark, d):
 @query("nearest_intersection_50m", f"WITH {BUILDINGS}, {NODES}, p AS (SELECT b.bid, n.id AS intersection_id, (n.x - b.x) * (n.x - b.x) + (n.y - b.y) * (n.y - b.y) AS d2 FROM buildings b JOIN nodes n ON abs(n.x - b.x) <= 50 AND (n.x - b.x) * (n.x - b.x) + (n.y - b.y) * (n.y - b.y) <= 2500) SELECT bid, intersection_id, round(sqrt(d2), 6) AS distance FROM (SELECT *, rank() OVER (PARTITION BY bid ORDER BY d2) AS r FROM p) WHERE r = 1")
 def nearest_intersection(spark, d):
     n = L.intersections(spark, d).select("intersection_id", F.col("x").alias("rx"), F.col("y").alias("ry"))
-    return spatial_join.nearest(L.buildings(spark, d).select("bid", "x", "y"), n, "bid", "intersection_id", 50.0).select("bid", "intersection_id", F.round("distance", 6).alias("distance"))
+    return spatial_join.nearest_in_tiles(L.buildings(spark, d).select("bid", "x", "y"), n, "bid", "intersection_id", 50.0).select("bid", "intersection_id", F.round("distance", 6).alias("distance"))
 
 
 KNN = f"WITH {BUILDINGS}, k AS (SELECT a.bid, b.bid AS neighbour, b.area, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS distance, row_number() OVER (PARTITION BY a.bid ORDER BY (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y), b.bid) AS rank FROM buildings a, buildings b)"
