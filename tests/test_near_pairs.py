@@ -43,3 +43,12 @@ def test_nearest_segment_joins_no_cells(spark, monkeypatch):
     p = spark.createDataFrame([(1, 0.0, 1.0)], "p long, x double, y double")
     s = spark.createDataFrame([(7, 0.0, 0.0, 9.0, 0.0)], "s long, ux double, uy double, vx double, vy double")
     assert [(r.p, r.s, r.distance) for r in segments.nearest_segment(p, s, "p", "s", 5.0).collect()] == [(1, 7, 1.0)] and looked
+
+
+def test_only_the_nearest_leave_a_task(spark):
+    """Of ten segments near a point the nearest and its equal come out of a tile, not all to be ranked."""
+    p = spark.createDataFrame([(1, 5.0, 0.0)], "p long, x double, y double")
+    s = spark.createDataFrame([(k, 0.0, float(k), 9.0, float(k)) for k in range(1, 10)] + [(0, 0.0, -1.0, 9.0, -1.0)], "s long, ux double, uy double, vx double, vy double")
+    assert sorted(r.s for r in segments.near_segments(p, s, "p", "s", 20.0, tile=90.0, nearest=True).collect()) == [0, 1]
+    assert [r.s for r in segments.nearest_segment(p, s, "p", "s", 20.0).collect()] == [0]
+    assert sorted(r.s for r in segments.nearest_segment(p, s, "p", "s", 20.0, ties=True).collect()) == [0, 1]
